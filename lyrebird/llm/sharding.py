@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,14 +48,22 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
 
     # the last entry gathers what all coordinates are flipped by
     held = F.aggregate(F.array(*[F.lit(1 << level) for level in range(bits - 1, 0, -1)]), F.concat(coded, F.array(F.lit(0))), flip)
-    final = F.transform(F.slice(held, 1, n), lambda v: v.bitwiseXOR(F.get(held, F.lit(n))))
     order = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(i).alias("i")) for level in range(bits - 1, -1, -1) for i in range(n)])
 
-    def deal(out: Column, s: Column) -> Column:
-        bit = F.call_function("shiftright", F.get(final, s["i"]), s["level"]).bitwiseAND(F.lit(1))
-        return out * 2 + bit
+    def deal(h: Column) -> Column:
+        def step(out: Column, s: Column) -> Column:
+            return out * 2 + F.call_function("shiftright", F.get(h, s["i"]).bitwiseXOR(F.get(h, F.lit(n))), s["level"]).bitwiseAND(F.lit(1))
 
-    return F.aggregate(order, F.lit(0).cast("long"), deal)
+        return F.aggregate(order, F.lit(0).cast("long"), step)
+
+    return F.get(F.transform(F.array(held), deal), F.lit(0))  # held is worked out once
+
+
+def curve_table(spark: SparkSession, n: int, bits: int) -> DataFrame:
+    """(cell, curve) for all 2**(n * bits) cells, whatever the input; a cell packs its coordinates, first highest."""
+    side = F.lit((1 << bits) - 1)
+    axes = [F.call_function("shiftright", F.col("cell"), F.lit(bits * (n - 1 - i))).bitwiseAND(side) for i in range(n)]
+    return spark.range(1 << n * bits).withColumnRenamed("id", "cell").select("cell", hilbert_index(axes, bits).alias("curve"))
 
 
 def _measure(df: DataFrame, name: str) -> Column:
@@ -85,7 +93,12 @@ def cut_points(df: DataFrame, dims: list[str], bits: int = BITS) -> dict[str, li
 
 
 def with_curve(df: DataFrame, dims: list[str], bits: int = BITS, name: str = "curve") -> DataFrame:
-    """df with the rows' place on the curve over the dimensions; a null value counts as the smallest."""
+    """df with the rows' place on the curve over the dimensions; a null value counts as the smallest.
+
+    The curve is worked out once for each cell of the grid, whose size bits and dims alone decide.
+    """
+    if len(dims) * bits > 18:
+        raise ValueError("the grid has more than 2**18 cells; take fewer dimensions or bits")
     points = cut_points(df, dims, bits)
 
     def cell(dim: str) -> Column:
@@ -94,7 +107,9 @@ def with_curve(df: DataFrame, dims: list[str], bits: int = BITS, name: str = "cu
         v = _measure(df, dim)
         return F.coalesce(reduce(lambda a, b: a + b, [(v > F.lit(p)).cast("int") for p in points[dim]]), F.lit(0))
 
-    return df.withColumn(name, hilbert_index([cell(d) for d in dims], bits))
+    place = reduce(lambda a, b: a * (1 << bits) + b, [cell(d).cast("long") for d in dims])
+    grid = curve_table(df.sparkSession, len(dims), bits).select(F.col("cell").alias("_cell"), F.col("curve").alias(name))
+    return df.withColumn("_cell", place).join(F.broadcast(grid), "_cell").drop("_cell")
 
 
 def hilbert_shards(docs: DataFrame, n_shards: int = 24, dims: tuple[str, ...] = ("lang", "source", "n_chars"), id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
