@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lyrebird.llm.bpe import round_trip
 from lyrebird.llm.huffman import huffman_ids
+from lyrebird.llm.licenses import license_scan
 from lyrebird.llm.packing import pack, pieces
+from lyrebird.llm.pii import find_pii
 from lyrebird.llm.sharding import hilbert_shards
+from lyrebird.llm.simhash import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +27,28 @@ def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids(_table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(_table(spark, sf_dir, "documents")))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_huffman, op8_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_huffman, op3_bpe, op4_licenses, op6_simhash, op8_packing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
