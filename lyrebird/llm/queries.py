@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lyrebird.llm import vectors
+from lyrebird.llm.balltree import exact_top_k
 from lyrebird.llm.bpe import round_trip
 from lyrebird.llm.huffman import huffman_ids
 from lyrebird.llm.licenses import license_scan
 from lyrebird.llm.packing import pack, pieces
 from lyrebird.llm.pii import find_pii
+from lyrebird.llm.quality import quality_scores
 from lyrebird.llm.sharding import hilbert_shards
 from lyrebird.llm.simhash import near_duplicates
 
@@ -35,20 +38,32 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(_table(spark, sf_dir, "documents")))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_huffman, op3_bpe, op4_licenses, op6_simhash, op8_packing, op10_pii)}
+    return {f.__name__: f for f in (op1_sharding, op2_huffman, op3_bpe, op4_licenses, op5_embeddings, op6_simhash, op7_quality, op8_packing, op9_topk, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

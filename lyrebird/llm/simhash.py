@@ -206,10 +206,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     not read. Texts never leave their tasks; a fingerprint that very many rows share is first reduced to
     one row in each task.
     """
-    rows = stage_table(with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").select("doc_id", "fp"), "prints")
+    rows, named = _classes(docs, id_col, text_col, budget)
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, budget: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, body, fp) of each row, body a hash of the text; (fp, component, component_id) of each fingerprint."""
+    rows = with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
+    rows = stage_table(rows.select("doc_id", F.xxhash64("text").alias("body"), "fp"), "prints")
     leaves = stage_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "leaves")
     grouped = components(near_links(leaves, budget)).select(F.col("node").alias("fp"), "component")
     classes = leaves.join(grouped, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(names, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows, classes.join(names, "component").select("fp", "component", "component_id")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+    """One row of docs, whole, for each component: that of the smallest id (a null id after all others).
+
+    Of rows that agree in id and text one stays. The texts are shuffled once, to meet the rows that stay.
+    """
+    rows, named = _classes(docs, id_col, text_col, budget)
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("p")
+    stay = rows.join(named.select("fp", "component"), "fp").groupBy("component").agg(pick).select(F.col("p.doc_id").alias("_stay_id"), F.col("p.body").alias("_stay_body")).distinct()
+    marked = docs.withColumn("_body", F.xxhash64(text_col))
+    met = marked.join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_body") == F.col("_stay_body")))
+    return met.dropDuplicates(["_stay_id", "_stay_body"]).select(*docs.columns)
