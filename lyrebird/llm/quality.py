@@ -80,6 +80,7 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lower = np.add.reduceat((kind[inside] == 1).astype(np.int64), at_word)
         last = kind[ends - 1]
         words = np.bincount(home, minlength=len(out)).astype(np.float32)
+        many = np.log1p(words) / 5
         words[words == 0] = 1
         share = lambda flag: np.bincount(home, flag, len(out)) / words
         repeats = []
@@ -92,7 +93,7 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         distinct[order[1:]] = (digest[order[1:]] != digest[order[:-1]]) | (home[order[1:]] != home[order[:-1]])
         columns = [
             np.minimum(share(length) / 10, 3), np.minimum(np.sqrt(share(length.astype(np.float64) ** 2)) / 10, 3), *repeats,
-            share((upper > 1) & (lower == 0)), share((upper > 0) & (lower > 0)), share((last >= _CLASSES.index("bang")) & (last <= _CLASSES.index("symbol"))), share(distinct), np.log1p(words) / 5,
+            share((upper > 1) & (lower == 0)), share((upper > 0) & (lower > 0)), share((last >= _CLASSES.index("bang")) & (last <= _CLASSES.index("symbol"))), share(distinct), many,
         ]
         out[:, len(_CLASSES) :] = np.stack(columns, 1)
     return out, passages
