@@ -249,3 +249,27 @@ def page_status(t: Tables) -> DataFrame:
     src = F.when(F.col("page_id") % 5 != 0, F.concat("url", F.when(F.col("page_id") % 2 == 0, ".png").otherwise("")))
     status = ingest.page_status(F.when(F.col("page_id") % 7 == 0, 404).otherwise(200), F.contains(F.col("html"), F.lit("<article>")), src)
     return ingest.status_tally(t.pages.select(status.alias("status")))
+
+
+@query("SELECT l_orderkey AS list, l_linenumber AS pos, p_partkey AS id, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey + 60")
+def listed_songs(t: Tables) -> DataFrame:
+    items = t.lineitem.select(F.col("l_orderkey").alias("list"), F.col("l_linenumber").alias("pos"), (F.col("l_partkey") + 60).alias("id"))
+    return search.in_list_order(items, t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).select("list", "pos", "id", "name")
+
+
+@query("""WITH b AS (SELECT o_custkey AS id, 0 AS k, o_orderkey AS item FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_custkey, 1, o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT id, item FROM (SELECT id, item, row_number() OVER (PARTITION BY id ORDER BY k, item) AS r FROM b) WHERE r = 1""")
+def own_or_others(t: Tables) -> DataFrame:
+    lists = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("item"))
+    return search.first_found(lists.where("item % 3 = 0"), lists.where("item % 3 <> 0"), "id", ["item"])
+
+
+@query(f"SELECT id, '{{\"@context\":\"https://schema.org\",\"@type\":\"MusicComposition\",\"name\":\"' || name || '\",\"url\":\"https://songs.example/song/' || id || '/' || {_SLUG_OF} || '\",\"composer\":\"' || id % 7 || '\",\"musicalKey\":\"C\"}}' AS json FROM {_NAMED_SQL}")
+def song_cards(t: Tables) -> DataFrame:
+    named = names.disambiguate(raw_titles(t), "id", "raw", PREFIX).select("id", "name", (F.col("id") % 7).cast("string").alias("artist"), F.lit("C").alias("song_key"))
+    return names.song_card(named, "https://songs.example")
+
+
+@query(f"SELECT report, count(*) AS n, '{{\"report\":\"' || report || '\",\"n\":' || count(*) || ',\"keys\":[' || array_to_string(list_slice(list(key ORDER BY key), 1, 50), ',') || ']}}' AS json FROM (SELECT key, unnest([CASE WHEN expected AND NOT disk THEN 'missing_disk' END, CASE WHEN expected AND NOT bucket THEN 'missing_bucket' END, CASE WHEN NOT expected AND disk THEN 'orphan_disk' END, CASE WHEN NOT expected AND bucket THEN 'orphan_bucket' END]) AS report FROM {_THREE_SQL}) WHERE report IS NOT NULL GROUP BY report")
+def reconcile_report(t: Tables) -> DataFrame:
+    return reconcile.report_json(reconcile.discrepancies(_three(t), "disk", "bucket"))
