@@ -7,6 +7,7 @@ a reader decodes many at once, one table look-up for each id.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -69,51 +70,61 @@ class Codec:
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths.astype(np.int64)
         self.limit = max(1, int(lengths.max(initial=1)))
-        self._table: tuple[np.ndarray, np.ndarray] | None = None
+        self._table: np.ndarray | None = None
         self._order, first, self._covers = canonical(lengths, self.limit)
         self.codes = np.zeros(len(lengths), np.uint64)
         self.codes[self._order] = first >> self.limit - self.lengths[self._order]
+        self._coded = self.codes << np.uint64(5) | self.lengths.astype(np.uint64)
 
     def encode(self, ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
         """The bits, from a byte's highest down and filled up to a byte, and the bit where each block begins."""
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
+        if not len(ids):
+            return b"", np.zeros(0, np.int64)
+        both = self._coded[ids]
+        n = both & np.uint64(31)
+        ends = np.cumsum(n, dtype=np.uint64)
         at = ends - n
-        total = int(ends[-1]) if len(ids) else 0
-        word = at >> 5
-        value = self.codes[ids] << (64 - n - (at & 31)).astype(np.uint64)
+        total, word = int(ends[-1]), at >> np.uint64(5)
+        both >>= np.uint64(5)
+        both <<= np.uint64(64) - n - (at & np.uint64(31))
+        starts = np.flatnonzero(word[1:] != word[:-1]) + 1
+        starts = np.concatenate([[0], starts])
         out = np.zeros((total + 31 >> 5) + 1, np.uint32)
-        if len(ids):
-            starts = np.flatnonzero(np.diff(word, prepend=-1))
-            out[word[starts]] |= np.bitwise_or.reduceat((value >> np.uint64(32)).astype(np.uint32), starts)
-            out[word[starts] + 1] |= np.bitwise_or.reduceat(value.astype(np.uint32), starts)
-        return out.astype(">u4").tobytes()[: total + 7 >> 3], at[::block]
-
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """The id and the code's length for whatever the next ``limit`` bits are."""
-        ids, bits = np.zeros(1 << self.limit, np.uint32), np.ones(1 << self.limit, np.int64)
+        halves = np.bitwise_or.reduceat(both, starts)
+        to = word[starts].astype(np.int64)
+        out[to] |= (halves >> np.uint64(32)).astype(np.uint32)
+        out[to + 1] |= halves.astype(np.uint32)
+        return out.byteswap().tobytes()[: total + 7 >> 3] if sys.byteorder == "little" else out.tobytes()[: total + 7 >> 3], at[::block].astype(np.int64)
+
+    def table(self) -> np.ndarray:
+        """The id (from bit 5 on) and the code's length (below) for whatever the next ``limit`` bits are."""
+        out = np.ones(1 << self.limit, np.uint32)
         n = int(self._covers.sum())
-        ids[:n] = np.repeat(self._order, self._covers)
-        bits[:n] = np.repeat(self.lengths[self._order], self._covers)
-        return ids, bits
+        out[:n] = np.repeat((self._order << 5 | self.lengths[self._order]).astype(np.uint32), self._covers)
+        return out
 
     def decode(self, payload: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The ids of all blocks, one after another: block k has sizes[k] ids from bit starts[k] on."""
         if self._table is None:
             self._table = self.table()
-        ids, bits = self._table
-        b = np.frombuffer(payload + b"\0" * 4, np.uint8).astype(np.uint32)
-        windows = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
-        out = np.zeros(int(sizes.sum()), np.uint32)
+        longest = int(sizes.max(initial=0))
+        words = np.frombuffer(payload + b"\0" * (12 - len(payload) % 4), ">u4").astype(np.uint64)
+        windows = words[:-1] << np.uint64(32) | words[1:]
         order = np.argsort(-sizes, kind="stable")  # blocks still at work are always the first ones
-        at, to = starts[order].astype(np.int64), (np.cumsum(sizes) - sizes)[order]
-        working = len(order) - np.searchsorted(np.sort(sizes), np.arange(int(sizes.max(initial=0))), side="right")
+        at = starts[order].astype(np.uint64)
+        out = np.zeros((longest, len(order)), np.uint32)
+        working = len(order) - np.searchsorted(np.sort(sizes), np.arange(longest), side="right")
+        top, low, mask = np.uint64(64 - self.limit), np.uint64(31), np.uint64((1 << self.limit) - 1)
         for step, n in enumerate(working):
             p = at[:n]
-            code = windows[p >> 3] >> (32 - self.limit - (p & 7)).astype(np.uint32) & (1 << self.limit) - 1
-            out[to[:n] + step] = ids[code]
-            at[:n] += bits[code]
-        return out
+            found = self._table[windows[p >> np.uint64(5)] >> (top - (p & low)) & mask]
+            out[step, :n] = found
+            p += found & np.uint32(31)
+        inside = np.arange(longest) < sizes[order][:, None]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        rows = np.ascontiguousarray(out.T)[back]
+        return rows[inside[back]] >> np.uint32(5)
 
 
 @lru_cache(maxsize=2)
@@ -143,6 +154,7 @@ def id_counts(coded: DataFrame, path: str) -> np.ndarray:
     width, size = _width(path), encoder(path).tokenizer.get_vocab_size() + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # this worker is done with texts: their chunks needn't be remembered beside what follows
         total = np.zeros(size, np.int64)
         for batch in batches:
             for ids in batch.column(0):

@@ -19,11 +19,14 @@ from tokenizers import Tokenizer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-#: Chunks and pieces that a worker remembers, in each of two generations.
-REMEMBERED = 250_000
+#: Chunks that a worker remembers, in each of two generations.
+REMEMBERED = 600_000
 #: Longer chunks are encoded anew each time, so that memory stays bounded.
 LONGEST = 48
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?*%&$#|]*)")
+#: Whether a chunk is one word of plain letters.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Marks that are one piece when they follow a word.
+MARKS = ".,;:!?*%&$#|"
 
 
 class ChunkMemory(dict):
@@ -34,9 +37,7 @@ class ChunkMemory(dict):
         self._encode, self._limit, self._older = encode, limit, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        out = self._older.get(chunk)
-        if out is None:
-            out = self._encode(chunk)
+        out = self._older.get(chunk) or self._encode(chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= self._limit:
                 self._older = dict(self)
@@ -93,8 +94,8 @@ class Encoder:
         own = self.tokenizer.model
         self.model = model or (lambda piece: [t.id for t in own.tokenize(piece)])
         self.spaced = self.tokenizer.normalizer is None  # a space belongs to the word after it
+        self._ends = ChunkMemory(lambda piece: _little_endian(self.model(piece)), 10_000)
         self._memory = ChunkMemory(self._chunk)
-        self._piece = ChunkMemory(lambda piece: _little_endian(self.model(piece)))
 
     def _pieces(self, text: str) -> list[str]:
         normalizer = self.tokenizer.normalizer
@@ -102,20 +103,21 @@ class Encoder:
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def _bytes(self, pieces: list[str]) -> bytes:
-        return b"".join(map(self._piece.__getitem__, pieces))
+        return b"".join([_little_endian(self.model(p)) for p in pieces])
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk that stands after a space."""
-        m = _PLAIN.fullmatch(chunk)
-        if not m or not chunk:
-            return self._bytes(self._pieces(" " + chunk))
-        word, end = m.groups()
-        if not self.spaced:
-            word = word.lower()
-        word = word if word.isascii() else shown(word)
-        if self.spaced:
-            word, end = (SPACE + word, end) if word else ("", SPACE + end)
-        return (self._piece[word] if word else b"") + (self._piece[end] if end else b"")
+        """Ids of a chunk that stands after a space. Plain words, and plain words with marks after them, take a short way."""
+        if PLAIN(chunk):
+            if self.spaced:
+                return _little_endian(self.model(SPACE + (chunk if chunk.isascii() else shown(chunk))))
+            low = chunk.lower()
+            if low != chunk:
+                return self._memory[low]
+            return _little_endian(self.model(chunk if chunk.isascii() else shown(chunk)))
+        word = chunk.rstrip(MARKS)
+        if word and len(word) < len(chunk) and PLAIN(word):
+            return self._memory[word] + self._ends[chunk[len(word) :]]
+        return self._bytes(self._pieces(" " + chunk))
 
     def _part(self, text: str) -> bytes:
         """Ids of a text without special tokens."""
