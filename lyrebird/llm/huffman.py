@@ -24,8 +24,8 @@ from lyrebird.runtime import ship, stage_table
 
 #: Longest code in bits: the decoding table has 2**LIMIT entries.
 LIMIT = 18
-#: Ids of a block, and about so many of a segment.
-BLOCK, SEGMENT = 512, 1 << 19
+#: Ids of a block, about so many of a segment, and so many that are counted or coded at once.
+BLOCK, SEGMENT, AT_ONCE = 512, 1 << 19, 1 << 18
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -80,21 +80,33 @@ class Codec:
         """The bits, from a byte's highest down and filled up to a byte, and the bit where each block begins."""
         if not len(ids):
             return b"", np.zeros(0, np.int64)
+        (payload,), (starts,) = self.encode_all(ids, np.array([len(ids)]), block)
+        return payload, starts
+
+    def encode_all(self, ids: np.ndarray, sizes: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], list[np.ndarray]]:
+        """The same for many documents at once: each has sizes[k] (at least one) ids, and begins at a byte."""
         both = self._coded[ids]
         n = both & np.uint64(31)
-        ends = np.cumsum(n, dtype=np.uint64)
-        at = ends - n
-        total, word = int(ends[-1]), at >> np.uint64(5)
+        ends = np.cumsum(n, dtype=np.int64)
+        last = np.cumsum(sizes)
+        bits_before = np.concatenate([[0], ends[last - 1]])
+        size = np.diff(bits_before) + 7 >> 3
+        byte = np.concatenate([[0], np.cumsum(size)])
+        ends += np.repeat(8 * byte[:-1] - bits_before[:-1], sizes)
+        at = ends.astype(np.uint64) - n
+        word = at >> np.uint64(5)
         both >>= np.uint64(5)
         both <<= np.uint64(64) - n - (at & np.uint64(31))
-        starts = np.flatnonzero(word[1:] != word[:-1]) + 1
-        starts = np.concatenate([[0], starts])
-        out = np.zeros((total + 31 >> 5) + 1, np.uint32)
-        halves = np.bitwise_or.reduceat(both, starts)
-        to = word[starts].astype(np.int64)
+        runs = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+        out = np.zeros((8 * int(byte[-1]) + 31 >> 5) + 1, np.uint32)
+        halves = np.bitwise_or.reduceat(both, runs)
+        to = word[runs].astype(np.int64)
         out[to] |= (halves >> np.uint64(32)).astype(np.uint32)
         out[to + 1] |= halves.astype(np.uint32)
-        return out.byteswap().tobytes()[: total + 7 >> 3] if sys.byteorder == "little" else out.tobytes()[: total + 7 >> 3], at[::block].astype(np.int64)
+        whole = (out.byteswap() if sys.byteorder == "little" else out).tobytes()
+        payloads = [whole[a:b] for a, b in zip(byte[:-1].tolist(), byte[1:].tolist(), strict=True)]
+        starts = [at[e - s : e : block].astype(np.int64) - 8 * a for s, e, a in zip(sizes.tolist(), last.tolist(), byte[:-1].tolist(), strict=True)]
+        return payloads, starts
 
     def table(self) -> np.ndarray:
         """The id (from bit 5 on) and the code's length (below) for whatever the next ``limit`` bits are."""
@@ -149,16 +161,30 @@ def tokenised(docs: DataFrame, path: str = BYTE_BPE, end_id: int = 0, id_col: st
     return docs.select(F.col(id_col).alias("doc_id"), ids_of(F.col(text_col)).alias("ids"))
 
 
+def _spans_of(column: pa.Array, width: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed ids of neighbouring documents, about AT_ONCE of them at a time, and how many each document has."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    ids = np.frombuffer(column.buffers()[2], width, (ends[-1] - ends[0]) // np.dtype(width).itemsize, ends[0])
+    ends = (ends - ends[0]) // np.dtype(width).itemsize
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + AT_ONCE, side="right")) - 1)
+        yield ids[ends[first] : ends[last]], np.diff(ends[first : last + 1])
+        first = last
+
+
 def id_counts(coded: DataFrame, path: str) -> np.ndarray:
     """How often each id occurs in all documents; tasks add up their own first."""
     width, size = _width(path), encoder(path).tokenizer.get_vocab_size() + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()  # this worker is done with texts: their chunks needn't be remembered beside what follows
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), width), minlength=size)
+            for ids, _ in _spans_of(batch.column(0), width):
+                total += np.bincount(ids, minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -190,12 +216,11 @@ def write_files(coded: DataFrame, lengths: Broadcast, width: str, parts: int) ->
     def code(column: pa.Array) -> pa.Array:
         codec = _codec(lengths.value)
         n, starts, payload = [], [], []
-        for ids in column:
-            ids = np.frombuffer(ids.as_buffer(), width)
-            bits, at = codec.encode(ids)
-            n.append(len(ids))
-            starts.append(at.astype("<u4").tobytes())
-            payload.append(bits)
+        for ids, sizes in _spans_of(column, width):
+            bits, at = codec.encode_all(ids, sizes)
+            n += sizes.tolist()
+            starts += [a.astype("<u4").tobytes() for a in at]
+            payload += bits
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(starts, pa.binary()), pa.array(payload, pa.binary())], ["n", "starts", "payload"])
 
     schema = T.StructType([
