@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lyrebird.llm.tokens import BYTE_BPE, encoder
+from lyrebird.llm.tokens import BYTE_BPE, encoder, rank_encoder
 from lyrebird.runtime import ship, stage_table
 
 #: Longest code in bits: the decoding table has 2**LIMIT entries.
@@ -155,7 +155,8 @@ def tokenised(docs: DataFrame, path: str = BYTE_BPE, end_id: int = 0, id_col: st
 
     @F.arrow_udf("binary")
     def ids_of(texts: pa.Array) -> pa.Array:
-        encode, end = encoder(path).encode, end_id.to_bytes(4, "little")
+        own = rank_encoder(path) if path == BYTE_BPE else encoder(path)
+        encode, end = own.encode, end_id.to_bytes(4, "little")
         return pa.array((np.frombuffer(encode(t.as_py()) + end, "<u4").astype(width).tobytes() for t in texts), pa.binary())
 
     return docs.select(F.col(id_col).alias("doc_id"), ids_of(F.col(text_col)).alias("ids"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lyrebird.llm import huffman, packing, sharding
-from lyrebird.llm.tokens import BYTE_BPE, WORD_BPE, Encoder, load
+from lyrebird.llm.tokens import BYTE_BPE, WORD_BPE, Encoder, RankEncoder, load
 from tests.llm.conftest import ODD
 
 
@@ -13,8 +13,18 @@ from tests.llm.conftest import ODD
 def test_encoder_is_the_librarys(path, docs):
     ours, theirs = Encoder(path), load(path)
     texts = ODD[1:] + ["a \n b", "foo\xa0 bar", "don't we'll 'S", "a\n  b", " ́a", "1234 56a7", "_a_ |b|", "trail ", "a|b!!c"] + [r.text for r in docs.select("text").limit(60).collect()]
+    texts += ["a " * 10 + "b" * 5000 + " c", "x" + " " * 4000 + "y\n" * 3000]
+    for own in [ours] + [RankEncoder(path)] * (path == BYTE_BPE):
+        for t in texts:
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids, repr(t[:80])
+
+
+def test_ranks_cut_every_character_alike():
+    ours, theirs = RankEncoder(BYTE_BPE), load(BYTE_BPE)
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x20000, 5)]]
+    texts = ["".join(f"x{c} {c}{c}1 y  {c}\n" for c in points[at : at + 16]) for at in range(0, len(points), 16)]
     for t in texts:
-        assert np.frombuffer(ours.encode(t), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids, repr(t[:80])
+        assert np.frombuffer(ours.encode(t), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
 def plain_ids(path, text):
