@@ -1,8 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A text is a sequence of words; for each length of template it is seen as overlapping blocks, so that any
-place as long as the template lies within a block. A block meets a template if it contains at least a given
-share of the template's distinct words. All words of templates are ordered by how often the whole corpus
+A text is a sequence of words; for each template it is seen as blocks twice the template's length, one from
+every word, so that any place up to that length lies within a block wherever it stands. A block meets a
+template if it contains at least a given share of the template's distinct words. All words of templates are ordered by how often the whole corpus
 has them, rarest first. A block can meet a template only if it holds one of the template's first few words
 (prefix filter), has enough words at all (length filter), and enough are left behind the place where the
 two first agree (positional filter); what passes is counted out.
@@ -71,50 +71,66 @@ class Scanner:
         for words, label, exact in kinds:
             ranks = tuple(sorted({self.rank[w] for w in words}))
             self.templates.append(Template(words, label, exact, ranks, math.ceil(threshold * len(ranks) - 1e-9)))
-        self.by_prefix: dict[bytes, list[Template]] = {}
-        for t in self.templates:
+        self.by_prefix: dict[bytes, list[int]] = {}
+        for k, t in enumerate(self.templates):
             for r in t.prefix:
-                self.by_prefix.setdefault(vocabulary[r], []).append(t)
+                self.by_prefix.setdefault(vocabulary[r], []).append(k)
         self.openers = frozenset(self.by_prefix)
 
-    def blocks(self, words: list[bytes]) -> Iterator[tuple[Template, int, int, float]]:
-        """(template, first word, end, containment) of each block that meets a template."""
+    def windows(self, words: list[bytes]) -> Iterator[tuple[Template, int, int, float]]:
+        """(template, first word, end, containment) of each window that meets a template, from every start."""
         if self.openers.isdisjoint(words):
             return
-        rank, seen, sets = self.rank, set(), {}
+        near: dict[bytes, list[list[int]]] = {}  # for each template the runs of starts whose windows hold a prefix word
         for at in (i for i, w in enumerate(words) if w in self.openers):
-            for t in self.by_prefix[words[at]]:
-                k = len(t.words)
-                size, stride = 2 * k, k + 1
-                for block in range(max(0, (at - size) // stride + 1), at // stride + 1):
-                    if (id(t), block) in seen:
-                        continue
-                    seen.add((id(t), block))
-                    lo, hi = block * stride, min(block * stride + size, len(words))
-                    if hi - lo < t.needed:  # length filter
-                        continue
-                    if (lo, hi) not in sets:
-                        sets[lo, hi] = sorted({rank[w] for w in words[lo:hi] if w in rank})
-                    held = sets[lo, hi]
-                    own = set(held)
-                    i, first = next((i, r) for i, r in enumerate(t.ranks) if r in own)
-                    if min(len(t.ranks) - i, len(held) - held.index(first)) < t.needed:  # positional filter
-                        continue
-                    common = len(own.intersection(t.ranks))
-                    if common >= t.needed:
-                        yield t, lo, hi, common / len(t.ranks)
+            for k in self.by_prefix[words[at]]:
+                runs, lo = near.setdefault(k, []), max(0, at - 2 * len(self.templates[k].words) + 1)
+                if runs and lo <= runs[-1][1] + 1:
+                    runs[-1][1] = at
+                else:
+                    runs.append([lo, at])
+        for k, runs in near.items():
+            for first, last in runs:
+                yield from self._slide(self.templates[k], words, first, last)
+
+    def _slide(self, t: Template, words: list[bytes], first: int, last: int) -> Iterator[tuple[Template, int, int, float]]:
+        """The windows that start at first to last: counts are kept while the window moves word by word."""
+        size = 2 * len(t.words)
+        ranks = [self.rank.get(w) for w in words[first : last + size]]
+        if len(ranks) < t.needed:  # length filter
+            return
+        held = {r for r in ranks if r is not None}
+        agreed = next(r for r in t.ranks if r in held)
+        if sum(r >= agreed for r in held) < t.needed:  # positional filter, for all windows of the run at once
+            return
+        inside, common, end = dict.fromkeys(t.ranks, 0), 0, 0
+        for at in range(last - first + 1):
+            while end < min(at + size, len(ranks)):
+                r = ranks[end]
+                if r in inside:
+                    common += inside[r] == 0
+                    inside[r] += 1
+                end += 1
+            if common >= t.needed:
+                yield t, first + at, first + end, common / len(t.ranks)
+            r = ranks[at]
+            if r in inside:
+                inside[r] -= 1
+                common -= inside[r] == 0
+
+    def blocks(self, words: list[bytes]) -> Iterator[tuple[Template, int, int, float]]:
+        """Those of the windows that start on the grid of a template's length and one."""
+        return (found for found in self.windows(words) if found[1] % (len(found[0].words) + 1) == 0)
 
     def scan(self, text: str | None) -> dict:
         words = words_of(text)
         labels, places, base, score = set(), set(), set(), 0.0
-        for t, lo, hi, share in self.blocks(words):
+        for t, lo, _, share in self.windows(words):
             labels.add(t.label)
             score = max(score, share)
-            if t.exact:  # the places in this block where the words stand one after another
-                k = len(t.words)
-                found = {(t.words, s) for s in range(lo, hi - k + 1) if words[s] == t.words[0] and tuple(words[s : s + k]) == t.words}
-                places |= found
-                base |= {t.label} if found else set()
+            if t.exact and tuple(words[lo : lo + len(t.words)]) == t.words:  # each place starts a window of its own
+                places.add((t.words, lo))
+                base.add(t.label)
         starts = [s for _, s in places]
         return {
             "n_words": len(words), "n_base": len(places), "first_word": min(starts, default=None), "last_word": max(starts, default=None),

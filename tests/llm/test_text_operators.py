@@ -93,6 +93,40 @@ def test_license_join_is_exact():
         assert {(t.words, t.label, lo) for t, lo, _, _ in scanner.blocks(words)} == want
 
 
+def test_license_join_tries_every_start():
+    """The windows are those of a comparison of every start with every template."""
+    rng = np.random.default_rng(4)
+    vocabulary = sorted({w for p, _ in licenses.BASE + licenses.FURTHER for w in p.encode().split()}) + [b"x", b"y", b"z"]
+    scanner, n_found = licenses.Scanner({w: int(rng.integers(1, 99)) for w in vocabulary}), 0
+    for _ in range(60):
+        words = [vocabulary[i] for i in rng.integers(0, len(vocabulary), rng.integers(0, 80))]
+        t = scanner.templates[rng.integers(0, len(scanner.templates))]
+        at = int(rng.integers(0, len(words) + 1))
+        words[at:at] = [w for v in t.words for w in ([v, b"x"] if rng.random() < 0.4 else [v])]
+        want = set()
+        for t in scanner.templates:
+            for lo in range(len(words)):
+                share = len(set(words[lo : lo + 2 * len(t.words)]) & set(t.words)) / len(set(t.words))
+                if share >= licenses.THRESHOLD - 1e-12:
+                    want.add((t.words, lo, min(lo + 2 * len(t.words), len(words)), share))
+        found = [(t.words, lo, hi, share) for t, lo, hi, share in scanner.windows(words)]
+        assert len(found) == len(set(found)) and set(found) == want
+        n_found += len(found)
+    assert n_found > 300
+
+
+@pytest.mark.parametrize("notice, label", [
+    ("under the terms of the mit license", "mit"),
+    ("licensed under version 2 or later of the gnu general public license", "gpl"),
+    ("licensed under the terms of the gnu general public license", "gpl"),
+    ("licensed under the terms of the gnu lesser general public license", "lgpl"),
+])
+def test_license_label_is_the_same_at_every_place(notice, label):
+    scanner = licenses.Scanner({})
+    got = [scanner.scan("x " * before + notice + " y" * 40) for before in range(40)]
+    assert {(label in r["labels"].split(","), r["labels"], r["score"]) for r in got} == {(True, got[0]["labels"], got[0]["score"])}
+
+
 PERSONAL = ["mail a.b@c.org, x@y a@b@c.de", "1.2.3.4.5.6.7.8 999.1.1.1 01.002.3.4", "4111 1111 1111 1111 and 4111-1111-1111-1112 79927398713000", "+1 (017) 555-7713. +12 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "é@x.yz ü1.1.1.1", "a@b.c-.d..e @x.y %@x.y", "9" * 3000 + ".1.1.1", "+" * 50 + "1 2345678901"]
 
 
