@@ -147,8 +147,22 @@ ring AS (SELECT a.id, b.id AS other, 1000 + st.k AS r FROM s a CROSS JOIN n CROS
 al AS (SELECT id, other, min(r) AS r FROM (SELECT * FROM shr WHERE r <= 12 UNION ALL SELECT * FROM ring) GROUP BY id, other)
 SELECT id, CAST(rank AS INTEGER) AS rank, other FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY r) AS rank FROM al) WHERE rank <= 12""")
 def related_items(t: Tables) -> DataFrame:
-    catalogue = t.part.where("p_size <= 5").select(F.col("p_partkey").alias("id"), F.concat_ws("_", "p_name", "p_type").alias("name"))
-    return search.related(catalogue, 12)
+    """Related items of the parts with p_size <= 5 among each other.
+
+    The filter plays the role of the reference's has-text condition: only songs with a text are candidates.
+    The whole table is related by ``related_catalogue``.
+    """
+    return search.related(_titled_parts(t).where("p_size <= 5").select("id", "name"), 12)
+
+
+@query()
+def related_catalogue(t: Tables) -> DataFrame:
+    """Related items of all parts; without SQL, as its self-join by tokens gets dear on the whole table."""
+    return search.related(_titled_parts(t).select("id", "name"), 12)
+
+
+def _titled_parts(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("id"), F.concat_ws("_", "p_name", "p_type").alias("name"), "p_size")
 
 
 _THREE_SQL = "(SELECT key, bool_or(s = 0) AS expected, bool_or(s = 1) AS disk, bool_or(s = 2) AS bucket FROM (SELECT c_custkey AS key, 0 AS s FROM customer UNION ALL SELECT o_custkey + 20, 1 FROM orders UNION ALL SELECT s_suppkey * 3, 2 FROM supplier) GROUP BY key)"
@@ -213,6 +227,7 @@ def todo_any(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type IN ('purchase', 'signup') AND event_id % 5 = 0)")
 def todo_settled(t: Tables) -> DataFrame:
+    """The fifth of the events with line_no % 5 = 0 plays the log, so that some customers stay unsettled."""
     return ingest.todo_settled(t.customer.select(F.col("c_custkey").alias("id")), event_log(t).where("line_no % 5 = 0"), ("purchase", "signup"))
 
 

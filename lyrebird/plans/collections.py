@@ -25,11 +25,13 @@ def recent_lists(t: Tables) -> DataFrame:
 
 @query(f"SELECT user_id, item FROM {_FAVOURITES}")
 def favourites_toggle(t: Tables) -> DataFrame:
+    """Every third event plays a press of the favourite button; the others are opens only."""
     return col.toggled(_opens(t).where("at % 3 = 0"))
 
 
 @query(f"SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT item FROM {_RECENT} WHERE user_id < 9) OR p_partkey IN (SELECT item FROM {_FAVOURITES} WHERE user_id > 12)")
 def prefetch_set(t: Tables) -> DataFrame:
+    """Users under 9 play those whose recent items are fetched ahead, users over 12 those whose favourites are."""
     return col.prefetch_set(t.part.select(F.col("p_partkey").alias("id")), recent_lists(t).where("user_id < 9").select("item"), favourites_toggle(t).where("user_id > 12").select("item"))
 
 

@@ -1,6 +1,7 @@
 """Every query with an oracle gives DuckDB's rows over the smallest tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -44,6 +45,19 @@ def test_rows_only_queries(spark):
         assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_related_catalogue_is_whole(spark):
+    """All parts get what a comparison of each part with all others gives."""
+    rows = sorted((r.p_partkey, f"{r.p_name}_{r.p_type}") for r in spark.read.parquet(f"{SF}/part.parquet").collect())
+    tokens = {i: {w for w in re.split(r"[\s_-]+", name.lower()) if len(w) >= 2} for i, name in rows}
+    ids, want = [i for i, _ in rows], []
+    for at, i in enumerate(ids):
+        out = [j for j in ids if j != i and tokens[i] & tokens[j]][:12]
+        out += [j for j in ids[at + 1 :] + ids[:at] if j not in out][: 12 - len(out)]
+        want += [(i, rank, j) for rank, j in enumerate(out, 1)]
+    assert {r[0] for r in want} == set(ids)
+    assert sorted(map(tuple, QUERIES["related_catalogue"](spark, SF).select("id", "rank", "other").collect())) == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
