@@ -12,16 +12,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lyrebird.runtime import ship
 
 #: Bytes of a passage, and of the texts that are encoded at once.
 PASSAGE, AT_ONCE = 1024, 1 << 20
-#: Labelled documents that a model is fitted on at most, and passages of each that it then sees at most
-#: (evenly spaced ones); scoring always sees all passages of all documents.
-SAMPLE, SAMPLE_PASSAGES = 6000, 32
+#: Labelled documents that a model is fitted on at most, and the passages that these may have together; of a
+#: document that is taken all passages count, and scoring sees all passages of all documents.
+SAMPLE, SAMPLE_PASSAGES = 6000, 1 << 18
+#: Passages that a step of the fit works on at once; a mini-batch with more of them adds up its gradients.
+STEP_PASSAGES = 1 << 14
 HELD_OUT, THRESHOLD = 5, 0.3
 HIDDEN, GATE = 24, 12
 
@@ -144,8 +146,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.forward(x, counts)[0], -40, 40)))
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int = 128, rate: float = 0.01, decay: float = 1e-4) -> Model:
+def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, at_once: int = STEP_PASSAGES) -> Model:
     """Logistic loss by Adam, the same for the same bags in the same order."""
+    sizes = np.array([len(b) for b in bags])
     model = Model.fresh(np.concatenate(bags))
     rng, step = np.random.default_rng(11), 0
     moments = {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in model.weights.items()}
@@ -153,10 +156,14 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            logit, cache = model.forward(np.concatenate([bags[i] for i in rows]), np.array([len(bags[i]) for i in rows]))
-            error = (1 / (1 + np.exp(-logit)) - labels[rows]) / len(rows)
+            total: dict[str, np.ndarray] = {}
+            for part in _parts(rows, sizes, at_once):
+                logit, cache = model.forward(np.concatenate([bags[i] for i in part]), sizes[part])
+                error = (1 / (1 + np.exp(-logit)) - labels[part]) / len(rows)
+                for k, grad in model.gradients(cache, error).items():
+                    total[k] = total[k] + grad if k in total else grad
             step += 1
-            for k, grad in model.gradients(cache, error).items():
+            for k, grad in total.items():
                 m, v = moments[k]
                 grad = grad + decay * model.weights[k]
                 m += 0.1 * (grad - m)
@@ -165,20 +172,30 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int
     return model
 
 
+def _parts(rows: np.ndarray, sizes: np.ndarray, at_once: int) -> Iterator[np.ndarray]:
+    """Rows in runs of at most at_once passages, or of one row that has more."""
+    first, held = 0, 0
+    for k, size in enumerate(sizes[rows]):
+        if k > first and held + size > at_once:
+            yield rows[first:k]
+            first, held = k, 0
+        held += size
+    yield rows[first:]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT == 0, F.lit(False))
 
 
 def _features(text: str | None) -> np.ndarray:
-    rows, _ = encode([(text or "").encode("utf-8")])
-    if len(rows) > SAMPLE_PASSAGES:
-        rows = rows[np.linspace(0, len(rows) - 1, SAMPLE_PASSAGES).astype(int)]
-    return rows
+    return encode([(text or "").encode("utf-8")])[0]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, passages: int = SAMPLE_PASSAGES) -> Model:
     """Fit on at most ``sample`` labelled rows that aren't held out: those with the smallest hashes of their ids.
 
+    Rows come in whole, with all their passages: in the order of the hashes as long as those before have fewer
+    than ``passages`` together. Only the last row taken can go beyond, so it bounds what the driver holds.
     Labels that are null, or rows without an id, teach nothing; of an id with several labels the largest counts.
     Without any labelled row the model scores everything alike.
     """
@@ -191,7 +208,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")).where("_id is not null and _quality is not null")
     known = known.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_quality").alias("_quality"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_quality", bag("_text").alias("bag"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    n = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("_text"), F.lit(0)) / PASSAGE))
+    sized = texts.select("_id", n.alias("_n")).join(F.broadcast(chosen), "_id").groupBy("_id", "_quality").agg(F.max("_n").alias("_n"))  # at most sample rows
+    before = F.sum("_n").over(Window.orderBy(F.xxhash64("_id"), "_id")) - F.col("_n")
+    chosen = sized.withColumn("_before", before).where(F.col("_before") < passages).select("_id", "_quality")
+    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_quality", bag("_text").alias("bag"))
     rows = rows.groupBy("_id", "_quality").agg(F.min("bag").alias("bag"))  # one row for an id, so the sample bounds what is collected
     found = sorted((r["_id"], bytes(r["bag"]), r["_quality"]) for r in rows.collect())
     if not found:

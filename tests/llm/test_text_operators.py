@@ -1,5 +1,6 @@
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -206,6 +207,26 @@ def test_quality_learns_only_from_the_rest(spark, docs):
     assert all((a.weights[k] == b.weights[k]).all() for k in a.weights)
 
 
+def test_quality_trains_on_all_passages(spark, monkeypatch):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, "ab " * 350 * i) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, _: seen.append([len(b) for b in bags]))
+    whole = [max(1, -(-1050 * i // 1024)) for i in ids]
+    quality.train(docs, labels)
+    quality.train(docs, labels, passages=200)
+    assert seen[0] == whole and max(whole) > 32
+    assert set(seen[1]) <= set(whole) and 200 <= sum(seen[1]) < 200 + max(whole)
+
+
+def test_quality_fit_by_parts():
+    rng = np.random.default_rng(1)
+    bags, labels = [rng.standard_normal((int(n), quality.FEATURES)) for n in rng.integers(1, 50, 40)], rng.integers(0, 2, 40).astype(float)
+    a, b = quality.fit(bags, labels, epochs=3), quality.fit(bags, labels, epochs=3, at_once=60)
+    assert all(np.allclose(a.weights[k], b.weights[k]) for k in a.weights)
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     x, counts, y = rng.standard_normal((9, 4)), np.array([3, 1, 5]), np.array([1.0, 0.0, 1.0])
