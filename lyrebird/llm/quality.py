@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows come in whole, with all their passages: in the order of the hashes as long as those before have fewer
     than ``passages`` together. Only the last row taken can go beyond, so it bounds what the driver holds.
     Labels that are null, or rows without an id, teach nothing; of an id with several labels the largest counts.
-    Without any labelled row the model scores everything alike.
+    Without any labelled row the model scores everything 0.5.
     """
     ship(docs.sparkSession)
 
@@ -217,7 +217,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.groupBy("_id", "_quality").agg(F.min("bag").alias("bag"))  # one row for an id, so the sample bounds what is collected
     found = sorted((r["_id"], bytes(r["bag"]), r["_quality"]) for r in rows.collect())
     if not found:
-        return Model.fresh(np.zeros((1, FEATURES)))
+        model = Model.fresh(np.zeros((1, FEATURES)))
+        model.weights["o"] = np.zeros(HIDDEN)
+        return model
     return fit([np.frombuffer(b, "<f4").reshape(-1, FEATURES).astype(np.float64) for _, b, _ in found], np.array([q for _, _, q in found], float))
 
 

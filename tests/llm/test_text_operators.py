@@ -220,6 +220,13 @@ def test_quality_trains_on_all_passages(spark, monkeypatch):
     assert set(seen[1]) <= set(whole) and 200 <= sum(seen[1]) < 200 + max(whole)
 
 
+def test_quality_without_labels(spark, odd_docs):
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
+    for none in (labels, labels.limit(0)):
+        got = quality.quality_scores(odd_docs, none).collect()
+        assert len(got) == odd_docs.count() and {(r.score, r.predicted) for r in got} == {(0.5, 1)}
+
+
 def test_quality_fit_by_parts():
     rng = np.random.default_rng(1)
     bags, labels = [rng.standard_normal((int(n), quality.FEATURES)) for n in rng.integers(1, 50, 40)], rng.integers(0, 2, 40).astype(float)
