@@ -49,12 +49,14 @@ _SPELLED = re.compile(rf"\b{_NUMBER}(?:[ \t-]{{1,3}}{_NUMBER}){{2,}}\b", re.I)
 _OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 _AT = re.compile(rf"{_OPEN}(?:at|@){_CLOSE}", re.I)
 _DOT = re.compile(rf"{_OPEN}(?:dot|\.){_CLOSE}", re.I)
-# "name at host dot tld": bare words count only in this whole shape
+# "name at host dot tld": bare words count only in this whole shape, or before a plain host after a word for mail
 _BARE = re.compile(r"\b[A-Za-z0-9._%+-]+(?P<at>[ \t]+at[ \t]+|@)(?P<host>[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*)", re.I)
 _BARE_DOT = re.compile(r"[ \t]+dot[ \t]+", re.I)
+_CUE = re.compile(r"\b(?:e-?mails?|mailto|contact|write|reach|address|send)(?:[ \t]+(?:to|is|address))*[ \t]*[:=]?[ \t]*$", re.I)
+_NO_NAME = frozenset("us me him her them it you one this that these those all is are be mail email out".split())
 _DIGIT_DOT = re.compile(r"(?<=[0-9])[ \t]+dot[ \t]+(?=[0-9])", re.I)
 #: What a text must have for a transducer to change it.
-_TRIGGER = re.compile(rf"{_GLYPH.pattern}|[\[({{<][ \t]*(?:at|dot|@|\.)[ \t]*[\])}}>]|\bdot\b|\b{_NUMBER}[ \t-]{{1,3}}{_NUMBER}\b", re.I)
+_TRIGGER = re.compile(rf"{_GLYPH.pattern}|[\[({{<][ \t]*(?:at|dot|@|\.)[ \t]*[\])}}>]|\bdot\b|\bat[ \t]+[a-z0-9-]+\.[a-z0-9-]|\b{_NUMBER}[ \t-]{{1,3}}{_NUMBER}\b", re.I)
 
 
 def _luhn(digits: str) -> bool:
@@ -137,11 +139,18 @@ def _bracketed(text: str) -> Iterable[tuple[int, int, str]]:
     return sorted([(*m.span(), "@") for m in _AT.finditer(text)] + [(*m.span(), ".") for m in _DOT.finditer(text)])
 
 
+def _mailed(text: str, m: re.Match[str]) -> bool:
+    """Whether "name at host.tld" is an address: a word for mail comes before it, and name and tld can be such."""
+    top = m["host"].rpartition(".")[2]
+    name = text[m.start() : m.start("at")]
+    return "." in m["host"] and len(top) > 1 and top.isalpha() and not top.istitle() and name.lower() not in _NO_NAME and bool(_CUE.search(text[max(0, m.start() - 40) : m.start()]))
+
+
 def _worded(text: str) -> Iterable[tuple[int, int, str]]:
     edits = [(*m.span(), ".") for m in _DIGIT_DOT.finditer(text)]
     for m in _BARE.finditer(text):
         dots = [(m.start("host") + d.start(), m.start("host") + d.end(), ".") for d in _BARE_DOT.finditer(m["host"])]
-        if dots:
+        if dots or (m["at"] != "@" and _mailed(text, m)):
             edits += [(*m.span("at"), "@"), *dots]
     return sorted(edits)
 
@@ -171,12 +180,12 @@ def disguised(text: str) -> list[Span]:
 
 
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:
-    """The base spans, and all spans: a disguised one counts unless a base one of its kind overlaps it."""
+    """The base spans, and all spans: a disguised one counts unless it lies within a base one of its kind."""
     if not text:
         return [], []
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(identifiers(text), key=order)
-    more = [s for s in disguised(text) if not any(b[0] == s[0] and b[1] < s[2] and s[1] < b[2] for b in base)]
+    more = [s for s in disguised(text) if not any(b[0] == s[0] and b[1] <= s[1] and s[2] <= b[2] for b in base)]
     return base, sorted({*base, *more}, key=order)
 
 

@@ -183,6 +183,23 @@ def test_pii_leaves_prose(text):
     assert pii.spans(text) == ([], []) and pii.redacted(text) == text
 
 
+@pytest.mark.parametrize("text, want", [
+    ("call +1 555 123 4567 eight nine zero now", "call <PHONE> now"),
+    ("a@example.com (dot) uk", "<EMAIL>"),
+    ("write to john at example.com.", "write to <EMAIL>."),
+    ("My e-mail address is: j.doe at mail.example.org, thanks", "My e-mail address is: <EMAIL>, thanks"),
+    ("a@example.com and b@example.com", "<EMAIL> and <EMAIL>"),
+])
+def test_pii_is_redacted_whole(text, want):
+    base, every = pii.spans(text)
+    assert pii.redacted(text) == want and base == sorted(base_spans(text), key=lambda s: s[1]) and set(base) <= set(every)
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "contact us at example.com", "hosted at www.example.com", "send mail at home.Then sleep", "email 5 at 3.5"])
+def test_pii_leaves_hosts(text):
+    assert pii.spans(text) == ([], []) and pii.redacted(text) == text
+
+
 def test_quality_held_out(spark, docs, odd_docs):
     import zlib
 
