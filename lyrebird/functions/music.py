@@ -1,4 +1,4 @@
-"""Chord and key functions on columns. Pitch classes are 0 (C) to 11 (B)."""
+"""Symbol and key functions on columns. Pitch classes are 0 (C) to 11 (B)."""
 
 from __future__ import annotations
 
@@ -33,29 +33,29 @@ def key_label(pitch: Column) -> Column:
     return F.when(sharp == flat, sharp).otherwise(F.concat(sharp, F.lit("/"), flat))
 
 
-def parse_root(chord: Column) -> Column:
-    """The pitch class that a chord's name begins with, or null."""
-    letter, mark = F.regexp_extract(chord, _ROOT, 1), F.regexp_extract(chord, _ROOT, 2)
+def parse_root(symbol: Column) -> Column:
+    """The pitch class that a symbol's name begins with, or null."""
+    letter, mark = F.regexp_extract(symbol, _ROOT, 1), F.regexp_extract(symbol, _ROOT, 2)
     base = reduce(lambda w, kv: w.when(letter == kv[0], F.lit(kv[1])), list(NATURALS.items())[1:], F.when(letter == "C", F.lit(0)))
     shift = F.when(mark.isin("#", "♯"), 1).when(mark.isin("b", "♭"), -1).otherwise(0)
     return F.pmod(base + shift, F.lit(12))
 
 
-def root_length(chord: Column) -> Column:
-    return F.length(F.regexp_extract(chord, _ROOT, 0))
+def root_length(symbol: Column) -> Column:
+    return F.length(F.regexp_extract(symbol, _ROOT, 0))
 
 
-def transpose(chord: Column, delta: Column, flats: Column) -> Column:
+def transpose(symbol: Column, delta: Column, flats: Column) -> Column:
     """Every part between slashes moved by delta half tones; all parts must begin with a root, else nothing changes."""
     step = F.pmod(delta, F.lit(12))
-    parts = F.split(chord, "/")
+    parts = F.split(symbol, "/")
     known = F.forall(parts, lambda p: F.rlike(p, F.lit(_ROOT)))
     moved = F.transform(parts, lambda p: F.concat(note_name(parse_root(p) + step, flats), F.substr(p, root_length(p) + 1)))
-    return F.when((F.trim(chord) == "") | (delta == 0) | ~known, chord).otherwise(F.array_join(moved, "/"))
+    return F.when((F.trim(symbol) == "") | (delta == 0) | ~known, symbol).otherwise(F.array_join(moved, "/"))
 
 
-def transpose_all(chords: Column, delta: Column, flats: Column) -> Column:
-    return F.transform(chords, lambda c: transpose(c, delta, flats))
+def transpose_all(symbols: Column, delta: Column, flats: Column) -> Column:
+    return F.transform(symbols, lambda c: transpose(c, delta, flats))
 
 
 def prefer_flats(tonic: Column) -> Column:
@@ -67,12 +67,12 @@ def relative_major(tonic: Column, mode: Column) -> Column:
     return F.when(mode == "minor", F.pmod(tonic + 3, F.lit(12))).otherwise(tonic)
 
 
-def chord_quality(chord: Column) -> Column:
+def symbol_quality(symbol: Column) -> Column:
     """maj, min or dim, from what follows the root (a bass after a slash doesn't count).
 
     The name is lower-cased first, so a capital M before a number reads as minor, as it always has.
     """
-    head = F.element_at(F.split(chord, "/"), 1)
+    head = F.element_at(F.split(symbol, "/"), 1)
     rest = F.lower(F.trim(F.substr(head, root_length(head) + 1)))
     return (
         F.when(F.rlike(rest, F.lit("^(dim|°$|ø|m7b5)")), "dim")
@@ -82,8 +82,8 @@ def chord_quality(chord: Column) -> Column:
     )
 
 
-def diatonic_chord(tonic: Column, degree: Column, flats: Column, minor: bool = False) -> Column:
-    """The chord on the degree (0 to 6) of a key."""
+def diatonic_symbol(tonic: Column, degree: Column, flats: Column, minor: bool = False) -> Column:
+    """The symbol on the degree (0 to 6) of a key."""
     scale = MINOR_SCALE if minor else MAJOR_SCALE
     steps, ends = F.array(*[F.lit(s) for s, _ in scale]), F.array(*[F.lit(SUFFIX[q]) for _, q in scale])
     return F.concat(note_name(tonic + F.get(steps, degree), flats), F.get(ends, degree))
@@ -113,13 +113,13 @@ def parse_key(value: Column) -> Column:
     return F.when(parse_root(named).isNotNull() & rest.isin("", "m", "min", "minor"), F.struct(parse_root(named).alias("tonic"), mode.alias("mode")))
 
 
-def norm_chord(value: Column) -> Column:
+def norm_symbol(value: Column) -> Column:
     """``C-sharp-m`` as ``C#m``: the words go first, then the hyphens."""
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), (("-sharp", "#"), ("-flat", "b"), ("-slash-", "/"), ("-", "")), value)
 
 
 def key_scores(spark: SparkSession) -> DataFrame:
-    """(root, quality, tonic, minor, score): 864 rows, 1 for a chord of the key, 0.5 for its root alone, 0 else."""
+    """(root, quality, tonic, minor, score): 864 rows, 1 for a symbol of the key, 0.5 for its root alone, 0 else."""
     kinds = F.explode(F.array(*[F.lit(q) for q in ("maj", "min", "dim")]))
     grid = spark.range(12 * 12).select((F.col("id") % 12).cast("int").alias("root"), (F.col("id") / 12).cast("int").alias("tonic"), kinds.alias("quality"))
     grid = grid.withColumn("minor", F.explode(F.array(F.lit(False), F.lit(True))))

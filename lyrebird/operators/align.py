@@ -1,4 +1,4 @@
-"""Putting chords into known lyrics: anchors, column alignment, assembly and a report for each song."""
+"""Putting symbols into known lyrics: anchors, column alignment, assembly and a report for each song."""
 
 from __future__ import annotations
 
@@ -37,15 +37,15 @@ def snap_left(text: Column, at: Column) -> Column:
     return F.when((at > 0) & (at < F.length(text)), F.greatest(at - run, F.lit(0))).otherwise(at)
 
 
-def palette_ok(chord: Column, palette: Column) -> Column:
-    """Whether the palette has the chord, or every part of it between slashes; blank chords and empty palettes pass."""
-    name = F.trim(chord)
+def palette_ok(symbol: Column, palette: Column) -> Column:
+    """Whether the palette has the symbol, or every part of it between slashes; blank symbols and empty palettes pass."""
+    name = F.trim(symbol)
     parts = F.filter(F.transform(F.split(name, "/"), F.trim), lambda p: p != "")
     return (name == "") | (F.size(palette) == 0) | F.array_contains(palette, name) | F.forall(parts, lambda p: F.array_contains(palette, p))
 
 
 def clean_sequence(row: Column) -> Column:
-    """A row of chords with single spaces and single slashes, neither at its ends."""
+    """A row of symbols with single spaces and single slashes, neither at its ends."""
     tight = F.regexp_replace(F.trim(F.regexp_replace(row, r"\s+", " ")), r"(?:/\s*){2,}", "/ ")
     return F.trim(F.regexp_replace(tight, r"^[ /]+|[ /]+$", ""))
 
@@ -84,18 +84,18 @@ def gap_align(rendered: pd.Series, source: pd.Series) -> pd.Series:
 
 
 def assemble(lines: DataFrame, placements: DataFrame, rows: DataFrame, script: str = "฀-๿") -> DataFrame:
-    """(id, sheet): lyrics word for word, chords put in, and rows of chords between them.
+    """(id, sheet): lyrics word for word, symbols put in, and rows of symbols between them.
 
     lines: id, line_no, line; those with a letter of the script are sung and numbered from 0. placements: id,
-    sung, char, chord, score. rows: id, after (how many sung lines stand before), n, seq. The first row at a
+    sung, char, symbol, score. rows: id, after (how many sung lines stand before), n, seq. The first row at a
     place is labelled: Intro before all, Outro after all, else Instru.
     """
     sung = F.rlike("line", F.lit(f"[{script}]"))
     by_line = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     numbered = lines.withColumn("is_sung", sung).withColumn("count", F.sum(sung.cast("int")).over(by_line))
-    marks = placements.where("chord != ''").groupBy("id", "sung").agg(F.array_sort(F.collect_list(F.struct(F.col("char").alias("at"), "chord"))).alias("marks"))
+    marks = placements.where("symbol != ''").groupBy("id", "sung").agg(F.array_sort(F.collect_list(F.struct(F.col("char").alias("at"), "symbol"))).alias("marks"))
     met = numbered.join(marks, (numbered["id"] == marks["id"]) & numbered["is_sung"] & (numbered["count"] - 1 == marks["sung"]), "left").select(numbered["id"], "line_no", "line", "count", "marks")
-    inside = F.transform("marks", lambda m: F.struct(F.greatest(F.lit(0), F.least(F.length("line"), m["at"])).alias("at"), m["chord"].alias("chord")))
+    inside = F.transform("marks", lambda m: F.struct(F.greatest(F.lit(0), F.least(F.length("line"), m["at"])).alias("at"), m["symbol"].alias("symbol")))
     written = met.select("id", F.col("count").alias("k"), F.lit(0).alias("after"), F.col("line_no").alias("n"), F.when(F.col("marks").isNotNull(), insert_markers(F.col("line"), inside)).otherwise(F.col("line")).alias("out"), sung.alias("s"))
     total = numbered.groupBy("id").agg(F.sum(F.col("is_sung").cast("int")).alias("total"))
     label = F.when(F.col("after") == 0, "Intro ").when(F.col("after") >= F.col("total"), "Outro ").otherwise("Instru ")
@@ -109,7 +109,7 @@ def assemble(lines: DataFrame, placements: DataFrame, rows: DataFrame, script: s
 
 
 def align_report(lines: DataFrame, placements: DataFrame, sheets: DataFrame, palettes: DataFrame, bands: DataFrame, script: str = "฀-๿") -> DataFrame:
-    """(id, lyric_exact, bad_chords, placed, rows_match, avg_score, id_confidence, needs_review).
+    """(id, lyric_exact, bad_symbols, placed, rows_match, avg_score, id_confidence, needs_review).
 
     palettes: id, palette; bands: id, lyric_bands (how many lyric rows the image shows).
     """
@@ -118,18 +118,18 @@ def align_report(lines: DataFrame, placements: DataFrame, sheets: DataFrame, pal
     want = sung.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "").alias("want"), F.count("*").alias("sung"))
     plain = F.filter(F.split("sheet", "\n"), lambda l: ~F.rlike(l, F.lit(r"^\s*\{.*\}\s*$")) & ~F.rlike(l, F.lit(label)))
     got = sheets.select("id", F.regexp_replace(F.array_join(plain, "\n"), r"\[[^\]]*\]", "").alias("got"))
-    chords = placements.join(palettes, "id", "left").where("chord != ''")
-    scored = chords.groupBy("id").agg(
+    symbols = placements.join(palettes, "id", "left").where("symbol != ''")
+    scored = symbols.groupBy("id").agg(
         F.round(F.avg("score"), 3).alias("avg_score"), F.round(F.avg(F.when(F.col("score") >= LOW_SCORE, 1.0).otherwise(0.0)), 3).alias("id_confidence"), F.count("*").alias("placed"),
-        F.array_sort(F.collect_set(F.when(~palette_ok(F.col("chord"), F.coalesce("palette", F.array().cast("array<string>"))), F.col("chord")))).alias("bad_chords"),
+        F.array_sort(F.collect_set(F.when(~palette_ok(F.col("symbol"), F.coalesce("palette", F.array().cast("array<string>"))), F.col("symbol")))).alias("bad_symbols"),
     )
     met = want.join(got, "id").join(bands, "id", "left").join(scored, "id", "left")
     exact = only_script(F.col("want"), script) == only_script(F.col("got"), script)
     match = F.coalesce(F.col("lyric_bands") == F.col("sung"), F.lit(False))
     sure = F.coalesce("id_confidence", F.lit(0.0))
-    bad = F.coalesce("bad_chords", F.array().cast("array<string>"))
+    bad = F.coalesce("bad_symbols", F.array().cast("array<string>"))
     return met.select(
-        "id", exact.alias("lyric_exact"), bad.alias("bad_chords"), F.coalesce("placed", F.lit(0)).alias("placed"), match.alias("rows_match"), F.coalesce("avg_score", F.lit(0.0)).alias("avg_score"), sure.alias("id_confidence"),
+        "id", exact.alias("lyric_exact"), bad.alias("bad_symbols"), F.coalesce("placed", F.lit(0)).alias("placed"), match.alias("rows_match"), F.coalesce("avg_score", F.lit(0.0)).alias("avg_score"), sure.alias("id_confidence"),
         (~exact | (F.size(bad) > 0) | ~match | (sure < SURE)).alias("needs_review"),
     )
 

@@ -1,28 +1,28 @@
-"""Key detection over tables of chords."""
+"""Key detection over tables of symbols."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.functions.music import chord_quality, key_scores, parse_root
+from lyrebird.functions.music import symbol_quality, key_scores, parse_root
 
 
-def parsed_chords(df: DataFrame, chord_col: str = "chord") -> DataFrame:
-    """Adds root and quality; rows whose chord has no root go."""
-    return df.withColumn("root", parse_root(F.col(chord_col))).where("root is not null").withColumn("quality", chord_quality(F.col(chord_col)))
+def parsed_symbols(df: DataFrame, symbol_col: str = "symbol") -> DataFrame:
+    """Adds root and quality; rows whose symbol has no root go."""
+    return df.withColumn("root", parse_root(F.col(symbol_col))).where("root is not null").withColumn("quality", symbol_quality(F.col(symbol_col)))
 
 
-def detect_keys(chords: DataFrame, id_col: str, pos_col: str) -> DataFrame:
-    """(id, tonic, mode, confidence) from (id, pos, root, quality); ids without chords don't show.
+def detect_keys(symbols: DataFrame, id_col: str, pos_col: str) -> DataFrame:
+    """(id, tonic, mode, confidence) from (id, pos, root, quality); ids without symbols don't show.
 
-    Chords are counted by id, root and quality first; the counts meet a fixed table of scores. Of the keys
-    with the best score the first chord's own wins, then the tonic that is a root most often, then major,
+    Symbols are counted by id, root and quality first; the counts meet a fixed table of scores. Of the keys
+    with the best score the first symbol's own wins, then the tonic that is a root most often, then major,
     then the lower tonic.
     """
-    counts = chords.groupBy(id_col, "root", "quality").agg(F.count("*").alias("n"), F.min(F.struct(pos_col, "root", "quality")).alias("first"))
+    counts = symbols.groupBy(id_col, "root", "quality").agg(F.count("*").alias("n"), F.min(F.struct(pos_col, "root", "quality")).alias("first"))
     whole = counts.groupBy(id_col).agg(F.sum("n").alias("total"), F.min("first").alias("first"))
-    scored = counts.join(F.broadcast(key_scores(chords.sparkSession)), ["root", "quality"]).groupBy(id_col, "tonic", "minor").agg(F.sum(F.col("n") * F.col("score")).alias("score"), F.sum(F.when(F.col("root") == F.col("tonic"), F.col("n")).otherwise(0)).alias("as_root"))
+    scored = counts.join(F.broadcast(key_scores(symbols.sparkSession)), ["root", "quality"]).groupBy(id_col, "tonic", "minor").agg(F.sum(F.col("n") * F.col("score")).alias("score"), F.sum(F.when(F.col("root") == F.col("tonic"), F.col("n")).otherwise(0)).alias("as_root"))
     ranked = scored.join(whole, id_col)
     own = (F.col("tonic") == F.col("first.root")) & (F.col("minor") == (F.col("first.quality") == "min"))
     # the least of these is the key: the score counts in halves, so equal scores are equal exactly
@@ -31,5 +31,5 @@ def detect_keys(chords: DataFrame, id_col: str, pos_col: str) -> DataFrame:
     return best.select(id_col, F.col("b.tonic").alias("tonic"), F.when(F.col("b.minor"), "minor").otherwise("major").alias("mode"), F.least(F.lit(1.0), -F.col("b.s") / F.col("b.total")).alias("confidence"))
 
 
-def root_histogram(chords: DataFrame, id_col: str) -> DataFrame:
-    return chords.groupBy(id_col, "root").agg(F.count("*").alias("n"))
+def root_histogram(symbols: DataFrame, id_col: str) -> DataFrame:
+    return symbols.groupBy(id_col, "root").agg(F.count("*").alias("n"))

@@ -1,4 +1,4 @@
-"""Song sheets with bracketed chords: parsing, keys, chord rows and plain rendering."""
+"""Song sheets with bracketed symbols: parsing, keys, symbol rows and plain rendering."""
 
 from __future__ import annotations
 
@@ -9,54 +9,54 @@ from pyspark.sql import functions as F
 
 from lyrebird.functions.music import parse_key
 
-# Section words that may label a row of chords, and directives with their aliases.
+# Section words that may label a row of symbols, and directives with their aliases.
 LABELS = ("intro", "verse", "chorus", "prechorus", "bridge", "outro", "ending", "coda", "solo", "interlude", "instrumental", "instru", "hook", "tag", "riff")
 DIRECTIVES = {"key": ("key",), "note": ("note", "comment", "c"), "title": ("title", "t"), "artist": ("artist", "subtitle", "st")}
 
-_CHORD = r"\[([^\]]*)\]"
+_SYMBOL = r"\[([^\]]*)\]"
 _LABEL = r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(LABELS) + r")(?![A-Za-z0-9_])"
 _DIRECTIVE = r"^\{\s*([A-Za-z_]+)\s*:\s*([^}]*)\}\s*$"
 
 
 def tokens(line: Column) -> Column:
-    """The line as (type, value): text and chords in turn, empty texts left out."""
-    chords = F.regexp_extract_all(line, F.lit(_CHORD), F.lit(1))
-    texts = F.split(line, _CHORD)
+    """The line as (type, value): text and symbols in turn, empty texts left out."""
+    symbols = F.regexp_extract_all(line, F.lit(_SYMBOL), F.lit(1))
+    texts = F.split(line, _SYMBOL)
     pairs = F.flatten(
         F.transform(
-            F.arrays_zip(texts.alias("t"), chords.alias("c")),
-            lambda p: F.array(F.struct(F.lit("text").alias("type"), p["t"].alias("value")), F.struct(F.lit("chord").alias("type"), p["c"].alias("value"))),
+            F.arrays_zip(texts.alias("t"), symbols.alias("c")),
+            lambda p: F.array(F.struct(F.lit("text").alias("type"), p["t"].alias("value")), F.struct(F.lit("symbol").alias("type"), p["c"].alias("value"))),
         )
     )
     return F.filter(pairs, lambda t: t["value"].isNotNull() & ~((t["type"] == "text") & (t["value"] == "")))
 
 
 def segments(line: Column) -> Column:
-    """(chord, text): each chord with the text after it; text before the first chord has an empty one."""
-    chords = F.regexp_extract_all(line, F.lit(_CHORD), F.lit(1))
-    texts = F.split(line, _CHORD)
-    opened = F.arrays_zip(F.concat(F.array(F.lit("")), chords).alias("chord"), texts.alias("text"), F.sequence(F.lit(0), F.size(chords)).alias("n"))
+    """(symbol, text): each symbol with the text after it; text before the first symbol has an empty one."""
+    symbols = F.regexp_extract_all(line, F.lit(_SYMBOL), F.lit(1))
+    texts = F.split(line, _SYMBOL)
+    opened = F.arrays_zip(F.concat(F.array(F.lit("")), symbols).alias("symbol"), texts.alias("text"), F.sequence(F.lit(0), F.size(symbols)).alias("n"))
     kept = F.filter(opened, lambda s: (s["n"] > 0) | (s["text"] != ""))
-    return F.transform(kept, lambda s: F.struct(s["chord"].alias("chord"), s["text"].alias("text")))
+    return F.transform(kept, lambda s: F.struct(s["symbol"].alias("symbol"), s["text"].alias("text")))
 
 
-def chord_only(line: Column) -> Column:
-    """Whether nothing is left of a line with chords once chords, brackets of notes, labels and separators go."""
-    rest = F.regexp_replace(F.regexp_replace(line, _CHORD, " "), r"\([^)]*\)", " ")
+def symbol_only(line: Column) -> Column:
+    """Whether nothing is left of a line with symbols once symbols, brackets of notes, labels and separators go."""
+    rest = F.regexp_replace(F.regexp_replace(line, _SYMBOL, " "), r"\([^)]*\)", " ")
     rest = F.regexp_replace(F.regexp_replace(rest, _LABEL, " "), r"[/|×xX*:.,\-–—0-9\s]+", "")
-    return F.rlike(line, F.lit(_CHORD)) & (rest == "")
+    return F.rlike(line, F.lit(_SYMBOL)) & (rest == "")
 
 
 def lead_label(line: Column) -> Column:
-    """The label and spaces that a row of chords begins with."""
+    """The label and spaces that a row of symbols begins with."""
     return F.regexp_extract(line, r"^[^\[]*", 0)
 
 
 def parse_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, line, kind) with kind one of directive, blank, chords, lyric; headings lose their marks."""
+    """(id, line_no, line, kind) with kind one of directive, blank, symbols, lyric; headings lose their marks."""
     lines = df.select(id_col, F.posexplode(F.split(F.regexp_replace(F.col(text_col), r"\r\n?", "\n"), "\n")).alias("line_no", "line"))
     lines = lines.withColumn("line", F.regexp_replace("line", r"^\s{0,3}#{1,6}[ \t]+(?=\S)", ""))
-    kind = F.when(F.rlike("line", F.lit(_DIRECTIVE)), "directive").when(F.trim("line") == "", "blank").when(chord_only(F.col("line")), "chords").otherwise("lyric")
+    kind = F.when(F.rlike("line", F.lit(_DIRECTIVE)), "directive").when(F.trim("line") == "", "blank").when(symbol_only(F.col("line")), "symbols").otherwise("lyric")
     return lines.withColumn("kind", kind)
 
 
@@ -70,49 +70,49 @@ def sheet_meta(lines: DataFrame, id_col: str) -> DataFrame:
     return meta.withColumn("tonic", key["tonic"]).withColumn("mode", key["mode"])
 
 
-def sheet_chords(lines: DataFrame, id_col: str) -> DataFrame:
-    """(id, pos, chord): all chords of a sheet in reading order."""
-    marks = lines.select(id_col, "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(_CHORD), F.lit(1))).alias("at", "chord"))
-    return marks.select(id_col, (F.col("line_no").cast("long") * (1 << 20) + F.col("at")).alias("pos"), "chord")
+def sheet_symbols(lines: DataFrame, id_col: str) -> DataFrame:
+    """(id, pos, symbol): all symbols of a sheet in reading order."""
+    marks = lines.select(id_col, "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(_SYMBOL), F.lit(1))).alias("at", "symbol"))
+    return marks.select(id_col, (F.col("line_no").cast("long") * (1 << 20) + F.col("at")).alias("pos"), "symbol")
 
 
-def distinct_chords(chords: DataFrame, id_col: str, head: int = 12) -> DataFrame:
-    """(id, n, head): how many different chords, and the first of them in reading order."""
-    first = chords.groupBy(id_col, "chord").agg(F.min("pos").alias("pos"))
-    listed = first.groupBy(id_col).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "chord"))).alias("all"))
-    return listed.select(id_col, "n", F.slice(F.transform("all", lambda s: s["chord"]), 1, head).alias("head"))
+def distinct_symbols(symbols: DataFrame, id_col: str, head: int = 12) -> DataFrame:
+    """(id, n, head): how many different symbols, and the first of them in reading order."""
+    first = symbols.groupBy(id_col, "symbol").agg(F.min("pos").alias("pos"))
+    listed = first.groupBy(id_col).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "symbol"))).alias("all"))
+    return listed.select(id_col, "n", F.slice(F.transform("all", lambda s: s["symbol"]), 1, head).alias("head"))
 
 
-def chord_rows(lines: DataFrame, id_col: str) -> DataFrame:
-    """(id, line_no, line, indent): rows of chords; those that follow one another take the first one's label as indent."""
+def symbol_rows(lines: DataFrame, id_col: str) -> DataFrame:
+    """(id, line_no, line, indent): rows of symbols; those that follow one another take the first one's label as indent."""
     from pyspark.sql import Window
 
     by_line = Window.partitionBy(id_col).orderBy("line_no")
-    island = F.sum(F.when(F.col("kind") == "chords", 0).otherwise(1)).over(by_line)
-    rows = lines.withColumn("_island", island).where("kind = 'chords'")
+    island = F.sum(F.when(F.col("kind") == "symbols", 0).otherwise(1)).over(by_line)
+    rows = lines.withColumn("_island", island).where("kind = 'symbols'")
     label = lead_label(F.first("line").over(Window.partitionBy(id_col, "_island").orderBy("line_no")))
     first = F.row_number().over(Window.partitionBy(id_col, "_island").orderBy("line_no")) == 1
     return rows.select(id_col, "line_no", "line", F.when(first | (lead_label(F.col("line")) != ""), F.lit("")).otherwise(label).alias("indent"))
 
 
 def rendered_line(line: Column) -> Column:
-    """A chord line above its lyric line: each chord stands where its text begins, or after the chord before it.
+    """A symbol line above its lyric line: each symbol stands where its text begins, or after the symbol before it.
 
-    Rows of chords lose their brackets; plain lines stay.
+    Rows of symbols lose their brackets; plain lines stay.
     """
     start = F.struct(F.lit("").alias("c"), F.lit("").alias("t"))
 
     def add(acc: Column, s: Column) -> Column:
-        chord = F.trim(s["chord"])
+        symbol = F.trim(s["symbol"])
         at = F.greatest(F.length(acc["c"]), F.length(acc["t"]))
-        over = F.when(chord == "", acc["c"]).otherwise(F.concat(F.rpad(acc["c"], at, " "), chord, F.lit(" ")))
+        over = F.when(symbol == "", acc["c"]).otherwise(F.concat(F.rpad(acc["c"], at, " "), symbol, F.lit(" ")))
         return F.struct(over.alias("c"), F.concat(acc["t"], s["text"]).alias("t"))
 
     end = r"\s+$"
     done = F.transform(F.array(F.aggregate(segments(line), start, add)), lambda d: F.struct(F.regexp_replace(d["c"], end, "").alias("c"), F.regexp_replace(d["t"], end, "").alias("t")))
     both = F.get(F.transform(done, lambda d: F.when(d["c"] == "", d["t"]).otherwise(F.concat(d["c"], F.lit("\n"), d["t"]))), F.lit(0))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(line, _CHORD, "$1"), r"\s+", " "))
-    return F.when(chord_only(line), bare).when(F.trim(line) == "", F.lit("")).otherwise(both)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(line, _SYMBOL, "$1"), r"\s+", " "))
+    return F.when(symbol_only(line), bare).when(F.trim(line) == "", F.lit("")).otherwise(both)
 
 
 def render_sheets(lines: DataFrame, id_col: str) -> DataFrame:
@@ -124,10 +124,10 @@ def render_sheets(lines: DataFrame, id_col: str) -> DataFrame:
 
 
 def insert_markers(text: Column, markers: Column) -> Column:
-    """The text with [chord] put in at offsets (code points from 0): markers is an array of (at, chord).
+    """The text with [symbol] put in at offsets (code points from 0): markers is an array of (at, symbol).
 
     Later offsets go first, so earlier ones stay true; of markers at one place the order is kept.
     """
-    numbered = F.transform(markers, lambda m, i: F.struct((-m["at"]).alias("a"), (-i).alias("i"), m["chord"].alias("chord")))
-    put = lambda t, m: F.concat(F.substr(t, F.lit(1), -m["a"]), F.lit("["), m["chord"], F.lit("]"), F.substr(t, 1 - m["a"]))
+    numbered = F.transform(markers, lambda m, i: F.struct((-m["at"]).alias("a"), (-i).alias("i"), m["symbol"].alias("symbol")))
+    put = lambda t, m: F.concat(F.substr(t, F.lit(1), -m["a"]), F.lit("["), m["symbol"], F.lit("]"), F.substr(t, 1 - m["a"]))
     return F.aggregate(F.array_sort(numbered), text, put)

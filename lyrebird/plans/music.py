@@ -1,4 +1,4 @@
-"""Chords, keys and sheets over the part and lineitem tables, and page extraction."""
+"""Symbols, keys and sheets over the part and lineitem tables, and page extraction."""
 
 from __future__ import annotations
 
@@ -12,13 +12,13 @@ from lyrebird.plans.registry import Tables, query
 _ROOTS = ("C", "C#", "Db", "D", "Eb", "E", "F", "F#", "Gb", "A", "Bb", "H")
 _ENDS = ("", "m", "7", "dim", "maj7", "m7b5", "/B", "/x", "M7", "sus4")
 _LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
-_CHORD_SQL = f"(SELECT p_partkey AS id, {_LIST(_ROOTS)}[p_partkey % 12 + 1] || {_LIST(_ENDS)}[(p_partkey // 12) % 10 + 1] AS chord, (p_size % 13) - 6 AS delta, p_size % 2 = 0 AS flats FROM part)"
+_SYMBOL_SQL = f"(SELECT p_partkey AS id, {_LIST(_ROOTS)}[p_partkey % 12 + 1] || {_LIST(_ENDS)}[(p_partkey // 12) % 10 + 1] AS symbol, (p_size % 13) - 6 AS delta, p_size % 2 = 0 AS flats FROM part)"
 
 
-def named_chords(t: Tables) -> DataFrame:
+def named_symbols(t: Tables) -> DataFrame:
     pick = lambda names, i: F.get(F.array(*map(F.lit, names)), i.cast("int"))
     k = F.col("p_partkey")
-    return t.part.select(k.alias("id"), F.concat(pick(_ROOTS, k % 12), pick(_ENDS, F.floor(k / 12) % 10)).alias("chord"), (F.col("p_size") % 13 - 6).alias("delta"), (F.col("p_size") % 2 == 0).alias("flats"))
+    return t.part.select(k.alias("id"), F.concat(pick(_ROOTS, k % 12), pick(_ENDS, F.floor(k / 12) % 10)).alias("symbol"), (F.col("p_size") % 13 - 6).alias("delta"), (F.col("p_size") % 2 == 0).alias("flats"))
 
 
 def _pitch_sql(name: str) -> str:
@@ -38,21 +38,21 @@ def _moved_sql(part: str) -> str:
     return f"{_note_sql(_pitch_sql(part) + ' + delta')} || {_rest_sql(part)}"
 
 
-@query(f"""SELECT id, CASE WHEN delta = 0 OR {_pitch_sql("a")} IS NULL OR (b IS NOT NULL AND {_pitch_sql("b")} IS NULL) THEN chord WHEN b IS NULL THEN {_moved_sql("a")} ELSE {_moved_sql("a")} || '/' || {_moved_sql("b")} END AS moved
-FROM (SELECT *, split_part(chord, '/', 1) AS a, CASE WHEN contains(chord, '/') THEN split_part(chord, '/', 2) END AS b FROM {_CHORD_SQL})""")
-def transposed_chords(t: Tables) -> DataFrame:
-    return named_chords(t).select("id", music.transpose(F.col("chord"), F.col("delta"), F.col("flats")).alias("moved"))
+@query(f"""SELECT id, CASE WHEN delta = 0 OR {_pitch_sql("a")} IS NULL OR (b IS NOT NULL AND {_pitch_sql("b")} IS NULL) THEN symbol WHEN b IS NULL THEN {_moved_sql("a")} ELSE {_moved_sql("a")} || '/' || {_moved_sql("b")} END AS moved
+FROM (SELECT *, split_part(symbol, '/', 1) AS a, CASE WHEN contains(symbol, '/') THEN split_part(symbol, '/', 2) END AS b FROM {_SYMBOL_SQL})""")
+def transposed_symbols(t: Tables) -> DataFrame:
+    return named_symbols(t).select("id", music.transpose(F.col("symbol"), F.col("delta"), F.col("flats")).alias("moved"))
 
 
 _QUALITY_SQL = "CASE WHEN regexp_matches(e, '^(dim|°$|ø|m7b5)') THEN 'dim' WHEN regexp_matches(e, '^(maj|ma7)') THEN 'maj' WHEN starts_with(e, 'm') THEN 'min' ELSE 'maj' END"
 
 
-@query(f"SELECT id, CAST(root AS INTEGER) AS root, {_QUALITY_SQL} AS quality FROM (SELECT id, {_pitch_sql('chord')} AS root, lower({_rest_sql('split_part(chord, ' + chr(39) + '/' + chr(39) + ', 1)')}) AS e FROM {_CHORD_SQL}) WHERE root IS NOT NULL")
-def parsed_chords(t: Tables) -> DataFrame:
-    return harmony.parsed_chords(named_chords(t)).select("id", F.col("root").cast("int").alias("root"), "quality")
+@query(f"SELECT id, CAST(root AS INTEGER) AS root, {_QUALITY_SQL} AS quality FROM (SELECT id, {_pitch_sql('symbol')} AS root, lower({_rest_sql('split_part(symbol, ' + chr(39) + '/' + chr(39) + ', 1)')}) AS e FROM {_SYMBOL_SQL}) WHERE root IS NOT NULL")
+def parsed_symbols(t: Tables) -> DataFrame:
+    return harmony.parsed_symbols(named_symbols(t)).select("id", F.col("root").cast("int").alias("root"), "quality")
 
 
-def _lines_as_chords(t: Tables) -> DataFrame:
+def _lines_as_symbols(t: Tables) -> DataFrame:
     quality = F.get(F.array(F.lit("maj"), F.lit("min"), F.lit("dim")), (F.col("l_suppkey") % 3).cast("int"))
     return t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), F.pmod("l_partkey", F.lit(12)).cast("int").alias("root"), quality.alias("quality"))
 
@@ -72,7 +72,7 @@ SELECT id, CAST(tonic AS INTEGER) AS tonic, CASE WHEN minor THEN 'minor' ELSE 'm
 
 @query(f"SELECT * FROM {_KEYS_SQL}")
 def detected_keys(t: Tables) -> DataFrame:
-    return harmony.detect_keys(_lines_as_chords(t), "id", "pos")
+    return harmony.detect_keys(_lines_as_symbols(t), "id", "pos")
 
 
 @query(f"SELECT CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.65 THEN 'mid' ELSE 'low' END AS tier, count(*) AS n FROM {_KEYS_SQL} GROUP BY 1")
@@ -82,7 +82,7 @@ def key_tiers(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey AS id, CAST(l_partkey % 12 AS INTEGER) AS root, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def root_histogram(t: Tables) -> DataFrame:
-    return harmony.root_histogram(_lines_as_chords(t), "id")
+    return harmony.root_histogram(_lines_as_symbols(t), "id")
 
 
 @query(f"""SELECT id, label, flats_wanted, CAST(rel AS INTEGER) AS rel, CAST(d AS INTEGER) AS d FROM (SELECT p_partkey AS id, {_LIST(music.SHARPS)}[p_partkey % 12 + 1] AS sh, {_LIST(music.FLATS)}[p_partkey % 12 + 1] AS fl,
@@ -101,16 +101,16 @@ def key_facts(t: Tables) -> DataFrame:
 _STEP = "[0, 2, 4, 5, 7, 9, 11]"
 
 
-@query(f"""SELECT id, degree, (CASE WHEN flats THEN {_LIST(music.FLATS)} ELSE {_LIST(music.SHARPS)} END)[(tonic + {_STEP}[degree + 1]) % 12 + 1] || ['', 'm', 'm', '', '', 'm', '°'][degree + 1] AS chord
+@query(f"""SELECT id, degree, (CASE WHEN flats THEN {_LIST(music.FLATS)} ELSE {_LIST(music.SHARPS)} END)[(tonic + {_STEP}[degree + 1]) % 12 + 1] || ['', 'm', 'm', '', '', 'm', '°'][degree + 1] AS symbol
 FROM (SELECT p_partkey AS id, p_partkey % 12 AS tonic, p_partkey % 12 IN (1, 3, 5, 8, 10) AS flats, CAST(d AS INTEGER) AS degree FROM part CROSS JOIN (SELECT unnest(range(0, 7)) AS d))""")
-def diatonic_chords(t: Tables) -> DataFrame:
+def diatonic_symbols(t: Tables) -> DataFrame:
     tonic = (F.col("p_partkey") % 12).cast("int")
     rows = t.part.select(F.col("p_partkey").alias("id"), tonic.alias("tonic"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("degree"))
-    return rows.select("id", "degree", music.diatonic_chord(F.col("tonic"), F.col("degree"), music.prefer_flats(F.col("tonic"))).alias("chord"))
+    return rows.select("id", "degree", music.diatonic_symbol(F.col("tonic"), F.col("degree"), music.prefer_flats(F.col("tonic"))).alias("symbol"))
 
 
 def song_sheets(t: Tables) -> DataFrame:
-    """A small sheet for each part: directives, a heading, rows of chords and lyric rows."""
+    """A small sheet for each part: directives, a heading, rows of symbols and lyric rows."""
     k = F.col("p_partkey")
     text = F.concat(
         F.lit("{title: "), "p_name", F.lit("}\n{key: "), F.when(k % 3 == 0, "F#m").when(k % 3 == 1, "bb").otherwise("?"), F.lit("}\n## Intro: [C] / [G7] x2\n[Am] [F]\n\n\n\n"),
@@ -124,20 +124,20 @@ def sheet_meta(t: Tables) -> DataFrame:
     return sheets.sheet_meta(sheets.parse_lines(song_sheets(t), "id", "text"), "id").select("id", "key", "title", F.col("tonic").cast("int").alias("tonic"), "mode")
 
 
-@query("""SELECT id, kind, count(*) AS n FROM (SELECT p_partkey AS id, unnest(CASE WHEN p_partkey % 2 = 0 THEN ['directive', 'directive', 'chords', 'chords', 'blank', 'blank', 'blank', 'lyric', 'lyric', 'directive', 'blank'] ELSE ['directive', 'directive', 'chords', 'chords', 'blank', 'blank', 'blank', 'lyric', 'chords', 'chords', 'directive', 'blank'] END) AS kind FROM part) GROUP BY id, kind""")
+@query("""SELECT id, kind, count(*) AS n FROM (SELECT p_partkey AS id, unnest(CASE WHEN p_partkey % 2 = 0 THEN ['directive', 'directive', 'symbols', 'symbols', 'blank', 'blank', 'blank', 'lyric', 'lyric', 'directive', 'blank'] ELSE ['directive', 'directive', 'symbols', 'symbols', 'blank', 'blank', 'blank', 'lyric', 'symbols', 'symbols', 'directive', 'blank'] END) AS kind FROM part) GROUP BY id, kind""")
 def sheet_lines(t: Tables) -> DataFrame:
     return sheets.parse_lines(song_sheets(t), "id", "text").groupBy("id", "kind").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 8 ELSE 9 END AS n, CASE WHEN p_partkey % 2 = 0 THEN 'C G7 Am F G/B Em D' ELSE 'C G7 Am F G/B E A7 Am7' END AS head FROM part""".replace("THEN 8 ELSE 9", "THEN 7 ELSE 8"))
-def sheet_chords(t: Tables) -> DataFrame:
-    found = sheets.distinct_chords(sheets.sheet_chords(sheets.parse_lines(song_sheets(t), "id", "text"), "id"), "id")
+def sheet_symbols(t: Tables) -> DataFrame:
+    found = sheets.distinct_symbols(sheets.sheet_symbols(sheets.parse_lines(song_sheets(t), "id", "text"), "id"), "id")
     return found.select("id", F.col("n").cast("int").alias("n"), F.array_join("head", " ").alias("head"))
 
 
 @query("""SELECT p_partkey AS id, unnest(CASE WHEN p_partkey % 2 = 0 THEN [2, 3] ELSE [2, 3, 8, 9] END) AS line_no, unnest(CASE WHEN p_partkey % 2 = 0 THEN ['', 'Intro: '] ELSE ['', 'Intro: ', '', ''] END) AS indent FROM part""")
-def chord_rows(t: Tables) -> DataFrame:
-    return sheets.chord_rows(sheets.parse_lines(song_sheets(t), "id", "text"), "id").select("id", "line_no", "indent")
+def symbol_rows(t: Tables) -> DataFrame:
+    return sheets.symbol_rows(sheets.parse_lines(song_sheets(t), "id", "text"), "id").select("id", "line_no", "indent")
 
 
 @query("""SELECT id, CASE WHEN id % 2 = 0 THEN a || chr(10) || 'Em' || d || chr(10) || '(2) - ' || p_type ELSE a || chr(10) || 'E solo A7' || chr(10) || 'Am7 1.' END AS sheet FROM (SELECT p_partkey AS id, p_type, '   D' AS d, 'Intro: C / G7 x2' || chr(10) || 'Am F' || chr(10) || chr(10) || '   C' || repeat(' ', length(p_name)) || 'G/B' || chr(10) || 'la ' || p_name || ' ' || p_brand AS a FROM part)""".replace("'   D'", "' D'"))
@@ -147,7 +147,7 @@ def sheet_render(t: Tables) -> DataFrame:
 
 @query("""SELECT p_partkey AS id, '[C]' || substr(p_name, 1, 2) || '[Am][F]' || substr(p_name, 3) AS marked FROM part""")
 def inserted_markers(t: Tables) -> DataFrame:
-    marks = F.array(F.struct(F.lit(2).alias("at"), F.lit("Am").alias("chord")), F.struct(F.lit(0).alias("at"), F.lit("C").alias("chord")), F.struct(F.lit(2).alias("at"), F.lit("F").alias("chord")))
+    marks = F.array(F.struct(F.lit(2).alias("at"), F.lit("Am").alias("symbol")), F.struct(F.lit(0).alias("at"), F.lit("C").alias("symbol")), F.struct(F.lit(2).alias("at"), F.lit("F").alias("symbol")))
     return t.part.select(F.col("p_partkey").alias("id"), sheets.insert_markers(F.col("p_name"), marks).alias("marked"))
 
 

@@ -45,13 +45,13 @@ def test_small_functions(spark):
 
 def test_assemble_and_report(spark):
     lines = spark.createDataFrame([(1, 0, "กข"), (1, 1, ""), (1, 2, "คง"), (2, 0, "จ")], "id long, line_no int, line string")
-    marks = spark.createDataFrame([(1, 0, 1, "C", 0.9), (1, 0, 0, "G", 0.2), (1, 1, 9, "Am", 0.8)], "id long, sung int, char int, chord string, score double")
+    marks = spark.createDataFrame([(1, 0, 1, "C", 0.9), (1, 0, 0, "G", 0.2), (1, 1, 9, "Am", 0.8)], "id long, sung int, char int, symbol string, score double")
     rows = spark.createDataFrame([(1, 0, 0, "C / G"), (1, 1, 0, "F"), (1, 1, 1, "F G"), (1, 2, 0, "C")], "id long, after int, n int, seq string")
     sheets = align.assemble(lines, marks, rows)
     got = {r.id: r.sheet for r in sheets.collect()}
     assert got == {1: "Intro C / G\n[G]ก[C]ข\nInstru F\nF G\n\nคง[Am]\nOutro C\n", 2: "จ\n"}
     report = {r.id: r for r in align.align_report(lines, marks, sheets, spark.createDataFrame([(1, ["C", "G"])], "id long, palette array<string>"), spark.createDataFrame([(1, 2), (2, 1)], "id long, lyric_bands int")).collect()}
-    assert report[1].lyric_exact and report[1].bad_chords == ["Am"] and report[1].placed == 3 and report[1].rows_match and report[1].needs_review
+    assert report[1].lyric_exact and report[1].bad_symbols == ["Am"] and report[1].placed == 3 and report[1].rows_match and report[1].needs_review
     assert (report[1].avg_score, report[1].id_confidence) == (0.633, 0.667) and report[2].placed == 0 and report[2].needs_review
 
 

@@ -53,20 +53,20 @@ def test_disambiguate(spark):
     assert {r.id: r["name"] for r in names.disambiguate(df, "id", "raw").collect()} == {1: "Polly_1", 2: "polly_2", 3: "Moon"}
 
 
-@pytest.mark.parametrize("chord, delta, flats, want", [("Am7", 3, True, "Cm7"), ("G/B", 2, False, "A/C#"), ("Bb", 1, False, "B"), ("N.C.", 2, False, "N.C."), ("C/x", 2, False, "C/x"), ("H7", 1, True, "H7"), ("F#m", 0, True, "F#m"), (" ", 3, True, " ")])
-def test_transpose(spark, chord, delta, flats, want):
-    assert one(spark, chord, lambda c: music.transpose(c, F.lit(delta), F.lit(flats))) == want
+@pytest.mark.parametrize("symbol, delta, flats, want", [("Am7", 3, True, "Cm7"), ("G/B", 2, False, "A/C#"), ("Bb", 1, False, "B"), ("N.C.", 2, False, "N.C."), ("C/x", 2, False, "C/x"), ("H7", 1, True, "H7"), ("F#m", 0, True, "F#m"), (" ", 3, True, " ")])
+def test_transpose(spark, symbol, delta, flats, want):
+    assert one(spark, symbol, lambda c: music.transpose(c, F.lit(delta), F.lit(flats))) == want
 
 
-@pytest.mark.parametrize("chord, want", [("Cdim", "dim"), ("C°", "dim"), ("C°7", "maj"), ("Cm7b5", "dim"), ("Cmaj7", "maj"), ("CM7", "min"), ("Am/G", "min"), ("C7", "maj")])
-def test_quality(spark, chord, want):
-    assert one(spark, chord, music.chord_quality) == want
+@pytest.mark.parametrize("symbol, want", [("Cdim", "dim"), ("C°", "dim"), ("C°7", "maj"), ("Cm7b5", "dim"), ("Cmaj7", "maj"), ("CM7", "min"), ("Am/G", "min"), ("C7", "maj")])
+def test_quality(spark, symbol, want):
+    assert one(spark, symbol, music.symbol_quality) == want
 
 
-@pytest.mark.parametrize("chords, want", [(["D", "Bm", "F#m", "G", "A"], (2, "major", 1.0)), (["Am", "F", "C", "G"], (9, "minor", 1.0)), (["CM7"], (0, "minor", 1.0)), (["x"], None)])
-def test_detect_key(spark, chords, want):
-    df = spark.createDataFrame([(1, i, c) for i, c in enumerate(chords)], "id long, pos long, chord string")
-    got = harmony.detect_keys(harmony.parsed_chords(df), "id", "pos").collect()
+@pytest.mark.parametrize("symbols, want", [(["D", "Bm", "F#m", "G", "A"], (2, "major", 1.0)), (["Am", "F", "C", "G"], (9, "minor", 1.0)), (["CM7"], (0, "minor", 1.0)), (["x"], None)])
+def test_detect_key(spark, symbols, want):
+    df = spark.createDataFrame([(1, i, c) for i, c in enumerate(symbols)], "id long, pos long, symbol string")
+    got = harmony.detect_keys(harmony.parsed_symbols(df), "id", "pos").collect()
     assert [(r.tonic, r["mode"], r.confidence) for r in got] == ([want] if want else [])
 
 
@@ -89,9 +89,9 @@ def test_probe_end(spark):
 
 def test_sheet_tokens(spark):
     line = "[C]la [G]do"
-    assert [(t["type"], t["value"]) for t in one(spark, line, sheets.tokens)] == [("chord", "C"), ("text", "la "), ("chord", "G"), ("text", "do")]
-    assert [(s["chord"], s["text"]) for s in one(spark, "x [C]la", sheets.segments)] == [("", "x "), ("C", "la")]
-    assert one(spark, "Intro: [C] / [G] (x2)", sheets.chord_only) and not one(spark, "[C] la", sheets.chord_only)
+    assert [(t["type"], t["value"]) for t in one(spark, line, sheets.tokens)] == [("symbol", "C"), ("text", "la "), ("symbol", "G"), ("text", "do")]
+    assert [(s["symbol"], s["text"]) for s in one(spark, "x [C]la", sheets.segments)] == [("", "x "), ("C", "la")]
+    assert one(spark, "Intro: [C] / [G] (x2)", sheets.symbol_only) and not one(spark, "[C] la", sheets.symbol_only)
     assert one(spark, line, sheets.rendered_line) == "C  G\nla do"
 
 
