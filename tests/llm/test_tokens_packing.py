@@ -118,19 +118,56 @@ def best_fit(lengths, capacity=2048):
     return bins
 
 
-def test_rounds_are_best_fit_decreasing():
+def test_sweep_is_best_fit_decreasing():
     rng = np.random.default_rng(2)
     for _ in range(30):
-        lengths = rng.integers(1, 50, rng.integers(1, 300)).tolist()
+        lengths = np.sort(rng.integers(1, 50, rng.integers(1, 300)))[::-1]
+        home, offset, _, opened = packing.sweep(lengths, np.zeros(len(lengths), bool), 64, True)
         used = {}
-        for length, _, ranks, each, first, offset in packing.rounds(dict(Counter(lengths)), 64):
-            for j in range(ranks):
-                used.setdefault(first + j // each, []).append((offset + j % each * length, length))
-        assert len(used) == len(best_fit(lengths, 64))
+        for gap, at, length in zip(home.tolist(), offset.tolist(), lengths.tolist()):
+            used.setdefault(gap, []).append((at, length))
+        assert sorted(opened.tolist()) == sorted(best_fit(lengths.tolist(), 64)) and len(used) == len(opened)
         for held in used.values():
             assert all(a + n <= b for (a, n), (b, _) in zip(sorted(held), sorted(held)[1:] + [(64, 0)]))
 
 
+def test_sweep_gives_a_gap_to_the_first_that_wants_it():
+    size, is_gap = np.array([50, 40, 30, 29, 20, 9, 8]), np.array([True, False, True, False, False, False, False])
+    home, offset, free, opened = packing.sweep(size, is_gap, 64, False)
+    assert home.tolist() == [-1, 0, -1, 2, -1, 0, -1] and offset.tolist() == [0, 0, 0, 0, 0, 40, 0]
+    assert free[is_gap].tolist() == [1, 1] and not len(opened)
+
+
+def test_what_waits_is_dealt_to_the_nearest_gaps_above():
+    edges = [(0, 0, 0, 100), (1, 40, 4, 30), (2, 60, 12, 0), (3, 80, 20, 0)]
+    got = packing.dealt(edges, 8)
+    spans = {k: sorted((p, a, e) for _, kind, p, a, e in got if kind == k) for k in (packing.GAP, packing.WAITING)}
+    covered = {p: sum(e - a for q, a, e in spans[packing.WAITING] if q == p) for p in (1, 2, 3)}
+    assert covered == {1: 40, 2: 60, 3: 80}
+    assert sum(e - a for p, a, e in spans[packing.GAP] if p == 0) == 100 and sum(e - a for p, a, e in spans[packing.GAP] if p == 1) == 30
+    assert sum(e - a for g, kind, _, a, e in got if g < 0) == 180 - 130
+
+
+@pytest.mark.parametrize("rows", [40, 1 << 18])
+def test_rounds_over_many_partitions(spark, rows):
+    """Many short documents, one length that a third of all have, and mixed ones, in partitions of a few rows."""
+    rng = np.random.default_rng(rows)
+    lengths = np.concatenate([np.ones(300, int), rng.integers(1, 257, 300), rng.integers(60, 90, 300)])
+    df = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    bins = {}
+    for r in packing.pack(df, 256, rows).collect():
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length, r.doc_id))
+    assert sorted(i for held in bins.values() for _, _, i in held) == list(range(len(lengths)))
+    for held in bins.values():
+        at = 0
+        for offset, n, _ in sorted(held):
+            assert offset == at
+            at += n
+        assert at <= 256
+    least = len(best_fit(lengths.tolist(), 256))
+    assert len(bins) == least if rows > 1000 else len(bins) <= 1.1 * least
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert huffman.huffman_ids(none).count() == packing.pack(packing.pieces(none)).count() == sharding.hilbert_shards(none).count() == 0
