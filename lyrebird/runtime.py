@@ -9,19 +9,26 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and stage tables.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a folder of
-    this machine is taken, and the session's checkpoint folder is set to it.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a session on this machine alone (tests,
+    a laptop) gets a folder of its own, which becomes the session's checkpoint folder; on a cluster, where
+    executors couldn't see such a folder, this raises.
     """
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         held = sc._jsc.sc().getCheckpointDir()
-        shared = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="lyrebird-")
+        if held.isDefined():
+            shared = held.get()
+        elif sc.master.startswith("local"):
+            shared = tempfile.mkdtemp(prefix="lyrebird-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared)
     return shared.rstrip("/")
@@ -44,6 +51,34 @@ def stage_table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a join brings to a task at most, about.
+SPREAD = 1 << 20
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner", most: int | None = None) -> DataFrame:
+    """rows joined with a table that has each key once and, in the column ``n``, how many rows have it.
+
+    A key that more than ``most`` rows have is dealt over as many copies of its table row. Only these keys are
+    broadcast: there are at most rows / most of them. ``n`` doesn't show in the result. Null keys meet nothing.
+    """
+    most = most or SPREAD
+    copies, salt = unused("copies", rows, table), unused("salt", rows, table)
+    table = table.withColumn(copies, F.greatest(F.lit(1), F.ceil(F.col(n) / most)).cast("int"))
+    common = table.where(F.col(copies) > 1).select(*keys, copies)
+    of = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(copies)), F.lit(0)).cast("int")
+    marked = rows.join(F.broadcast(common), keys, "left").withColumn(salt, of).drop(copies)
+    dealt = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).drop(copies, n)
+    return marked.join(dealt, [*keys, salt], how).drop(salt)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package's Python files, once a session."""
     sc = spark.sparkContext
