@@ -9,20 +9,25 @@ paths differ, and drops a pair of nodes as soon as the sum exceeds the budget.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lyrebird.llm.components import components
-from lyrebird.runtime import ship, stage_table
+from lyrebird.runtime import ship, spread_join, stage_table, unused
 
 SHINGLE, SEED, BITS, BUDGET = 3, 42, 64, 3
 #: Fingerprints that a subtree holds at about most; the cut's depth follows from their number.
 SUBTREE = 1 << 14
+#: Bits of the cut at most.
+DEEPEST = 24
+#: Rows that are named by a broadcast at most; more of them are met by a shuffle.
+NAMED = 1 << 18
 #: Node pairs that are walked at once.
 WAVE = 1 << 18
 
@@ -157,8 +162,8 @@ def near_links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     """
     ship(prints.sparkSession)
     n = prints.count()
-    depth = max(4, min(16, int(np.ceil(np.log2(max(n, 1) / SUBTREE)))))
-    flips = np.array([m for m in range(1 << depth) if bin(m).count("1") <= budget], np.int64)
+    depth = max(4, min(DEEPEST, int(np.ceil(np.log2(max(n, 1) / SUBTREE)))))
+    flips = np.array([sum(1 << b for b in held) for k in range(budget + 1) for held in combinations(range(depth), k)], np.int64)
     packed = "owner long, fps binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,28 +212,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one row in each task.
     """
     rows, named = _classes(docs, id_col, text_col, budget)
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    met = spread_join(rows.select("doc_id", "fp"), named.select("fp", "n", "component_id"), ["fp"], "n")
+    return met.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    """128 bits that tell rows apart by id and text."""
+    parts = [F.col(id_col).isNull(), F.col(text_col).isNull(), F.col(id_col), F.col(text_col)]
+    return [F.xxhash64(F.lit(k), *parts) for k in (1, 2)]
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, budget: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, body, fp) of each row, body a hash of the text; (fp, component, component_id) of each fingerprint."""
+    """(doc_id, k1, k2, fp) of each row, and (fp, n, component, component_id) of each fingerprint, n rows having it."""
+    k1, k2 = _keys("doc_id", "text")
     rows = with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
-    rows = stage_table(rows.select("doc_id", F.xxhash64("text").alias("body"), "fp"), "prints")
-    leaves = stage_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "leaves")
+    rows = stage_table(rows.select("doc_id", k1.alias("k1"), k2.alias("k2"), "fp"), "prints")
+    leaves = stage_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "leaves")
     grouped = components(near_links(leaves, budget)).select(F.col("node").alias("fp"), "component")
     classes = leaves.join(grouped, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows, classes.join(names, "component").select("fp", "component", "component_id")
+    names = classes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
+    return rows, spread_join(classes, names, ["component"], "fps").select("fp", "n", "component", "component_id")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """One row of docs, whole, for each component: that of the smallest id (a null id after all others).
 
-    Of rows that agree in id and text one stays. The texts are shuffled once, to meet the rows that stay.
+    Null, empty and blank texts are alike and link with one another. Of rows that agree in id and text one
+    stays. An empty table gives an empty one; columns of any name pass unchanged. Which rows go is decided on
+    ids and hashes; the rows that go are left out by a broadcast of their hashes where there are at most
+    NAMED, and by one shuffle of the texts beyond that.
     """
     rows, named = _classes(docs, id_col, text_col, budget)
-    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("p")
-    stay = rows.join(named.select("fp", "component"), "fp").groupBy("component").agg(pick).select(F.col("p.doc_id").alias("_stay_id"), F.col("p.body").alias("_stay_body")).distinct()
-    marked = docs.withColumn("_body", F.xxhash64(text_col))
-    met = marked.join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_body") == F.col("_stay_body")))
-    return met.dropDuplicates(["_stay_id", "_stay_body"]).select(*docs.columns)
+    met = spread_join(rows, named.select("fp", "n", "component"), ["fp"], "n").select("component", "doc_id", "k1", "k2")
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("p")
+    stay = met.groupBy("component").agg(pick).select("p.k1", "p.k2")
+    counted = rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).join(stay.withColumn("stays", F.lit(True)), ["k1", "k2"], "left")
+    # all that doesn't simply stay: rows that go, and rows that stay once of several alike
+    other = stage_table(counted.where("stays is null or n > 1").select(F.col("k1"), F.col("k2"), F.col("stays").isNotNull().alias("once")), "other")
+    few = {r["once"]: r["n"] for r in other.groupBy("once").agg(F.count("*").alias("n")).collect()}
+    if not few:
+        return docs
+    a, b = unused("k1", docs), unused("k2", docs)
+    k1, k2 = _keys(id_col, text_col)
+    marked = docs.withColumn(a, k1).withColumn(b, k2)
+
+    def keyed(which: DataFrame, n: int) -> DataFrame:
+        held = which.select(F.col("k1").alias(a), F.col("k2").alias(b))
+        return F.broadcast(held) if n <= NAMED else held
+
+    out = marked.join(keyed(other, sum(few.values())), [a, b], "left_anti").drop(a, b)
+    if few.get(True):
+        repeated = marked.join(keyed(other.where("once"), few[True]), [a, b], "left_semi").dropDuplicates([a, b])
+        out = out.union(repeated.drop(a, b))
+    return out
