@@ -30,11 +30,19 @@ SAMPLE, LEAST = 1 << 16, 8
 NEAR = 4
 #: Blocks that meet a shard in one task, shards whose balls are bounded at once, and the balls' bytes that are broadcast at most.
 AT_ONCE, PAGE, SENT = 16, 1024, 1 << 25
-#: Sums under this are exact in double precision.
+#: Sums under this are exact in double precision (those under 2**24 in single precision).
 EXACT = 1 << 53
 NONE = np.iinfo(np.int64).min
 
 
+def cut(side: np.ndarray) -> float:
+    """Where to part points along a line: in the widest gap of their middle half, so that clusters stay whole."""
+    side = np.sort(side)
+    first, last = len(side) // 4, max(len(side) // 4 + 1, 3 * len(side) // 4)
+    gap = int(np.argmax(np.diff(side[first : last + 1]))) + first
+    return float((side[gap] + side[gap + 1]) / 2)
+
+
 def build(x: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
     """An order of the rows, and nodes (first, end, left child, right child; -1: none), the root first."""
     order, nodes = np.arange(len(x)), [(0, len(x), -1, -1)]
@@ -46,8 +54,10 @@ def build(x: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, list[tuple[int,
             own = x[rows]
             far = own[((own - own.mean(0)) ** 2).sum(1).argmax()]
             other = own[((own - far) ** 2).sum(1).argmax()]
-            middle = (end - first) // 2
-            order[first:end] = rows[np.argpartition(own @ (other - far), middle)]
+            side = own @ (other - far)
+            right = side > cut(side)
+            middle = int((~right).sum()) or (end - first) // 2  # equal points are halved as they stand
+            order[first:end] = rows[np.argsort(right, kind="stable")]
             nodes[at] = (first, end, len(nodes), len(nodes) + 1)
             nodes += [(first, first + middle, -1, -1), (first + middle, end, -1, -1)]
         at += 1
@@ -69,11 +79,12 @@ class Regions:
             far = x[((x - x.mean(0)) ** 2).sum(1).argmax()]
             direction = x[((x - far) ** 2).sum(1).argmax()] - far
             side = x @ direction
-            right = side > np.median(side)
+            at = cut(side)
+            right = side > at
             if right.any() and not right.all():
                 node = len(self.cuts)
                 self.directions.append(direction)
-                self.cuts.append(np.median(side))
+                self.cuts.append(at)
                 self.children.append((0, 0))
                 self.children[node] = (self._grow(x[~right], leaf), self._grow(x[right], leaf))
                 return node
@@ -129,42 +140,43 @@ class BallTree:
                 else:
                     stack += [(child, live) for child in self.nodes[node][2:]]
         place, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
-        if not leaves:
-            return place, ids, scores
-        bound = np.array([b for _, b in leaves])
-        turn = np.argsort(-bound, axis=0, kind="stable")
         kth = floor.astype(np.float64)
-        for r in range(len(leaves)):
-            leaf_of = turn[r]
-            best = bound[leaf_of, np.arange(len(q))]
-            live = (best >= kth) & (best > -np.inf)
-            if not live.any():
-                break
-            found = [(place, ids, scores)]
-            for leaf in np.unique(leaf_of[live]):
-                rows = np.flatnonzero(live & (leaf_of == leaf))
-                a, b, _, _ = self.nodes[leaves[leaf][0]]
-                s = _products(q[rows], self.x[a:b])
-                self.computed += s.size
-                s[own[rows][:, None] == self.ids[None, a:b]] = NONE
-                least = np.maximum(np.partition(s, -k, axis=1)[:, -k] if b - a > k else NONE, np.where(kth[rows] > NONE, kth[rows], NONE).astype(np.int64))
-                i, j = np.nonzero((s >= least[:, None]) & (s > NONE))
-                found.append((rows[i], self.ids[a:b][j], s[i, j]))
-            place, ids, scores = (np.concatenate(c) for c in zip(*found, strict=True))
-            order = np.lexsort((ids, -scores, place))
-            place, ids, scores = place[order], ids[order], scores[order]
-            rank = np.arange(len(place)) - np.searchsorted(place, place)
+        for node, bound in sorted(leaves, key=lambda n: -n[1].max()):
+            rows = np.flatnonzero((bound >= kth) & (bound > -np.inf))
+            if not len(rows):
+                continue
+            a, b, _, _ = self.nodes[node]
+            s = _products(q[rows], self.x[a:b])
+            self.computed += s.size
+            s[own[rows][:, None] == self.ids[None, a:b]] = NONE
+            least = np.where(kth[rows] > NONE, kth[rows], NONE + 1).astype(np.int64)
+            if b - a > k:
+                least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
+            i, j = np.nonzero(s >= np.maximum(least, NONE + 1)[:, None])
+            if not len(i):
+                continue
+            # only queries with new candidates are ranked anew
+            touched = np.zeros(len(q), bool)
+            touched[rows[i]] = True
+            old = touched[place]
+            p, d, v = np.concatenate([place[old], rows[i]]), np.concatenate([ids[old], self.ids[a:b][j]]), np.concatenate([scores[old], s[i, j]])
+            order = np.lexsort((d, -v, p))
+            p, d, v = p[order], d[order], v[order]
+            rank = np.arange(len(p)) - np.searchsorted(p, p)
             last = rank == k - 1
-            kth[place[last]] = np.maximum(kth[place[last]], scores[last])
+            kth[p[last]] = np.maximum(kth[p[last]], v[last])
             kept = rank < k
-            place, ids, scores = place[kept], ids[kept], scores[kept]
-        return place, ids, scores
+            place, ids, scores = np.concatenate([place[~old], p[kept]]), np.concatenate([ids[~old], d[kept]]), np.concatenate([scores[~old], v[kept]])
+        order = np.lexsort((ids, -scores, place))
+        return place[order], ids[order], scores[order]
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact integer inner products; sums beyond a long are held at its ends."""
-    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(q.shape[1], 1) < EXACT:
-        return (q @ x.T).astype(np.int64)
+    most = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(q.shape[1], 1)
+    if most < EXACT:
+        kind = np.float32 if most < 1 << 24 else np.float64
+        return (q.astype(kind) @ x.astype(kind).T).astype(np.int64)
     whole = q.astype(object).dot(x.astype(object).T)
     return np.array([[min(max(int(v), NONE + 1), -NONE - 1) for v in row] for row in whole], np.int64).reshape(len(q), len(x))
 
