@@ -26,6 +26,8 @@ from lyrebird.runtime import ship, stage_table
 LIMIT = 18
 #: Ids of a block, about so many of a segment, and so many that are counted or coded at once.
 BLOCK, SEGMENT, AT_ONCE = 512, 1 << 19, 1 << 18
+#: Ids that are sampled for each range of ids.
+SAMPLED = 64
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -149,7 +151,7 @@ def _width(path: str) -> str:
 
 
 def tokenised(docs: DataFrame, path: str = BYTE_BPE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the packed ids of each whole text and its end id."""
+    """doc_id, a number of the row, and the packed ids of each whole text and its end id."""
     ship(docs.sparkSession)
     width = _width(path)
 
@@ -159,7 +161,7 @@ def tokenised(docs: DataFrame, path: str = BYTE_BPE, end_id: int = 0, id_col: st
         encode, end = own.encode, end_id.to_bytes(4, "little")
         return pa.array((np.frombuffer(encode(t.as_py()) + end, "<u4").astype(width).tobytes() for t in texts), pa.binary())
 
-    return docs.select(F.col(id_col).alias("doc_id"), ids_of(F.col(text_col)).alias("ids"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), ids_of(F.col(text_col)).alias("ids"))
 
 
 def _spans_of(column: pa.Array, width: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -196,17 +198,24 @@ def id_counts(coded: DataFrame, path: str) -> np.ndarray:
 
 
 def _bucket(df: DataFrame, n: int) -> tuple[Column, int]:
-    """Ascending ranges of doc_id that hold about equal counts of documents."""
-    kind = df.schema["doc_id"].dataType
-    if not isinstance(kind, T.NumericType):
+    """Ascending ranges of doc_id, of any type that has an order, that hold about equal counts of documents.
+
+    The cut points are quantiles of a sample of ids of a bounded size. An id that so many rows share that it
+    is several cut points is dealt, by the rows' numbers, over all ranges that these bound. Null comes first.
+    """
+    total = df.count()
+    if n < 2 or total < 2:
         return F.lit(0), 1
-    points = df.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("p")).first()["p"] if n > 1 else []
-    points = sorted(set(points or []))
-    bucket = F.lit(0)
-    if points:
-        cuts = F.array(*[F.lit(p).cast(kind) for p in points])
-        bucket = F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col("doc_id"))), F.lit(0))
-    return bucket, len(points) + 1
+    share = min(1.0, SAMPLED * n / total)
+    drawn = df.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("doc_id").limit(2 * SAMPLED * n).orderBy("doc_id").collect()
+    cuts = [drawn[len(drawn) * i // n]["doc_id"] for i in range(1, n)] if drawn else []
+    kind = df.schema["doc_id"].dataType
+    known = F.array(*[F.lit(c).cast(kind) for c in cuts if c is not None]).cast(T.ArrayType(kind))
+    nulls = sum(c is None for c in cuts)
+    own = F.col("doc_id")
+    first = F.when(own.isNull(), 0).otherwise(nulls + F.size(F.filter(known, lambda c: c < own)))
+    last = F.when(own.isNull(), nulls).otherwise(nulls + F.size(F.filter(known, lambda c: c <= own)))
+    return (first + F.pmod(F.xxhash64("row", F.lit(1)), last - first + 1)).cast("int"), len(cuts) + 1
 
 
 def write_files(coded: DataFrame, lengths: Broadcast, width: str, parts: int) -> DataFrame:
@@ -220,7 +229,7 @@ def write_files(coded: DataFrame, lengths: Broadcast, width: str, parts: int) ->
         for ids, sizes in _spans_of(column, width):
             bits, at = codec.encode_all(ids, sizes)
             n += sizes.tolist()
-            starts += [a.astype("<u4").tobytes() for a in at]
+            starts += [a.astype("<u8").tobytes() for a in at]
             payload += bits
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(starts, pa.binary()), pa.array(payload, pa.binary())], ["n", "starts", "payload"])
 
@@ -236,7 +245,7 @@ def write_files(coded: DataFrame, lengths: Broadcast, width: str, parts: int) ->
         def close() -> pa.RecordBatch:
             bits, starts, payload = 0, [], []
             for _, _, at, body in held:
-                starts.append(np.frombuffer(at, "<u4").astype("<u8") + bits)
+                starts.append(np.frombuffer(at, "<u8") + np.uint64(bits))
                 payload.append(body)
                 bits += 8 * len(body)
             columns = [[part], [first], [size], [[h[0] for h in held]], [[h[1] for h in held]], [np.concatenate(starts).astype("<u8").tobytes()], [b"".join(payload)]]
@@ -258,7 +267,7 @@ def write_files(coded: DataFrame, lengths: Broadcast, width: str, parts: int) ->
             yield close()
 
     bucket, n = _bucket(coded, parts)
-    rows = coded.withColumn("bucket", bucket).select("doc_id", "bucket", code("ids").alias("c")).select("doc_id", "bucket", "c.*")
+    rows = coded.select("doc_id", bucket.alias("bucket"), code("ids").alias("c")).select("doc_id", "bucket", "c.*")
     ordered = rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("doc_id", "n", "payload")
     return stage_table(ordered.mapInArrow(segments, schema), "ids")
 
@@ -295,8 +304,9 @@ def read_files(files: DataFrame, lengths: Broadcast) -> DataFrame:
 def huffman_ids(docs: DataFrame, path: str = BYTE_BPE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, write and read back: doc_id, start, n_tokens, ids_crc32 from the files.
 
-    Null and empty texts are the end id alone; null ids come first, repeated ids stand beside one another in
-    the order of their sizes and codes; an empty table gives no rows. Other columns are not read.
+    Null and empty texts are the end id alone; ids may be of any type that has an order; null ids come first,
+    repeated ids stand beside one another in no particular order, and one that very many rows share is dealt
+    over several files; an empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     coded = stage_table(tokenised(docs, path, end_id, id_col, text_col), "tokenised")
