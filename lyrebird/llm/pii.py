@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterable
 
@@ -30,33 +31,88 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-# Characters that look like plain ones.
-LOOKALIKES = dict(
-    zip(
-        "аеорсхуіѕјԁһԛԝкмтвнАВЕКМНОРСТУХІЅЈαοινρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ∙•․。｡＠﹫﹒﹢－‐‑‒–−",
-        "aeopcxyisjdhqwkmtbhABEKMHOPCTYXISJaoivpuABEZHIKMNOPTYX.....@@.+------",
-        strict=True,
-    )
-) | {chr(0xFF01 + i): chr(0x21 + i) for i in range(0x5E)} | {chr(base + i): str(i) for base in (0x660, 0x6F0, 0x966) for i in range(10)}
+# Letters and signs that look like plain ones (Cyrillic, Greek, Armenian, small capitals and other Latin, dots, signs).
+_LOOKS = {
+    "аеорсхуіѕјԁһԛԝкмтвнӏѵѡүґпгиАВЕКМНОРСТУХІЅЈҮԌԚԜ": "aeopcxyisjdhqwkmtbhlvwyrnruABEKMHOPCTYXISJYGQW",
+    "αοινρυκτωηχβγςΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "aoivpuktwnxbycABEZHIKMNOPTYX",
+    "օսհոզցքյևԼՕՍ": "ouhnqgpjuLOU",
+    "ᴀʙᴄᴅᴇɢʜɪᴊᴋʟᴍɴᴏᴘʀᴛᴜᴠᴡʏᴢıɑɡɩʋøđł": "abcdeghijklmnoprtuvwyziagivodl",
+    "∙•․·‧⋅。｡": "........",
+    "＠﹫﹒﹢－‐‑‒–−": "@@.+------",
+}
 # Characters without a width, which are left out.
 INVISIBLE = "​‌‍⁠﻿­"
-# Words for digits.
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Words for digits in English, German, French and Spanish.
+DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+# Words for @ and for a dot; those in the second group of each are words of prose as well.
+_AT_WORDS, _AT_PROSE = "arroba|arobase|klammeraffe|ät", "at"
+_DOT_WORDS, _DOT_PROSE = "dot", "punkt|point|punto"
+# Endings of hosts that are taken for such where only their context tells.
+TOPS = frozenset("com org net edu gov info biz io co ai app dev me eu de at ch fr es it nl be pl pt se no dk fi ie uk us ca au nz mx ar br cl ru ua jp cn in example".split())
+# Words that stand before "at" and a host in prose.
+_NO_NAME = frozenset(
+    "us me him her them it you someone anyone everyone somebody anybody everybody nobody people he she we they i one this that these those all is are be was were mail email out look looks find found available more info information online site website page pages home shop store visit here there "
+    "contact reach hosted host located live lives based office blog news team support help read see check download downloads docs files file free only start now today not and or but team event events join meet meeting".split()
+)
+
+
+def _plain_forms() -> dict[str, str]:
+    """Characters whose compatibility form is one plain character, and the decimal digits of all scripts."""
+    out = {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0x20000)]):
+        value = unicodedata.decimal(c, None)
+        if value is not None:
+            out[c] = str(value)
+        elif not unicodedata.decomposition(c).startswith(("<super>", "<sub>")):
+            form = unicodedata.normalize("NFKC", c)
+            if len(form) == 1 and " " <= form <= "~":
+                out[c] = form
+    return out
+
+
+LOOKALIKES = _plain_forms() | {c: plain for looks, plains in _LOOKS.items() for c, plain in zip(looks, plains, strict=True)}
+
+_GLYPHS = frozenset(LOOKALIKES) | frozenset(INVISIBLE)
+
 
-_GLYPH = re.compile("[" + re.escape("".join(LOOKALIKES) + INVISIBLE) + "]")
-_NUMBER = "(?:" + "|".join(DIGIT_WORDS) + ")"
-_SPELLED = re.compile(rf"\b{_NUMBER}(?:[ \t-]{{1,3}}{_NUMBER}){{2,}}\b", re.I)
+def _class(chars: Iterable[str]) -> str:
+    """A class of characters, as ranges: a long list of single ones beyond the basic plane would be slow to match."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+
+
+_GLYPH = re.compile(_class(_GLYPHS))
+_NUMBER = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
+_FIRST = "(?=[" + "".join(sorted({w[0] for w in DIGIT_WORDS})) + "])"
+# words for digits and digits, with a little between them or none
+_SPELLED = re.compile(rf"(?<![\w.@])(?:{_NUMBER}|[0-9]++)(?:[ \t-]{{0,3}}(?:{_NUMBER}|[0-9]++)){{2,}}(?![\w@])", re.I)
+_PARTS = re.compile(rf"{_NUMBER}|[0-9]+", re.I)
 _OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
-_AT = re.compile(rf"{_OPEN}(?:at|@){_CLOSE}", re.I)
-_DOT = re.compile(rf"{_OPEN}(?:dot|\.){_CLOSE}", re.I)
-# "name at host dot tld": bare words count only in this whole shape, or before a plain host after a word for mail
-_BARE = re.compile(r"\b[A-Za-z0-9._%+-]+(?P<at>[ \t]+at[ \t]+|@)(?P<host>[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*)", re.I)
-_BARE_DOT = re.compile(r"[ \t]+dot[ \t]+", re.I)
+_AT = re.compile(rf"{_OPEN}(?:{_AT_WORDS}|{_AT_PROSE}|@){_CLOSE}", re.I)
+_DOT = re.compile(rf"{_OPEN}(?:{_DOT_WORDS}|{_DOT_PROSE}|\.){_CLOSE}", re.I)
+# "name at host dot tld": bare words count only in this whole shape, or before a plain host where the context tells
+_BARE = re.compile(rf"\b[A-Za-z0-9._%+-]+(?P<at>[ \t]+(?:{_AT_WORDS}|{_AT_PROSE})[ \t]+|@)(?P<host>[A-Za-z0-9-]+(?:(?:[ \t]+(?:{_DOT_WORDS}|{_DOT_PROSE})[ \t]+|\.)[A-Za-z0-9-]+)*)", re.I)
+_BARE_DOT = re.compile(rf"[ \t]+(?:{_DOT_WORDS}|{_DOT_PROSE})[ \t]+", re.I)
+_PROSE_DOT = re.compile(rf"[ \t]+(?:{_DOT_PROSE})[ \t]+", re.I)
 _CUE = re.compile(r"\b(?:e-?mails?|mailto|contact|write|reach|address|send)(?:[ \t]+(?:to|is|address))*[ \t]*[:=]?[ \t]*$", re.I)
-_NO_NAME = frozenset("us me him her them it you one this that these those all is are be mail email out".split())
-_DIGIT_DOT = re.compile(r"(?<=[0-9])[ \t]+dot[ \t]+(?=[0-9])", re.I)
-#: What a text must have for a transducer to change it.
-_TRIGGER = re.compile(rf"{_GLYPH.pattern}|[\[({{<][ \t]*(?:at|dot|@|\.)[ \t]*[\])}}>]|\bdot\b|\bat[ \t]+[a-z0-9-]+\.[a-z0-9-]|\b{_NUMBER}[ \t-]{{1,3}}{_NUMBER}\b", re.I)
+_DIGIT_DOT = re.compile(rf"(?<=[0-9])[ \t]+(?:{_DOT_WORDS}|{_DOT_PROSE})[ \t]+(?=[0-9])", re.I)
+_VERBAL = re.compile(r"(?:ed|ing|able|ible|ly)$", re.I)
+_MARKED_NAME = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:[._+][A-Za-z0-9]+)+|[A-Za-z]{2,}[0-9]+", re.A)
+#: What a text must have, or else a look-alike, for a transducer to change it.
+_TRIGGER = re.compile(
+    rf"[\[({{<][ \t]*(?:{_AT_WORDS}|{_AT_PROSE}|{_DOT_WORDS}|{_DOT_PROSE}|@|\.)[ \t]*[\])}}>]|\b(?:{_AT_WORDS}|{_DOT_WORDS})\b|[0-9][ \t]+(?:{_DOT_PROSE})[ \t]+[0-9]"
+    rf"|\bat[ \t]+[a-z0-9-]+(?:\.|[ \t]+(?:{_DOT_PROSE})[ \t]+)[a-z0-9-]|\b{_FIRST}{_NUMBER}[ \t-]{{0,3}}(?:{_NUMBER}|[0-9])|[0-9][ \t-]{{0,3}}{_NUMBER}", re.I,
+)
 
 
 def _luhn(digits: str) -> bool:
@@ -127,12 +183,14 @@ class Rewrite:
 
 
 def _glyphs(text: str) -> Iterable[tuple[int, int, str]]:
-    return ((m.start(), m.end(), LOOKALIKES.get(m[0], "")) for m in _GLYPH.finditer(text))
+    return () if text.isascii() else ((m.start(), m.end(), LOOKALIKES.get(m[0], "")) for m in _GLYPH.finditer(text))
 
 
 def _spelled(text: str) -> Iterable[tuple[int, int, str]]:
-    words = re.compile(_NUMBER, re.I)
-    return ((m.start(), m.end(), "".join(DIGIT_WORDS[w.lower()] for w in words.findall(m[0]))) for m in _SPELLED.finditer(text))
+    for m in _SPELLED.finditer(text):
+        parts = _PARTS.findall(m[0])
+        if not all(p.isdigit() for p in parts):
+            yield m.start(), m.end(), "".join(DIGIT_WORDS.get(p.lower(), p) for p in parts)
 
 
 def _bracketed(text: str) -> Iterable[tuple[int, int, str]]:
@@ -140,17 +198,32 @@ def _bracketed(text: str) -> Iterable[tuple[int, int, str]]:
 
 
 def _mailed(text: str, m: re.Match[str]) -> bool:
-    """Whether "name at host.tld" is an address: a word for mail comes before it, and name and tld can be such."""
-    top = m["host"].rpartition(".")[2]
-    name = text[m.start() : m.start("at")]
-    return "." in m["host"] and len(top) > 1 and top.isalpha() and not top.istitle() and name.lower() not in _NO_NAME and bool(_CUE.search(text[max(0, m.start() - 40) : m.start()]))
+    """Whether "name at host.tld" is an address.
+
+    Name and tld can be such, and a word for mail comes before it, or the name has marks or digits as names of
+    accounts have, or it begins a text, a line or a clause and is no word that prose has there.
+    """
+    host, name = m["host"], text[m.start() : m.start("at")]
+    top = host.rpartition(".")[2]
+    if "." not in host or len(top) < 2 or not top.isalpha() or top.istitle() or name.lower() in _NO_NAME:
+        return False
+    before = text[max(0, m.start() - 40) : m.start()]
+    if m["at"].strip().lower() != _AT_PROSE or _CUE.search(before):
+        return True
+    if top.lower() not in TOPS or host.lower().startswith("www."):
+        return False
+    return bool(_MARKED_NAME.fullmatch(name)) or (name.isalpha() and not _VERBAL.search(name) and before.rstrip(" \t")[-1:] in ("", "\n", ":", ";", ",", "(", "<", '"'))
 
 
 def _worded(text: str) -> Iterable[tuple[int, int, str]]:
     edits = [(*m.span(), ".") for m in _DIGIT_DOT.finditer(text)]
     for m in _BARE.finditer(text):
         dots = [(m.start("host") + d.start(), m.start("host") + d.end(), ".") for d in _BARE_DOT.finditer(m["host"])]
-        if dots or (m["at"] != "@" and _mailed(text, m)):
+        # words for a dot that prose has as well need a host's ending after them, and more than a bare "at"
+        sure = not _PROSE_DOT.search(m["host"]) or (
+            re.split(r"[ \t.]+", m["host"])[-1].lower() in TOPS and (m["at"].strip().lower() != _AT_PROSE or bool(_CUE.search(text[max(0, m.start() - 40) : m.start()])))
+        )
+        if dots and sure or not dots and m["at"] != "@" and _mailed(text, m):
             edits += [(*m.span("at"), "@"), *dots]
     return sorted(edits)
 
@@ -160,7 +233,7 @@ TRANSDUCERS = (_glyphs, _spelled, _bracketed, _worded)
 
 def disguised(text: str) -> list[Span]:
     """Source spans of identifiers that show only after rewriting."""
-    if not _TRIGGER.search(text):
+    if (text.isascii() or _GLYPHS.isdisjoint(text)) and not _TRIGGER.search(text):
         return []
     chain: list[Rewrite] = []
     now = text
