@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -174,6 +175,83 @@ def test_tree_search_is_exact():
         assert found[place == i].tolist() == ids[order].tolist() and scores[place == i].tolist() == s[order].tolist()
 
 
+def tight(rng, n, dim=32, centres=40):
+    """Vectors in a few tight clusters, far from one another."""
+    at = rng.standard_normal((centres, dim))
+    return (at[rng.integers(0, centres, n)] + 0.02 * rng.standard_normal((n, dim))).astype(np.float32)
+
+
+def test_tree_search_prunes():
+    x = np.floor(64 * tight(np.random.default_rng(3), 8000).astype(float))
+    tree = balltree.BallTree(np.arange(8000), x, leaf=64)
+    held = balltree.BallTree.unpack(32, tree.pack())
+    for q in (x[:1] + 1, x[7:9]):
+        place, found, scores = held.search(np.full(len(q), -1), q, 20, np.full(len(q), balltree.NONE, float))
+        for i in range(len(q)):
+            s = (x @ q[i]).astype(int)
+            assert found[place == i].tolist() == np.lexsort((np.arange(8000), -s))[:20].tolist()
+    assert held.computed < 0.3 * 3 * 8000
+
+
+def test_top_k_leaves_out_shards(spark, monkeypatch):
+    """Over 50,000 clustered vectors most pairs of a block and a shard are never searched, and nothing is lost."""
+    monkeypatch.setattr(balltree, "SHARD", 2000)
+    x = tight(np.random.default_rng(5), 50_000)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))})).repartition(8)
+    seen = []
+    hits, blocks = balltree._searched(df, 20, 64, 20, "vec_id", "embedding", seen)
+    pairs, every = sum(p.count() for p in seen), blocks.count() * 32
+    assert hits.count() >= 20 * 2500 and blocks.count() >= 16 and pairs < 0.5 * every
+    got = balltree.exact_top_k(df).where("query_id % 2000 = 0").collect()
+    q = np.floor(64 * x.astype(float))
+    for query in range(0, len(x), 2000):
+        s = (q @ q[query]).astype(int)
+        s[query] = -(1 << 40)
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == query), key=lambda r: r["rank"])] == [(i, s[i]) for i in np.lexsort((np.arange(len(x)), -s))[:20]]
+
+
+def test_embedding_links_of_many(spark):
+    """50,000 vectors, half of them in clusters: at least 99 in 100 links are found, none that isn't there."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((400, 48))
+    x = np.concatenate([centres[rng.integers(0, 400, 25_000)] + 0.2 * rng.standard_normal((25_000, 48)), rng.standard_normal((25_000, 48))]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))})).repartition(8)
+    got = vectors.near_duplicates(df).toPandas().sort_values("vec_id")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = np.concatenate([(u[a : a + 1000] @ u.T >= 0.95).sum(axis=1) - 1 for a in range(0, len(u), 1000)])
+    found = got.n_links.to_numpy()
+    assert want.sum() > 100_000 and (found <= want).all() and found.sum() >= 0.99 * want.sum()
+
+
+def test_screen_keeps_pairs_at_the_threshold():
+    for n in (8, 60, 128):
+        limit, p = vectors.screen_limit(n), np.arccos(0.95) / np.pi
+        from math import comb
+
+        assert sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(limit + 1, n + 1)) <= 1.01 * vectors.SCREEN_MISS
+
+
+def test_columns_pass_unchanged(spark, odd_docs):
+    clash = odd_docs.withColumn("_body", F.lit("keep")).withColumn("k1", F.lit(1)).withColumn("_k1", F.lit(2)).withColumn("_stay_id", F.lit(3))
+    kept = simhash.first_of_each(clash.union(clash))
+    assert kept.columns == clash.columns and kept.count() == simhash.first_of_each(clash).count()
+    assert {(r._body, r.k1, r._k1, r._stay_id) for r in kept.collect()} == {("keep", 1, 2, 3)}
+
+
+def test_common_rows_are_spread(spark, monkeypatch):
+    """A third of all rows alike, beyond what a broadcast names and a task takes."""
+    from lyrebird import runtime
+
+    monkeypatch.setattr(runtime, "SPREAD", 50)
+    monkeypatch.setattr(simhash, "NAMED", 0)
+    rows = [(i, "the same words in all of these", i) for i in range(300)] + [(7, "the same words in all of these", 7)] * 40 + [(1000 + i, f"other words number {i} stand here {i * i}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, copies int").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert all(got[i] == 0 for i in range(300))
+    kept = simhash.first_of_each(df).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({c for c in got.values()})
+
+
 def test_few_and_huge_vectors(spark):
     df = spark.createDataFrame([(0, [1e15, 1.0]), (20, [1e15, -1.0]), (7, [2.0, 2.0]), (7, [2.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in balltree.exact_top_k(df).collect())

@@ -128,6 +128,33 @@ def test_license_label_is_the_same_at_every_place(notice, label):
     assert {(label in r["labels"].split(","), r["labels"], r["score"]) for r in got} == {(True, got[0]["labels"], got[0]["score"])}
 
 
+@pytest.mark.parametrize("notice, labels", [
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+    ("This work is licensed under the GNU Lesser General Public License.", "lgpl"),
+    ("creative commons attribution noncommercial license", "cc-by-nc"),
+    ("Dual: licensed under the GNU Lesser General Public License." + " x" * 30 + " Or licensed under the GNU General Public License.", "gpl,lgpl"),
+    (licenses.TEXTS[0][0], "mit"), (licenses.TEXTS[2][0], "bsd"), (licenses.TEXTS[4][0], "gpl"), (licenses.TEXTS[5][0], "lgpl"), (licenses.TEXTS[8][0], "zlib"),
+    ("A license to the general public: the software, provided as a copy, is free of charge for any person.", ""),
+])
+def test_license_of_a_place_is_the_best_one(notice, labels):
+    got = licenses.Scanner({}).scan("Some words before. " + notice + " And some words after it.")
+    assert got["labels"] == labels and (got["score"] >= 0.8) == bool(labels)
+
+
+def test_license_text_with_changes_is_found():
+    words = licenses.TEXTS[0][0].replace("the Software", "the Program").split()
+    text = " ".join(w for i, w in enumerate(words) if i % 11)
+    assert licenses.Scanner({}).scan("x " * 50 + text)["labels"] == "mit"
+
+
+def test_license_templates_of_ones_own(spark):
+    own = spark.createDataFrame([("All rights to these recordings stay with the band", "band"), (None, "none"), ("", "empty")], "text string, label string")
+    docs = spark.createDataFrame([(1, "Note that ALL rights to these recordings stay with the band, always."), (2, "under the mit license"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.license_scan(docs, templates=own).collect()} == {1: "band", 2: "mit", 3: ""}
+    with pytest.raises(ValueError):
+        licenses.license_scan(docs, templates=spark.createDataFrame([("word " * 200_000, "long")], "text string, label string"))
+
+
 PERSONAL = ["mail a.b@c.org, x@y a@b@c.de", "1.2.3.4.5.6.7.8 999.1.1.1 01.002.3.4", "4111 1111 1111 1111 and 4111-1111-1111-1112 79927398713000", "+1 (017) 555-7713. +12 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "é@x.yz ü1.1.1.1", "a@b.c-.d..e @x.y %@x.y", "9" * 3000 + ".1.1.1", "+" * 50 + "1 2345678901"]
 
 
@@ -169,6 +196,19 @@ def test_pii_base_property(text):
     ("192 dot 168 dot 1 dot 20", "ip", "192 dot 168 dot 1 dot 20"),
     ("card four one one one 1111 1111 1111", "card", "four one one one 1111 1111 1111"),
     ("аlice@exаmple.com", "email", "аlice@exаmple.com"),
+    ("john at example.com", "email", "john at example.com"),
+    ("Ask (john.doe at mail.example.org) first", "email", "john.doe at mail.example.org"),
+    ("juana arroba correo punto es", "email", "juana arroba correo punto es"),
+    ("jean arobase courrier.fr ici", "email", "jean arobase courrier.fr"),
+    ("hans [ät] post [punkt] de", "email", "hans [ät] post [punkt] de"),
+    ("Tel. +vier neun eins fünf eins zwei drei vier fünf sechs.", "phone", "+vier neun eins fünf eins zwei drei vier fünf sechs"),
+    ("tél +trois trois un deux trois quatre cinq six sept huit neuf, merci", "phone", "+trois trois un deux trois quatre cinq six sept huit neuf"),
+    ("llama al +tres cuatro nueve uno cero dos cinco seis siete ocho ya", "phone", "+tres cuatro nueve uno cero dos cinco seis siete ocho"),
+    ("call +1five5five5one2three4five six", "phone", "+1five5five5one2three4five six"),
+    ("pay 4 one 1 one 1111 one-one-one-one 1111 now", "card", "4 one 1 one 1111 one-one-one-one 1111"),
+    ("𝗷𝗼𝗵𝗻@𝗲𝘅𝗮𝗺𝗽𝗹𝗲.𝗰𝗼𝗺", "email", "𝗷𝗼𝗵𝗻@𝗲𝘅𝗮𝗺𝗽𝗹𝗲.𝗰𝗼𝗺"),
+    ("ip ๑๙๒.๑๖๘.๑.๒", "ip", "๑๙๒.๑๖๘.๑.๒"),
+    ("ᴊᴏʜɴ@exampʟe·com", "email", "ᴊᴏʜɴ@exampʟe·com"),
 ])
 def test_pii_disguised(text, kind, span):
     base, every = pii.spans(text)
@@ -178,7 +218,7 @@ def test_pii_disguised(text, kind, span):
         assert every == [(kind, at, at + len(span))] and pii.redacted(text) == text.replace(span, f"<{kind.upper()}>")
 
 
-@pytest.mark.parametrize("text", ["at the dot one two", "look at that dot", "one two three four five", "no (at) all", "a [dot] b", ""])
+@pytest.mark.parametrize("text", ["at the dot one two", "look at that dot", "one two three four five", "no (at) all", "a [dot] b", "", "at one point they left", "look at some point de vue", "Available at example.com", "our news at example.com", "someone at home.com asked", "20 un 3", "m² and x³ at 10² points", "zwei drei vier", "the one 2 three four", "un point de vue. Le point"])
 def test_pii_leaves_prose(text):
     assert pii.spans(text) == ([], []) and pii.redacted(text) == text
 

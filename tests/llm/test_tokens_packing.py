@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lyrebird.llm import huffman, packing, sharding
 from lyrebird.llm.tokens import BYTE_BPE, WORD_BPE, Encoder, RankEncoder, load
@@ -27,6 +28,23 @@ def test_ranks_cut_every_character_alike():
         assert np.frombuffer(ours.encode(t), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
+@pytest.mark.parametrize("text", [
+    "x" + " " * 5000 + "y", "x" + " " * 200_000 + "\n y", "\t" * 4096, " \u3000" * 3000 + "é", "a \x1c" * 3000 + "\x1f" * 5000 + "b", "w" * 300_000 + " " * 4095 + "z", "a " * 3000 + "<|endoftext|>" + " " * 9000, "  \r\n" * 2000 + "'s",
+])
+def test_ranks_cut_long_runs_alike(text):
+    assert np.frombuffer(RankEncoder(BYTE_BPE).encode(text), "<u4").tolist() == load_once(BYTE_BPE).encode(text, add_special_tokens=False).ids
+
+
+def test_ranks_are_the_librarys_over_the_corpus():
+    """Every whole text of the larger table."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    ours = RankEncoder(BYTE_BPE)
+    for t, e in zip(texts, load_once(BYTE_BPE).encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ours.encode(t), "<u4").tolist() == e.ids, t[:80]
+
+
 def plain_ids(path, text):
     return [*load_once(path).encode(text or "", add_special_tokens=False).ids, 0]
 
@@ -58,6 +76,26 @@ def test_huffman_files(which, request):
     assert Counter(r[1:] for r in got) == want
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,2)", "date"])
+def test_huffman_files_with_other_ids(spark, kind):
+    """A third of all rows share one id, some have none; files follow the order of the ids, whatever their type."""
+    rows = [(None if i % 17 == 0 else 7 if i % 3 == 0 else i, f"text number {i} " * (i % 5)) for i in range(400)]
+    key = {"string": "lpad(cast(n as string), 4, '0')", "decimal(20,2)": "cast(n / 4 as decimal(20,2))", "date": "date_add(date'2020-01-01', n)"}[kind]
+    df = spark.createDataFrame(rows, "n int, text string").selectExpr(f"{key} as doc_id", "text").repartition(5)
+    coded = huffman.tokenised(df)
+    bucket, n = huffman._bucket(coded, 6)
+    ranges = coded.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).orderBy("b").collect()
+    assert n == 6 and max(r.n for r in ranges) < 130
+    known = [r for r in ranges if r.lo is not None]
+    assert all(a.hi <= b.lo for a, b in zip(known, known[1:]))
+    got = sorted(map(tuple, huffman.huffman_ids(df).select("start", "doc_id", "n_tokens", "ids_crc32").collect()))
+    ids = [r[1] for r in got]
+    assert ids == [None] * ids.count(None) + sorted(i for i in ids if i is not None)
+    want = Counter((r.doc_id, len(i), crc(i)) for r in df.collect() for i in [plain_ids(BYTE_BPE, r.text)])
+    assert Counter(r[1:] for r in got) == want
+    assert [r[0] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
+
+
 def test_code_lengths():
     rng = np.random.default_rng(0)
     for n in (1, 2, 3, 50, 700):
