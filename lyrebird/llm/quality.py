@@ -43,15 +43,41 @@ _MIX = np.random.default_rng(7).integers(1, 1 << 62, (16, 256), dtype=np.int64).
 FEATURES = len(_CLASSES) + 10
 
 
-def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def features(text: bytes) -> np.ndarray:
+    """The rows of ``encode`` for one text of any length, AT_ONCE bytes of it at a time.
+
+    A part is encoded together with the last words before it and the end of its own last word, so the rows are
+    those of the whole text as long as no word has more than a passage's bytes; of longer words that begin in
+    another part, what is further away than that isn't seen.
+    """
+    if len(text) <= AT_ONCE:
+        return encode([text])[0]
+    out, white = [], _CLASS[np.frombuffer(text, np.uint8)]
+    white = (white == _CLASSES.index("space")) | (white == _CLASSES.index("line"))
+    for first in range(0, len(text), AT_ONCE):
+        end = min(first + AT_ONCE, len(text))
+        back = max(0, first - 4 * PASSAGE)
+        if back:  # begins with a whole word
+            gaps = np.flatnonzero(white[back:first])
+            back = back + int(gaps[0]) if len(gaps) else first
+        gaps = np.flatnonzero(white[end : end + PASSAGE])
+        ahead = end + (int(gaps[0]) if len(gaps) else len(white[end : end + PASSAGE]))
+        rows, _ = encode([text[back:ahead]], back % PASSAGE)
+        out.append(rows[first // PASSAGE - back // PASSAGE :][: -(-(end - first) // PASSAGE)])
+    return np.concatenate(out)
+
+
+def encode(texts: list[bytes], phase: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """One row of features for each passage of each text, and how many passages each text has.
 
+    ``phase``: where in a passage a text begins.
+
     Shares of kinds of characters; lengths of words; words that repeat the one, two or three before; words
     that are wholly upper case, start with a capital or end in a mark; distinct words. An empty text has one
     passage of zeros.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
-    passages = np.maximum(1, -(-sizes // PASSAGE))
+    passages = np.maximum(1, -(-(sizes + phase) // PASSAGE))
     first = np.cumsum(passages) - passages
     out = np.zeros((int(passages.sum()), FEATURES), np.float32)
     b = np.frombuffer(b"".join(texts), np.uint8)
@@ -59,7 +85,7 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return out, passages
     begin = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(texts)), sizes)
-    passage = first[doc] + (np.arange(len(b)) - begin[doc]) // PASSAGE
+    passage = first[doc] + (np.arange(len(b)) - begin[doc] + phase) // PASSAGE
     kind = _CLASS[b]
     n = np.bincount(passage, minlength=len(out)).astype(np.float32)
     n[n == 0] = 1
@@ -188,7 +214,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features(text: str | None) -> np.ndarray:
-    return encode([(text or "").encode("utf-8")])[0]
+    return features((text or "").encode("utf-8"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, passages: int = SAMPLE_PASSAGES) -> Model:
@@ -239,7 +265,15 @@ def scorer(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
         for column in texts:
             out, held, size = [], [], 0
             for t in column:
-                held.append((t.as_py() or "").encode("utf-8"))
+                text = (t.as_py() or "").encode("utf-8")
+                if len(text) > AT_ONCE:  # a text of its own
+                    if held:
+                        out.append(own.scores(*encode(held)))
+                        held, size = [], 0
+                    rows = features(text)
+                    out.append(own.scores(rows, np.array([len(rows)])))
+                    continue
+                held.append(text)
                 size += len(held[-1])
                 if size > AT_ONCE:
                     out.append(own.scores(*encode(held)))

@@ -159,15 +159,14 @@ class RankEncoder(Encoder):
         raw = {c: b for b, c in enumerate(_SHOWN)}
         special = set(self.specials)
         ranks = {bytes(map(raw.__getitem__, t)): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
-        self._coder = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._ranks = self._coder.encode_ordinary
+        self._ranks = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _part(self, text: str) -> bytes:
         out, at = [], 0
         for m in self.WHITE.finditer(text):
             end = m.end() if m.end() == len(text) else m.end() - 1
             out += self._ranks(text[at : m.start()])
-            out += self._coder.encode_single_piece(text[m.start() : end])
+            out += self.model(shown(text[m.start() : end]))
             at = end
         return _little_endian(out + self._ranks(text[at:]) if out else self._ranks(text[at:]))
 

@@ -315,5 +315,36 @@ def test_quality_passages():
     assert np.allclose(np.concatenate(alone), rows)
 
 
+@pytest.mark.parametrize("at_once", [2048, 8192])
+def test_quality_of_long_texts_by_parts(monkeypatch, at_once):
+    rng = np.random.default_rng(at_once)
+    words = [b"abc", b"De", b"fgh!", b"12", b"IJK", "é".encode(), b"long" * 40, b"\n"]
+    text = b" ".join(words[i] for i in rng.integers(0, len(words), 9000))
+    whole = quality.encode([text])[0]
+    monkeypatch.setattr(quality, "AT_ONCE", at_once)
+    assert np.allclose(quality.features(text), whole) and len(whole) > 100
+    assert len(quality.features(b"a" * 50_000)) == 49
+
+
+LONG = "The MIT License: under the MIT license, write to a.b@c.example.org or +1 (017) 555-7713. " * 60_000
+
+
+def test_texts_of_megabytes(spark):
+    """A text of over 5 MB goes through every operator that reads whole texts."""
+    from lyrebird.llm import simhash
+
+    assert len(LONG) > 5_000_000
+    df = spark.createDataFrame([(1, LONG), (2, "a" * 5_000_000), (3, "short one")], "doc_id long, text string").repartition(1)
+    found = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    assert (found[1].n_email, found[1].n_phone, found[2].n_email) == (60_000, 60_000, 0)
+    scans = {r.doc_id: r for r in licenses.license_scan(df).collect()}
+    assert scans[1].n_base == 60_000 and scans[1].labels == "mit" and scans[2].n_words == 1
+    assert simhash.near_duplicates(df).where("component_id = doc_id").count() == 3
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 4)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in quality.quality_scores(df, labels).collect())
+    tokens = {r.doc_id: r for r in bpe.round_trip(df).select("doc_id", "n_tokens").collect()}
+    assert tokens[1].n_tokens > 1_000_000 and tokens[2].n_tokens > 100_000
+
+
 def test_odd_texts_are_whole():
     assert any(t and len(t) > 5000 for t in ODD)
