@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lyrebird.runtime import ship
 
 #: Bytes of a passage, and of the texts that are encoded at once.
-PASSAGE, AT_ONCE = 1024, 1 << 20
+PASSAGE, AT_ONCE = 1024, 1 << 19
 #: Labelled documents that a model is fitted on at most, and the passages that these may have together; of a
 #: document that is taken all passages count, and scoring sees all passages of all documents.
 SAMPLE, SAMPLE_PASSAGES = 6000, 1 << 18

@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Chunks that a worker remembers, in each of two generations.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 #: Longer chunks are encoded anew each time, so that memory stays bounded.
 LONGEST = 48
 #: Whether a chunk is one word of plain letters.
