@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lyrebird.functions.text import WHITE, trimmed
+
 # Note names, steps of the natural notes, and scale degrees.
 SHARPS = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
 FLATS = ("C", "Db", "D", "Eb", "E", "F", "Gb", "G", "Ab", "A", "Bb", "B")
@@ -15,8 +17,10 @@ FLAT_KEYS = (1, 3, 5, 8, 10)
 MAJOR_SCALE = ((0, "maj"), (2, "min"), (4, "min"), (5, "maj"), (7, "maj"), (9, "min"), (11, "dim"))
 MINOR_SCALE = ((0, "min"), (2, "dim"), (3, "maj"), (5, "min"), (7, "maj"), (8, "maj"), (10, "maj"))
 SUFFIX = {"maj": "", "min": "m", "dim": "°"}
+QUALITIES = tuple(SUFFIX)
 
 _ROOT = r"^([A-G])([#♯b♭]?)"
+_KEY = rf"(?i)^([A-G])([#♯b♭]?){WHITE}*(m|min|minor)?$"
 
 
 def _names(flats: Column) -> Column:
@@ -106,11 +110,12 @@ def default_tonic(declared: Column, detected: Column, confidence: Column) -> Col
 
 def parse_key(value: Column) -> Column:
     """(tonic, mode) of a key directive such as ``F#m`` or ``bb minor``; null if it is anything else."""
-    text = F.trim(value)
-    named = F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
-    rest = F.lower(F.trim(F.substr(named, root_length(named) + 1)))
-    mode = F.when(rest.isin("m", "min", "minor"), "minor").otherwise("major")
-    return F.when(parse_root(named).isNotNull() & rest.isin("", "m", "min", "minor"), F.struct(parse_root(named).alias("tonic"), mode.alias("mode")))
+    text = trimmed(value)
+    letter, mark = F.upper(F.regexp_extract(text, _KEY, 1)), F.regexp_extract(text, _KEY, 2)
+    # a capital B after the letter is taken for a mark, but moves nothing
+    root = parse_root(F.concat(letter, F.when(mark == "B", "").otherwise(mark)))
+    mode = F.when(F.regexp_extract(text, _KEY, 3) != "", "minor").otherwise("major")
+    return F.when(F.rlike(text, F.lit(_KEY)), F.struct(root.alias("tonic"), mode.alias("mode")))
 
 
 def norm_symbol(value: Column) -> Column:
@@ -118,16 +123,10 @@ def norm_symbol(value: Column) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), (("-sharp", "#"), ("-flat", "b"), ("-slash-", "/"), ("-", "")), value)
 
 
-def key_scores(spark: SparkSession) -> DataFrame:
-    """(root, quality, tonic, minor, score): 864 rows, 1 for a symbol of the key, 0.5 for its root alone, 0 else."""
-    kinds = F.explode(F.array(*[F.lit(q) for q in ("maj", "min", "dim")]))
-    grid = spark.range(12 * 12).select((F.col("id") % 12).cast("int").alias("root"), (F.col("id") / 12).cast("int").alias("tonic"), kinds.alias("quality"))
-    grid = grid.withColumn("minor", F.explode(F.array(F.lit(False), F.lit(True))))
-    step = F.pmod(F.col("root") - F.col("tonic"), F.lit(12))
-
-    def score(scale: tuple) -> Column:
-        on_root = step.isin(*[s for s, _ in scale])
-        whole = reduce(lambda a, b: a | b, [(step == s) & (F.col("quality") == q) for s, q in scale])
-        return F.when(whole, 1.0).when(on_root, 0.5).otherwise(0.0)
-
-    return grid.withColumn("score", F.when(F.col("minor"), score(MINOR_SCALE)).otherwise(score(MAJOR_SCALE)))
+def key_points(counts: dict[tuple[int, str], Column], tonic: int, minor: bool) -> Column:
+    """Twice the score of a key, from how often each (root, quality) occurs: 2 for a symbol of the key, 1 for its root alone."""
+    out = F.lit(0)
+    for step, quality in MINOR_SCALE if minor else MAJOR_SCALE:
+        root = (tonic + step) % 12
+        out = reduce(lambda a, q: a + counts[root, q], QUALITIES, out) + counts[root, quality]
+    return out

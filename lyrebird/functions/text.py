@@ -157,6 +157,14 @@ def same_host(url: Column, host: str) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("HOST")) == host, F.lit(False))
 
 
+def url_suffix(url: Column, default: str = ".png") -> Column:
+    """The lower-cased ending, with its dot, of a URL's path; a path without one has the default."""
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*:", ""), r"^//[^/?#]*", ""), r"[?#].*$", "")
+    name = F.regexp_replace(F.substring_index(F.regexp_replace(path, r";[^/]*$", ""), "/", -1), r"^\.+", "")
+    ending = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    return F.when(ending == "", F.lit(default)).otherwise(ending)
+
+
 def room_code(c: Column) -> Column:
     return F.coalesce(F.rlike(c, F.lit("^[0-9]{6}$")), F.lit(False))
 

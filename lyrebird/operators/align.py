@@ -14,6 +14,9 @@ from lyrebird.operators.sheets import insert_markers
 # Thai vowels and marks that stand over or under the letter before them.
 COMBINING = "ัิ-ฺ็-๎"
 LOW_SCORE, SURE = 0.30, 0.85
+# What labels a row in a finished sheet, and how a row of symbols is tidied.
+LABEL = r"^(?i)(Intro|Instru|Solo|Outro|Ending|Hook|Verse|Chorus|Pre)(?![A-Za-z0-9_])"
+SLASHES, ENDS = r"(?:/\s*){2,}", r"^[ /]+|[ /]+$"
 
 
 def locate_anchor(text: Column, anchor: Column, start: Column) -> Column:
@@ -46,8 +49,8 @@ def palette_ok(symbol: Column, palette: Column) -> Column:
 
 def clean_sequence(row: Column) -> Column:
     """A row of symbols with single spaces and single slashes, neither at its ends."""
-    tight = F.regexp_replace(F.trim(F.regexp_replace(row, r"\s+", " ")), r"(?:/\s*){2,}", "/ ")
-    return F.trim(F.regexp_replace(tight, r"^[ /]+|[ /]+$", ""))
+    tight = F.regexp_replace(F.trim(F.regexp_replace(row, r"\s+", " ")), SLASHES, "/ ")
+    return F.trim(F.regexp_replace(tight, ENDS, ""))
 
 
 def _gap_path(rendered: np.ndarray, source: np.ndarray, cost: float) -> np.ndarray:
@@ -113,10 +116,9 @@ def align_report(lines: DataFrame, placements: DataFrame, sheets: DataFrame, pal
 
     palettes: id, palette; bands: id, lyric_bands (how many lyric rows the image shows).
     """
-    label = r"^(?i)(Intro|Instru|Solo|Outro|Ending|Hook|Verse|Chorus|Pre)(?![A-Za-z0-9_])"
     sung = lines.where(F.rlike("line", F.lit(f"[{script}]")))
     want = sung.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "").alias("want"), F.count("*").alias("sung"))
-    plain = F.filter(F.split("sheet", "\n"), lambda l: ~F.rlike(l, F.lit(r"^\s*\{.*\}\s*$")) & ~F.rlike(l, F.lit(label)))
+    plain = F.filter(F.split("sheet", "\n"), lambda l: ~F.rlike(l, F.lit(r"^\s*\{.*\}\s*$")) & ~F.rlike(l, F.lit(LABEL)))
     got = sheets.select("id", F.regexp_replace(F.array_join(plain, "\n"), r"\[[^\]]*\]", "").alias("got"))
     symbols = placements.join(palettes, "id", "left").where("symbol != ''")
     scored = symbols.groupBy("id").agg(

@@ -49,6 +49,14 @@ def merge_user_data(local: DataFrame, remote: DataFrame, user: str = "user_id")
     return both.select(user, merged_favourites(*pick("favorites")).alias("favorites"), merged_recents(*pick("latest")).alias("latest"), room.alias("room_code"))
 
 
+def sanitised_tombstones(df: DataFrame, json_col: str, id_cols: list[str]) -> DataFrame:
+    """(id_cols..., id, deleted_at) from untrusted JSON: only entries of an object whose values are numbers count."""
+    held = F.try_parse_json(F.col(json_col)).try_cast("map<string,variant>")
+    entries = df.select(*id_cols, F.explode(held).alias("id", "v"))
+    number = F.regexp_like(F.schema_of_variant("v"), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
+    return entries.where(number).select(*id_cols, "id", F.col("v").cast("double").alias("deleted_at")).where(F.abs("deleted_at") < float("inf")).withColumn("deleted_at", F.col("deleted_at").cast("long"))
+
+
 def merge_tombstones(*parts: DataFrame, owner: str = "owner") -> DataFrame:
     """(owner, id, deleted_at): the latest deletion of each id."""
     both = parts[0].select(owner, "id", "deleted_at")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.functions.music import symbol_quality, key_scores, parse_root
+from lyrebird.functions.music import QUALITIES, key_points, parse_root, symbol_quality
 
 
 def parsed_symbols(df: DataFrame, symbol_col: str = "symbol") -> DataFrame:
@@ -16,19 +16,23 @@ def parsed_symbols(df: DataFrame, symbol_col: str = "symbol") -> DataFrame:
 def detect_keys(symbols: DataFrame, id_col: str, pos_col: str) -> DataFrame:
     """(id, tonic, mode, confidence) from (id, pos, root, quality); ids without symbols don't show.
 
-    Symbols are counted by id, root and quality first; the counts meet a fixed table of scores. Of the keys
-    with the best score the first symbol's own wins, then the tonic that is a root most often, then major,
-    then the lower tonic.
+    One aggregation gives each id its counts of the 36 roots with qualities; the 24 keys are scored in the same
+    row. Of the keys with the best score the first symbol's own wins, then the tonic that is a root most often,
+    then major, then the lower tonic.
     """
-    counts = symbols.groupBy(id_col, "root", "quality").agg(F.count("*").alias("n"), F.min(F.struct(pos_col, "root", "quality")).alias("first"))
-    whole = counts.groupBy(id_col).agg(F.sum("n").alias("total"), F.min("first").alias("first"))
-    scored = counts.join(F.broadcast(key_scores(symbols.sparkSession)), ["root", "quality"]).groupBy(id_col, "tonic", "minor").agg(F.sum(F.col("n") * F.col("score")).alias("score"), F.sum(F.when(F.col("root") == F.col("tonic"), F.col("n")).otherwise(0)).alias("as_root"))
-    ranked = scored.join(whole, id_col)
-    own = (F.col("tonic") == F.col("first.root")) & (F.col("minor") == (F.col("first.quality") == "min"))
-    # the least of these is the key: the score counts in halves, so equal scores are equal exactly
-    place = F.struct((-F.col("score")).alias("s"), (~own).alias("not_own"), (-F.col("as_root")).alias("r"), "minor", "tonic", "total")
-    best = ranked.groupBy(id_col).agg(F.min(place).alias("b"))
-    return best.select(id_col, F.col("b.tonic").alias("tonic"), F.when(F.col("b.minor"), "minor").otherwise("major").alias("mode"), F.least(F.lit(1.0), -F.col("b.s") / F.col("b.total")).alias("confidence"))
+    kinds = [(r, q) for r in range(12) for q in QUALITIES]
+    name = lambda r, q: f"_{r}{q}"
+    tally = [F.count_if((F.col("root") == r) & (F.col("quality") == q)).alias(name(r, q)) for r, q in kinds]
+    whole = symbols.groupBy(id_col).agg(F.count("*").alias("_total"), F.min(F.struct(pos_col, "root", "quality")).alias("_first"), *tally)
+    counts = {(r, q): F.col(name(r, q)) for r, q in kinds}
+
+    def place(tonic: int, minor: bool) -> Column:
+        own = (F.col("_first.root") == tonic) & ((F.col("_first.quality") == "min") == minor)
+        as_root = sum((counts[tonic, q] for q in QUALITIES), F.lit(0))
+        return F.struct((-key_points(counts, tonic, minor)).alias("s"), (~own).alias("not_own"), (-as_root).alias("r"), F.lit(minor).alias("minor"), F.lit(tonic).alias("tonic"))
+
+    best = whole.select(id_col, "_total", F.least(*[place(t, m) for m in (False, True) for t in range(12)]).alias("b"))
+    return best.select(id_col, F.col("b.tonic").alias("tonic"), F.when(F.col("b.minor"), "minor").otherwise("major").alias("mode"), F.least(F.lit(1.0), -F.col("b.s") / 2 / F.col("_total")).alias("confidence"))
 
 
 def root_histogram(symbols: DataFrame, id_col: str) -> DataFrame:

@@ -34,14 +34,21 @@ def todo_settled(ids: DataFrame, log: DataFrame, settled: tuple[str, ...] = ("ok
     return ids.join(log.where(F.col("status").isin(*settled)).select(key), key, "left_anti")
 
 
-def worklist(df: DataFrame, done: DataFrame, key: str = "id", ids: list[int] | None = None, start: int = 0, limit: int | None = None, force: bool = False) -> DataFrame:
-    """Rows to work on: those named, whether done or not; else from ``start`` on and not done; then the limit."""
+def worklist(df: DataFrame, done: DataFrame, key: str = "id", ids: list[int] | None = None, start: int = 0, limit: int | None = None, force: bool = False, skip: int = 0) -> DataFrame:
+    """Rows to work on: those named, whether done or not; else from ``start`` on and not done.
+
+    Of these, in the order of the key, ``skip`` are left out and then ``limit`` are taken.
+    """
     if ids is not None:
         picked = df.where(F.col(key).isin(*ids))
     else:
         picked = df.where(F.col(key) >= start)
         picked = picked if force else picked.join(done.select(key), key, "left_anti")
-    return picked.orderBy(key).limit(limit) if limit is not None else picked
+    if skip or limit is not None:
+        picked = picked.orderBy(key)
+        picked = picked.offset(skip) if skip else picked
+        picked = picked.limit(limit) if limit is not None else picked
+    return picked
 
 
 def finalize(log: DataFrame, blocklist: DataFrame, key: str = "id", order: str = "line_no") -> DataFrame:
@@ -50,10 +57,11 @@ def finalize(log: DataFrame, blocklist: DataFrame, key: str = "id", order: str =
 
 
 def merged_blocklists(*lists: DataFrame, key: str = "id") -> DataFrame:
+    """The ids of all lists, each once, in ascending order; null ids go."""
     out = lists[0].select(key)
     for more in lists[1:]:
         out = out.union(more.select(key))
-    return out.distinct()
+    return out.where(F.col(key).isNotNull()).distinct().orderBy(key)
 
 
 def largest_id(df: DataFrame, key: str = "id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lyrebird.functions.text import WHITE, html_text, trimmed
+from lyrebird.runtime import checkpoint
 
 
 def region(html: Column, start: str, ends: tuple[str, ...], placeholder: str | None = None) -> Column:
@@ -28,9 +29,16 @@ def attributes(html: Column, name: str) -> Column:
 
 
 def first_image(html: Column) -> Column:
-    """(src, alt) of the first image tag; null without one."""
-    tag = F.regexp_extract(html, r"(?is)<img\b[^>]*>", 0)
-    value = lambda a: F.regexp_extract(tag, rf'(?is)\b{a}\s*=\s*"([^"]*)"', 1)
+    """(src, alt) of the first image tag; null without one, and so is an attribute that it lacks.
+
+    Values may stand in double quotes, single quotes or none. For the first image of a block give its ``region``.
+    """
+    tag = F.regexp_extract(html, r"""(?is)<img\b(?:[^>"']|"[^"]*"|'[^']*')*>""", 0)
+
+    def value(name: str) -> Column:
+        given = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+        return F.when(F.rlike(tag, F.lit(given)), F.concat(*[F.regexp_extract(tag, given, g) for g in (1, 2, 3)]))
+
     return F.when(tag != "", F.struct(value("src").alias("src"), value("alt").alias("alt")))
 
 
@@ -53,12 +61,26 @@ def extract_pages(pages: DataFrame, start: str, ends: tuple[str, ...], attribute
 def numbered_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, line, blank), one row for each line."""
     lines = df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    return lines.withColumn("blank", F.trim("line") == "")
+    return lines.withColumn("blank", trimmed(F.col("line")) == "")
+
 
+def sitemap_urls(files: DataFrame, root: str, host: str, levels: int = 16) -> DataFrame:
+    """(loc): the distinct page locations on a host that the sitemap file ``root`` leads to.
 
-def sitemap_urls(texts: DataFrame, host: str, text_col: str = "value") -> DataFrame:
-    """The distinct locations of sitemap files that are on a host."""
+    files: url, value (a file's text). An index leads to the files that it names, and these may be indexes
+    again; each file is read once, so indexes may name one another. One join for each level.
+    """
     from lyrebird.functions.text import same_host
 
-    urls = texts.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"<loc>\s*([^<]*?)\s*</loc>"), F.lit(1))).alias("loc"))
-    return urls.where(same_host(F.col("loc"), host)).distinct()
+    spark = files.sparkSession
+    loc = F.explode(F.regexp_extract_all("value", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("loc")
+    front = seen = spark.createDataFrame([(root,)], "url string")
+    pages = spark.createDataFrame([], "loc string")
+    for _ in range(levels):
+        there = files.join(front, "url", "left_semi").select(F.rlike("value", F.lit(r"<sitemapindex[\s>]")).alias("index"), loc)
+        pages = pages.union(there.where(~F.col("index")).select("loc"))
+        front = checkpoint(there.where("index").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti"))
+        if front.isEmpty():
+            return pages.where(same_host(F.col("loc"), host)).distinct()
+        seen = seen.union(front)
+    raise ValueError(f"indexes are nested over {levels} deep")

@@ -21,6 +21,11 @@ def discrepancies(found: DataFrame, *stores: str, key: str = "key") -> DataFrame
     return found.select(F.explode(F.filter(reports, lambda r: r.isNotNull())).alias("report"), key)
 
 
+def strays(key: str = "key", **stores: DataFrame) -> DataFrame:
+    """(report, key): stray_<store> for the files of each store that are none of the expected kind (``sources.files.by_suffix``)."""
+    return reduce(DataFrame.union, [df.select(F.lit(f"stray_{name}").alias("report"), key) for name, df in stores.items()])
+
+
 def verdict(found: DataFrame, *stores: str) -> DataFrame:
     """One row of counts, and whether all agree."""
     counts = [F.count_if("expected").alias("n_expected")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lyrebird.functions.text import has_all, has_run, name_tokens, search_key
 from lyrebird.operators.names import numbered
+from lyrebird.runtime import spread_join
 
 
 def with_search_key(df: DataFrame, name_col: str, nfc: bool = True) -> DataFrame:
@@ -47,13 +48,15 @@ def related(catalogue: DataFrame, n: int = 12) -> DataFrame:
 
     First the n smallest ids that share a token of the name, then the row's followers on the ring of all
     ids. Only the n + 1 smallest ids of a token can ever count, so each token is cut to these before the
-    join; the ring's next 2n - 1 followers suffice, as at most n - 1 of them can be taken already.
+    join, and a token that very many rows have is dealt over several tasks; the ring's next 2n - 1 followers suffice, as at most n - 1 of them can be taken already.
     """
     songs = numbered(catalogue.select("id", "name"), ["id"], "idx")
     total = songs.count()
     words = songs.select("id", F.explode(F.array_distinct(name_tokens(F.col("name")))).alias("token"))
-    heads = first_n(words, "token", "id", n + 1).withColumnRenamed("id", "other")
-    shared = first_n(words.join(heads, "token").where("id != other").select("id", "other"), "id", "other", n)
+    heads = first_n(words, "token", "id", n + 1).groupBy("token").agg(F.collect_list("id").alias("others"))
+    heads = heads.join(words.groupBy("token").agg(F.count("*").alias("rows")), "token")
+    met = spread_join(words, heads, ["token"], "rows").select("id", F.explode("others").alias("other"))
+    shared = first_n(met.where("id != other"), "id", "other", n)
     shared = shared.groupBy("id").agg(F.array_sort(F.collect_list("other")).alias("shared"))
     steps = min(2 * n - 1, max(total - 1, 0))
     ring = songs.select("id", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "idx") if steps else songs.select("id", F.lit(1).alias("step"), "idx").limit(0)

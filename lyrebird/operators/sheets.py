@@ -7,24 +7,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.functions.music import parse_key
+from lyrebird.functions.music import parse_key, relative_major
+from lyrebird.functions.text import WHITE, trimmed
 
-# Section words that may label a row of symbols, and directives with their aliases.
+# Section words that may label a row of symbols, directives with their aliases, and the patterns of
+# bracketed symbols, directive lines, headings and separators.
 LABELS = ("intro", "verse", "chorus", "prechorus", "bridge", "outro", "ending", "coda", "solo", "interlude", "instrumental", "instru", "hook", "tag", "riff")
 DIRECTIVES = {"key": ("key",), "note": ("note", "comment", "c"), "title": ("title", "t"), "artist": ("artist", "subtitle", "st")}
-
 _SYMBOL = r"\[([^\]]*)\]"
-_LABEL = r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(LABELS) + r")(?![A-Za-z0-9_])"
 _DIRECTIVE = r"^\{\s*([A-Za-z_]+)\s*:\s*([^}]*)\}\s*$"
+_HEADING = r"^\s{0,3}#{1,6}[ \t]+(?=\S)"
+_SEPARATOR = r"[/|×xX*:.,\-–—0-9]"
+
+_LABEL = r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(LABELS) + r")(?![A-Za-z0-9_])"
+
+
+def _symbols(line: Column) -> Column:
+    """What stands in brackets, trimmed; it may be blank."""
+    return F.transform(F.regexp_extract_all(line, F.lit(_SYMBOL), F.lit(1)), lambda s: trimmed(s))
 
 
 def tokens(line: Column) -> Column:
-    """The line as (type, value): text and symbols in turn, empty texts left out."""
-    symbols = F.regexp_extract_all(line, F.lit(_SYMBOL), F.lit(1))
-    texts = F.split(line, _SYMBOL)
+    """The line as (type, value): text and trimmed symbols in turn, empty texts left out; a symbol may be blank."""
     pairs = F.flatten(
         F.transform(
-            F.arrays_zip(texts.alias("t"), symbols.alias("c")),
+            F.arrays_zip(F.split(line, _SYMBOL).alias("t"), _symbols(line).alias("c")),
             lambda p: F.array(F.struct(F.lit("text").alias("type"), p["t"].alias("value")), F.struct(F.lit("symbol").alias("type"), p["c"].alias("value"))),
         )
     )
@@ -32,47 +39,55 @@ def tokens(line: Column) -> Column:
 
 
 def segments(line: Column) -> Column:
-    """(symbol, text): each symbol with the text after it; text before the first symbol has an empty one."""
-    symbols = F.regexp_extract_all(line, F.lit(_SYMBOL), F.lit(1))
-    texts = F.split(line, _SYMBOL)
-    opened = F.arrays_zip(F.concat(F.array(F.lit("")), symbols).alias("symbol"), texts.alias("text"), F.sequence(F.lit(0), F.size(symbols)).alias("n"))
+    """(symbol, text): each trimmed symbol with the text after it; text before the first symbol has an empty one."""
+    symbols = _symbols(line)
+    opened = F.arrays_zip(F.concat(F.array(F.lit("")), symbols).alias("symbol"), F.split(line, _SYMBOL).alias("text"), F.sequence(F.lit(0), F.size(symbols)).alias("n"))
     kept = F.filter(opened, lambda s: (s["n"] > 0) | (s["text"] != ""))
     return F.transform(kept, lambda s: F.struct(s["symbol"].alias("symbol"), s["text"].alias("text")))
 
 
 def symbol_only(line: Column) -> Column:
-    """Whether nothing is left of a line with symbols once symbols, brackets of notes, labels and separators go."""
+    """Whether nothing is left of a line once symbols, notes in parentheses, labels and separators go.
+
+    The line needs no symbol: a label alone is such a row, too.
+    """
     rest = F.regexp_replace(F.regexp_replace(line, _SYMBOL, " "), r"\([^)]*\)", " ")
-    rest = F.regexp_replace(F.regexp_replace(rest, _LABEL, " "), r"[/|×xX*:.,\-–—0-9\s]+", "")
-    return F.rlike(line, F.lit(_SYMBOL)) & (rest == "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, _LABEL, " "), _SEPARATOR, " "), f"{WHITE}+", "") == ""
 
 
 def lead_label(line: Column) -> Column:
-    """The label and spaces that a row of symbols begins with."""
-    return F.regexp_extract(line, r"^[^\[]*", 0)
+    """What stands before a line's first symbol, if a section word is in it, else an empty string."""
+    lead = F.regexp_extract(line, rf"^(.*?){_SYMBOL}", 1)
+    return F.when(F.rlike(lead, F.lit(_LABEL)), lead).otherwise("")
 
 
 def parse_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, line, kind) with kind one of directive, blank, symbols, lyric; headings lose their marks."""
+    """(id, line_no, line, kind) with kind one of directive, blank, symbols, lyric.
+
+    White space at a line's end goes, and headings lose their marks.
+    """
     lines = df.select(id_col, F.posexplode(F.split(F.regexp_replace(F.col(text_col), r"\r\n?", "\n"), "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"^\s{0,3}#{1,6}[ \t]+(?=\S)", ""))
-    kind = F.when(F.rlike("line", F.lit(_DIRECTIVE)), "directive").when(F.trim("line") == "", "blank").when(symbol_only(F.col("line")), "symbols").otherwise("lyric")
+    lines = lines.withColumn("line", F.regexp_replace(F.regexp_replace("line", f"{WHITE}+$", ""), _HEADING, ""))
+    kind = F.when(F.rlike("line", F.lit(_DIRECTIVE)), "directive").when(trimmed(F.col("line")) == "", "blank").when(symbol_only(F.col("line")), "symbols").otherwise("lyric")
     return lines.withColumn("kind", kind)
 
 
 def sheet_meta(lines: DataFrame, id_col: str) -> DataFrame:
-    """(id, key, note, title, artist, tonic, mode) from directive lines; the last of each wins, unknown ones don't count."""
-    name, value = F.lower(F.regexp_extract("line", _DIRECTIVE, 1)), F.trim(F.regexp_extract("line", _DIRECTIVE, 2))
+    """(id, key, note, title, artist, tonic, mode, source) from directive lines.
+
+    The last of each wins, unknown ones don't count. source is the key's relative major; null without a key.
+    """
+    name, value = F.lower(F.regexp_extract("line", _DIRECTIVE, 1)), trimmed(F.regexp_extract("line", _DIRECTIVE, 2))
     known = reduce(lambda w, kv: w.when(name.isin(*kv[1]), F.lit(kv[0])), list(DIRECTIVES.items())[1:], F.when(name.isin(*DIRECTIVES["key"]), F.lit("key")))
     found = lines.where("kind = 'directive'").select(id_col, "line_no", known.alias("name"), value.alias("value")).where("name is not null")
     meta = found.groupBy(id_col).agg(*[F.max_by(F.when(F.col("name") == n, F.col("value")), F.when(F.col("name") == n, F.col("line_no"))).alias(n) for n in DIRECTIVES])
     key = parse_key(F.col("key"))
-    return meta.withColumn("tonic", key["tonic"]).withColumn("mode", key["mode"])
+    return meta.withColumn("tonic", key["tonic"]).withColumn("mode", key["mode"]).withColumn("source", relative_major(F.col("tonic"), F.col("mode")))
 
 
 def sheet_symbols(lines: DataFrame, id_col: str) -> DataFrame:
-    """(id, pos, symbol): all symbols of a sheet in reading order."""
-    marks = lines.select(id_col, "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(_SYMBOL), F.lit(1))).alias("at", "symbol"))
+    """(id, pos, symbol): all symbols of a sheet in reading order, trimmed; blank ones and those of directives don't count."""
+    marks = lines.where("kind != 'directive'").select(id_col, "line_no", F.posexplode(_symbols(F.col("line"))).alias("at", "symbol")).where("symbol != ''")
     return marks.select(id_col, (F.col("line_no").cast("long") * (1 << 20) + F.col("at")).alias("pos"), "symbol")
 
 
@@ -84,15 +99,19 @@ def distinct_symbols(symbols: DataFrame, id_col: str, head: int = 12) -> DataFra
 
 
 def symbol_rows(lines: DataFrame, id_col: str) -> DataFrame:
-    """(id, line_no, line, indent): rows of symbols; those that follow one another take the first one's label as indent."""
+    """(id, line_no, line, indent): rows of symbols.
+
+    In a run of rows (directives don't end it) all after the first are indented by what labels the first.
+    """
     from pyspark.sql import Window
 
+    shown = lines.where("kind != 'directive'")
     by_line = Window.partitionBy(id_col).orderBy("line_no")
     island = F.sum(F.when(F.col("kind") == "symbols", 0).otherwise(1)).over(by_line)
-    rows = lines.withColumn("_island", island).where("kind = 'symbols'")
-    label = lead_label(F.first("line").over(Window.partitionBy(id_col, "_island").orderBy("line_no")))
-    first = F.row_number().over(Window.partitionBy(id_col, "_island").orderBy("line_no")) == 1
-    return rows.select(id_col, "line_no", "line", F.when(first | (lead_label(F.col("line")) != ""), F.lit("")).otherwise(label).alias("indent"))
+    rows = shown.withColumn("_island", island).where("kind = 'symbols'")
+    in_run = Window.partitionBy(id_col, "_island").orderBy("line_no")
+    indent = F.when(F.row_number().over(in_run) == 1, "").otherwise(lead_label(F.first("line").over(in_run)))
+    return rows.select(id_col, "line_no", "line", indent.alias("indent"))
 
 
 def rendered_line(line: Column) -> Column:
@@ -103,7 +122,7 @@ def rendered_line(line: Column) -> Column:
     start = F.struct(F.lit("").alias("c"), F.lit("").alias("t"))
 
     def add(acc: Column, s: Column) -> Column:
-        symbol = F.trim(s["symbol"])
+        symbol = s["symbol"]
         at = F.greatest(F.length(acc["c"]), F.length(acc["t"]))
         over = F.when(symbol == "", acc["c"]).otherwise(F.concat(F.rpad(acc["c"], at, " "), symbol, F.lit(" ")))
         return F.struct(over.alias("c"), F.concat(acc["t"], s["text"]).alias("t"))
@@ -112,7 +131,7 @@ def rendered_line(line: Column) -> Column:
     done = F.transform(F.array(F.aggregate(segments(line), start, add)), lambda d: F.struct(F.regexp_replace(d["c"], end, "").alias("c"), F.regexp_replace(d["t"], end, "").alias("t")))
     both = F.get(F.transform(done, lambda d: F.when(d["c"] == "", d["t"]).otherwise(F.concat(d["c"], F.lit("\n"), d["t"]))), F.lit(0))
     bare = F.trim(F.regexp_replace(F.regexp_replace(line, _SYMBOL, "$1"), r"\s+", " "))
-    return F.when(symbol_only(line), bare).when(F.trim(line) == "", F.lit("")).otherwise(both)
+    return F.when(symbol_only(line), bare).when(trimmed(line) == "", F.lit("")).otherwise(both)
 
 
 def render_sheets(lines: DataFrame, id_col: str) -> DataFrame:

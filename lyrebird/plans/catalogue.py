@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lyrebird.functions import text as tx
-from lyrebird.operators import ingest, names, reconcile, search
+from lyrebird.operators import ingest, names, pages, reconcile, search
 from lyrebird.plans.registry import Tables, query
+from lyrebird.sources import files
 
 PREFIX = "P "
 _RAW_SQL = """(SELECT p_partkey AS id, 'P ' || p_name || CASE p_partkey % 4 WHEN 0 THEN '/x:' WHEN 1 THEN '  . ' WHEN 2 THEN chr(9) || '?' ELSE ' ' END || CASE WHEN p_partkey % 3 = 0 THEN upper(p_type) ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN ' ...' ELSE '' END AS raw FROM part)"""
@@ -266,6 +267,73 @@ def page_status(t: Tables) -> DataFrame:
     return ingest.status_tally(t.pages.select(status.alias("status")))
 
 
+@query("SELECT report, key FROM (SELECT o_orderkey || CASE o_orderkey % 4 WHEN 0 THEN '.webp' WHEN 1 THEN '.WebP' WHEN 2 THEN '.png' ELSE '' END AS key, 'stray_disk' AS report FROM orders UNION ALL SELECT s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '.webp.tmp' ELSE '.webp' END, 'stray_bucket' FROM supplier) WHERE NOT regexp_matches(lower(key), '[^.].*\\.webp$')")
+def stray_files(t: Tables) -> DataFrame:
+    k, s = F.col("o_orderkey"), F.col("s_suppkey")
+    disk = t.orders.select(F.concat(k, F.when(k % 4 == 0, ".webp").when(k % 4 == 1, ".WebP").when(k % 4 == 2, ".png").otherwise("")).alias("key"))
+    bucket = t.supplier.select(F.concat(s, F.when(s % 3 == 0, ".webp.tmp").otherwise(".webp")).alias("key"))
+    return reconcile.strays(disk=files.by_suffix(disk)[1], bucket=files.by_suffix(bucket)[1])
+
+
+@query("SELECT o_orderkey || '.png' AS name FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0")
+def unconverted_files(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    present = t.orders.where((k % 3 == 0) | (k % 7 == 0)).select(F.concat(k, F.when(k % 3 == 0, ".webp").otherwise(".JPEG")).alias("name"))
+    return reconcile.skip_existing(t.orders.select(F.concat(k, F.lit(".png")).alias("name")), present)
+
+
+@query("SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' WHEN 2 THEN '.png' WHEN 3 THEN '.gz' WHEN 4 THEN '.png' ELSE '.webp' END AS suffix FROM events")
+def url_suffixes(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    tail = F.when(e % 6 == 0, "/a.b/").when(e % 6 == 1, "/x.JPG?y=.gif").when(e % 6 == 2, "?q=a.gif").when(e % 6 == 3, "/a.tar.gz#z.bmp").when(e % 6 == 4, "/.gif").otherwise("/n.webp;v=1.2")
+    return t.events.select(e.alias("id"), tx.url_suffix(F.concat(F.lit("https://h.example"), tail)).alias("suffix"))
+
+
+@query("SELECT coalesce(a.key, b.key) AS key, coalesce(a.content, b.content) AS content FROM (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 <> 0 THEN 'local' END AS content FROM orders WHERE o_orderkey % 2 = 0) a FULL JOIN (SELECT o_orderkey AS key, o_orderstatus AS content FROM orders WHERE o_orderkey % 3 = 0) b ON a.key = b.key")
+def local_or_remote(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    local = t.orders.where(k % 2 == 0).select(k.alias("key"), F.when(k % 5 != 0, "local").alias("content"))
+    return files.local_or_remote(local, t.orders.where(k % 3 == 0).select(k.alias("key"), F.col("o_orderstatus").alias("content")))
+
+
+@query(f"SELECT 'https://songs.example/song/' || id || '/' || {_SLUG_OF} AS loc FROM {_NAMED_SQL} WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)")
+def sitemap_locations(t: Tables) -> DataFrame:
+    """The sitemap's files written out under an index, and read back from it; locations on another host go."""
+    chunks = sitemap_chunks(t)
+    one = lambda c: F.concat(F.lit("<url><loc> "), c, F.lit("\n</loc></url>"))
+    parts = chunks.groupBy("part").agg(F.array_join(F.collect_list(one(F.col("loc"))), "").alias("v")).select(F.concat(F.lit("https://songs.example/"), "part", F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), "v", F.lit("<url><loc>https://other.example/x</loc></url></urlset>")).alias("value"))
+    index = parts.agg(F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>"))), "").alias("v")).select(F.lit("https://songs.example/sitemap.xml").alias("url"), F.concat(F.lit("<sitemapindex xmlns='x'>"), "v", F.lit("<loc>https://songs.example/sitemap.xml</loc></sitemapindex>")).alias("value"))
+    return pages.sitemap_urls(parts.union(index), "https://songs.example/sitemap.xml", "songs.example")
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '/a.png' WHEN 1 THEN url WHEN 2 THEN 'plain.gif' END AS src, CASE page_id % 4 WHEN 0 THEN 'an \"alt\"' WHEN 1 THEN '' END AS alt FROM pages")
+def block_images(t: Tables) -> DataFrame:
+    """The first image of a block, with attributes in double quotes, single quotes or none; images outside don't count."""
+    k = F.col("page_id")
+    tag = F.when(k % 4 == 0, F.concat(F.lit("<IMG class=x ALT='an \"alt\"' src = \""), "url", F.lit("/a.png\"/>"))).when(k % 4 == 1, F.concat(F.lit("<img data-src='no' src='"), "url", F.lit("' alt=\"\">"))).when(k % 4 == 2, "<img src=plain.gif>").otherwise("")
+    html = F.concat(F.lit("<img src='before.png'><div id=\"block\">"), tag, F.lit("<img src='second.png'></div><img src='after.png'>"))
+    html = F.when(k % 4 == 3, F.replace(html, F.lit("<img src='second.png'>"), F.lit(""))).otherwise(html)
+    found = pages.first_image(pages.region(html, '<div id="block">', ("</div>",)))
+    return t.pages.select("page_id", found.alias("i")).select("page_id", F.col("i.src").alias("src"), F.col("i.alt").alias("alt"))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0) ORDER BY c_custkey LIMIT 25 OFFSET 10")
+def worklist_page(t: Tables) -> DataFrame:
+    done = t.orders.where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("id"))
+    return ingest.worklist(t.customer.select(F.col("c_custkey").alias("id")), done, skip=10, limit=25)
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (3, 7, 11, 100000)")
+def worklist_named(t: Tables) -> DataFrame:
+    done = t.orders.select(F.col("o_custkey").alias("id"))
+    return ingest.worklist(t.customer.select(F.col("c_custkey").alias("id")), done, ids=[3, 7, 11, 100000])
+
+
+@query(f"SELECT lower(clean) AS name_lower, count(*) OVER (PARTITION BY lower(clean)) AS n, id FROM {_CLEAN_SQL} QUALIFY n > 1")
+def name_collision_rows(t: Tables) -> DataFrame:
+    return names.collisions(raw_titles(t), "id", "raw", PREFIX)
+
+
 @query("SELECT l_orderkey AS list, l_linenumber AS pos, p_partkey AS id, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey + 60")
 def listed_songs(t: Tables) -> DataFrame:
     items = t.lineitem.select(F.col("l_orderkey").alias("list"), F.col("l_linenumber").alias("pos"), (F.col("l_partkey") + 60).alias("id"))
@@ -285,6 +353,17 @@ def song_cards(t: Tables) -> DataFrame:
     return names.song_card(named, "https://songs.example")
 
 
+_LINK = f"'https://songs.example/song/' || id || '/' || {_SLUG_OF}"
+_GRAPH = f"""'{{"@context":"https://schema.org","@graph":[{{"@type":"MusicComposition","name":"' || name || '","url":"' || {_LINK} || '"}},{{"@type":"BreadcrumbList","itemListElement":[{{"@type":"ListItem","position":1,"name":"Home","item":"https://songs.example/"}},{{"@type":"ListItem","position":2,"name":"' || name || '","item":"' || {_LINK} || '"}}]}}' || CASE WHEN id % 2 = 0 THEN ',{{"@type":"FAQPage","mainEntity":[{{"@type":"Question","name":"' || name || '","acceptedAnswer":{{"@type":"Answer","text":"C, G7"}}}}]}}' ELSE '' END || ']}}'"""
+
+
+@query(f"SELECT id, {_GRAPH} AS json FROM {_NAMED_SQL}")
+def song_graphs(t: Tables) -> DataFrame:
+    named = names.disambiguate(raw_titles(t), "id", "raw", PREFIX)
+    symbols = F.when(F.col("id") % 2 == 0, F.array(F.lit("C"), F.lit("G7"))).otherwise(F.array().cast("array<string>"))
+    return names.song_graph(named.select("id", "name", symbols.alias("symbols")), "https://songs.example")
+
+
 @query(f"SELECT report, count(*) AS n, '{{\"report\":\"' || report || '\",\"n\":' || count(*) || ',\"keys\":[' || array_to_string(list_slice(list(key ORDER BY key), 1, 50), ',') || ']}}' AS json FROM (SELECT key, unnest([CASE WHEN expected AND NOT disk THEN 'missing_disk' END, CASE WHEN expected AND NOT bucket THEN 'missing_bucket' END, CASE WHEN NOT expected AND disk THEN 'orphan_disk' END, CASE WHEN NOT expected AND bucket THEN 'orphan_bucket' END]) AS report FROM {_THREE_SQL}) WHERE report IS NOT NULL GROUP BY report")
 def reconcile_report(t: Tables) -> DataFrame:
     return reconcile.report_json(reconcile.discrepancies(_three(t), "disk", "bucket"))

@@ -109,9 +109,19 @@ def playlist_fingerprint(t: Tables) -> DataFrame:
     return col.fingerprint(_playlists(t, 0), _tombstones(t))
 
 
-@query()
+_EDITS = "(SELECT user_id AS owner, event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'rename' WHEN event_id % 5 = 0 THEN 'remove' WHEN event_id % 7 = 0 THEN 'move' ELSE 'add' END AS op, 'n' || event_id AS name, event_id % 6 AS song, event_id % 3 AS place, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)"
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED {_EDITS},
+f(owner, n, name, songs, updated_at) AS (SELECT DISTINCT owner, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT) FROM e
+UNION ALL SELECT e.owner, e.n, CASE WHEN op = 'rename' THEN e.name ELSE f.name END,
+CASE WHEN op = 'add' AND NOT list_contains(songs, song) THEN list_append(songs, song) WHEN op = 'remove' THEN list_filter(songs, lambda x: x <> song)
+WHEN op = 'move' AND list_contains(songs, song) THEN list_concat(list_filter(songs, lambda x: x <> song)[1:place], [song], list_filter(songs, lambda x: x <> song)[place + 1:]) ELSE songs END,
+CASE WHEN op <> 'add' OR NOT list_contains(songs, song) THEN seq ELSE updated_at END
+FROM f JOIN e ON e.owner = f.owner AND e.n = f.n + 1)
+SELECT owner, name, array_to_string(songs, ',') AS song_ids, updated_at, false AS deleted FROM f WHERE (owner, n) IN (SELECT (owner, max(n)) FROM e GROUP BY owner)""")
 def playlist_fold(t: Tables) -> DataFrame:
-    """Edits folded in order; a test holds it against a plain loop."""
+    """Edits folded in order."""
     e = F.col("event_id")
     op = F.when(e % 11 == 0, "rename").when(e % 5 == 0, "remove").when(e % 7 == 0, "move").otherwise("add")
     edits = t.events.select(F.col("user_id").alias("owner"), e.alias("seq"), e.alias("at"), op.alias("op"), F.concat(F.lit("n"), e).alias("name"), (e % 6).alias("song"), (e % 3).cast("int").alias("to"))
@@ -154,6 +164,23 @@ def edge_events(t: Tables) -> DataFrame:
     return rooms.edges(room_events(t), me="c1", mounted_at=20).select("room", "seq", "action")
 
 
+@query(f"""WITH w AS (SELECT *, coalesce(viewing, true) AS v, lag(song) OVER o AS ps, coalesce(lag(coalesce(viewing, true)) OVER o, true) AS pv, coalesce(lag(picked_at) OVER o, 0) AS pp FROM {_ROOM} WINDOW o AS (PARTITION BY room ORDER BY seq)),
+h AS (SELECT *, song IS NOT DISTINCT FROM ps AS same, song IS NOT NULL AND song IN (SELECT p_partkey FROM part WHERE p_partkey <> 2) AS heard FROM w)
+SELECT room, seq, CASE WHEN heard AND same AND pv AND NOT v THEN 'close' WHEN heard AND (NOT same OR picked_at > pp OR (same AND NOT pv AND v)) AND v THEN 'open' END AS action FROM h""")
+def edge_events_known(t: Tables) -> DataFrame:
+    """Only songs of the catalogue are acted on; the others still count as what was there before."""
+    return rooms.edges(room_events(t), catalogue=t.part.where("p_partkey != 2").select(F.col("p_partkey").alias("song"))).select("room", "seq", "action")
+
+
+@query(f"""WITH w AS (SELECT *, coalesce(viewing, true) AS v, lag(song) OVER o AS ps, coalesce(lag(coalesce(viewing, true)) OVER o, true) AS pv, coalesce(lag(picked_at) OVER o, 0) AS pp FROM {_ROOM} WINDOW o AS (PARTITION BY room ORDER BY seq)),
+a AS (SELECT room, seq, song IS NOT NULL AND NOT (song IS NOT DISTINCT FROM ps AND pv AND NOT v) AND (song IS DISTINCT FROM ps OR picked_at > pp OR (NOT pv AND v)) AND v AS opens FROM w)
+SELECT room, seq FROM a WHERE opens AND seq % 3 <> 0 AND (seq % 2 <> 0 OR seq % 5 = 0)""")
+def notified_events(t: Tables) -> DataFrame:
+    found = rooms.edges(room_events(t))
+    seq = F.col("seq")
+    return found.where(rooms.notified(F.col("action"), seq % 3 != 0, seq % 2 == 0, seq % 5 == 0)).select("room", "seq")
+
+
 @query("""WITH g AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 3 <> 0 THEN event_type END AS a, CASE WHEN event_id % 2 = 0 THEN value END AS b, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOUR, true) AS fresh FROM events))
 SELECT user_id, count(*) AS n FROM (SELECT user_id, s, arg_max(a, ts) FILTER (WHERE a IS NOT NULL) AS a FROM g GROUP BY user_id, s) GROUP BY user_id""")
 def debounced_sessions(t: Tables) -> DataFrame:

@@ -151,6 +151,87 @@ def inserted_markers(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), sheets.insert_markers(F.col("p_name"), marks).alias("marked"))
 
 
+def varied_sheets(t: Tables) -> DataFrame:
+    """Sheets of the cases that parsing must tell apart, picked and ordered by the part's number.
+
+    Blank and spaced symbols, lines of tabs, rows of a label alone, labelled and unlabelled runs, rows with a
+    lead that is no label, runs that a directive interrupts, and white space at a line's end.
+    """
+    return t.part.select(F.col("p_partkey").alias("id"), F.expr(_VARIED).alias("text"))
+
+
+_PICKS = (
+    "'[ Am ]x [Am]y []z [ ]'", "'\t'", "'Intro:'", "'/ [D]' || chr(10) || '[E]'", "'Intro / [C]' || chr(10) || 'Solo [D]  ' || chr(10) || '(2 Times) x3'", "'{key: ' || p_size || '}' || chr(10) || 'la [C] la   '",
+    "'Outro - [F] [G/B]' || chr(10) || '{c: between}' || chr(10) || '[A7]' || chr(10) || ' ' || chr(9) || chr(10) || '[B]'", "'  ### Hook [Em]' || chr(10) || '[D] | [D]'", "p_name || ' [' || p_brand || ']'", "'[C' || chr(10) || 'verse] [ D]'", "'{key: ' || CASE p_size % 4 WHEN 0 THEN ' f#m ' WHEN 1 THEN 'Bb minor' WHEN 2 THEN 'AB' ELSE 'c' END || ' }'",
+)
+_VARIED = " || chr(10) || ".join(f"CASE (p_partkey * {k + 2} + {k}) % {len(_PICKS)} " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(_PICKS)) + " END" for k in range(5))
+
+_LABELS_SQL = r"\b(intro|verse|chorus|prechorus|bridge|outro|ending|coda|solo|interlude|instru(mental)?|hook|tag|riff)\b"
+_LINES_SQL = rf"""(WITH t AS (SELECT p_partkey AS id, string_split({_VARIED}, chr(10)) AS l FROM part),
+u AS (SELECT id, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS line_no FROM t),
+s AS (SELECT id, line_no, regexp_replace(regexp_replace(raw, '\s+$', ''), '^\s{{0,3}}#{{1,6}}[ \t]+(\S)', '\1') AS line FROM u),
+k AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\[[^\]]*\]', ' ', 'g'), '\([^)]*\)', ' ', 'g'), '{_LABELS_SQL}', ' ', 'gi'), '[/|×xX*:.,\-–—\d\s]', ' ', 'g')) AS rest FROM s)
+SELECT id, line_no, line, CASE WHEN regexp_matches(line, '^\{{\s*[A-Za-z_]+\s*:\s*[^}}]*\}}\s*$') THEN 'directive' WHEN line = '' THEN 'blank' WHEN rest = '' THEN 'symbols' ELSE 'lyric' END AS kind FROM k)"""
+
+
+def _varied_lines(t: Tables) -> DataFrame:
+    return sheets.parse_lines(varied_sheets(t), "id", "text")
+
+
+@query(f"SELECT id, CAST(line_no AS INTEGER) AS line_no, line, kind FROM {_LINES_SQL}")
+def varied_lines(t: Tables) -> DataFrame:
+    return _varied_lines(t).select("id", F.col("line_no").cast("int").alias("line_no"), "line", "kind")
+
+
+@query(rf"""WITH m AS (SELECT id, line_no, list_transform(regexp_extract_all(line, '\[([^\]]*)\]', 1), lambda x: trim(x)) AS l FROM {_LINES_SQL} WHERE kind <> 'directive'),
+x AS (SELECT id, line_no, unnest(l) AS symbol, generate_subscripts(l, 1) AS k FROM m),
+d AS (SELECT id, symbol, min(line_no * 1000 + k) AS pos FROM x WHERE symbol <> '' GROUP BY id, symbol)
+SELECT id, CAST(count(*) AS INTEGER) AS n, array_to_string(list_slice(list(symbol ORDER BY pos), 1, 12), ' ') AS head FROM d GROUP BY id""")
+def varied_symbols(t: Tables) -> DataFrame:
+    found = sheets.distinct_symbols(sheets.sheet_symbols(_varied_lines(t), "id"), "id")
+    return found.select("id", F.col("n").cast("int").alias("n"), F.array_join("head", " ").alias("head"))
+
+
+@query(rf"""WITH s AS (SELECT * FROM {_LINES_SQL} WHERE kind <> 'directive'),
+i AS (SELECT *, sum(CASE WHEN kind = 'symbols' THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY line_no) AS island FROM s),
+r AS (SELECT *, row_number() OVER w AS n, first_value(line) OVER w AS lead FROM i WHERE kind = 'symbols' WINDOW w AS (PARTITION BY id, island ORDER BY line_no)),
+p AS (SELECT *, regexp_extract(lead, '^(.*?)\[[^\]]*\]', 1) AS prefix FROM r)
+SELECT id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN n > 1 AND regexp_matches(prefix, '{_LABELS_SQL}', 'i') THEN prefix ELSE '' END AS indent FROM p""")
+def varied_rows(t: Tables) -> DataFrame:
+    return sheets.symbol_rows(_varied_lines(t), "id").select("id", F.col("line_no").cast("int").alias("line_no"), "indent")
+
+
+@query(rf"""WITH d AS (SELECT id, line_no, regexp_extract(line, '^\{{\s*([A-Za-z_]+)', 1) AS name, trim(regexp_extract(line, ':\s*([^}}]*)', 1)) AS value FROM {_LINES_SQL} WHERE kind = 'directive'),
+m AS (SELECT id, arg_max(value, line_no) FILTER (WHERE name = 'key') AS key, arg_max(value, line_no) FILTER (WHERE name = 'c') AS note FROM d GROUP BY id)
+SELECT id, key, note, CAST(CASE key WHEN 'f#m' THEN 6 WHEN 'Bb minor' THEN 10 WHEN 'AB' THEN 9 WHEN 'c' THEN 0 END AS INTEGER) AS tonic, CAST(CASE key WHEN 'f#m' THEN 9 WHEN 'Bb minor' THEN 1 WHEN 'AB' THEN 9 WHEN 'c' THEN 0 END AS INTEGER) AS source FROM m""")
+def varied_meta(t: Tables) -> DataFrame:
+    meta = sheets.sheet_meta(_varied_lines(t), "id")
+    return meta.select("id", "key", "note", F.col("tonic").cast("int").alias("tonic"), F.col("source").cast("int").alias("source"))
+
+
+@query("SELECT p_partkey AS id, replace(replace(replace(replace(v, '-sharp', '#'), '-flat', 'b'), '-slash-', '/'), '-', '') AS symbol FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 'C-sharp-m' WHEN 1 THEN 'b-flat-slash-d' WHEN 2 THEN 'A-m-7' ELSE p_type END AS v FROM part)")
+def normed_symbols(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    raw = F.when(k % 4 == 0, "C-sharp-m").when(k % 4 == 1, "b-flat-slash-d").when(k % 4 == 2, "A-m-7").otherwise(F.col("p_type"))
+    return t.part.select(k.alias("id"), music.norm_symbol(raw).alias("symbol"))
+
+
+@query("SELECT p_partkey AS id, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 12 WHEN p_size / 50.0 >= 0.5 AND p_partkey % 5 <> 0 THEN p_size % 12 ELSE 0 END AS INTEGER) AS tonic FROM part")
+def default_keys(t: Tables) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    tonic = music.default_tonic(F.when(k % 3 == 0, k % 12), F.when(k % 5 != 0, s % 12), s / 50)
+    return t.part.select(k.alias("id"), tonic.cast("int").alias("tonic"))
+
+
+_TWICE = f"CASE WHEN delta = 0 OR {_pitch_sql('a')} IS NULL OR (b IS NOT NULL AND {_pitch_sql('b')} IS NULL) THEN symbol WHEN b IS NULL THEN {_moved_sql('a')} ELSE {_moved_sql('a')} || '/' || {_moved_sql('b')} END"
+
+
+@query(f"""SELECT id, moved || ' ' || CASE WHEN flats THEN 'Eb' ELSE 'D#' END || ' ' || moved AS moved FROM (SELECT id, flats, {_TWICE} AS moved FROM (SELECT *, split_part(symbol, '/', 1) AS a, CASE WHEN contains(symbol, '/') THEN split_part(symbol, '/', 2) END AS b FROM (SELECT id, symbol, 3 AS delta, flats FROM {_SYMBOL_SQL})))""")
+def transposed_lists(t: Tables) -> DataFrame:
+    moved = music.transpose_all(F.array("symbol", F.lit("C"), "symbol"), F.lit(3), F.col("flats"))
+    return named_symbols(t).select("id", F.array_join(moved, " ").alias("moved"))
+
+
 _REGION = "(SELECT page_id, html, substr(html, strpos(html, '</h1>') + 5) AS rest FROM pages WHERE strpos(html, '</h1>') > 0)"
 _BODY_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(left(rest, least(CASE WHEN strpos(rest, '</article>') > 0 THEN strpos(rest, '</article>') ELSE length(rest) + 1 END, CASE WHEN strpos(rest, '<footer') > 0 THEN strpos(rest, '<footer') ELSE length(rest) + 1 END) - 1), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(?:div|p|h3)>', chr(10), 'g'), '<[^>]+>', '', 'g'), chr(160), ' '), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '')"""
 

@@ -16,8 +16,16 @@ def json_array(spark: SparkSession, path: str, schema: str = RECORDS) -> DataFra
 
 
 def json_lines(spark: SparkSession, path: str, schema: str = SCRAPE_LOG) -> DataFrame:
-    """One record a line; blank and malformed lines go. Adds ``line_no``, which orders the lines of a path's files."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """One record a line; blank and malformed lines go.
+
+    Adds ``line_no``, a struct that orders lines as they were appended: by the append's number
+    (``sinks.append_log``; other files have 0 and go by their time), the file, its part and the place there.
+    It doesn't depend on how the files are packed into tasks.
+    """
+    batch = F.coalesce(F.regexp_extract(F.col("_metadata.file_path"), r"/batch=([0-9]+)/[^/]*$", 1).try_cast("long"), F.lit(0))
+    time = F.when(batch == 0, F.col("_metadata.file_modification_time"))
+    place = F.struct(batch.alias("batch"), time.alias("at"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", place.alias("line_no"))
     parsed = lines.select("line_no", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
     return parsed.where("r is not null and r._bad is null and r.id is not null").select("line_no", "r.*").drop("_bad")
 
@@ -28,6 +36,12 @@ def listing(spark: SparkSession, path: str, glob: str = "*", store: str = "local
     return files.select(F.lit(store).alias("store"), F.element_at(F.split("path", "/"), -1).alias("key"), F.col("length").alias("size"))
 
 
+def by_suffix(files: DataFrame, suffix: str = ".webp", key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """Files with the suffix, in any case and after a name, and all others (strays)."""
+    ours = F.rlike(F.lower(F.col(key)), F.lit(r"[^.].*\Q" + suffix.lower() + r"\E$"))
+    return files.where(ours), files.where(~ours)
+
+
 def ids_with_text(files: DataFrame, key: str = "key") -> DataFrame:
     """The ids of files named ``<id>.md``."""
     return files.select(F.regexp_extract(key, r"^(\d+)\.md$", 1).alias("id")).where("id != ''").select(F.col("id").try_cast("long").alias("id"))

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.java_gateway import JavaObject
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyrebird.operators.names import numbered
 
 
+def _folder(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    """Append rows as a folder of their own, numbered after those that are there.
+
+    Of two writers that take the same number the second fails and can append again, so nothing is mixed up.
+    """
+    place, store = _folder(rows.sparkSession, path)
+    names = [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
+    last = max([int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and n[6:].isdigit()], default=0)
+    rows.write.mode("error").json(f"{path}/batch={last + 1:012d}")
 
 
 def write_compacted(rows: DataFrame, path: str, key: str = "id") -> None:
@@ -32,5 +45,14 @@ def chunked(df: DataFrame, order: str, size: int, name: str = "chunk") -> DataFr
 
 
 def write_report(rows: DataFrame, path: str) -> None:
-    """Sidecar records, such as what an upload turned down."""
+    """Sidecar records of a run, one JSON object a line."""
     rows.write.mode("overwrite").json(path)
+
+
+def write_rejected(outcomes: DataFrame, path: str, name: str = "name", error: str = "error") -> DataFrame:
+    """Write what failed as lines of name and error between a tab; returns one row, (ok, failed), of all outcomes.
+
+    An outcome without an error is a success. What is written can be read as the next run's work list.
+    """
+    outcomes.where(F.col(error).isNotNull()).select(name, error).write.mode("overwrite").option("sep", "\t").csv(path)
+    return outcomes.agg(F.count_if(F.col(error).isNull()).alias("ok"), F.count_if(F.col(error).isNotNull()).alias("failed"))

@@ -6,7 +6,7 @@ give the same rows for the same events; what comes later than the watermark allo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,13 +20,16 @@ def room_register(events: DataFrame, room: str = "room", at: str = "at") -> Data
     return events.groupBy(room).agg(F.max_by(F.struct(*fields), F.struct(at, *[F.col(c) for c in fields if c != at])).alias("r")).select(room, "r.*")
 
 
-def edges(events: DataFrame, room: str = "room", order: str = "seq", me: str | None = None, mounted_at: int | None = None) -> DataFrame:
+def edges(events: DataFrame, room: str = "room", order: str = "seq", me: str | None = None, mounted_at: int | None = None, catalogue: DataFrame | None = None) -> DataFrame:
     """Adds ``action``: what each event of a room makes a listener do: open, close, or null.
 
     events: song, picked_by, picked_at, viewing. A missing ``viewing`` is true, a missing time 0. Every event
     becomes the previous one for the next, whether or not it is acted on; one's own picks, events without a
-    song and picks from before ``mounted_at`` are not.
+    song, songs that the ``catalogue`` (column ``song``) lacks and picks from before ``mounted_at`` are not.
     """
+    if catalogue is not None:
+        there = catalogue.select("song").distinct().withColumn("_known", F.lit(True))
+        events = events.join(there, "song", "left").select(*events.columns, "_known")
     by = Window.partitionBy(room).orderBy(order)
     viewing, picked = F.coalesce("viewing", F.lit(True)), F.coalesce("picked_at", F.lit(0))
     was_song = F.lag("song").over(by)
@@ -35,11 +38,38 @@ def edges(events: DataFrame, room: str = "room", order: str = "seq", me: str | N
     closed = same & was_viewing & ~viewing
     again = ~same | (picked > was_picked) | (same & ~was_viewing & viewing)
     heard = F.col("song").isNotNull()
+    if catalogue is not None:
+        heard &= F.col("_known").isNotNull()
     if me is not None:
         heard &= ~F.col("picked_by").eqNullSafe(me)
     if mounted_at is not None:
         heard &= ~((picked > 0) & (picked < mounted_at))
-    return events.withColumn("action", F.when(heard & closed, "close").when(heard & again & viewing, "open"))
+    return events.withColumn("action", F.when(heard & closed, "close").when(heard & again & viewing, "open")).drop("_known")
+
+
+def edge_stream(events: DataFrame, room: str = "room", order: str = "seq", me: str | None = None, mounted_at: int | None = None) -> DataFrame:
+    """(room, seq, action) as events come, as ``edges`` has it; the state of a room is its last event.
+
+    A batch's events are taken in their order. The known songs' events are those of a stream-static semi join.
+    """
+    kinds = dict(events.dtypes)
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        song, viewing, picked = state.get if state.exists else (None, True, 0)
+        rows = pd.concat(list(parts)).sort_values(order)
+        out = []
+        for seq, now, by, at, view in zip(rows[order], rows["song"], rows["picked_by"], rows["picked_at"], rows["viewing"], strict=True):
+            now = None if pd.isna(now) else int(now)
+            at, view = 0 if pd.isna(at) else int(at), True if pd.isna(view) else bool(view)
+            heard = now is not None and (me is None or by != me) and not (mounted_at is not None and 0 < at < mounted_at)
+            closed = now == song and viewing and not view
+            again = now != song or at > picked or (not viewing and view)
+            out.append((key[0], seq, "close" if heard and closed else "open" if heard and again and view else None))
+            song, viewing, picked = now, view, at
+        state.update((song, viewing, picked))
+        yield pd.DataFrame(out, columns=["room", "seq", "action"])
+
+    return events.groupBy(room).applyInPandasWithState(fold, f"room {kinds[room]}, seq long, action string", "song long, viewing boolean, picked long", "append", GroupStateTimeout.NoTimeout)
 
 
 def notified(action: Column, permitted: Column, auto_open: Column, hidden: Column) -> Column:
@@ -117,16 +147,39 @@ def ownership_stream(events: DataFrame, room: str = "room", order: str = "seq")
     return events.groupBy(room).applyInPandasWithState(fold, f"room {kind}, seq long, owner string", "owner string", "append", GroupStateTimeout.NoTimeout)
 
 
-def register_into(stream: DataFrame, path: str, room: str = "room", at: str = "at"):
-    """A writer that keeps the last event of each room as a table under ``path``, one version for each batch.
+def _versions(stream: DataFrame, path: str, step: Callable[[DataFrame], DataFrame]):
+    """A writer that steps a table on with each batch: version n is the step over version n - 1 and the batch.
 
-    A batch that is run again overwrites its own version, so repeats do no harm.
+    A batch that is run again overwrites its own version, so repeats do no harm; of the versions before it the
+    last is kept for that, and older ones go.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         if number:
-            batch = batch.unionByName(spark.read.parquet(f"{path}/version={number - 1}"))
-        room_register(batch, room, at).write.mode("overwrite").parquet(f"{path}/version={number}")
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}"))
+        step(batch).write.mode("overwrite").parquet(f"{path}/version={number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(upsert)
+
+
+def register_into(stream: DataFrame, path: str, room: str = "room", at: str = "at"):
+    """A writer that keeps the last event of each room as a table under ``path``."""
+    return _versions(stream, path, lambda both: room_register(both, room, at).select(*both.columns))
+
+
+def merged(deltas: DataFrame, key: str, at: str, fields: list[str]) -> DataFrame:
+    """(key, at, fields...): one row for each key, with the last value of each field that is there, and the last time."""
+    last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col(at))).alias(f) for f in fields]
+    return deltas.groupBy(key).agg(F.max(at).alias(at), *last)
+
+
+def merged_into(stream: DataFrame, path: str, key: str, at: str, fields: list[str]):
+    """A writer that merges deltas, field by field, into a table of one row for each key under ``path``.
+
+    A field that a delta lacks keeps its value. Of a stored row all fields count as of the row's last time, so
+    a delta that comes late loses against what is stored.
+    """
+    return _versions(stream.select(key, at, *fields), path, lambda both: merged(both, key, at, fields))

@@ -95,6 +95,54 @@ def test_sheet_tokens(spark):
     assert one(spark, line, sheets.rendered_line) == "C  G\nla do"
 
 
+def test_sheet_symbols_are_trimmed_and_blank_ones_left_out(spark):
+    df = spark.createDataFrame([(1, "[ Am ]x [Am]y []z\n\t\n{c: [G]}")], "id long, text string")
+    lines = sheets.parse_lines(df, "id", "text")
+    r = sheets.distinct_symbols(sheets.sheet_symbols(lines, "id"), "id").first()
+    assert (r.n, r["head"]) == (1, ["Am"])
+    assert [x.kind for x in lines.orderBy("line_no").collect()] == ["lyric", "blank", "directive"]
+    assert [(s["symbol"], s["text"]) for s in one(spark, "[ Am ]x []z", sheets.segments)] == [("Am", "x "), ("", "z")]
+    assert [(t["type"], t["value"]) for t in one(spark, "a[ ]", sheets.tokens)] == [("text", "a"), ("symbol", "")]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("/ [D]\n[E]", ["", ""]),
+    ("Intro / [C]\nSolo [D]", ["", "Intro / "]),
+    ("Intro / [C]\n{c: x}\n[D]\n\n[E]", ["", "Intro / ", ""]),
+    ("Intro:\n[C]", ["", ""]),
+    ("[C] outro\n[D]", ["", ""]),
+])
+def test_runs_of_symbols_are_indented_by_their_label(spark, text, want):
+    lines = sheets.parse_lines(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text")
+    assert [r.indent for r in sheets.symbol_rows(lines, "id").orderBy("line_no").collect()] == want
+
+
+def test_symbol_only_rows(spark):
+    rows = ["Intro:", "(2 Times) x3", "Solo [D] | [E]", "1. [C]", "la", "[C] la", "introduction [C]", "–—"]
+    assert [one(spark, r, sheets.symbol_only) for r in rows] == [True, True, True, True, False, False, False, True]
+
+
+def test_tombstones_from_json(spark):
+    df = spark.createDataFrame([(1, '{"a": 5, "b": "7", "c": null, "d": 2.5, "e": [1]}'), (2, "[1]"), (3, None), (4, "oops"), (5, '{"z": 1e400}')], "owner long, j string")
+    got = sorted((r.owner, r.id, r.deleted_at) for r in col.sanitised_tombstones(df, "j", ["owner"]).collect())
+    assert got == [(1, "a", 5), (1, "d", 2)]
+
+
+def test_key_values(spark):
+    got = [one(spark, v, music.parse_key) for v in (" f#m ", "Bb  minor", "AB", "H", "Cmaj", "", "g min")]
+    assert [k and (k["tonic"], k["mode"]) for k in got] == [(6, "minor"), (10, "minor"), (9, "major"), None, None, None, (7, "minor")]
+
+
+def test_names_keep_columns_and_common_names(spark, monkeypatch):
+    from lyrebird import runtime
+
+    monkeypatch.setattr(runtime, "SPREAD", 10)
+    df = spark.createDataFrame([(i, "Polly" if i % 3 else f"Song {i}", "keep", i) for i in range(120)], "id long, raw string, clean string, same_name int")
+    got = names.disambiguate(df, "id", "raw").collect()
+    assert {r.id: r["name"] for r in got} == {i: f"Polly_{i}" if i % 3 else f"Song {i}" for i in range(120)}
+    assert {(r["clean"], r.id == r.same_name) for r in got} == {("keep", True)}
+
+
 def test_regions(spark):
     cut = lambda v: one(spark, v, lambda c: pages.region(c, "<h>", ("</a>", "<f"), "none"))
     assert [cut(v) for v in ("x<h>ab</a><f", "x<h>ab<f</a>", "x<h>ab", "x", "<h> none </a>")] == ["ab", "ab", "ab", None, None]

@@ -18,6 +18,28 @@ def test_log_round_trip(spark, tmp_path):
     assert sorted((r.id, r.status) for r in got.collect()) == [(1, None), (2, "404"), (2, "404"), (7, "404")]
 
 
+def test_log_is_replayed_in_the_order_of_appends(spark, tmp_path):
+    """Files of unlike sizes, packed by Spark the largest first, and plain files written before and after."""
+    from lyrebird.operators import ingest
+
+    path = f"{tmp_path}/log"
+    row = lambda i, n, tag: (i, f"{tag}{n}", None, None)
+    for n, size in enumerate((5, 4000, 30, 900)):
+        rows = [row(i % 10, n, "a") for i in range(size)] + [row(0, n, "last")]
+        sinks.append_log(spark.createDataFrame(rows, files.SCRAPE_LOG).coalesce(1 if n % 2 else 3), path)
+    got = {r.id: r.src for r in ingest.last_write(files.json_lines(spark, path), "id", "line_no").collect()}
+    assert got == {0: "last3", **{i: "a3" for i in range(1, 10)}}
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    import os
+
+    for n, (name, size) in enumerate((("z.json", 2000), ("a.json", 3), ("m.json", 500))):
+        (plain / name).write_text("".join(json.dumps({"id": i % 3, "src": f"{n}.{i}"}) + "\n" for i in range(size)))
+        os.utime(plain / name, (1_700_000_000 + n, 1_700_000_000 + n))
+    got = {r.id: r.src for r in ingest.last_write(files.json_lines(spark, str(plain)), "id", "line_no").collect()}
+    assert got == {0: "2.498", 1: "2.499", 2: "2.497"}
+
+
 def test_arrays_lists_and_texts(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"id": 3, "src": "s", "alt": "t"}, {"id": 1}]))
     assert files.json_array(spark, f"{tmp_path}/a.json").count() == 2
@@ -41,7 +63,8 @@ def test_arrays_lists_and_texts(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     rows = spark.range(25).select((F.lit(24) - F.col("id")).alias("id"))
     sinks.write_compacted(rows, f"{tmp_path}/c")
-    assert [r.id for r in spark.read.schema("id long").json(f"{tmp_path}/c").collect()] is not None
+    written = [json.loads(line)["id"] for p in sorted((tmp_path / "c").glob("part-*")) for line in p.read_text().splitlines()]
+    assert written == list(range(25))
     chunks = sinks.chunked(rows, "id", 10)
     assert sorted((r.id, r.chunk) for r in chunks.collect()) == [(i, i // 10) for i in range(25)]
     sinks.write_chunks(chunks.withColumnRenamed("chunk", "part"), f"{tmp_path}/p")
@@ -50,6 +73,16 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/s").count() == 25
 
 
+def test_rejected_rows(spark, tmp_path):
+    outcomes = spark.createDataFrame([("a.png", None), ("b.png", "TimeoutError: slow"), ("c.png", None)], "name string, error string")
+    assert tuple(sinks.write_rejected(outcomes, f"{tmp_path}/r").first()) == (2, 1)
+    assert [tuple(r) for r in spark.read.option("sep", "\t").csv(f"{tmp_path}/r").collect()] == [("b.png", "TimeoutError: slow")]
+    sinks.write_report(outcomes, f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/j").count() == 3
+    kept, strays = files.by_suffix(spark.createDataFrame([("a.webp",), ("b.WEBP",), (".webp",), ("c.png",), ("d",)], "key string"))
+    assert sorted(r.key for r in kept.collect()) == ["a.webp", "b.WEBP"] and strays.count() == 3
+
+
 def events(spark, tmp_path):
     e = F.col("event_id")
     rows = spark.read.parquet(f"{SF}/events.parquet").select(
@@ -89,3 +122,50 @@ def test_unique_stream_and_register(spark, tmp_path):
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "reg").iterdir())
     got = {r.room: r.seq for r in spark.read.parquet(f"{tmp_path}/reg/version={last}").collect()}
     assert got == {r.room: r.seq for r in rooms.room_register(batch, "room", "seq").collect()}
+
+
+def test_edge_stream(spark, tmp_path):
+    batch, stream = events(spark, tmp_path)
+    e = F.col("seq")
+    as_rooms = lambda df: df.select("room", "seq", F.when(e % 13 != 0, e % 3).alias("song"), F.col("client").alias("picked_by"), (e - e % 2).alias("picked_at"), F.when(e % 5 != 0, e % 7 < 4).alias("viewing"))
+    run(rooms.edge_stream(as_rooms(stream), me="c1", mounted_at=20), "edges")
+    got = {(r.room, r.seq): r.action for r in spark.table("edges").collect()}
+    want = {(r.room, r.seq): r.action for r in rooms.edges(as_rooms(batch), me="c1", mounted_at=20).collect()}
+    assert got == want and {"open", "close", None} == set(want.values())
+
+
+def test_deltas_are_merged_into_a_table(spark, tmp_path):
+    batch, stream = events(spark, tmp_path)
+    fields = lambda df: df.select("room", "seq", F.when(F.col("seq") % 3 == 0, F.col("op")).alias("op"), F.when(F.col("seq") % 2 == 0, F.col("client")).alias("client"))
+    for _ in range(2):  # the second run finds nothing new
+        q = rooms.merged_into(fields(stream), f"{tmp_path}/user", "room", "seq", ["op", "client"]).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    versions = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "user").iterdir())
+    assert len(versions) <= 2
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/user/version={versions[-1]}").collect()))
+    assert got == sorted(map(tuple, rooms.merged(fields(batch), "room", "seq", ["op", "client"]).collect()))
+
+
+def test_own_scratch_folder_only_on_this_machine(spark, monkeypatch):
+    import pytest
+
+    from lyrebird import runtime
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return Context
+
+        @staticmethod
+        def getCheckpointDir():
+            return type("None_", (), {"isDefined": staticmethod(lambda: False)})
+
+    class Session:
+        sparkContext = Context
+        conf = {"spark.checkpoint.dir": None}
+
+    with pytest.raises(RuntimeError):
+        runtime.scratch_dir(Session)
