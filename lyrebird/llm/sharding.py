@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lyrebird.runtime import checkpoint
+from lyrebird.operators.names import numbered
+from lyrebird.runtime import stage_table, unused
 
 #: Bits for each dimension; a dimension has at most 2**BITS - 1 cut points, whatever the input's size.
 BITS = 5
+#: Distinct values of a dimension that are cut on the driver; more are numbered on the cluster.
+FEW = 4096
 
 
 def hilbert_index(axes: list[Column], bits: int) -> Column:
@@ -67,35 +70,46 @@ def curve_table(spark: SparkSession, n: int, bits: int) -> DataFrame:
 
 
 def _measure(df: DataFrame, name: str) -> Column:
-    """A long that orders like the column: numbers by value, anything else by its first seven bytes."""
+    """What orders a dimension: a long for numbers, a string for anything else."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.IntegralType):
         return F.col(name).cast("long")
     if isinstance(kind, (T.FractionalType, T.DecimalType)):
         return F.floor(F.col(name) * 1024).cast("long")
-    return F.conv(F.rpad(F.hex(F.col(name).cast("string")), 14, "0"), 16, 10).cast("long")
+    return F.col(name).cast("string")
 
 
-def cut_points(df: DataFrame, dims: list[str], bits: int = BITS) -> dict[str, list[int]]:
+def cut_points(df: DataFrame, dims: list[str], bits: int = BITS) -> dict[str, list]:
     """For each dimension, at most 2**bits - 1 values that part it into equal shares.
 
-    Shares are of rows for numbers and of distinct values for anything else. Only the dimensions are read.
+    Shares are of rows for numbers and of distinct values for anything else. Only the dimensions are read. Of
+    more than FEW distinct values the cut points alone come to the driver.
     """
-    parts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    points = {}
+    shares = 1 << bits
+    points: dict[str, list] = {}
     for name in dims:
         values = df.select(_measure(df, name).alias("v"))
-        if not isinstance(df.schema[name].dataType, T.NumericType):
-            values = values.distinct()
-        found = values.agg(F.percentile_approx("v", parts, 10_000).alias("p")).first()["p"]
-        points[name] = sorted(set(found or []))
+        if isinstance(df.schema[name].dataType, T.NumericType):
+            found = values.agg(F.percentile_approx("v", [i / shares for i in range(1, shares)], 10_000).alias("p")).first()["p"] or []
+        else:
+            values = values.where("v is not null").distinct()
+            held = sorted(r["v"] for r in values.limit(FEW + 1).collect())
+            n = len(held)
+            if n > FEW:
+                ranked = numbered(values, ["v"])
+                n = ranked.count()
+                found = [r["v"] for r in ranked.where(F.col("n").isin(*sorted({n * i // shares for i in range(1, shares)}))).collect()]
+            else:
+                found = [held[n * i // shares] for i in range(1, shares)] if held else []
+        points[name] = sorted(set(found))
     return points
 
 
 def with_curve(df: DataFrame, dims: list[str], bits: int = BITS, name: str = "curve") -> DataFrame:
     """df with the rows' place on the curve over the dimensions; a null value counts as the smallest.
 
-    The curve is worked out once for each cell of the grid, whose size bits and dims alone decide.
+    The curve is worked out once for each cell of the grid, whose size bits and dims alone decide. Columns of
+    any name pass unchanged but for one called ``name``, which is replaced.
     """
     if len(dims) * bits > 18:
         raise ValueError("the grid has more than 2**18 cells; take fewer dimensions or bits")
@@ -107,9 +121,10 @@ def with_curve(df: DataFrame, dims: list[str], bits: int = BITS, name: str = "cu
         v = _measure(df, dim)
         return F.coalesce(reduce(lambda a, b: a + b, [(v > F.lit(p)).cast("int") for p in points[dim]]), F.lit(0))
 
+    at = unused("cell", df)
     place = reduce(lambda a, b: a * (1 << bits) + b, [cell(d).cast("long") for d in dims])
-    grid = curve_table(df.sparkSession, len(dims), bits).select(F.col("cell").alias("_cell"), F.col("curve").alias(name))
-    return df.withColumn("_cell", place).join(F.broadcast(grid), "_cell").drop("_cell")
+    grid = curve_table(df.sparkSession, len(dims), bits).select(F.col("cell").alias(at), F.col("curve").alias(name))
+    return df.withColumn(at, place).drop(name).join(F.broadcast(grid), at).drop(at)
 
 
 def hilbert_shards(docs: DataFrame, n_shards: int = 24, dims: tuple[str, ...] = ("lang", "source", "n_chars"), id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -122,7 +137,8 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, dims: tuple[str, ...] =
     left out), so other columns' names don't matter.
 
     Returns id, size (UTF-8 bytes + 8), text_crc32, law, shard, slot, grown_shard (null under this law)
-    and curve. One shuffle of narrow rows: ranks come from the rows' places in the sorted partitions.
+    and curve. The texts are read once, to write narrow rows; one shuffle of these: ranks come from the rows'
+    places in the sorted partitions.
     """
     dims = [d for d in dims if d in docs.columns]
     if not dims:
@@ -137,7 +153,8 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, dims: tuple[str, ...] =
     order = ["curve", "doc_id", "text_crc32", "size"]
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = checkpoint(narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    narrow = stage_table(narrow, "narrow")
+    placed = stage_table(narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "placed")
     # one row for each partition: how many rows stand before it
     counts = sorted((r["part"], r["n"]) for r in placed.groupBy(F.call_function("shiftright", F.col("place"), F.lit(33)).alias("part")).agg(F.count("*").alias("n")).collect())
     before, total = [], 0
@@ -161,5 +178,6 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, dims: tuple[str, ...] =
 
 def write_runs(docs: DataFrame, path: str, n_files: int = 24, dims: tuple[str, ...] = ("lang", "source", "n_chars"), id_col: str = "doc_id", bits: int = BITS) -> None:
     """Write the whole rows as files along the curve; each file's Parquet statistics bound a small box."""
-    curved = with_curve(docs, [d for d in dims if d in docs.columns] or [id_col], bits, "_curve")
-    curved.repartitionByRange(n_files, "_curve", id_col).sortWithinPartitions("_curve", id_col).drop("_curve").write.parquet(path)
+    curve = unused("curve", docs)
+    curved = with_curve(docs, [d for d in dims if d in docs.columns] or [id_col], bits, curve)
+    curved.repartitionByRange(n_files, curve, id_col).sortWithinPartitions(curve, id_col).drop(curve).write.parquet(path)

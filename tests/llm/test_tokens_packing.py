@@ -231,6 +231,27 @@ def test_shards(which, request):
             last = r.curve
 
 
+@pytest.mark.parametrize("few", [4096, 10])
+def test_files_cover_small_boxes(spark, tmp_path, monkeypatch, few):
+    """Files along the curve: filters on any dimension skip most of them, also where values share a long beginning."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(sharding, "FEW", few)
+    rng = np.random.default_rng(0)
+    rows = [(i, "x", f"https://www.example.org/{rng.integers(0, 64):03d}", int(rng.integers(0, 1000)), "kept") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, _cell string")
+    sharding.write_runs(df, f"{tmp_path}/runs", 32, ("source", "n_chars"))
+    boxes, read = [], []
+    for f in sorted((tmp_path / "runs").glob("*.parquet")):
+        table = pq.read_table(f)
+        read += table.to_pylist()
+        boxes.append(tuple((min(c), max(c)) for c in (table["source"].to_pylist(), table["n_chars"].to_pylist())))
+    assert sorted(tuple(r.values()) for r in read) == sorted(rows) and len(boxes) >= 28
+    for dim, values in ((0, [r[2] for r in rows[:200]]), (1, [r[3] for r in rows[:200]])):
+        hit = [sum(b[dim][0] <= v <= b[dim][1] for b in boxes) for v in values]
+        assert np.mean(hit) < 0.4 * len(boxes)
+
+
 def test_curve_visits_neighbours(spark):
     from pyspark.sql import functions as F
 
