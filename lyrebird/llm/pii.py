@@ -299,7 +299,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the spans of the text column replaced; a null text stays null. No shuffle."""
+    """docs with the spans of the text column replaced by their kinds.
+
+    A null text stays null, an empty one empty; repeated rows stay; an empty table stays empty; other columns
+    pass unchanged. No shuffle.
+    """
     ship(docs.sparkSession)
 
     @F.arrow_udf("string")
