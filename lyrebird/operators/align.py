@@ -43,7 +43,7 @@ def snap_left(text: Column, at: Column) -> Column:
 def palette_ok(symbol: Column, palette: Column) -> Column:
     """Whether the palette has the symbol, or every part of it between slashes; blank symbols and empty palettes pass."""
     name = F.trim(symbol)
-    parts = F.filter(F.transform(F.split(name, "/"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(name, "/"), lambda p: F.trim(p)), lambda p: p != "")
     return (name == "") | (F.size(palette) == 0) | F.array_contains(palette, name) | F.forall(parts, lambda p: F.array_contains(palette, p))
 
 

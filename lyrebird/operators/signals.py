@@ -57,14 +57,16 @@ def decoded_frames(found: DataFrame, key: str) -> DataFrame:
 def mask_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Intersection over union of two packed bit masks (binary); two empty masks overlap wholly."""
 
-    def one(x: bytes, y: bytes) -> float:
-        p, q = (np.frombuffer(m or b"", np.uint8) for m in (x, y))
-        n = max(len(p), len(q))
-        p, q = np.pad(p, (0, n - len(p))), np.pad(q, (0, n - len(q)))
-        union = int(np.bitwise_count(p | q).sum())
-        return int(np.bitwise_count(p & q).sum()) / union if union else 1.0
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+    x, y = ([bytes(m or b"") for m in masks] for masks in (a, b))
+    size = [max(len(p), len(q)) for p, q in zip(x, y, strict=True)]
+    p, q = (np.frombuffer(b"".join(m.ljust(n, b"\0") for m, n in zip(masks, size, strict=True)), np.uint8) for masks in (x, y))
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+
+    def bits(m: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(np.bitwise_count(m), dtype=np.int64)])[ends])
+
+    both, either = bits(p & q), bits(p | q)
+    return pd.Series(np.where(either == 0, 1.0, both / np.maximum(either, 1)))
 
 
 def score_report(scores: DataFrame, key: str, score: str = "score", least: float = 0.6) -> DataFrame:

@@ -43,14 +43,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def stage_table(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again; it is removed when the driver ends."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is there when the driver ends is removed."""
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 #: Rows of one key that a join brings to a task at most, about.
 SPREAD = 1 << 20
 
