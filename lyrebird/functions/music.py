@@ -123,10 +123,12 @@ def norm_symbol(value: Column) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), (("-sharp", "#"), ("-flat", "b"), ("-slash-", "/"), ("-", "")), value)
 
 
-def key_points(counts: dict[tuple[int, str], Column], tonic: int, minor: bool) -> Column:
-    """Twice the score of a key, from how often each (root, quality) occurs: 2 for a symbol of the key, 1 for its root alone."""
-    out = F.lit(0)
+def key_weights(tonic: int, minor: bool) -> list[int]:
+    """Twice the score of each root with each quality (root * 3 + its place in QUALITIES) for a key: 2 for a symbol of
+    the key, 1 for its root alone, 0 else."""
+    out = [0] * (12 * len(QUALITIES))
     for step, quality in MINOR_SCALE if minor else MAJOR_SCALE:
-        root = (tonic + step) % 12
-        out = reduce(lambda a, q: a + counts[root, q], QUALITIES, out) + counts[root, quality]
+        at = (tonic + step) % 12 * len(QUALITIES)
+        for k, q in enumerate(QUALITIES):
+            out[at + k] = 2 if q == quality else 1
     return out

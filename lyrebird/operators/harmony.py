@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.functions.music import QUALITIES, key_points, parse_root, symbol_quality
+from lyrebird.functions.music import QUALITIES, key_weights, parse_root, symbol_quality
 
 
 def parsed_symbols(df: DataFrame, symbol_col: str = "symbol") -> DataFrame:
@@ -16,22 +16,24 @@ def parsed_symbols(df: DataFrame, symbol_col: str = "symbol") -> DataFrame:
 def detect_keys(symbols: DataFrame, id_col: str, pos_col: str) -> DataFrame:
     """(id, tonic, mode, confidence) from (id, pos, root, quality); ids without symbols don't show.
 
-    One aggregation gives each id its counts of the 36 roots with qualities; the 24 keys are scored in the same
-    row. Of the keys with the best score the first symbol's own wins, then the tonic that is a root most often,
-    then major, then the lower tonic.
+    Symbols are counted by id, root and quality, with partial sums; an id's counts, at most 36, come together in
+    a row, and the 24 keys are scored there. Of the keys with the best score the first symbol's own wins, then
+    the tonic that is a root most often, then major, then the lower tonic.
     """
-    kinds = [(r, q) for r in range(12) for q in QUALITIES]
-    name = lambda r, q: f"_{r}{q}"
-    tally = [F.count_if((F.col("root") == r) & (F.col("quality") == q)).alias(name(r, q)) for r, q in kinds]
-    whole = symbols.groupBy(id_col).agg(F.count("*").alias("_total"), F.min(F.struct(pos_col, "root", "quality")).alias("_first"), *tally)
-    counts = {(r, q): F.col(name(r, q)) for r, q in kinds}
-
-    def place(tonic: int, minor: bool) -> Column:
-        own = (F.col("_first.root") == tonic) & ((F.col("_first.quality") == "min") == minor)
-        as_root = sum((counts[tonic, q] for q in QUALITIES), F.lit(0))
-        return F.struct((-key_points(counts, tonic, minor)).alias("s"), (~own).alias("not_own"), (-as_root).alias("r"), F.lit(minor).alias("minor"), F.lit(tonic).alias("tonic"))
-
-    best = whole.select(id_col, "_total", F.least(*[place(t, m) for m in (False, True) for t in range(12)]).alias("b"))
+    counts = symbols.groupBy(id_col, "root", "quality").agg(F.count("*").alias("n"), F.min(pos_col).alias("pos"))
+    whole = counts.groupBy(id_col).agg(F.collect_list(F.struct("pos", "root", "quality", "n")).alias("_held")).withColumn("_first", F.array_min("_held"))
+    keys = F.array(*[F.struct(F.lit(t).alias("tonic"), F.lit(m).alias("minor"), F.array(*map(F.lit, key_weights(t, m))).alias("weights")) for m in (False, True) for t in range(12)])
+
+    def place(key: Column) -> Column:
+        """The least of these is the key: scores count in halves, so equal ones are equal exactly."""
+        own = (F.col("_first.root") == key["tonic"]) & ((F.col("_first.quality") == "min") == key["minor"])
+        total = lambda f: F.aggregate("_held", F.lit(0).cast("long"), lambda a, e: a + e["n"] * f(e))
+        points = total(lambda e: F.coalesce(F.get(key["weights"], e["root"] * 3 + F.array_position(F.array(*map(F.lit, QUALITIES)), e["quality"]).cast("int") - 1), F.lit(0)))
+        as_root = total(lambda e: (e["root"] == key["tonic"]).cast("int"))
+        return F.struct((-points).alias("s"), (~own).alias("not_own"), (-as_root).alias("r"), key["minor"].alias("minor"), key["tonic"].alias("tonic"))
+
+    symbols_of = F.aggregate("_held", F.lit(0).cast("long"), lambda a, e: a + e["n"])
+    best = whole.select(id_col, symbols_of.alias("_total"), F.array_min(F.transform(keys, place)).alias("b"))
     return best.select(id_col, F.col("b.tonic").alias("tonic"), F.when(F.col("b.minor"), "minor").otherwise("major").alias("mode"), F.least(F.lit(1.0), -F.col("b.s") / 2 / F.col("_total")).alias("confidence"))
 
 
