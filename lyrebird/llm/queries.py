@@ -11,9 +11,11 @@ from lyrebird.llm.balltree import exact_top_k
 from lyrebird.llm.bpe import round_trip
 from lyrebird.llm.huffman import huffman_ids
 from lyrebird.llm.licenses import license_scan
+from lyrebird.llm.mixing import mix
 from lyrebird.llm.packing import pack, pieces
 from lyrebird.llm.pii import find_pii
 from lyrebird.llm.quality import quality_scores
+from lyrebird.llm.resampling import resample
 from lyrebird.llm.sharding import hilbert_shards
 from lyrebird.llm.simhash import near_duplicates
 
@@ -62,8 +64,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_huffman, op3_bpe, op4_licenses, op5_embeddings, op6_simhash, op7_quality, op8_packing, op9_topk, op10_pii)}
+    known = (op1_sharding, op2_huffman, op3_bpe, op4_licenses, op5_embeddings, op6_simhash, op7_quality, op8_packing, op9_topk, op10_pii, op12_mixing, op13_resampling)
+    return {f.__name__: f for f in known}
 
 
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
@@ -84,7 +95,32 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 20
 """
 
+_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce('s' || source, 't') AS k, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
+  FROM documents),
+s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY k) - 1) % 3 AS turn FROM d GROUP BY k),
+w AS (SELECT k, source_size, CAST(CASE turn WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY source_size / w, k) AS i FROM w),
+b AS (
+  SELECT o.i - 1 AS stopped, w, source_size, 1.5 * (SELECT CAST(sum(source_size) AS BIGINT) FROM o) - 2 * coalesce((SELECT CAST(sum(source_size) AS BIGINT) FROM o p WHERE p.i < o.i), 0) AS budget,
+    (SELECT sum(w) FROM o p WHERE p.i >= o.i) AS rest FROM o),
+l AS (SELECT budget, rest FROM b WHERE w * CAST(budget AS DOUBLE) / rest <= 2 * source_size ORDER BY stopped LIMIT 1),
+t AS (
+  SELECT k, source_size, CASE WHEN w * CAST(budget AS DOUBLE) / rest > 2 * source_size THEN CAST(2 * source_size AS DOUBLE) ELSE w * CAST(budget AS DOUBLE) / rest END AS target
+  FROM w CROSS JOIN l),
+n AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+g AS (SELECT k, h, sum(size) AS size FROM d GROUP BY k, h),
+r AS (SELECT g.k, h, size, sum(size) OVER (PARTITION BY g.k ORDER BY h) AS reached, target - whole * source_size AS need FROM g JOIN n ON n.k = g.k),
+c AS (SELECT k, min(CASE WHEN reached - need < need - (reached - size) THEN h + 1 ELSE h END) AS below FROM r WHERE need > 0 AND reached > need GROUP BY k),
+m AS (
+  SELECT d.*, source_size, target, CASE WHEN size = 0 THEN 0 WHEN h < coalesce(below, 0) THEN whole + 1 ELSE whole END AS repeats
+  FROM d JOIN n ON n.k = d.k LEFT JOIN c ON c.k = d.k)
+SELECT doc_id, source, size, source_size, target, CAST(repeats AS BIGINT) AS repeats, CAST(size * repeats AS BIGINT) AS taken FROM m
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """What SQL can express; tests hold the other operators against plain versions."""
-    return {"op5_embeddings": _LINKS, "op9_topk": _TOP_K}
+    return {"op5_embeddings": _LINKS, "op9_topk": _TOP_K, "op12_mixing": _MIX}
