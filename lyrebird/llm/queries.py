@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lyrebird.llm import vectors
 from lyrebird.llm.balltree import exact_top_k
 from lyrebird.llm.bpe import round_trip
+from lyrebird.llm.conversations import prefix_trie
 from lyrebird.llm.huffman import huffman_ids
 from lyrebird.llm.licenses import license_scan
 from lyrebird.llm.mixing import mix
@@ -64,6 +65,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -73,7 +78,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    known = (op1_sharding, op2_huffman, op3_bpe, op4_licenses, op5_embeddings, op6_simhash, op7_quality, op8_packing, op9_topk, op10_pii, op12_mixing, op13_resampling)
+    known = (op1_sharding, op2_huffman, op3_bpe, op4_licenses, op5_embeddings, op6_simhash, op7_quality, op8_packing, op9_topk, op10_pii, op11_trie, op12_mixing, op13_resampling)
     return {f.__name__: f for f in known}
 
 
@@ -120,7 +125,36 @@ m AS (
 SELECT doc_id, source, size, source_size, target, CAST(repeats AS BIGINT) AS repeats, CAST(size * repeats AS BIGINT) AS taken FROM m
 """
 
+_TRIE = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM t),
+i AS (SELECT conv_id, count(*) AS n_own, conv_id - conv_id % 20 AS base, CAST(conv_id AS VARCHAR) AS name FROM o GROUP BY conv_id),
+h AS (
+  SELECT conv_id, n_own, base, xor(4294967295, list_reduce(
+      list_concat([4294967295], list_transform(range(1, length(name) + 1), lambda k: CAST(ord(substr(name, CAST(k AS INTEGER), 1)) AS BIGINT))),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)
+    )) % 4 AS h FROM i),
+r AS (
+  SELECT h.conv_id, o.place AS depth, role, text FROM h JOIN o ON o.conv_id = h.base AND o.place <= h.h
+  UNION ALL
+  SELECT h.conv_id, o.place - h.h + least(h.h, coalesce(f.n_own, 0)) AS depth, role, text FROM h JOIN o ON o.conv_id = h.conv_id AND o.place > h.h LEFT JOIN h f ON f.conv_id = h.base),
+p AS (
+  SELECT conv_id, depth, text, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r
+  UNION ALL SELECT conv_id, 0, '', '' FROM h),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, len(regexp_extract_all(min(text), '[^\\x20\\x09-\\x0D]+')) AS words FROM p GROUP BY path, depth),
+k AS (SELECT substr(path, 1, length(path) - 64) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+g AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.path = n.path),
+s AS (
+  SELECT p.path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM g JOIN p ON p.conv_id = g.conv_id AND p.depth <= g.depth GROUP BY p.path),
+l AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+e AS (SELECT path, sha256(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id)) AS ends_sha256 FROM p JOIN l ON l.conv_id = p.conv_id AND l.depth = p.depth GROUP BY path)
+SELECT g.conv_id, CAST(g.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, g.n_convs, g.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+  coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM g JOIN s ON s.path = g.path LEFT JOIN n u ON g.depth > 0 AND u.path = substr(g.path, 1, length(g.path) - 64) LEFT JOIN e ON e.path = g.path
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """What SQL can express; tests hold the other operators against plain versions."""
-    return {"op5_embeddings": _LINKS, "op9_topk": _TOP_K, "op12_mixing": _MIX}
+    return {"op5_embeddings": _LINKS, "op9_topk": _TOP_K, "op11_trie": _TRIE, "op12_mixing": _MIX}
