@@ -97,21 +97,39 @@ _FIRST = "(?=[" + "".join(sorted({w[0] for w in DIGIT_WORDS})) + "])"
 # words for digits and digits, with a little between them or none
 _SPELLED = re.compile(rf"(?<![\w.@])(?:{_NUMBER}|[0-9]++)(?:[ \t-]{{0,3}}(?:{_NUMBER}|[0-9]++)){{2,}}(?![\w@])", re.I)
 _PARTS = re.compile(rf"{_NUMBER}|[0-9]+", re.I)
-_OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
+# the same after a plus, where commas and brackets may stand between
+_CALLED = re.compile(rf"(?:(?<![\w.@])plus[ \t]{{1,3}}|\+[ \t]{{0,2}})(?:{_NUMBER}|[0-9]++)(?:[ \t().,-]{{0,4}}(?:{_NUMBER}|[0-9]++)){{2,}}(?![\w@])", re.I)
+# four numbers of up to three digits with dots or words for these between
+_OCTET = rf"(?:{_NUMBER}|[0-9]{{1,3}}+)(?:[ \t-]{{0,3}}(?:{_NUMBER}|[0-9])){{0,2}}"
+_OCTET_ENDS = re.compile(rf"[ \t]+(?:{_DOT_WORDS}|{_DOT_PROSE})[ \t]+|\.", re.I)
+_DOTTED = re.compile(rf"(?<![\w.@]){_OCTET}(?:(?:[ \t]{{1,3}}(?:{_DOT_WORDS}|{_DOT_PROSE})[ \t]{{1,3}}|\.){_OCTET}){{3}}(?![\w@])", re.I)
+# Entities and percent codes of @, . and +.
+CODES = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "%40": "@", "&#46;": ".", "&#x2e;": ".", "&period;": ".", "%2e": ".", "&#43;": "+", "&#x2b;": "+", "&plus;": "+", "%2b": "+"}
+_CODE = re.compile("|".join(CODES), re.I)
+# letters one by one, or blanks around @ and dots; a name is looked for in so many characters before an @
+_REACH = 140
+_LETTERS = r"[A-Za-z0-9](?:[ \t][A-Za-z0-9-])+(?![A-Za-z0-9-])"
+_NAME_BEFORE = re.compile(r"(?:(?P<letters>(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[ \t][A-Za-z0-9._+-]){2,63})|(?P<word>[A-Za-z0-9._%+-]+))(?P<gap>[ \t]{0,3})$")
+_HOST_AFTER = re.compile(rf"@(?P<gap>[ \t]{{0,3}})(?P<host>(?:{_LETTERS}|[A-Za-z0-9-]{{1,63}}+)(?:(?:\.|[ \t]{{1,3}}\.[ \t]{{1,3}})(?:{_LETTERS}|[A-Za-z0-9-]{{1,63}}+))+)")
+# Every pattern takes time in proportion to a text: it begins only where a run begins, and gives nothing back.
+_OPEN, _CLOSE = r"(?:(?<![ \t])[ \t]++)?[\[({<][ \t]*+", r"[ \t]*+[\])}>][ \t]*+"
 _AT = re.compile(rf"{_OPEN}(?:{_AT_WORDS}|{_AT_PROSE}|@){_CLOSE}", re.I)
 _DOT = re.compile(rf"{_OPEN}(?:{_DOT_WORDS}|{_DOT_PROSE}|\.){_CLOSE}", re.I)
 # "name at host dot tld": bare words count only in this whole shape, or before a plain host where the context tells
-_BARE = re.compile(rf"\b[A-Za-z0-9._%+-]+(?P<at>[ \t]+(?:{_AT_WORDS}|{_AT_PROSE})[ \t]+|@)(?P<host>[A-Za-z0-9-]+(?:(?:[ \t]+(?:{_DOT_WORDS}|{_DOT_PROSE})[ \t]+|\.)[A-Za-z0-9-]+)*)", re.I)
-_BARE_DOT = re.compile(rf"[ \t]+(?:{_DOT_WORDS}|{_DOT_PROSE})[ \t]+", re.I)
-_PROSE_DOT = re.compile(rf"[ \t]+(?:{_DOT_PROSE})[ \t]+", re.I)
+_BLANKS = r"(?<![ \t])[ \t]++"
+_LINK = re.compile(rf"(?P<at>{_BLANKS}(?:{_AT_WORDS}|{_AT_PROSE})[ \t]++|@)(?P<host>[A-Za-z0-9-]++(?:(?:[ \t]++(?:{_DOT_WORDS}|{_DOT_PROSE})[ \t]++|\.)[A-Za-z0-9-]++)*)", re.I)
+_BORDER = re.compile(r"\b")
+_BARE_DOT = re.compile(rf"{_BLANKS}(?:{_DOT_WORDS}|{_DOT_PROSE})[ \t]++", re.I)
+_PROSE_DOT = re.compile(rf"{_BLANKS}(?:{_DOT_PROSE})[ \t]++", re.I)
 _CUE = re.compile(r"\b(?:e-?mails?|mailto|contact|write|reach|address|send)(?:[ \t]+(?:to|is|address))*[ \t]*[:=]?[ \t]*$", re.I)
-_DIGIT_DOT = re.compile(rf"(?<=[0-9])[ \t]+(?:{_DOT_WORDS}|{_DOT_PROSE})[ \t]+(?=[0-9])", re.I)
+_DIGIT_DOT = re.compile(rf"(?<=[0-9])[ \t]++(?:{_DOT_WORDS}|{_DOT_PROSE})[ \t]++(?=[0-9])", re.I)
 _VERBAL = re.compile(r"(?:ed|ing|able|ible|ly)$", re.I)
 _MARKED_NAME = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:[._+][A-Za-z0-9]+)+|[A-Za-z]{2,}[0-9]+", re.A)
 #: What a text must have, or else a look-alike, for a transducer to change it.
 _TRIGGER = re.compile(
-    rf"[\[({{<][ \t]*(?:{_AT_WORDS}|{_AT_PROSE}|{_DOT_WORDS}|{_DOT_PROSE}|@|\.)[ \t]*[\])}}>]|\b(?:{_AT_WORDS}|{_DOT_WORDS})\b|[0-9][ \t]+(?:{_DOT_PROSE})[ \t]+[0-9]"
-    rf"|\bat[ \t]+[a-z0-9-]+(?:\.|[ \t]+(?:{_DOT_PROSE})[ \t]+)[a-z0-9-]|\b{_FIRST}{_NUMBER}[ \t-]{{0,3}}(?:{_NUMBER}|[0-9])|[0-9][ \t-]{{0,3}}{_NUMBER}", re.I,
+    rf"[\[({{<][ \t]*+(?:{_AT_WORDS}|{_AT_PROSE}|{_DOT_WORDS}|{_DOT_PROSE}|@|\.)[ \t]*+[\])}}>]|\b(?:{_AT_WORDS}|{_DOT_WORDS})\b|[0-9][ \t]++(?:{_DOT_PROSE})[ \t]++[0-9]"
+    rf"|[ \t]@|@[ \t]|@[a-z0-9][ \t][a-z0-9][ \t]|@[a-z0-9-]{{1,63}}+[ \t]|&(?:\#(?:64|x40|46|x2e|43|x2b)|commat|period|plus);|%(?:40|2e|2b)"
+    rf"|\bat[ \t]++[a-z0-9-]++(?:\.|[ \t]++(?:{_DOT_PROSE})[ \t]++)[a-z0-9-]|\b{_FIRST}{_NUMBER}[ \t-]{{0,3}}(?:{_NUMBER}|[0-9])|[0-9][ \t-]{{0,3}}{_NUMBER}", re.I,
 )
 
 
@@ -186,28 +204,71 @@ def _glyphs(text: str) -> Iterable[tuple[int, int, str]]:
     return () if text.isascii() else ((m.start(), m.end(), LOOKALIKES.get(m[0], "")) for m in _GLYPH.finditer(text))
 
 
+def _coded(text: str) -> Iterable[tuple[int, int, str]]:
+    return ((*m.span(), CODES[m[0].lower()]) for m in _CODE.finditer(text)) if "%" in text or "&" in text else ()
+
+
 def _spelled(text: str) -> Iterable[tuple[int, int, str]]:
+    out = []
     for m in _SPELLED.finditer(text):
         parts = _PARTS.findall(m[0])
         if not all(p.isdigit() for p in parts):
-            yield m.start(), m.end(), "".join(DIGIT_WORDS.get(p.lower(), p) for p in parts)
+            out.append((m.start(), m.end(), _digits(parts)))
+    for m in _CALLED.finditer(text):
+        parts = _PARTS.findall(m[0])
+        if not all(p.isdigit() for p in parts) and 9 <= len(_digits(parts)) <= 15:
+            out.append((m.start(), m.end(), "+" + _digits(parts)))
+    for m in _DOTTED.finditer(text):
+        octets = [_PARTS.findall(o) for o in _OCTET_ENDS.split(m[0])]
+        if not all(p.isdigit() for o in octets for p in o):
+            out.append((m.start(), m.end(), ".".join(map(_digits, octets))))
+    return sorted(out, key=lambda e: (e[0], -e[1]))
+
+
+def _digits(parts: list[str]) -> str:
+    return "".join(DIGIT_WORDS.get(p.lower(), p) for p in parts)
+
+
+def _spaced(text: str) -> Iterable[tuple[int, int, str]]:
+    at = text.find("@")
+    while at >= 0:
+        host = _HOST_AFTER.match(text, at)
+        name = _NAME_BEFORE.search(text[max(0, at - _REACH) : at]) if host else None
+        if name and (name["letters"] or name["gap"] or host["gap"] or " " in host["host"] or "\t" in host["host"]):
+            start = max(0, at - _REACH) + name.start()
+            plain = re.sub(r"[ \t]", "", host["host"])
+            letters = bool(name["letters"]) and not name["letters"].strip().isdigit()
+            wide = re.search(r"[ \t]\.", host["host"]) and plain.rpartition(".")[2].lower() in TOPS
+            known = (name["word"] or "").lower() not in _NO_NAME and (_CUE.search(text[max(0, start - 40) : start]) or _MARKED_NAME.fullmatch(name["word"] or ""))
+            if letters or wide or known and plain.rpartition(".")[2].lower() in TOPS:
+                yield start, host.end(), re.sub(r"[ \t]", "", name["letters"] or name["word"]) + "@" + plain
+        at = text.find("@", host.end() if host else at + 1)
 
 
 def _bracketed(text: str) -> Iterable[tuple[int, int, str]]:
     return sorted([(*m.span(), "@") for m in _AT.finditer(text)] + [(*m.span(), ".") for m in _DOT.finditer(text)])
 
 
-def _mailed(text: str, m: re.Match[str]) -> bool:
+def _named(text: str, begin: int, at: int) -> int:
+    """Where a name begins that ends at ``at``: at the first border of a word among its characters; ``at`` where there is none."""
+    first = at
+    while first > begin and _LOCAL.match(text[first - 1]):
+        first -= 1
+    border = _BORDER.search(text, first, at) if first < at else None
+    return border.start() if border else at
+
+
+def _mailed(text: str, m: re.Match[str], start: int) -> bool:
     """Whether "name at host.tld" is an address.
 
     Name and tld can be such, and a word for mail comes before it, or the name has marks or digits as names of
     accounts have, or it begins a text, a line or a clause and is no word that prose has there.
     """
-    host, name = m["host"], text[m.start() : m.start("at")]
+    host, name = m["host"], text[start : m.start("at")]
     top = host.rpartition(".")[2]
     if "." not in host or len(top) < 2 or not top.isalpha() or top.istitle() or name.lower() in _NO_NAME:
         return False
-    before = text[max(0, m.start() - 40) : m.start()]
+    before = text[max(0, start - 40) : start]
     if m["at"].strip().lower() != _AT_PROSE or _CUE.search(before):
         return True
     if top.lower() not in TOPS or host.lower().startswith("www."):
@@ -217,18 +278,24 @@ def _mailed(text: str, m: re.Match[str]) -> bool:
 
 def _worded(text: str) -> Iterable[tuple[int, int, str]]:
     edits = [(*m.span(), ".") for m in _DIGIT_DOT.finditer(text)]
-    for m in _BARE.finditer(text):
+    last = place = 0
+    while m := _LINK.search(text, place):
+        start = _named(text, last, m.start("at"))
+        if start == m.start("at"):
+            place = m.start("at") + 1
+            continue
+        last = place = m.end()
         dots = [(m.start("host") + d.start(), m.start("host") + d.end(), ".") for d in _BARE_DOT.finditer(m["host"])]
         # words for a dot that prose has as well need a host's ending after them, and more than a bare "at"
         sure = not _PROSE_DOT.search(m["host"]) or (
-            re.split(r"[ \t.]+", m["host"])[-1].lower() in TOPS and (m["at"].strip().lower() != _AT_PROSE or bool(_CUE.search(text[max(0, m.start() - 40) : m.start()])))
+            re.split(r"[ \t.]+", m["host"])[-1].lower() in TOPS and (m["at"].strip().lower() != _AT_PROSE or bool(_CUE.search(text[max(0, start - 40) : start])))
         )
-        if dots and sure or not dots and m["at"] != "@" and _mailed(text, m):
+        if dots and sure or not dots and m["at"] != "@" and _mailed(text, m, start):
             edits += [(*m.span("at"), "@"), *dots]
     return sorted(edits)
 
 
-TRANSDUCERS = (_glyphs, _spelled, _bracketed, _worded)
+TRANSDUCERS = (_glyphs, _coded, _spelled, _spaced, _bracketed, _worded)
 
 
 def disguised(text: str) -> list[Span]:
@@ -258,7 +325,13 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
         return [], []
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(identifiers(text), key=order)
-    more = [s for s in disguised(text) if not any(b[0] == s[0] and b[1] <= s[1] and s[2] <= b[2] for b in base)]
+    own = {k: [s for s in base if s[0] == k] for k in KINDS}
+
+    def within(s: Span) -> bool:
+        k = bisect_right(own[s[0]], s[1], key=lambda b: b[1])
+        return k > 0 and s[2] <= own[s[0]][k - 1][2]
+
+    more = [s for s in disguised(text) if not within(s)]
     return base, sorted({*base, *more}, key=order)
 
 
@@ -281,7 +354,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, counts of the base spans by kind, base_sha256 and spans (all), one row for each row.
 
     A null text is an empty one: no spans, the digest of an empty string. Null and repeated ids and repeated
-    rows stay as they are; an empty table gives no rows; other columns are not read. No shuffle.
+    rows stay as they are; an empty table gives no rows; other columns are not read. A text of any length is
+    read whole, in time and memory proportional to it, whatever runs it holds. No shuffle.
     """
     ship(docs.sparkSession)
     kind = pa.struct([*((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
@@ -302,7 +376,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the spans of the text column replaced by their kinds.
 
     A null text stays null, an empty one empty; repeated rows stay; an empty table stays empty; other columns
-    pass unchanged. No shuffle.
+    pass unchanged; a text of any length takes time proportional to it. No shuffle.
     """
     ship(docs.sparkSession)
 

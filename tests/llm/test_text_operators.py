@@ -209,6 +209,13 @@ def test_pii_base_property(text):
     ("𝗷𝗼𝗵𝗻@𝗲𝘅𝗮𝗺𝗽𝗹𝗲.𝗰𝗼𝗺", "email", "𝗷𝗼𝗵𝗻@𝗲𝘅𝗮𝗺𝗽𝗹𝗲.𝗰𝗼𝗺"),
     ("ip ๑๙๒.๑๖๘.๑.๒", "ip", "๑๙๒.๑๖๘.๑.๒"),
     ("ᴊᴏʜɴ@exampʟe·com", "email", "ᴊᴏʜɴ@exampʟe·com"),
+    ("ip 192 dot 168 dot one dot one now", "ip", "192 dot 168 dot one dot one"),
+    ("call plus one five five five one two three four five six seven", "phone", "plus one five five five one two three four five six seven"),
+    ("call +1 (five five five), one two three 4567 ok", "phone", "+1 (five five five), one two three 4567"),
+    ("is john&#64;example.com there", "email", "john&#64;example.com"),
+    ("?to=john%40example%2Ecom", "email", "john%40example%2Ecom"),
+    ("try j o h n @ example . com now", "email", "j o h n @ example . com"),
+    ("see john @ example . com", "email", "john @ example . com"),
 ])
 def test_pii_disguised(text, kind, span):
     base, every = pii.spans(text)
@@ -218,7 +225,7 @@ def test_pii_disguised(text, kind, span):
         assert every == [(kind, at, at + len(span))] and pii.redacted(text) == text.replace(span, f"<{kind.upper()}>")
 
 
-@pytest.mark.parametrize("text", ["at the dot one two", "look at that dot", "one two three four five", "no (at) all", "a [dot] b", "", "at one point they left", "look at some point de vue", "Available at example.com", "our news at example.com", "someone at home.com asked", "20 un 3", "m² and x³ at 10² points", "zwei drei vier", "the one 2 three four", "un point de vue. Le point"])
+@pytest.mark.parametrize("text", ["at the dot one two", "look at that dot", "one two three four five", "no (at) all", "a [dot] b", "", "at one point they left", "look at some point de vue", "Available at example.com", "our news at example.com", "someone at home.com asked", "20 un 3", "m² and x³ at 10² points", "zwei drei vier", "the one 2 three four", "un point de vue. Le point", "two plus two is four", "plus one or two three points", "meet @ noon. Then it was", "rate @ 5.50 per", "meet me @ twitter.com", "one, two, three, four, five, six, seven, eight, nine, one, two, three", "100%40 &#64; a & b"])
 def test_pii_leaves_prose(text):
     assert pii.spans(text) == ([], []) and pii.redacted(text) == text
 
@@ -240,6 +247,25 @@ def test_pii_leaves_hosts(text):
     assert pii.spans(text) == ([], []) and pii.redacted(text) == text
 
 
+RUNS = ["a.", "a-1.", " ", "\t", "7", "(", "( ", "@", "a@", ".", "1-", "at ", "one ", "one-", " dot ", "x dot    ", "+", "+1 ", "%40", "a ", "a b @ c . ", "uno", "x", "é.", "1.", "1 dot ", "one."]
+
+
+@pytest.mark.parametrize("run", RUNS)
+def test_pii_takes_time_in_proportion_to_runs(run):
+    import time
+
+    text = "write to (at) one two " + run * (1_000_000 // len(run)) + " (at) x one dot"
+    began = time.process_time()
+    base, every = pii.spans(text)
+    assert time.process_time() - began < 5 and set(base) <= set(every)
+
+
+def test_pii_disguised_and_plain_in_one_long_text():
+    text = "a.b@c.org, then d (at) e.org; " * 20_000
+    base, every = pii.spans(text)
+    assert len(base) == 20_000 and len(every) == 40_000 and pii.redacted(text) == "<EMAIL>, then <EMAIL>; " * 20_000
+
+
 def test_quality_held_out(spark, docs, odd_docs):
     import zlib
 
