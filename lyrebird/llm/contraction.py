@@ -55,24 +55,26 @@ def _pairs(unary: DataFrame, values: list[str], salt: int) -> DataFrame:
     return pair.select(F.inline(both))
 
 
-def _round(live: DataFrame, values: list[str], k: int) -> DataFrame:
-    inner = _raked(live, values)
+def _rake(live: DataFrame, values: list[str]) -> DataFrame:
+    """The nodes that stay live, and the leaves, which are done."""
+    done = live.where("n = 0").select("node", "parent", "n", F.lit(None).cast("long").alias("only"), *values, F.lit(RAKED).alias("kind"))
+    return stage_table(_raked(live, values).withColumn("kind", F.lit(LIVE)).unionByName(done), "raked")
+
+
+def _compress(inner: DataFrame, values: list[str], k: int) -> DataFrame:
+    """The nodes that stay live, and those taken out of chains with what they and the nodes below them in their run hold."""
     unary = inner.where("n = 1")
     runs = _runs(unary, values, BLOCK * (k // 2 + 1)) if k % 2 == 0 else _pairs(unary, values, k)
     none = F.lit(None).cast("long")
     nothing: list[Column] = [none.alias(v) for v in values]
     is_top = F.col("node") == F.col("top")
     # what becomes of a node: it is taken out; it heads a run; the run that ended above it has another node at its end
-    became = runs.where(~is_top).select("node", F.col("below").alias("out"), none.alias("under"), *values)
-    became = became.unionByName(runs.where(is_top).select("node", none.alias("out"), none.alias("under"), *values))
+    became = runs.select("node", F.when(~is_top, F.col("below")).alias("out"), none.alias("under"), *values)
     lowest = runs.where(~is_top).groupBy("below").agg(F.min("top").alias("under")).select(F.col("below").alias("node"), none.alias("out"), "under", *nothing)
     became = became.unionByName(lowest).groupBy("node").agg(F.max("out").alias("out"), F.max("under").alias("under"), *[F.max(v).alias(f"_{v}") for v in values])
     after = inner.join(became, "node", "left")
-    kept = after.select(
-        "node", F.coalesce("under", "parent").alias("parent"), "n", F.when(F.col("out").isNull(), LIVE).otherwise(OUT).alias("kind"), F.col("out").alias("below"), *[F.coalesce(f"_{v}", v).alias(v) for v in values]
-    )
-    done = live.where("n = 0").select("node", "parent", "n", F.lit(RAKED).alias("kind"), none.alias("below"), *values)
-    return kept.unionByName(done)
+    kind = F.when(F.col("out").isNull(), LIVE).otherwise(OUT).alias("kind")
+    return stage_table(after.select("node", F.coalesce("under", "parent").alias("parent"), "n", kind, F.col("out").alias("below"), *[F.coalesce(f"_{v}", v).alias(v) for v in values]), "compressed")
 
 
 def subtree_totals(tree: DataFrame, values: list[str], rounds: int = 200) -> DataFrame:
@@ -84,21 +86,22 @@ def subtree_totals(tree: DataFrame, values: list[str], rounds: int = 200) -> Dat
     ``rounds``. An empty tree gives no rows. Each round is a table in the shared folder; only counts go to the driver.
     """
     live, tables = tree.select("node", "parent", "n", *[F.coalesce(v, F.lit(0)).cast("long").alias(v) for v in values]), []
-    while True:
-        table = stage_table(_round(live, values, len(tables)), "contracted")
-        n = {r["kind"]: r["n"] for r in table.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-        tables.append((table, n.get(OUT, 0)))
-        live = table.where(F.col("kind") == LIVE).select("node", "parent", "n", *values)
-        if not n.get(LIVE):
+    for k in range(rounds):
+        raked = _rake(live, values)
+        inner = raked.where(F.col("kind") == LIVE)
+        n, unary = inner.agg(F.count("*"), F.count_if(F.col("n") == 1)).first()
+        chains = _compress(inner, values, k) if unary > 1 else None  # one alone has no other to be joined with
+        tables.append((raked.where(F.col("kind") == RAKED).select("node", *values), chains))
+        if not n:
             break
-        if len(tables) >= rounds:
-            raise RuntimeError(f"the tree wasn't contracted in {rounds} rounds")
+        live = inner.drop("only") if chains is None else chains.where(F.col("kind") == LIVE)
+    else:
+        raise RuntimeError(f"the tree wasn't contracted in {rounds} rounds")
     known = None
-    for table, n_out in reversed(tables):
-        if n_out:
+    for raked, chains in reversed(tables):
+        if chains is not None:
             later = known.select(F.col("node").alias("below"), *[F.col(v).alias(f"_{v}") for v in values])
-            found = table.where(F.col("kind") == OUT).select("node", "below", *values).join(later, "below")
+            found = chains.where(F.col("kind") == OUT).select("node", "below", *values).join(later, "below")
             known = known.unionByName(stage_table(found.select("node", *[(F.col(v) + F.col(f"_{v}")).alias(v) for v in values]), "expanded"))
-        raked = table.where(F.col("kind") == RAKED).select("node", *values)
         known = raked if known is None else known.unionByName(raked)
     return known

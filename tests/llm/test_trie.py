@@ -80,13 +80,13 @@ def test_odd_turns(spark):
     assert next(r for r in got if r[1] == 0)[7] != hashlib.sha256(b"").hexdigest() or zlib.crc32(b"63") % 4 == 0
 
 
-@pytest.mark.parametrize("kind", ["chain", "crossed chain", "comb", "bush", "star", "forest"])
+@pytest.mark.parametrize("kind", ["chain", "crossed chain", "comb", "bush", "forest"])
 def test_contraction(spark, kind):
     rng = np.random.default_rng(4)
-    n = 400
+    n = 60 if kind in ("crossed chain", "bush") else 300
     parent = {
         "chain": lambda k: k - 1, "crossed chain": lambda k: k - 1, "comb": lambda k: k - 1 if k % 2 else max(k - 2, 0), "bush": lambda k: int(rng.integers(max(0, k - 9), k)),
-        "star": lambda k: 0, "forest": lambda k: int(rng.integers(0, k)) if k % 50 else None,
+        "forest": lambda k: int(rng.integers(0, k)) if k % 50 else None,
     }[kind]
     up = [None] + [parent(k) for k in range(1, n)]
     name = rng.permutation(n) if kind in ("crossed chain", "bush") else np.arange(n)
