@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,19 +63,26 @@ SPREAD = 1 << 20
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner", most: int | None = None) -> DataFrame:
     """rows joined with a table that has each key once and, in the column ``n``, how many rows have it.
 
-    A key that more than ``most`` rows have is dealt over as many copies of its table row. Only these keys are
-    broadcast: there are at most rows / most of them. ``n`` doesn't show in the result. Null keys meet nothing.
+    A key that more than ``most`` rows have is dealt over as many copies of its table row, by a hash of each
+    row's own columns, so that a row that is computed again goes where it went before (rows alike in all
+    columns stay together). Only these keys are broadcast: there are at most rows / most of them. ``n`` doesn't
+    show in the result. Null keys meet nothing.
     """
     most = most or SPREAD
     copies, salt = unused("copies", rows, table), unused("salt", rows, table)
     table = table.withColumn(copies, F.greatest(F.lit(1), F.ceil(F.col(n) / most)).cast("int"))
     common = table.where(F.col(copies) > 1).select(*keys, copies)
-    of = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(copies)), F.lit(0)).cast("int")
-    marked = rows.join(F.broadcast(common), keys, "left").withColumn(salt, of).drop(copies)
+    marked = rows.join(F.broadcast(common), keys, "left").withColumn(salt, salt_of(rows, F.col(copies))).drop(copies)
     dealt = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).drop(copies, n)
     return marked.join(dealt, [*keys, salt], how).drop(salt)
 
 
+def salt_of(rows: DataFrame, n: Column) -> Column:
+    """A number under n for each row, decided by its values alone; 0 where n is null. Columns that hold maps don't count."""
+    own = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.coalesce(F.pmod(F.xxhash64(*own), n), F.lit(0)).cast("int")
+
+
 def unused(name: str, *tables: DataFrame) -> str:
     """A column name that none of the tables has, in any case."""
     taken = {c.lower() for t in tables for c in t.columns}
