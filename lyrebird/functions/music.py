@@ -119,8 +119,8 @@ def parse_key(value: Column) -> Column:
 
 
 def norm_symbol(value: Column) -> Column:
-    """``C-sharp-m`` as ``C#m``: the words go first, then the hyphens."""
-    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), (("-sharp", "#"), ("-flat", "b"), ("-slash-", "/"), ("-", "")), value)
+    """``C-sharp-m`` as ``C#m``: a word for a sign goes with the hyphens around it; other hyphens and words stay."""
+    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), (("-sharp-", "#"), ("-flat-", "b"), ("-sharp", "#"), ("-flat", "b")), value)
 
 
 def key_weights(tonic: int, minor: bool) -> list[int]:

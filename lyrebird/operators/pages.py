@@ -9,18 +9,21 @@ from lyrebird.functions.text import WHITE, html_text, trimmed
 from lyrebird.runtime import checkpoint
 
 
-def region(html: Column, start: str, ends: tuple[str, ...], placeholder: str | None = None) -> Column:
+def region(html: Column, start: str, ends: tuple[str, ...], pattern: bool = False) -> Column:
     """What stands between the start marker and the nearest end marker after it, or the text's end.
 
-    Null if there is no start marker, or if the region is the placeholder.
+    Null if there is no start marker. The start is a text or, with ``pattern``, a regular expression; its first
+    place counts.
     """
-    at = F.locate(start, html)
-    rest = F.substr(html, at + len(start))
+    if pattern:
+        there = F.rlike(html, F.lit(start))
+        rest = F.regexp_extract(html, rf"(?s)^.*?(?:{start})(.*)$", 1)
+    else:
+        at = F.locate(start, html)
+        there, rest = at > 0, F.substr(html, at + len(start))
     # a marker that isn't there counts as standing at the end
     near = F.least(*[F.coalesce(F.nullif(F.locate(e, rest), F.lit(0)), F.length(rest) + 1) for e in ends], F.length(rest) + 1)
-    cut = F.substr(rest, F.lit(1), near - 1)
-    there = at > 0
-    return F.when(there & (trimmed(cut) != placeholder), cut) if placeholder else F.when(there, cut)
+    return F.when(there, F.substr(rest, F.lit(1), near - 1))
 
 
 def attributes(html: Column, name: str) -> Column:
@@ -43,17 +46,19 @@ def first_image(html: Column) -> Column:
 
 
 def clean_lines(text: Column) -> Column:
-    """Lines trimmed at the right; runs of blank lines become one; none at either end."""
-    lines = F.regexp_replace(text, r"\r\n?", "\n")
-    ends = F.regexp_replace(lines, r"[ \t]+\n", "\n")
-    runs = F.regexp_replace(ends, r"\n{3,}", "\n\n")
-    return F.regexp_replace(F.regexp_replace(runs, rf"^{WHITE}+", ""), rf"{WHITE}+$", "")
+    """Lines without white space at either end; runs of blank lines become one; none before or after all."""
+    lines = F.transform(F.split(text, "\n"), lambda l: trimmed(l))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 
 
-def extract_pages(pages: DataFrame, start: str, ends: tuple[str, ...], attribute: str, id_col: str = "page_id", html_col: str = "html", entities: bool = True, placeholder: str | None = None) -> DataFrame:
-    """(id, status, body, palette): the region's clean text, and the attribute's values over the page."""
-    cut = region(F.col(html_col), start, ends, placeholder)
-    body = clean_lines(html_text(cut, entities))
+def extract_pages(pages: DataFrame, start: str, ends: tuple[str, ...], attribute: str, id_col: str = "page_id", html_col: str = "html", entities: bool = True, placeholder: str | None = None, pattern: bool = False) -> DataFrame:
+    """(id, status, body, palette): the region's clean text, and the attribute's values over the page.
+
+    A page has no text, and a null body, without a region and where the region's text, freed of tags, has the
+    placeholder anywhere in it. With ``pattern`` the start is a regular expression.
+    """
+    text = html_text(region(F.col(html_col), start, ends, pattern), entities)
+    body = clean_lines(F.when(~F.contains(text, F.lit(placeholder)), text) if placeholder else text)
     out = pages.select(F.col(id_col), body.alias("body"), attributes(F.col(html_col), attribute).alias("palette"))
     return out.withColumn("status", F.when(F.coalesce(F.col("body"), F.lit("")) == "", "no_lyrics").otherwise("ok"))
 

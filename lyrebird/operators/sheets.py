@@ -114,10 +114,10 @@ def symbol_rows(lines: DataFrame, id_col: str) -> DataFrame:
     return rows.select(id_col, "line_no", "line", indent.alias("indent"))
 
 
-def rendered_line(line: Column) -> Column:
+def rendered_line(line: Column, kind: Column) -> Column:
     """A symbol line above its lyric line: each symbol stands where its text begins, or after the symbol before it.
 
-    Rows of symbols lose their brackets; plain lines stay.
+    Rows of symbols (``kind`` as parse_lines gives it) lose their brackets; plain lines stay.
     """
     start = F.struct(F.lit("").alias("c"), F.lit("").alias("t"))
 
@@ -131,15 +131,15 @@ def rendered_line(line: Column) -> Column:
     done = F.transform(F.array(F.aggregate(segments(line), start, add)), lambda d: F.struct(F.regexp_replace(d["c"], end, "").alias("c"), F.regexp_replace(d["t"], end, "").alias("t")))
     both = F.get(F.transform(done, lambda d: F.when(d["c"] == "", d["t"]).otherwise(F.concat(d["c"], F.lit("\n"), d["t"]))), F.lit(0))
     bare = F.trim(F.regexp_replace(F.regexp_replace(line, _SYMBOL, "$1"), r"\s+", " "))
-    return F.when(symbol_only(line), bare).when(trimmed(line) == "", F.lit("")).otherwise(both)
+    return F.when(kind == "symbols", bare).when(kind == "blank", F.lit("")).otherwise(both)
 
 
 def render_sheets(lines: DataFrame, id_col: str) -> DataFrame:
-    """(id, sheet): the plain text of each sheet, without directives; three or more line ends become two."""
-    shown = lines.where("kind != 'directive'").select(id_col, "line_no", rendered_line(F.col("line")).alias("out"))
+    """(id, sheet): the plain text of each sheet, without directives; three or more line ends become two, and no white space stands before or after all."""
+    shown = lines.where("kind != 'directive'").select(id_col, "line_no", rendered_line(F.col("line"), F.col("kind")).alias("out"))
     joined = shown.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("line_no", "out"))).alias("rows"))
     text = F.array_join(F.transform("rows", lambda r: r["out"]), "\n")
-    return joined.select(id_col, F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "").alias("sheet"))
+    return joined.select(id_col, trimmed(F.regexp_replace(text, r"\n{3,}", "\n\n")).alias("sheet"))
 
 
 def insert_markers(text: Column, markers: Column) -> Column:

@@ -192,6 +192,23 @@ def varied_symbols(t: Tables) -> DataFrame:
     return found.select("id", F.col("n").cast("int").alias("n"), F.array_join("head", " ").alias("head"))
 
 
+@query(
+    rf"""WITH l AS (SELECT * FROM {_LINES_SQL} WHERE kind <> 'directive'),
+c AS (SELECT id, line_no, string_split_regex(line, '\[[^\]]*\]') AS t, list_transform(regexp_extract_all(line, '\[([^\]]*)\]', 1), lambda x: trim(x)) AS s FROM l WHERE kind = 'lyric'),
+u AS (SELECT id, line_no, generate_subscripts(s, 1) AS k, unnest(s) AS symbol, t FROM c),
+m AS (SELECT id, line_no, k, symbol, length(array_to_string(list_slice(t, 1, k), '')) AS begins FROM u WHERE symbol <> ''),
+p AS (SELECT *, coalesce(sum(length(symbol) + 1) OVER (PARTITION BY id, line_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled FROM m),
+a AS (SELECT *, filled + max(begins - filled) OVER (PARTITION BY id, line_no ORDER BY k) AS place FROM p),
+g AS (SELECT *, place - coalesce(lag(place + length(symbol) + 1) OVER (PARTITION BY id, line_no ORDER BY k), 0) AS gap FROM a),
+o AS (SELECT id, line_no, regexp_replace(string_agg(repeat(' ', CAST(gap AS INTEGER)) || symbol || ' ', '' ORDER BY k), '\s+$', '') AS above FROM g GROUP BY id, line_no),
+x AS (SELECT l.id, l.line_no, CASE kind WHEN 'symbols' THEN trim(regexp_replace(regexp_replace(line, '\[([^\]]*)\]', '\1', 'g'), '\s+', ' ', 'g')) WHEN 'blank' THEN '' ELSE coalesce(above || chr(10), '') || regexp_replace(array_to_string(t, ''), '\s+$', '') END AS out
+  FROM l LEFT JOIN c ON c.id = l.id AND c.line_no = l.line_no LEFT JOIN o ON o.id = l.id AND o.line_no = l.line_no)
+SELECT id, regexp_replace(regexp_replace(regexp_replace(string_agg(out, chr(10) ORDER BY line_no), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '') AS sheet FROM x GROUP BY id"""
+)
+def varied_render(t: Tables) -> DataFrame:
+    return sheets.render_sheets(_varied_lines(t), "id")
+
+
 @query(rf"""WITH s AS (SELECT * FROM {_LINES_SQL} WHERE kind <> 'directive'),
 i AS (SELECT *, sum(CASE WHEN kind = 'symbols' THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY line_no) AS island FROM s),
 r AS (SELECT *, row_number() OVER w AS n, first_value(line) OVER w AS lead FROM i WHERE kind = 'symbols' WINDOW w AS (PARTITION BY id, island ORDER BY line_no)),
@@ -209,10 +226,11 @@ def varied_meta(t: Tables) -> DataFrame:
     return meta.select("id", "key", "note", F.col("tonic").cast("int").alias("tonic"), F.col("source").cast("int").alias("source"))
 
 
-@query("SELECT p_partkey AS id, replace(replace(replace(replace(v, '-sharp', '#'), '-flat', 'b'), '-slash-', '/'), '-', '') AS symbol FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 'C-sharp-m' WHEN 1 THEN 'b-flat-slash-d' WHEN 2 THEN 'A-m-7' ELSE p_type END AS v FROM part)")
+@query(r"""SELECT p_partkey AS id, regexp_replace(regexp_replace(v, '-sharp-?', '#', 'g'), '-flat-?', 'b', 'g') AS symbol
+FROM (SELECT *, CASE p_partkey % 5 WHEN 0 THEN 'C-sharp-m' WHEN 1 THEN 'b-flat-slash-d-sharp' WHEN 2 THEN 'A-m-7' WHEN 3 THEN replace(p_name, ' ', '-flat-') ELSE p_type END AS v FROM part)""")
 def normed_symbols(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
-    raw = F.when(k % 4 == 0, "C-sharp-m").when(k % 4 == 1, "b-flat-slash-d").when(k % 4 == 2, "A-m-7").otherwise(F.col("p_type"))
+    raw = F.when(k % 5 == 0, "C-sharp-m").when(k % 5 == 1, "b-flat-slash-d-sharp").when(k % 5 == 2, "A-m-7").when(k % 5 == 3, F.replace("p_name", F.lit(" "), F.lit("-flat-"))).otherwise(F.col("p_type"))
     return t.part.select(k.alias("id"), music.norm_symbol(raw).alias("symbol"))
 
 
@@ -233,7 +251,14 @@ def transposed_lists(t: Tables) -> DataFrame:
 
 
 _REGION = "(SELECT page_id, html, substr(html, strpos(html, '</h1>') + 5) AS rest FROM pages WHERE strpos(html, '</h1>') > 0)"
-_BODY_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(left(rest, least(CASE WHEN strpos(rest, '</article>') > 0 THEN strpos(rest, '</article>') ELSE length(rest) + 1 END, CASE WHEN strpos(rest, '<footer') > 0 THEN strpos(rest, '<footer') ELSE length(rest) + 1 END) - 1), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(?:div|p|h3)>', chr(10), 'g'), '<[^>]+>', '', 'g'), chr(160), ' '), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '')"""
+_PLAIN_SQL = r"""replace(regexp_replace(regexp_replace(regexp_replace(left(rest, least(CASE WHEN strpos(rest, '</article>') > 0 THEN strpos(rest, '</article>') ELSE length(rest) + 1 END, CASE WHEN strpos(rest, '<footer') > 0 THEN strpos(rest, '<footer') ELSE length(rest) + 1 END) - 1), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(?:div|p|h3)>', chr(10), 'g'), '<[^>]+>', '', 'g'), chr(160), ' ')"""
+
+
+def _clean_sql(text: str) -> str:
+    return rf"""regexp_replace(regexp_replace(regexp_replace(array_to_string(list_transform(string_split({text}, chr(10)), lambda l: regexp_replace(regexp_replace(l, '^\s+', ''), '\s+$', '')), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+', ''), '\n+$', '')"""
+
+
+_BODY_SQL = _clean_sql(_PLAIN_SQL)
 
 
 @query(f"SELECT page_id, {_BODY_SQL} AS body, CASE WHEN {_BODY_SQL} = '' THEN 'no_lyrics' ELSE 'ok' END AS status FROM {_REGION}")
@@ -241,6 +266,21 @@ def page_text(t: Tables) -> DataFrame:
     return pages.extract_pages(t.pages, "</h1>", ("</article>", "<footer"), "href", entities=False).select("page_id", "body", "status")
 
 
+# the pages with a heading of one of three shapes or none, indented lines and a wrapped placeholder
+_HEADED = "html || CASE page_id % 4 WHEN 0 THEN '<h3> Words of ' || page_id || '</h3>' WHEN 1 THEN '<h3>Words</h3>' WHEN 2 THEN '<h3>Other</h3>' ELSE '<h3>' || chr(10) || 'Words</h3>' END || '<p>  ' || chr(9) || url || ' </p>' || chr(10) || '   <br> <b>in</b> line' || CASE WHEN page_id % 5 = 0 THEN '<p>there are <i>no</i> words</p>' ELSE '' END || '<div class=end>tail'"
+
+
+@query(
+    rf"""WITH p AS (SELECT page_id, regexp_extract({_HEADED}, '(?s)^.*?(?:<h3>\s*Words[^<]*</h3>)(.*)$', 1) AS r FROM pages),
+x AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(left(r, strpos(r || '<div class=end>', '<div class=end>') - 1), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(?:div|p|h3)>', chr(10), 'g'), '<[^>]+>', '', 'g') AS text FROM p)
+SELECT page_id, CASE WHEN text <> '' AND NOT contains(text, 'no words') THEN {_clean_sql("text")} END AS body, CASE WHEN text <> '' AND NOT contains(text, 'no words') THEN 'ok' ELSE 'no_lyrics' END AS status FROM x"""
+)
+def headed_pages(t: Tables) -> DataFrame:
+    """Regions after a heading that a pattern tells, with a placeholder in tags."""
+    found = t.pages.select("page_id", F.expr(_HEADED).alias("html"))
+    return pages.extract_pages(found, r"<h3>\s*Words[^<]*</h3>", ("<div class=end>",), "href", entities=False, placeholder="no words", pattern=True).select("page_id", "body", "status")
+
+
 @query("SELECT page_id, array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda p: list_position(l, p[1]) = p[2]), lambda p: p[1]), ' ') AS palette FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages)")
 def page_palette(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.array_join(pages.attributes(F.col("html"), "href"), " ").alias("palette"))

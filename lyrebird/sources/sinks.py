@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +18,23 @@ def _folder(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
 def append_log(rows: DataFrame, path: str) -> None:
     """Append rows as a folder of their own, numbered after those that are there.
 
-    Of two writers that take the same number the second fails and can append again, so nothing is mixed up.
+    A writer first claims a number by creating a file of that name, which one of two can do; the other takes the
+    next one. A writer that fails afterwards leaves its number unused.
     """
     place, store = _folder(rows.sparkSession, path)
     names = [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
     last = max([int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and n[6:].isdigit()], default=0)
-    rows.write.mode("error").json(f"{path}/batch={last + 1:012d}")
+    claim = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store.mkdirs(place)
+    while True:
+        last += 1
+        try:
+            if store.createNewFile(claim(f"{path}/_claim-{last:012d}")):
+                break
+        except Py4JJavaError as e:  # some stores tell in this way that the file is there
+            if "AlreadyExists" not in str(e):
+                raise
+    rows.write.mode("error").json(f"{path}/batch={last:012d}")
 
 
 def write_compacted(rows: DataFrame, path: str, key: str = "id") -> None:

@@ -1,6 +1,7 @@
 """Literal cases, worked out by hand."""
 
 import html
+import re
 import unicodedata
 
 import pytest
@@ -92,7 +93,7 @@ def test_sheet_tokens(spark):
     assert [(t["type"], t["value"]) for t in one(spark, line, sheets.tokens)] == [("symbol", "C"), ("text", "la "), ("symbol", "G"), ("text", "do")]
     assert [(s["symbol"], s["text"]) for s in one(spark, "x [C]la", sheets.segments)] == [("", "x "), ("C", "la")]
     assert one(spark, "Intro: [C] / [G] (x2)", sheets.symbol_only) and not one(spark, "[C] la", sheets.symbol_only)
-    assert one(spark, line, sheets.rendered_line) == "C  G\nla do"
+    assert one(spark, line, lambda c: sheets.rendered_line(c, F.lit("lyric"))) == "C  G\nla do"
 
 
 def test_sheet_symbols_are_trimmed_and_blank_ones_left_out(spark):
@@ -144,9 +145,48 @@ def test_names_keep_columns_and_common_names(spark, monkeypatch):
 
 
 def test_regions(spark):
-    cut = lambda v: one(spark, v, lambda c: pages.region(c, "<h>", ("</a>", "<f"), "none"))
-    assert [cut(v) for v in ("x<h>ab</a><f", "x<h>ab<f</a>", "x<h>ab", "x", "<h> none </a>")] == ["ab", "ab", "ab", None, None]
-    assert one(spark, " \n\na \n\n\n\nb\n ", pages.clean_lines) == "a\n\nb"
+    cut = lambda v: one(spark, v, lambda c: pages.region(c, "<h>", ("</a>", "<f")))
+    assert [cut(v) for v in ("x<h>ab</a><f", "x<h>ab<f</a>", "x<h>ab", "x")] == ["ab", "ab", "ab", None]
+    of = lambda v: one(spark, v, lambda c: pages.region(c, r"<h\d>\s*Words[^<]*</h\d>", ("<f",), pattern=True))
+    assert [of(v) for v in ("x<h3>\n Words of it</h3>a\nb<f", "<h2>Words</h2><h3>Words</h3>c", "<h3>Other</h3>d")] == ["a\nb", "<h3>Words</h3>c", None]
+    assert one(spark, " \n\n  a \t\n\n \n\n\tb\r\n ", pages.clean_lines) == "a\n\nb"
+
+
+def plain_body(html, start, end, placeholder):
+    """The rules for a page's text, written out."""
+    at = re.search(start, html)
+    if not at:
+        return None
+    cut = html[at.end() :].split(end)[0]
+    text = re.sub(r"<[^>]+>", "", re.sub(r"</(div|p|h3)>", "\n", re.sub(r"<br\s*/?>", "\n", cut, flags=re.I), flags=re.I))
+    if placeholder in text:
+        return None
+    out = []
+    for line in (x.strip() for x in text.split("\n")):
+        if line or (out and out[-1]):
+            out.append(line)
+    return "\n".join(out).strip("\n")
+
+
+def test_placeholders_and_indented_lines(spark):
+    cases = ["<h3>Words</h3><p>none</p>", "<h3> Words x</h3><br>   lo<br>\t\tla  <p> <p> </p></p>end", "<h3>Words</h3>  <div>a</div><b>no</b>ne</div>", "<h3>Words</h3>no ne", "no heading", "<h3>Words</h3>"]
+    df = spark.createDataFrame(list(enumerate(cases)), "page_id long, html string")
+    got = {r.page_id: (r.body, r.status) for r in pages.extract_pages(df, r"<h3>\s*Words[^<]*</h3>", ("<f",), "href", placeholder="none", pattern=True).collect()}
+    want = [plain_body(c, r"<h3>\s*Words[^<]*</h3>", "<f", "none") for c in cases]
+    assert got == {k: (w, "ok" if w else "no_lyrics") for k, w in enumerate(want)}
+    assert want[:3] == [None, "lo\nla\n\nend", None]
+
+
+def test_symbol_names_keep_other_hyphens(spark):
+    norm = lambda v: v.replace("-sharp-", "#").replace("-flat-", "b").replace("-sharp", "#").replace("-flat", "b")
+    for v in ("A-m-7", "C-sharp-slash-D", "C-sharp-m", "B-flat", "-flat--sharp-", "x-flat-sharp"):
+        assert one(spark, v, music.norm_symbol) == norm(v)
+
+
+def test_a_sheet_has_no_white_space_around_it(spark):
+    df = spark.createDataFrame([(1, "la [C]x\n\n\n\n[D]\n \t"), (2, " [ ]y  [Am]z"), (3, "{key: C}\n\n")], "id long, text string")
+    got = {r.id: r.sheet for r in sheets.render_sheets(sheets.parse_lines(df, "id", "text"), "id").collect()}
+    assert got == {1: "C\nla x\n\nD", 2: "Am\n y  z", 3: ""}
 
 
 def test_playlist_merge_cases(spark):

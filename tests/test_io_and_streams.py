@@ -169,3 +169,28 @@ def test_own_scratch_folder_only_on_this_machine(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         runtime.scratch_dir(Session)
+
+
+def test_a_common_key_is_dealt_by_the_rows_values(spark):
+    from lyrebird.runtime import salt_of, spread_join
+
+    rows = [("hot" if i % 3 else f"k{i}", i, f"v{i}") for i in range(900)]
+    kind = "key string, i long, v string"
+    ways = [spark.createDataFrame(r, kind).repartition(n) for r, n in ((rows, 2), (rows[::-1], 5))]
+    dealt = [{(r.i, r.s) for r in w.select("i", salt_of(w, F.lit(16)).alias("s")).collect()} for w in ways]
+    assert dealt[0] == dealt[1] and len({s for _, s in dealt[0]}) == 16
+    table = spark.createDataFrame([("hot", 600, "h"), ("k0", 1, "z"), ("gone", 5, "g")], "key string, n long, w string")
+    got = sorted((r.i, r.w) for r in spread_join(ways[0], table, ["key"], "n", most=10).collect())
+    assert got == sorted([(i, "h") for k, i, _ in rows if k == "hot"] + [(0, "z")])
+
+
+def test_two_writers_take_different_numbers(spark, tmp_path):
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "log")
+    sinks.append_log(spark.range(1), path)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda n: sinks.append_log(spark.range(n), path), range(2, 6)))
+    assert sorted(d for d in os.listdir(path) if d.startswith("batch=")) == [f"batch={n:012d}" for n in range(1, 6)]
+    assert spark.read.json(path).count() == 1 + 2 + 3 + 4 + 5
