@@ -6,7 +6,7 @@ import re
 import duckdb
 import pytest
 
-from lyrebird.plans import catalogue, collections, music, small  # noqa: F401
+from lyrebird.plans import catalogue, collections, music, pictures, small  # noqa: F401
 from lyrebird.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
