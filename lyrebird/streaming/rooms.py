@@ -6,12 +6,13 @@ give the same rows for the same events; what comes later than the watermark allo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from lyrebird.streaming.ordered import in_order
 
 
 def room_register(events: DataFrame, room: str = "room", at: str = "at") -> DataFrame:
@@ -47,29 +48,24 @@ def edges(events: DataFrame, room: str = "room", order: str = "seq", me: str | N
     return events.withColumn("action", F.when(heard & closed, "close").when(heard & again & viewing, "open")).drop("_known")
 
 
-def edge_stream(events: DataFrame, room: str = "room", order: str = "seq", me: str | None = None, mounted_at: int | None = None) -> DataFrame:
-    """(room, seq, action) as events come, as ``edges`` has it; the state of a room is its last event.
+def edge_stream(events: DataFrame, room: str = "room", order: str = "seq", me: str | None = None, mounted_at: int | None = None, late: str = "10 minutes") -> DataFrame:
+    """(room, seq, action) as ``edges`` has it, an event once the watermark has passed its time ``at``.
 
-    A batch's events are taken in their order. The known songs' events are those of a stream-static semi join.
+    Events are applied by time, equal ones by ``order``, so one that comes in a later batch still takes its
+    place; what is later than ``late`` is left out. The state of a room is its last event, and ends after 30
+    days without any. The known songs' events are those of a stream-static semi join.
     """
-    kinds = dict(events.dtypes)
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        song, viewing, picked = state.get if state.exists else (None, True, 0)
-        rows = pd.concat(list(parts)).sort_values(order)
-        out = []
-        for seq, now, by, at, view in zip(rows[order], rows["song"], rows["picked_by"], rows["picked_at"], rows["viewing"], strict=True):
-            now = None if pd.isna(now) else int(now)
-            at, view = 0 if pd.isna(at) else int(at), True if pd.isna(view) else bool(view)
-            heard = now is not None and (me is None or by != me) and not (mounted_at is not None and 0 < at < mounted_at)
-            closed = now == song and viewing and not view
-            again = now != song or at > picked or (not viewing and view)
-            out.append((key[0], seq, "close" if heard and closed else "open" if heard and again and view else None))
-            song, viewing, picked = now, view, at
-        state.update((song, viewing, picked))
-        yield pd.DataFrame(out, columns=["room", "seq", "action"])
-
-    return events.groupBy(room).applyInPandasWithState(fold, f"room {kinds[room]}, seq long, action string", "song long, viewing boolean, picked long", "append", GroupStateTimeout.NoTimeout)
+
+    def step(state: tuple, event: tuple) -> tuple[tuple, tuple]:
+        (song, viewing, picked), (_, seq, now, by, at, view) = state, event
+        at, view = at or 0, view is None or view
+        heard = now is not None and (me is None or by != me) and not (mounted_at is not None and 0 < at < mounted_at)
+        closed = now == song and viewing and not view
+        again = now != song or at > picked or (not viewing and view)
+        return (now, view, at), (seq, "close" if heard and closed else "open" if heard and again and view else None)
+
+    fields = ["song", "picked_by", "picked_at", "viewing"]
+    return in_order(events, room, order, fields, late, "seq long, action string", "song long, viewing boolean, picked long", (None, True, 0), step)
 
 
 def notified(action: Column, permitted: Column, auto_open: Column, hidden: Column) -> Column:
@@ -130,21 +126,50 @@ def unique_stream(updates: DataFrame, keys: list[str], at: str, late: str = "10
     return updates.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def ownership_stream(events: DataFrame, room: str = "room", order: str = "seq") -> DataFrame:
-    """(room, seq, owner) as events come; a batch's events are applied in their order."""
+def ownership_stream(events: DataFrame, room: str = "room", order: str = "seq", late: str = "10 minutes", silence: int | None = None) -> DataFrame:
+    """(room, seq, at_us, owner) as ``ownership`` has it, an event once the watermark has passed its time ``at``.
 
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        owner = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(order)
-        out = []
-        for seq, op, client in zip(rows[order], rows["op"], rows["client"], strict=True):
-            owner = _next_owner(owner, op, client)
-            out.append((key[0], seq, owner))
-        state.update((owner,))
-        yield pd.DataFrame(out, columns=["room", "seq", "owner"])
+    Events are applied by time, equal ones by ``order``, so one that comes in a later batch still takes its
+    place; what is later than ``late`` is left out. With ``silence`` (microseconds) a room is freed whose owner
+    sends nothing for so long: a row with a null seq says so. A room's state ends after 30 days without events.
+    """
+
+    def step(state: tuple, event: tuple) -> tuple[tuple, tuple]:
+        (owner, seen), (at, seq, op, client) = state, event
+        owner = _next_owner(owner, op, client)
+        return (owner, at if owner is not None and owner == client else seen), (seq, at, owner)
+
+    quiet = silent = None
+    if silence is not None:
+        quiet = lambda state: None if state[0] is None else state[1] + silence
+        silent = lambda state: ((None, 0), (None, state[1] + silence, None))
+    return in_order(events, room, order, ["op", "client"], late, "seq long, at_us long, owner string", "owner string, seen long", (None, 0), step, quiet, silent)
+
+
+def tombstone_stream(changes: DataFrame, owner: str = "owner", order: str = "seq", late: str = "10 minutes", keep: int = 180 * 86_400_000_000) -> DataFrame:
+    """(owner, seq, list, live): whether each change of a list (op edit or delete, with the time it was made, ``made`` in
+    microseconds) leaves it alive: an edit counts if it was made after the list's deletion.
+
+    Deletions are kept for ``keep`` microseconds after they were made, and then forgotten with their state; the
+    newest deletion of a list counts. Changes are applied as they pass the watermark, by time ``at`` and order.
+    """
+
+    def step(state: tuple, event: tuple) -> tuple[tuple, tuple]:
+        at, seq, name, op, made = event
+        known = {k: v for k, v in (state[0] or {}).items() if v + keep > at}
+        if op == "delete":
+            known[name] = max(made, known.get(name, made))
+        return (known,), (seq, name, made > known[name] if name in known else op != "delete")
+
+    def quiet(state: tuple) -> int | None:
+        return min(state[0].values()) + keep if state[0] else None
+
+    def silent(state: tuple) -> tuple[tuple, tuple]:
+        gone = min(state[0].values())
+        name = min(k for k, v in state[0].items() if v == gone)
+        return ({k: v for k, v in state[0].items() if k != name},), (None, name, None)
 
-    kind = dict(events.dtypes)[room]
-    return events.groupBy(room).applyInPandasWithState(fold, f"room {kind}, seq long, owner string", "owner string", "append", GroupStateTimeout.NoTimeout)
+    return in_order(changes, owner, order, ["list", "op", "made"], late, "seq long, list string, live boolean", "deleted map<string,bigint>", ({},), step, quiet, silent, forget=keep)
 
 
 def _versions(stream: DataFrame, path: str, step: Callable[[DataFrame], DataFrame]):

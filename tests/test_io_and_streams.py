@@ -102,7 +102,10 @@ def test_ownership_stream(spark, tmp_path):
     batch, stream = events(spark, tmp_path)
     run(rooms.ownership_stream(stream), "owners")
     got = {(r.room, r.seq): r.owner for r in spark.table("owners").collect()}
-    assert got == {(r.room, r.seq): r.owner for r in rooms.ownership(batch).collect()}
+    want = {(r.room, r.seq): r.owner for r in rooms.ownership(batch.withColumn("seq", F.unix_micros("at") * 1000 + F.col("seq") % 1000)).collect()}
+    want = {(r.room, r.seq): want[r.room, r.key] for r in batch.withColumn("key", F.unix_micros("at") * 1000 + F.col("seq") % 1000).collect()}
+    # the last ones wait for the watermark
+    assert got.items() <= want.items() and len(got) > 0.95 * len(want)
 
 
 def test_debounced_stream_closes_what_is_past(spark, tmp_path):
@@ -127,11 +130,11 @@ def test_unique_stream_and_register(spark, tmp_path):
 def test_edge_stream(spark, tmp_path):
     batch, stream = events(spark, tmp_path)
     e = F.col("seq")
-    as_rooms = lambda df: df.select("room", "seq", F.when(e % 13 != 0, e % 3).alias("song"), F.col("client").alias("picked_by"), (e - e % 2).alias("picked_at"), F.when(e % 5 != 0, e % 7 < 4).alias("viewing"))
+    as_rooms = lambda df: df.select("room", "seq", "at", F.when(e % 13 != 0, e % 3).alias("song"), F.col("client").alias("picked_by"), (e - e % 2).alias("picked_at"), F.when(e % 5 != 0, e % 7 < 4).alias("viewing"))
     run(rooms.edge_stream(as_rooms(stream), me="c1", mounted_at=20), "edges")
     got = {(r.room, r.seq): r.action for r in spark.table("edges").collect()}
-    want = {(r.room, r.seq): r.action for r in rooms.edges(as_rooms(batch), me="c1", mounted_at=20).collect()}
-    assert got == want and {"open", "close", None} == set(want.values())
+    want = {(r.room, r.seq): r.action for r in rooms.edges(as_rooms(batch).withColumn("key", F.unix_micros("at") * 1000 + e % 1000), order="key", me="c1", mounted_at=20).collect()}
+    assert got.items() <= want.items() and len(got) > 0.95 * len(want) and {"open", "close", None} == set(got.values())
 
 
 def test_deltas_are_merged_into_a_table(spark, tmp_path):
