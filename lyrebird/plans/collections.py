@@ -204,6 +204,14 @@ def throttled_events(t: Tables) -> DataFrame:
     return windows.select(F.unix_micros("start").alias("start_us"), "n")
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id % 3 AS room, epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM events),
+r(room, s) AS (SELECT room, min(us) FROM e GROUP BY room UNION ALL SELECT r.room, (SELECT min(us) FROM e WHERE e.room = r.room AND us >= r.s + 14400000000) FROM r WHERE EXISTS (SELECT 1 FROM e WHERE e.room = r.room AND us >= r.s + 14400000000))
+SELECT r.room, r.s AS start_us, count(*) AS n FROM r JOIN e ON e.room = r.room AND e.us >= r.s AND e.us < r.s + 14400000000 GROUP BY r.room, r.s""")
+def throttled_rooms(t: Tables) -> DataFrame:
+    """Windows of four hours, each opened by the first event after the one before."""
+    return rooms.throttled_from_first(t.events.select((F.col("user_id") % 3).alias("room"), F.col("ts").cast("timestamp").alias("at")), "room", "at", 14_400_000_000)
+
+
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) WHERE event_type IS DISTINCT FROM was")
 def without_echoes(t: Tables) -> DataFrame:
     return rooms.without_echoes(t.events.select("user_id", "event_id", "event_type"), "user_id", "event_type", "event_id").select("user_id", "event_id")

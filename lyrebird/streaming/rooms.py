@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lyrebird.operators.sweeps import chain, following
+from lyrebird.runtime import spread_join, stage_table
 from lyrebird.streaming.ordered import in_order
 
 
@@ -75,19 +76,29 @@ def notified(action: Column, permitted: Column, auto_open: Column, hidden: Colum
 def ownership(events: DataFrame, room: str = "room", order: str = "seq") -> DataFrame:
     """Adds ``owner`` after each event (claim, release or disconnect, by client).
 
-    A claim takes a room that nobody owns; only the owner's release or disconnect frees it. This is a fold
-    in the order of a room's events, so each room is one group; rooms are many, and a room's events few.
+    A claim takes a room that nobody owns; only the owner's release or disconnect frees it. So of all claims
+    those count that a room's first one leads to: from a claim to the client's next release, and on to the
+    first claim after that. Sweeps find both, a chain the claims that count, and each event looks back to the
+    last of these; a room with any share of all events goes over many tasks. ``order`` is a bigint, each once
+    in a room. Events without a room are left out, and a null client claims nothing.
     """
-    schema = events.select("*", F.lit(None).cast("string").alias("owner")).schema
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group, owner, out = group.sort_values(order), None, []
-        for op, client in zip(group["op"], group["client"], strict=True):
-            owner = _next_owner(owner, op, client)
-            out.append(owner)
-        return group.assign(owner=out)
-
-    return events.groupBy(room).applyInPandas(fold, schema)
+    events = events.where(F.col(room).isNotNull())
+    own = events.select(room, order, "op", "client")
+    frees = F.when(F.col("op").isin("release", "disconnect"), F.col(order))
+    claims = following(own, [room, "client"], [order], frees, "freed").where("op = 'claim' and client is not null").select(room, order, "client", "freed")
+    claims = stage_table(claims, "claims")
+    at, none = F.col(order), F.lit(None).cast("long")
+    places = claims.select(room, at.alias("at"), F.lit(1).alias("kind"), none.alias("of")).unionByName(claims.where("freed is not null").select(room, F.col("freed").alias("at"), F.lit(0).alias("kind"), at.alias("of")))
+    then = following(places, [room], ["at", "kind"], F.when(F.col("kind") == 1, F.col("at")), "then").where("kind = 0").select(room, F.col("of").alias(order), "then")
+    counted = chain(claims.join(then, [room, order], "left"), room, order, "then")
+    marks = own.select(room, order).join(counted.select(room, order, F.col(order).alias("claim")), [room, order], "left")
+    back = following(marks, [room], [order], F.col("claim"), "before", backward=True).select(room, order, F.coalesce("claim", "before").alias("claim"))
+    back = stage_table(back, "claimed")
+    held = back.groupBy(room, "claim").agg(F.count("*").alias("n"))
+    names = claims.withColumnRenamed(order, "claim").join(held, [room, "claim"])
+    met = spread_join(back, names, [room, "claim"], "n", "left")
+    owner = F.when(F.col("freed").isNull() | (F.col(order) < F.col("freed")), F.col("client")).alias("owner")
+    return events.join(met.select(room, order, owner), [room, order], "left").select(*events.columns, "owner")
 
 
 def _next_owner(owner: str | None, op: str, client: str) -> str | None:
@@ -107,10 +118,27 @@ def debounced(deltas: DataFrame, key: str, at: str, fields: list[str], silence:
 
 
 def throttled(events: DataFrame, at: str, every: str = "500 milliseconds") -> DataFrame:
-    """(start, n): how many events each window holds."""
+    """(start, n): how many events each window of the clock holds."""
     return events.groupBy(F.window(at, every).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
+def throttled_from_first(events: DataFrame, key: str, at: str, every: int = 500_000) -> DataFrame:
+    """(key, start_us, n): windows of ``every`` microseconds, each opened by the first event after the one before ended, and how many events it holds.
+
+    An event's successor is the first one at least ``every`` later, found by a sweep over events and the times
+    that they wait for; the windows are the chain from a key's first event. One key may have all events. Events
+    of one time open a window together; those without a time or key are left out.
+    """
+    times = stage_table(events.where(F.col(at).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key), F.unix_micros(F.col(at)).alias("us")).agg(F.count("*").alias("m")), "times")
+    us = F.col("us")
+    places = times.select(key, us.alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("of")).unionByName(times.select(key, (us + every).alias("at"), F.lit(0).alias("kind"), us.alias("of")))
+    then = following(places, [key], ["at", "kind"], F.when(F.col("kind") == 1, F.col("at")), "then").where("kind = 0").select(key, F.col("of").alias("us"), "then")
+    opened = chain(then, key, "us", "then")
+    marks = times.join(opened.withColumn("start_us", us), [key, "us"], "left")
+    inside = following(marks, [key], ["us"], F.col("start_us"), "before", backward=True)
+    return inside.groupBy(key, F.coalesce("start_us", "before").alias("start_us")).agg(F.sum("m").alias("n"))
+
+
 def without_echoes(updates: DataFrame, key: str, print_col: str, order: str) -> DataFrame:
     """Updates that change their key's fingerprint."""
     by = Window.partitionBy(key).orderBy(order)
