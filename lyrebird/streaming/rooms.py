@@ -6,13 +6,12 @@ give the same rows for the same events; what comes later than the watermark allo
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lyrebird.operators.sweeps import chain, following
 from lyrebird.runtime import spread_join, stage_table
+from lyrebird.sources.upserts import upserting
 from lyrebird.streaming.ordered import in_order
 
 
@@ -200,27 +199,9 @@ def tombstone_stream(changes: DataFrame, owner: str = "owner", order: str = "seq
     return in_order(changes, owner, order, ["list", "op", "made"], late, "seq long, list string, live boolean", "deleted map<string,bigint>", ({},), step, quiet, silent, forget=keep)
 
 
-def _versions(stream: DataFrame, path: str, step: Callable[[DataFrame], DataFrame]):
-    """A writer that steps a table on with each batch: version n is the step over version n - 1 and the batch.
-
-    A batch that is run again overwrites its own version, so repeats do no harm; of the versions before it the
-    last is kept for that, and older ones go.
-    """
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number:
-            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}"))
-        step(batch).write.mode("overwrite").parquet(f"{path}/version={number}")
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number - 2}")
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-
-    return stream.writeStream.foreachBatch(upsert)
-
-
 def register_into(stream: DataFrame, path: str, room: str = "room", at: str = "at"):
-    """A writer that keeps the last event of each room as a table under ``path``."""
-    return _versions(stream, path, lambda both: room_register(both, room, at).select(*both.columns))
+    """A writer that keeps the last event of each room as a table under ``path`` (``upserts.read_upserted``)."""
+    return upserting(stream, path, room, lambda both: room_register(both, room, at).select(*both.columns))
 
 
 def merged(deltas: DataFrame, key: str, at: str, fields: list[str]) -> DataFrame:
@@ -232,7 +213,12 @@ def merged(deltas: DataFrame, key: str, at: str, fields: list[str]) -> DataFrame
 def merged_into(stream: DataFrame, path: str, key: str, at: str, fields: list[str]):
     """A writer that merges deltas, field by field, into a table of one row for each key under ``path``.
 
-    A field that a delta lacks keeps its value. Of a stored row all fields count as of the row's last time, so
-    a delta that comes late loses against what is stored.
+    A field that a delta lacks keeps its value. Each field has a time of its own (field_at), so a delta that
+    comes late wins for the fields that nothing newer has set, and loses for the others.
     """
-    return _versions(stream.select(key, at, *fields), path, lambda both: merged(both, key, at, fields))
+    timed = stream.select(key, at, *[c for f in fields for c in (F.col(f), F.when(F.col(f).isNotNull(), F.col(at)).alias(f"{f}_at"))])
+
+    def step(both: DataFrame) -> DataFrame:
+        return both.groupBy(key).agg(F.max(at).alias(at), *[c for f in fields for c in (F.max_by(f, f"{f}_at").alias(f), F.max(f"{f}_at").alias(f"{f}_at"))])
+
+    return upserting(timed, path, key, step)

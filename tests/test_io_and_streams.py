@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from lyrebird.sources import files, sinks
+from lyrebird.sources import files, sinks, upserts
 from lyrebird.streaming import rooms
 
 SF = "/root/testdata/sf0.001"
@@ -122,8 +122,7 @@ def test_unique_stream_and_register(spark, tmp_path):
     assert spark.table("uniq").count() == batch.count()
     q = rooms.register_into(stream, f"{tmp_path}/reg", "room", "seq").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "reg").iterdir())
-    got = {r.room: r.seq for r in spark.read.parquet(f"{tmp_path}/reg/version={last}").collect()}
+    got = {r.room: r.seq for r in upserts.read_upserted(spark, f"{tmp_path}/reg").collect()}
     assert got == {r.room: r.seq for r in rooms.room_register(batch, "room", "seq").collect()}
 
 
@@ -143,9 +142,8 @@ def test_deltas_are_merged_into_a_table(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         q = rooms.merged_into(fields(stream), f"{tmp_path}/user", "room", "seq", ["op", "client"]).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
         q.awaitTermination()
-    versions = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "user").iterdir())
-    assert len(versions) <= 2
-    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/user/version={versions[-1]}").collect()))
+    assert len(list((tmp_path / "user" / "_versions").glob("*.json"))) <= 2
+    got = sorted(map(tuple, upserts.read_upserted(spark, f"{tmp_path}/user").select("room", "seq", "op", "client").collect()))
     assert got == sorted(map(tuple, rooms.merged(fields(batch), "room", "seq", ["op", "client"]).collect()))
 
 
@@ -197,3 +195,33 @@ def test_two_writers_take_different_numbers(spark, tmp_path):
         list(pool.map(lambda n: sinks.append_log(spark.range(n), path), range(2, 6)))
     assert sorted(d for d in os.listdir(path) if d.startswith("batch=")) == [f"batch={n:012d}" for n in range(1, 6)]
     assert spark.read.json(path).count() == 1 + 2 + 3 + 4 + 5
+
+
+def test_upserts_touch_only_their_buckets(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    newest = lambda both: both.groupBy("k").agg(F.max_by("v", "at").alias("v"), F.max("at").alias("at"))
+    rows = lambda r: spark.createDataFrame(r, "k long, v string, at long")
+    names = lambda: {str(p.relative_to(path)) for p in (tmp_path / "t").glob("data-*/*/*.parquet")}
+    read = lambda: {r.k: (r.v, r.at) for r in upserts.read_upserted(spark, path).collect()}
+    assert upserts.upsert(rows([(k, "a", 1) for k in range(40)]), path, "k", newest, 0, 16) == 1
+    first = names()
+    assert upserts.upsert(rows([(3, "b", 2), (100, "new", 2)]), path, "k", newest, 1) == 2
+    live = json.loads((tmp_path / "t" / "_versions" / f"{2:012d}.json").read_text())["files"]
+    assert sum(f.startswith("data-000000000001/") for f in live.values()) >= 14 and first <= names()
+    want = {k: ("a", 1) for k in range(40)} | {3: ("b", 2), 100: ("new", 2)}
+    assert read() == want
+    before = names()
+    assert upserts.upsert(rows([(3, "again", 9)]), path, "k", newest, 1) == 2 and read() == want and names() == before  # a replayed batch
+    assert upserts.upsert(rows([(3, "late", 1), (4, "c", 3)]), path, "k", newest, 2) == 3
+    assert upserts.upsert(rows([]), path, "k", newest, 3) == 4
+    assert read() == want | {4: ("c", 3)} and len(list((tmp_path / "t" / "_versions").glob("*.json"))) == 2
+    assert upserts.upsert(rows([(4, "gone", 4)]), path, "k", lambda both: both.where("k != 4"), 4) == 5 and 4 not in read()
+
+
+def test_fields_have_times_of_their_own(spark, tmp_path):
+    kind = "k long, at long, a string, b string"
+    for n, batch in enumerate([[(1, 10, "x", None)], [(1, 5, "old", "late")], [(1, 7, None, "later")]]):
+        spark.createDataFrame(batch, kind).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in/*")
+        rooms.merged_into(stream, f"{tmp_path}/m", "k", "at", ["a", "b"]).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in upserts.read_upserted(spark, f"{tmp_path}/m").select("k", "at", "a", "b").collect()] == [(1, 10, "x", "later")]
