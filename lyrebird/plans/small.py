@@ -11,7 +11,7 @@ from lyrebird.operators import align, ingest, signals
 from lyrebird.plans.catalogue import _LAST_SQL, event_log
 from lyrebird.plans.registry import Tables, query
 from lyrebird.runtime import scratch_path
-from lyrebird.sources import files, sinks
+from lyrebird.sources import files, objects, sinks
 
 
 def _pick(key: Column, *values: str | Column) -> Column:
@@ -132,28 +132,31 @@ def text_ids(t: Tables) -> DataFrame:
 
 @query("SELECT DISTINCT s_suppkey * 2 AS id FROM supplier")
 def blocklist_file(t: Tables) -> DataFrame:
-    """A JSON array written as one text, and read back."""
+    """JSON arrays of up to a hundred numbers, each a file of its own, and read back."""
     path = scratch_path(t.spark, "blocked")
-    t.supplier.agg(F.to_json(F.collect_list(F.col("s_suppkey") * 2)).alias("value")).coalesce(1).write.text(path)
+    arrays = t.supplier.groupBy(F.floor(F.col("s_suppkey") / 100)).agg(F.to_json(F.collect_list(F.col("s_suppkey") * 2)).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return files.blocklist(t.spark, path).distinct()
 
 
 @query("SELECT CAST(p_partkey AS BIGINT) AS id, 's' || p_size AS src, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS alt FROM part")
 def json_array_file(t: Tables) -> DataFrame:
+    """Arrays of up to five hundred records, each a file of its own, and read back."""
     path = scratch_path(t.spark, "array")
-    rows = t.part.select(F.to_json(F.struct(F.col("p_partkey").alias("id"), F.concat(F.lit("s"), "p_size").alias("src"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("alt"))).alias("r"))
-    rows.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("r"), ",\n"), F.lit("\n]")).alias("value")).coalesce(1).write.text(path)
+    rows = t.part.select(F.floor(F.col("p_partkey") / 500).alias("file"), F.to_json(F.struct(F.col("p_partkey").alias("id"), F.concat(F.lit("s"), "p_size").alias("src"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("alt"))).alias("r"))
+    arrays = rows.groupBy("file").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("r"), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return files.json_array(t.spark, path)
 
 
 @query("SELECT 'KEY' || s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE s_suppkey || '=x' END AS value FROM supplier")
 def settings_file(t: Tables) -> DataFrame:
-    """Settings in one file, with comments, blank lines, quotes and keys that come again."""
+    """Settings in several files, with comments, blank lines, quotes and keys that come again."""
     k = F.col("s_suppkey")
     lines = t.supplier.select(k.alias("n"), F.concat(F.lit("KEY"), k, F.when(k % 2 == 0, F.concat(F.lit(' = "'), "s_name", F.lit('"'))).otherwise(F.concat(F.lit("="), k, F.lit("=x")))).alias("value"))
     more = t.supplier.select((k + 1_000_000).alias("n"), _pick(k, F.lit("# a comment = 1"), F.lit("  "), F.concat(F.lit("KEY"), k, F.lit("=later"))).alias("value"))
     path = scratch_path(t.spark, "settings")
-    lines.union(more).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    lines.union(more).repartition(F.floor(F.col("n") % 1_000_000 / 50)).sortWithinPartitions("n").select("value").write.text(path)
     return files.settings(t.spark, path)
 
 
@@ -181,3 +184,22 @@ def replayed_log(t: Tables) -> DataFrame:
     for low, high in zip(cuts, cuts[1:], strict=False):
         sinks.append_log(log.where((F.col("line_no") > low) & (F.col("line_no") <= high)).orderBy("line_no").drop("line_no"), path)
     return ingest.last_write(files.json_lines(t.spark, path), "id", "line_no").select("id", "src", "status")
+
+
+@query("SELECT 'store' AS store, 'p' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.txt' AS key, CAST(strlen(p_name) AS BIGINT) AS size FROM part WHERE p_partkey % 50 <> 7")
+def put_and_listed(t: Tables) -> DataFrame:
+    """An object for each part put into a store, those without a body rejected, and the store listed page by page."""
+    store = objects.FolderStore(scratch_path(t.spark, "store"))
+    k = F.col("p_partkey")
+    rows = t.part.select(F.concat(F.lit("p"), F.lpad(k.cast("string"), 8, "0"), F.lit(".txt")).alias("key"), F.when(k % 50 != 7, F.col("p_name")).alias("body"))
+    objects.put_objects(rows, store)
+    top = t.part.agg(F.max("p_partkey")).first()[0] or 0
+    return objects.paged_listing(t.spark, store, [f"p{top * i // 8:08d}" for i in range(1, 8)], limit=100)
+
+
+@query("SELECT count(*) FILTER (WHERE p_partkey % 50 <> 7) AS ok, count(*) FILTER (WHERE p_partkey % 50 = 7) AS failed FROM part")
+def rejected_puts(t: Tables) -> DataFrame:
+    """Outcomes of puts counted, and the failed ones written as the next run's work list."""
+    store, k = objects.FolderStore(scratch_path(t.spark, "store")), F.col("p_partkey")
+    outcomes = objects.put_objects(t.part.select(F.concat(k, F.lit(".txt")).alias("key"), F.when(k % 50 != 7, F.col("p_name")).alias("body")), store)
+    return sinks.write_rejected(outcomes, scratch_path(t.spark, "rejected"))

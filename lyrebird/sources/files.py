@@ -66,7 +66,8 @@ def local_or_remote(local: DataFrame, remote: DataFrame, key: str = "key", conte
 
 
 def settings(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of ``k=v`` lines; quotes go, comments too, and the first of a key counts."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).where(~F.rlike("value", F.lit(r"^\s*(#|$)")))
+    """(key, value) of ``k=v`` lines; quotes go, comments too, and the first of a key counts, by file and line."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("n")).where(~F.rlike("value", F.lit(r"^\s*(#|$)")))
     pairs = lines.select("n", F.trim(F.regexp_extract("value", r"^([^=]*)=", 1)).alias("key"), F.regexp_replace(F.trim(F.regexp_extract("value", r"^[^=]*=(.*)$", 1)), r"^[\"']|[\"']$", "").alias("v"))
     return pairs.where("key != ''").groupBy("key").agg(F.min_by("v", "n").alias("value"))

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from lyrebird.sources import files, sinks, upserts
+from lyrebird.sources import files, objects, sinks, upserts
 from lyrebird.streaming import rooms
 
 SF = "/root/testdata/sf0.001"
@@ -225,3 +225,34 @@ def test_fields_have_times_of_their_own(spark, tmp_path):
         stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in/*")
         rooms.merged_into(stream, f"{tmp_path}/m", "k", "at", ["a", "b"]).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r) for r in upserts.read_upserted(spark, f"{tmp_path}/m").select("k", "at", "a", "b").collect()] == [(1, 10, "x", "later")]
+
+
+class Faulty(objects.FolderStore):
+    """Fails for good for some keys and once for others."""
+
+    def put(self, key, body):
+        import os
+
+        if key.startswith("bad"):
+            raise OSError(f"no room for {key}")
+        if key.startswith("slow") and not os.path.exists(f"{self.root}/.tried-{key}"):
+            os.makedirs(self.root, exist_ok=True)
+            open(f"{self.root}/.tried-{key}", "w").close()
+            raise TimeoutError("once")
+        super().put(key, body)
+
+
+def test_puts_that_fail_and_pages(spark, tmp_path):
+    store = Faulty(f"file://{tmp_path}/store")
+    rows = [(f"{('ok', 'slow', 'bad')[k % 3]}{k:03d}", b"x" * k) for k in range(90)] + [(None, b"x"), ("empty", None)]
+    df = spark.createDataFrame(rows, "key string, body binary").repartition(3)
+    for _ in range(2):  # a second run doubles nothing
+        outcomes = objects.put_objects(df, store, pause=0.01)
+        bad = {r.name: r.error for r in outcomes.where("error is not null").collect()}
+        assert bad == {f"bad{k:03d}": f"OSError: no room for bad{k:03d}" for k in range(2, 90, 3)} | {None: "no key", "empty": "no body"}
+        assert outcomes.count() == 92
+    want = sorted((f"{('ok', 'slow')[k % 3]}{k:03d}", k) for k in range(90) if k % 3 < 2)
+    for cuts, limit in (([], 7), (["ok050", "slow", "zzz", "a"], 1), (["slow040"], 1000)):
+        listed = objects.paged_listing(spark, store, cuts, limit=limit).collect()
+        assert sorted((r.key, r["size"]) for r in listed) == want and {r.store for r in listed} == {"store"}
+    assert objects.paged_listing(spark, objects.FolderStore(f"{tmp_path}/none"), ["m"]).collect() == []
