@@ -1,6 +1,8 @@
 """A quality classifier by attention over passages (multiple-instance learning).
 
-Every passage of a text is encoded from its characters and words. A gated attention unit, learned from the
+Every passage of a text is encoded from its characters and from its words: each word, and its first and last three
+bytes, is hashed to a row of an embedding table, and the passage takes the mean of these rows. The table is learned
+with all else. A gated attention unit, learned from the
 labels of whole documents, weighs the passages; the weighted mean of their hidden representations is scored.
 """
 
@@ -21,11 +23,13 @@ from lyrebird.runtime import ship
 PASSAGE, AT_ONCE = 1024, 1 << 19
 #: Labelled documents that a model is fitted on at most, and the passages that these may have together; of a
 #: document that is taken all passages count, and scoring sees all passages of all documents.
-SAMPLE, SAMPLE_PASSAGES = 6000, 1 << 18
+SAMPLE, SAMPLE_PASSAGES = 6000, 1 << 17
 #: Passages that a step of the fit works on at once; a mini-batch with more of them adds up its gradients.
 STEP_PASSAGES = 1 << 14
 HELD_OUT, THRESHOLD = 5, 0.3
 HIDDEN, GATE = 24, 12
+#: Rows of the embedding table, and what their weights cost more than others, as there are many.
+BUCKETS, BUCKET_DECAY = 512, 300.0
 
 _CLASSES = ("upper", "lower", "digit", "space", "line", "stop", "comma", "bang", "bar", "symbol", "bracket", "other")
 
@@ -40,41 +44,57 @@ def _class_table() -> np.ndarray:
 
 _CLASS = _class_table()
 _MIX = np.random.default_rng(7).integers(1, 1 << 62, (16, 256), dtype=np.int64).astype(np.uint64)
-FEATURES = len(_CLASSES) + 10
+SHARES = len(_CLASSES) + 10
+FEATURES = SHARES + BUCKETS
 
 
 def features(text: bytes) -> np.ndarray:
-    """The rows of ``encode`` for one text of any length, AT_ONCE bytes of it at a time.
+    """The rows of ``encode`` for one text of any length, about AT_ONCE bytes of it at a time.
 
-    A part is encoded together with the last words before it and the end of its own last word, so the rows are
-    those of the whole text as long as no word has more than a passage's bytes; of longer words that begin in
-    another part, what is further away than that isn't seen.
+    A part is encoded together with the four words that begin before it and the end of its own last word; a word
+    that goes on for more than a passage beyond a part makes the part longer. So the rows are those of the whole
+    text, whatever its words.
     """
     if len(text) <= AT_ONCE:
         return encode([text])[0]
-    out, white = [], _CLASS[np.frombuffer(text, np.uint8)]
-    white = (white == _CLASSES.index("space")) | (white == _CLASSES.index("line"))
-    for first in range(0, len(text), AT_ONCE):
-        end = min(first + AT_ONCE, len(text))
-        back = max(0, first - 4 * PASSAGE)
-        if back:  # begins with a whole word
-            gaps = np.flatnonzero(white[back:first])
-            back = back + int(gaps[0]) if len(gaps) else first
-        gaps = np.flatnonzero(white[end : end + PASSAGE])
-        ahead = end + (int(gaps[0]) if len(gaps) else len(white[end : end + PASSAGE]))
+    kind = _CLASS[np.frombuffer(text, np.uint8)]
+    wordy = (kind != _CLASSES.index("space")) & (kind != _CLASSES.index("line"))
+    edge = np.diff(wordy.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out, first = [], 0
+    while first < len(text):
+        end = first + AT_ONCE
+        while True:
+            end = min(end, len(text))
+            k = int(np.searchsorted(starts, end)) - 1
+            ahead = max(end, int(ends[k])) if k >= 0 else end
+            if ahead - end <= PASSAGE:
+                break
+            end = -(-ahead // PASSAGE) * PASSAGE
+        before = int(np.searchsorted(starts, first))
+        back = min(first, int(starts[max(0, before - 4)])) if before else first
         rows, _ = encode([text[back:ahead]], back % PASSAGE)
         out.append(rows[first // PASSAGE - back // PASSAGE :][: -(-(end - first) // PASSAGE)])
+        first = end
     return np.concatenate(out)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes whose low bits depend on all bits (the end of a common 64-bit mixing hash, whose two factors are fixed values)."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
 def encode(texts: list[bytes], phase: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """One row of features for each passage of each text, and how many passages each text has.
 
     ``phase``: where in a passage a text begins.
 
     Shares of kinds of characters; lengths of words; words that repeat the one, two or three before; words
-    that are wholly upper case, start with a capital or end in a mark; distinct words. An empty text has one
-    passage of zeros.
+    that are wholly upper case, start with a capital or end in a mark; distinct words; then for each bucket of the
+    embedding table the share of the passage's words, of their beginnings and of their ends that fall into it. A
+    word belongs to the passage where it begins. An empty text has one passage of zeros.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     passages = np.maximum(1, -(-(sizes + phase) // PASSAGE))
@@ -123,7 +143,14 @@ def encode(texts: list[bytes], phase: int = 0) -> tuple[np.ndarray, np.ndarray]:
             np.minimum(share(length) / 10, 3), np.minimum(np.sqrt(share(length.astype(np.float64) ** 2)) / 10, 3), *repeats,
             share((upper > 1) & (lower == 0)), share((upper > 0) & (lower > 0)), share((last >= _CLASSES.index("bang")) & (last <= _CLASSES.index("symbol"))), share(distinct), many,
         ]
-        out[:, len(_CLASSES) :] = np.stack(columns, 1)
+        out[:, len(_CLASSES) : SHARES] = np.stack(columns, 1)
+        head, tail = np.full(len(starts), 3, np.uint64), np.full(len(starts), 5, np.uint64)
+        for k in range(3):
+            there = length > k
+            head[there] += _MIX[k, b[starts[there] + k]]
+            tail[there] += _MIX[k + 8, b[ends[there] - 1 - k]]
+        cells = np.concatenate([home * BUCKETS + (_mixed(d) % BUCKETS).astype(np.int64) for d in (digest, head, tail)])
+        out[:, SHARES:] = np.bincount(cells, minlength=len(out) * BUCKETS).reshape(len(out), -1) / (3 * words)[:, None]
     return out, passages
 
 
@@ -139,7 +166,10 @@ class Model:
     def fresh(cls, x: np.ndarray, seed: int = 5) -> Model:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.standard_normal(shape) / np.sqrt(shape[0])
-        return cls(x.mean(0), x.std(0) + 1e-3, {"w": draw(x.shape[1], HIDDEN), "b": np.zeros(HIDDEN), "v": draw(HIDDEN, GATE), "u": draw(HIDDEN, GATE), "a": draw(GATE), "o": draw(HIDDEN), "c": np.zeros(1)})
+        parts = [x[i : i + STEP_PASSAGES].astype(np.float64) for i in range(0, len(x), STEP_PASSAGES)] if x.dtype == np.float16 else [x]
+        mean = sum(p.sum(0) for p in parts) / len(x)
+        spread = np.sqrt(sum(((p - mean) ** 2).sum(0) for p in parts) / len(x))
+        return cls(mean, spread + 1e-3, {"w": draw(x.shape[1], HIDDEN), "b": np.zeros(HIDDEN), "v": draw(HIDDEN, GATE), "u": draw(HIDDEN, GATE), "a": draw(GATE), "o": draw(HIDDEN), "c": np.zeros(1)})
 
     def forward(self, x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Each bag's log-odds; counts[k] rows of x, in order, are bag k."""
@@ -177,6 +207,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int
     sizes = np.array([len(b) for b in bags])
     model = Model.fresh(np.concatenate(bags))
     rng, step = np.random.default_rng(11), 0
+    costs = decay * np.where(np.arange(len(model.mean)) < SHARES, 1.0, BUCKET_DECAY)[:, None]
     moments = {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in model.weights.items()}
     for epoch in range(epochs):
         order = rng.permutation(len(bags))
@@ -184,14 +215,14 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int
             rows = order[at : at + batch]
             total: dict[str, np.ndarray] = {}
             for part in _parts(rows, sizes, at_once):
-                logit, cache = model.forward(np.concatenate([bags[i] for i in part]), sizes[part])
+                logit, cache = model.forward(np.concatenate([bags[i] for i in part]).astype(np.float64), sizes[part])
                 error = (1 / (1 + np.exp(-logit)) - labels[part]) / len(rows)
                 for k, grad in model.gradients(cache, error).items():
                     total[k] = total[k] + grad if k in total else grad
             step += 1
             for k, grad in total.items():
                 m, v = moments[k]
-                grad = grad + decay * model.weights[k]
+                grad = grad + (costs if k == "w" else decay) * model.weights[k]
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
                 model.weights[k] = model.weights[k] - rate * (1 - epoch / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -221,7 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``sample`` labelled rows that aren't held out: those with the smallest hashes of their ids.
 
     Rows come in whole, with all their passages: in the order of the hashes as long as those before have fewer
-    than ``passages`` together. Only the last row taken can go beyond, so it bounds what the driver holds.
+    than ``passages`` together. Only the last row taken can go beyond, so it bounds what the driver holds: about
+    1 KB for each passage.
     Labels that are null, or rows without an id, teach nothing; of an id with several labels the largest counts.
     Without any labelled row the model scores everything 0.5.
     """
@@ -229,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     @F.arrow_udf("binary")
     def bag(texts: pa.Array) -> pa.Array:
-        return pa.array([_features(t.as_py()).astype("<f4").tobytes() for t in texts], pa.binary())
+        return pa.array([_features(t.as_py()).astype("<f2").tobytes() for t in texts], pa.binary())
 
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")).where("_id is not null and _quality is not null")
     known = known.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_quality").alias("_quality"))
@@ -246,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model = Model.fresh(np.zeros((1, FEATURES)))
         model.weights["o"] = np.zeros(HIDDEN)
         return model
-    return fit([np.frombuffer(b, "<f4").reshape(-1, FEATURES).astype(np.float64) for _, b, _ in found], np.array([q for _, _, q in found], float))
+    return fit([np.frombuffer(b, "<f2").reshape(-1, FEATURES) for _, b, _ in found], np.array([q for _, _, q in found], float))
 
 
 @lru_cache(maxsize=2)
@@ -289,7 +321,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """doc_id, held_out, score and predicted, one row for each row of docs.
 
     Only the text goes into a score. A null text is an empty one and gets a score too; a null id is not held
-    out; repeated rows score alike; an empty table gives no rows; other columns are not read.
+    out; repeated rows score alike; an empty table gives no rows; other columns are not read. A text of any length
+    is encoded whole, by parts that give the same passages.
     """
     model = train(docs, labels, id_col, text_col)
     scored = docs.select(F.col(id_col).alias("doc_id"), scorer(docs, model, text_col).alias("score"))

@@ -352,6 +352,31 @@ def test_quality_of_long_texts_by_parts(monkeypatch, at_once):
     assert len(quality.features(b"a" * 50_000)) == 49
 
 
+@pytest.mark.parametrize("at_once", [2048, 8192])
+def test_quality_of_words_longer_than_passages(monkeypatch, at_once):
+    rng = np.random.default_rng(at_once + 1)
+    text = b" ".join(bytes(rng.choice([97, 98, 65], int(n))) for n in rng.choice([3, 7, 900, 1500, 5000, 20_000], 60)) + b"x" * 9000
+    whole = quality.encode([text])[0]
+    monkeypatch.setattr(quality, "AT_ONCE", at_once)
+    assert np.array_equal(quality.features(text), whole) and len(whole) > 50
+
+
+def test_quality_learns_words():
+    """Texts alike in all shares, whose words alone tell the labels apart."""
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 5))
+    own, plain = [[word() for _ in range(60)] for _ in range(2)], [word() for _ in range(400)]
+    labels = rng.integers(0, 2, 600)
+    bags = [quality.features(" ".join(str(rng.choice(own[y] if rng.random() < 0.2 else plain)) for _ in range(int(rng.integers(80, 600)))).encode()) for y in labels]
+    auc = {}
+    for name, use in (("words", bags), ("shares", [np.where(np.arange(quality.FEATURES) < quality.SHARES, b, 0) for b in bags])):
+        model = quality.fit(use[:450], labels[:450].astype(float))
+        scores = model.scores(np.concatenate(use[450:]), np.array([len(b) for b in use[450:]]))
+        good, bad = scores[labels[450:] == 1], scores[labels[450:] == 0]
+        auc[name] = np.mean(good[:, None] > bad[None])
+    assert auc["words"] > 0.97 and auc["shares"] < 0.65
+
+
 LONG = "The MIT License: under the MIT license, write to a.b@c.example.org or +1 (017) 555-7713. " * 60_000
 
 
