@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lyrebird.operators import collections as col
-from lyrebird.plans.registry import Tables, query
+from lyrebird.plans.registry import ORACLES, Tables, query
+from lyrebird.runtime import scratch_path
+from lyrebird.sources import upserts
 from lyrebird.streaming import rooms
 
 _OPENS = "(SELECT user_id, event_id % 200 + 1 AS item, event_id AS seen FROM events)"
@@ -228,3 +230,53 @@ def ownership(t: Tables) -> DataFrame:
 def ownership_events(t: Tables) -> DataFrame:
     e = F.col("event_id")
     return t.events.select((F.col("user_id") % 20).alias("room"), e.alias("seq"), F.when(e % 4 == 0, "release").when(e % 4 == 1, "disconnect").otherwise("claim").alias("op"), F.concat(F.lit("c"), e % 3).alias("client"))
+
+
+def _in_batches(df: DataFrame, n: int = 3) -> list[DataFrame]:
+    """The events in batches that don't follow their order."""
+    return [df.where((F.col("seq") * 7 + 3) % n == k) for k in range(n)]
+
+
+@query(ORACLES["room_register"])
+def register_upserts(t: Tables) -> DataFrame:
+    """Each room's last event, kept in a table that batches rewrite bucket by bucket."""
+    path = scratch_path(t.spark, "register")
+    for k, batch in enumerate(_in_batches(room_events(t).select("room", "seq", "song", "picked_by"))):
+        upserts.upsert(batch, path, "room", lambda both: rooms.room_register(both, "room", "seq"), k, 8)
+    return upserts.read_upserted(t.spark, path)
+
+
+@query("SELECT user_id, max(event_id) AS seq, arg_max(event_type, event_id) FILTER (WHERE event_id % 3 <> 0) AS kind, arg_max(value, event_id) FILTER (WHERE event_id % 2 = 0) AS value FROM events GROUP BY user_id")
+def field_upserts(t: Tables) -> DataFrame:
+    """Deltas that come out of order, merged field by field into a table."""
+    path, e = scratch_path(t.spark, "users"), F.col("event_id")
+    deltas = t.events.select("user_id", e.alias("seq"), F.when(e % 3 != 0, F.col("event_type")).alias("kind"), F.when(e % 2 == 0, F.col("value")).alias("value"))
+    timed, step = rooms.with_field_times(deltas, "user_id", "seq", ["kind", "value"])
+    for k, batch in enumerate(_in_batches(timed)):
+        upserts.upsert(batch, path, "user_id", step, k, 16)
+    return upserts.read_upserted(t.spark, path).select("user_id", "seq", "kind", "value")
+
+
+_UNTRUSTED = """concat('[{"id":"a', c_custkey, '","name":"', c_mktsegment, '","songIds":[', c_custkey, ',"x",', c_nationkey, '],"createdAt":', c_custkey % 9, '}, 7, ', CASE WHEN c_custkey % 3 = 0 THEN '{"songIds":null,"updatedAt":5}' ELSE '"text"' END, ']')"""
+
+
+@query(
+    """SELECT c_custkey AS owner, 'a' || c_custkey AS id, c_mktsegment AS name, c_custkey || ' ' || c_nationkey AS songs, c_custkey % 9 AS created_at, c_custkey % 9 AS updated_at FROM customer
+UNION ALL SELECT c_custkey, 'list-1', 'Playlist', '', 99, 5 FROM customer WHERE c_custkey % 3 = 0"""
+)
+def normalised_lists(t: Tables) -> DataFrame:
+    """Playlists from untrusted JSON."""
+    found = col.normalised_playlists(t.customer.select(F.col("c_custkey").alias("owner"), F.expr(_UNTRUSTED).alias("j")), "j", ["owner"], 99)
+    return found.select("owner", "id", "name", F.array_join(F.transform("song_ids", lambda x: x.cast("string")), " ").alias("songs"), "created_at", "updated_at")
+
+
+@query(
+    """SELECT c_custkey AS owner, 'a' AS id, CAST(c_nationkey AS BIGINT) AS deleted_at FROM customer WHERE c_custkey % 5 <> 0
+UNION ALL SELECT c_custkey, 'k' || c_custkey, CAST(c_custkey * 1000 AS BIGINT) FROM customer WHERE c_custkey % 5 <> 0"""
+)
+def sane_tombstones(t: Tables) -> DataFrame:
+    """Deletions from untrusted JSON: entries of objects whose values are numbers."""
+    k = F.col("c_custkey")
+    body = F.concat(F.lit('{"a":'), "c_nationkey", F.lit(',"b":"x","k'), k, F.lit('":'), k, F.lit('000,"n":null,"o":{"p":1}}'))
+    raw = F.when(k % 10 == 0, F.lit("[1,2]")).when(k % 5 == 0, F.lit('{"a":')).otherwise(body)
+    return col.sanitised_tombstones(t.customer.select(k.alias("owner"), raw.alias("j")), "j", ["owner"])

@@ -165,3 +165,18 @@ def picture_sheets(t: Tables) -> DataFrame:
     lines = lyric_lines(t)
     _, placed, rows = pictures.read_pictures(drawn(songs(t)), lines, palettes(t), font(t), _STROKE, "a-z")
     return align.assemble(lines, placed, rows, "a-z")
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey AS id, p_size, {_SYM['@a']} AS a, {_SYM['@b']} AS b FROM part)
+SELECT id, id % 5 <> 0 AS lyric_exact, CASE WHEN id % 7 <> 0 THEN '' ELSE array_to_string(list_sort(list_distinct([a, b])), ' ') END AS bad_symbols, 2 AS placed, id % 6 <> 0 AS rows_match, 1.0 AS avg_score, 1.0 AS id_confidence, id % 5 = 0 OR id % 6 = 0 OR id % 7 = 0 AS needs_review FROM s"""
+)
+def picture_reports(t: Tables) -> DataFrame:
+    """Sheets read from pictures and checked, some of them with another word, palette or number of lines."""
+    lines, k = lyric_lines(t), F.col("id")
+    bands, placed, rows = pictures.read_pictures(drawn(songs(t)), lines, palettes(t), font(t), _STROKE, "a-z")
+    sheets = align.assemble(lines, placed, rows, "a-z").withColumn("sheet", F.when(k % 5 == 0, F.concat(F.lit("another\n"), "sheet")).otherwise(F.col("sheet")))
+    known = t.part.select(F.col("p_partkey").alias("id"), F.array(*[F.expr(v) for v in _SYM.values()]).alias("palette")).withColumn("palette", F.when(k % 7 == 0, F.array(F.lit("X"))).otherwise(F.col("palette")))
+    shown = bands.groupBy("id").agg(F.count_if("sung").alias("n")).select("id", (F.col("n") + F.when(k % 6 == 0, 1).otherwise(0)).alias("lyric_bands"))
+    report = align.align_report(lines, placed, sheets, known, shown, "a-z")
+    return report.withColumn("bad_symbols", F.array_join("bad_symbols", " ")).withColumn("placed", F.col("placed").cast("int"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lyrebird.functions import music
 from lyrebird.functions import text as tx
 from lyrebird.operators import align, ingest, signals
-from lyrebird.plans.catalogue import _LAST_SQL, event_log
-from lyrebird.plans.registry import Tables, query
+from lyrebird.plans.catalogue import _LAST_SQL, event_log, slim_catalogue
+from lyrebird.plans.registry import ORACLES, Tables, query
 from lyrebird.runtime import scratch_path
 from lyrebird.sources import files, objects, sinks
 
@@ -203,3 +203,47 @@ def rejected_puts(t: Tables) -> DataFrame:
     store, k = objects.FolderStore(scratch_path(t.spark, "store")), F.col("p_partkey")
     outcomes = objects.put_objects(t.part.select(F.concat(k, F.lit(".txt")).alias("key"), F.when(k % 50 != 7, F.col("p_name")).alias("body")), store)
     return sinks.write_rejected(outcomes, scratch_path(t.spark, "rejected"))
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS id, CASE WHEN s_suppkey % 4 <> 0 THEN s_name || chr(10) || s_suppkey END AS text FROM supplier")
+def song_texts(t: Tables) -> DataFrame:
+    """Texts in files named by their ids, some of them blank."""
+    path, k = scratch_path(t.spark, "texts"), F.col("s_suppkey")
+    objects.put_objects(t.supplier.select(F.concat(k, F.lit(".md")).alias("key"), F.when(k % 4 == 0, "  ").otherwise(F.concat("s_name", F.lit("\n"), k)).alias("body")), objects.FolderStore(path))
+    return files.texts(t.spark, path)
+
+
+@query(ORACLES["slim_catalogue"])
+def slim_file(t: Tables) -> DataFrame:
+    """The slim catalogue written, and only its columns read back."""
+    path = scratch_path(t.spark, "slim")
+    sinks.write_slim(slim_catalogue(t), path)
+    return t.spark.read.parquet(path)
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, round(o_totalprice / 1000, 3) AS score FROM orders")
+def report_file(t: Tables) -> DataFrame:
+    """Records of a run as JSON lines beside its results, read back."""
+    path = scratch_path(t.spark, "report")
+    sinks.write_report(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.round(F.col("o_totalprice") / 1000, 3).alias("score")), path)
+    return t.spark.read.schema("id long, status string, score double").json(path)
+
+
+_ANCHOR = "CASE p_partkey % 4 WHEN 0 THEN substr(p_name, 4, 3) WHEN 1 THEN replace(substr(p_name, 3, 6), ' ', '') WHEN 2 THEN substr(p_name, 5, 3) || 'zz' ELSE '' END"
+_PLACED = "list_filter(range(1, length(line) + 1), lambda i: substr(line, CAST(i AS INTEGER), 1) <> ' ')"
+
+
+def _sought(anchor: str) -> str:
+    exact = f"nullif(strpos(substr(line, start + 1), {anchor}), 0) + start - 1"
+    compact = f"nullif(strpos(substr(replace(line, ' ', ''), len(list_filter({_PLACED}, lambda i: i <= start)) + 1), replace({anchor}, ' ', '')), 0) + len(list_filter({_PLACED}, lambda i: i <= start))"
+    return f"coalesce({exact}, {_PLACED}[CAST({compact} AS INTEGER)] - 1)"
+
+
+@query(
+    f"""WITH a AS (SELECT p_partkey AS id, p_type || ' ' || p_name AS line, {_ANCHOR} AS anchor, p_size % 3 AS start FROM part)
+SELECT id, CAST(CASE WHEN anchor <> '' THEN coalesce({_sought("anchor")}, CASE WHEN length(replace(anchor, ' ', '')) > 3 THEN {_sought("substr(anchor, 1, 3)")} END) END AS INTEGER) AS place FROM a"""
+)
+def anchors(t: Tables) -> DataFrame:
+    """Where anchors of a line begin: as they are, without blanks, or by their first characters."""
+    line = F.concat("p_type", F.lit(" "), "p_name")
+    return t.part.select(F.col("p_partkey").alias("id"), align.locate_anchor(line, F.expr(_ANCHOR), F.col("p_size") % 3).cast("int").alias("place"))

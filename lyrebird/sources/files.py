@@ -49,13 +49,13 @@ def ids_with_text(files: DataFrame, key: str = "key") -> DataFrame:
 
 def texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """(id, text) of ``<id>.md`` files; blank ones have a null text."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).select("value", F.col("_metadata.file_name").alias("name"))
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
     return files.select(F.regexp_extract("name", r"^(\d+)\.", 1).try_cast("long").alias("id"), F.when(F.trim("value") != "", F.col("value")).alias("text"))
 
 
 def blocklist(spark: SparkSession, path: str) -> DataFrame:
     """Ids of a JSON array of numbers; a file that isn't one has none."""
-    values = spark.read.option("wholetext", True).text(path)
+    values = spark.read.text(path, wholetext=True)
     return values.select(F.explode(F.from_json("value", "array<long>")).alias("id")).where("id is not null")
 
 

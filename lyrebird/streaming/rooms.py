@@ -6,6 +6,8 @@ give the same rows for the same events; what comes later than the watermark allo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,9 +218,15 @@ def merged_into(stream: DataFrame, path: str, key: str, at: str, fields: list[st
     A field that a delta lacks keeps its value. Each field has a time of its own (field_at), so a delta that
     comes late wins for the fields that nothing newer has set, and loses for the others.
     """
-    timed = stream.select(key, at, *[c for f in fields for c in (F.col(f), F.when(F.col(f).isNotNull(), F.col(at)).alias(f"{f}_at"))])
+    timed, step = with_field_times(stream, key, at, fields)
+    return upserting(timed, path, key, step)
+
+
+def with_field_times(deltas: DataFrame, key: str, at: str, fields: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The deltas with a time for each field that they have, and the step that merges such rows by key."""
+    timed = deltas.select(key, at, *[c for f in fields for c in (F.col(f), F.when(F.col(f).isNotNull(), F.col(at)).alias(f"{f}_at"))])
 
     def step(both: DataFrame) -> DataFrame:
         return both.groupBy(key).agg(F.max(at).alias(at), *[c for f in fields for c in (F.max_by(f, f"{f}_at").alias(f), F.max(f"{f}_at").alias(f"{f}_at"))])
 
-    return upserting(timed, path, key, step)
+    return timed, step

@@ -256,3 +256,11 @@ def test_puts_that_fail_and_pages(spark, tmp_path):
         listed = objects.paged_listing(spark, store, cuts, limit=limit).collect()
         assert sorted((r.key, r["size"]) for r in listed) == want and {r.store for r in listed} == {"store"}
     assert objects.paged_listing(spark, objects.FolderStore(f"{tmp_path}/none"), ["m"]).collect() == []
+
+
+def test_texts_and_arrays_of_several_lines(spark, tmp_path):
+    (tmp_path / "7.md").write_text("a\n\nb\n")
+    (tmp_path / "8.md").write_text(" \n\n")
+    assert {r.id: r.text for r in files.texts(spark, str(tmp_path)).collect()} == {7: "a\n\nb\n", 8: None}
+    (tmp_path / "block.json").write_text("[\n  1,\n  5\n]\n")
+    assert sorted(r.id for r in files.blocklist(spark, f"{tmp_path}/block.json").collect()) == [1, 5]
