@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lyrebird.functions.text import trimmed
+
 RECORDS = "id long, src string, alt string"
 SCRAPE_LOG = "id long, src string, alt string, status string"
 SONG_TEXTS = "id long, lyrics string, palette array<string>, status string, error string"
@@ -50,7 +52,7 @@ def ids_with_text(files: DataFrame, key: str = "key") -> DataFrame:
 def texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """(id, text) of ``<id>.md`` files; blank ones have a null text."""
     files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
-    return files.select(F.regexp_extract("name", r"^(\d+)\.", 1).try_cast("long").alias("id"), F.when(F.trim("value") != "", F.col("value")).alias("text"))
+    return files.select(F.regexp_extract("name", r"^(\d+)\.", 1).try_cast("long").alias("id"), F.when(trimmed(F.col("value")) != "", F.col("value")).alias("text"))
 
 
 def blocklist(spark: SparkSession, path: str) -> DataFrame:
