@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lyrebird.functions.text import has_all, has_run, name_tokens, search_key
 from lyrebird.operators.names import numbered
-from lyrebird.runtime import spread_join
+from lyrebird.runtime import spread_join, stage_table
 
 
 def with_search_key(df: DataFrame, name_col: str, nfc: bool = True) -> DataFrame:
@@ -48,7 +48,8 @@ def related(catalogue: DataFrame, n: int = 12) -> DataFrame:
 
     First the n smallest ids that share a token of the name, then the row's followers on the ring of all
     ids. Only the n + 1 smallest ids of a token can ever count, so each token is cut to these before the
-    join, and a token that very many rows have is dealt over several tasks; the ring's next 2n - 1 followers suffice, as at most n - 1 of them can be taken already.
+    join, and a token that very many rows have is dealt over several tasks; only rows with fewer
+    than n such look at the ring, whose next 2n - 1 followers suffice, as at most n - 1 of them can be taken already.
     """
     songs = numbered(catalogue.select("id", "name"), ["id"], "idx")
     total = songs.count()
@@ -58,12 +59,14 @@ def related(catalogue: DataFrame, n: int = 12) -> DataFrame:
     met = spread_join(words, heads, ["token"], "rows").select("id", F.explode("others").alias("other"))
     shared = first_n(met.where("id != other"), "id", "other", n)
     shared = shared.groupBy("id").agg(F.array_sort(F.collect_list("other")).alias("shared"))
+    none = F.array().cast("array<long>")
+    songs = stage_table(songs.join(shared, "id", "left").withColumn("shared", F.coalesce("shared", none)), "related")
     steps = min(2 * n - 1, max(total - 1, 0))
-    ring = songs.select("id", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "idx") if steps else songs.select("id", F.lit(1).alias("step"), "idx").limit(0)
+    few = songs.where(F.size("shared") < n).select("id", "idx") if steps else songs.select("id", "idx").limit(0)
+    ring = few.select("id", F.explode(F.sequence(F.lit(1), F.lit(max(steps, 1)))).alias("step"), "idx")
     ring = ring.withColumn("at", (F.col("idx") + F.col("step")) % F.lit(max(total, 1))).join(songs.select(F.col("idx").alias("at"), F.col("id").alias("other")), "at")
     followers = ring.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "other"))), lambda s: s["other"]).alias("followers"))
-    none = F.array().cast("array<long>")
-    both = followers.join(shared, "id", "left").withColumn("shared", F.coalesce("shared", none))
+    both = songs.select("id", "shared").join(followers, "id", "left").withColumn("followers", F.coalesce("followers", none))
     picked = F.slice(F.concat("shared", F.array_except("followers", "shared")), 1, n)
     return both.select("id", F.posexplode(picked).alias("rank", "other")).select("id", (F.col("rank") + 1).alias("rank"), "other")
 
