@@ -8,13 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lyrebird.operators.sweeps import following, furthest
+
 # Carrier frequencies in Hz; a frame is S, six digits, E.
 TONES = {"S": 18000, **{str(d): 18150 + 75 * d for d in range(10)}, "E": 18975}
 TOLERANCE = 37
 
 
-def merged_bands(bands: DataFrame, key: str, start: str = "start", end: str = "end", gap: int = 4) -> DataFrame:
-    """(key, start, end): bands whose gap to all before them is under ``gap`` become one with these."""
+def merged_bands(bands: DataFrame, key: str, start: str = "start", end: str = "end", gap: int = 4, spread: bool = False) -> DataFrame:
+    """(key, start, end): bands whose gap to all before them is under ``gap`` become one with these.
+
+    A key's bands come together in one task; with ``spread`` (starts and ends are bigints then, the key isn't null)
+    sweeps over range-sorted bands take the place of windows, and a key may hold any share of the rows.
+    """
+    if spread:
+        known = furthest(bands.select(key, start, end), [key], [start, end], F.col(end), "_before")
+        opened = F.when(F.col("_before").isNull() | (F.col(start) - F.col("_before") >= gap), F.col(start))
+        named = following(known, [key], [start, end, "_before"], opened, "_opened", backward=True)  # of bands alike the one that opens comes first
+        return named.groupBy(key, F.coalesce(opened, "_opened").alias("_band")).agg(F.max(end).alias(end)).select(key, F.col("_band").alias(start), end)
     by_start = Window.partitionBy(key).orderBy(start, end)
     before = F.max(end).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     opened = F.when(before.isNull() | (F.col(start) - before >= gap), 1).otherwise(0)

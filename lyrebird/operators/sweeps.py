@@ -90,6 +90,58 @@ def following(rows: DataFrame, keys: list[str], order: list[str], value: Column,
     return met.select(*[F.col(f"`{c}`") for c in rows.columns], F.when(F.col(open_), F.col(v)).otherwise(F.col(name)).alias(name))
 
 
+def furthest(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """rows with ``name``: the largest value (a bigint) of the earlier rows of the same keys; null where none has one.
+
+    Earlier is in the order of the columns ``order``, nulls first.
+    """
+    ship(rows.sparkSession)
+    v, part, edge = (unused(c, rows) for c in ("value", "part", "edge"))
+    swept = _sorted(rows.withColumn(v, value.cast("long")), [*[F.col(k) for k in keys], *[F.col(c).asc_nulls_first() for c in order]])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        code, n = _codes(table, keys), table.num_rows
+        has = pc.is_valid(table[v]).to_numpy(zero_copy_only=False)
+        sizes, rank = np.unique(pc.fill_null(table[v], 0).to_numpy(), return_inverse=True)
+        wide = len(sizes) + 1
+        # a key's rows are above all before them, so one running maximum serves every key; 0 is none
+        most = np.maximum.accumulate(code * wide + np.where(has, rank + 1, 0))
+        before = np.concatenate([[0], np.where(code[1:] == code[:-1], most[:-1] % wide, 0)])
+        out = table.drop_columns([v])
+        role = np.where(code == code[0], 1, 0).astype(np.int8)
+        role[-1] += 2
+        at_end = most[-1] % wide
+        columns = {
+            name: pa.array(sizes[np.maximum(before - 1, 0)], mask=before == 0), part: pa.array(np.full(n, TaskContext.get().partitionId()), pa.int64()),
+            f"{edge}_role": pa.array(role), f"{edge}_end": pa.array([None] * (n - 1) + [int(sizes[at_end - 1]) if at_end else None], pa.int64()),
+        }
+        for c, column in columns.items():
+            out = out.append_column(c, column)
+        yield from out.to_batches()
+
+    placed = stage_table(swept.mapInArrow(sweep, f"{kinds}, `{name}` long, `{part}` long, `{edge}_role` byte, `{edge}_end` long"), "swept")
+    own = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("key")
+    ends = {r[0]: (r["key"], r[1], r[2]) for r in placed.where(F.col(f"{edge}_role") >= 2).select(part, f"{edge}_role", f"{edge}_end", own).collect()}
+    carry, last, most = [], None, None
+    firsts = {r[0]: r["key"] for r in placed.where(F.col(f"{edge}_role").isin(1, 3)).groupBy(part).agg(F.min(own).alias("key")).collect()}
+    for p in sorted(ends):
+        key, role, here = ends[p]
+        goes_on = most if firsts[p] == last else None
+        if goes_on is not None:
+            carry.append((p, goes_on))
+        whole = role == 3  # the last row's key is the first one's
+        most = max((x for x in (here, goes_on if whole else None) if x is not None), default=None)
+        last = key
+    more = F.broadcast(rows.sparkSession.createDataFrame(carry, f"`{part}` long, `{v}` long"))
+    met = placed.join(more, part, "left")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], F.when(F.col(f"{edge}_role").isin(1, 3), F.greatest(F.col(name), F.col(v))).otherwise(F.col(name)).alias(name))
+
+
 def chain(rows: DataFrame, key: str, pos: str, next_: str) -> DataFrame:
     """(key, pos): the rows that a key's first one leads to, itself included, by following ``next_`` again and again.
 

@@ -308,6 +308,17 @@ def merged_bands(t: Tables) -> DataFrame:
     return signals.merged_bands(bands, "key")
 
 
+@query("""WITH b AS (SELECT l_linenumber % 2 AS key, l_orderkey * 9 + l_linenumber AS s, CAST(l_orderkey * 9 + l_linenumber + l_quantity % 7 AS BIGINT) AS e FROM lineitem),
+m AS (SELECT *, max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM b),
+g AS (SELECT *, sum(CASE WHEN p IS NULL OR s - p >= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY s, e) AS n FROM m)
+SELECT key, CAST(min(s) AS BIGINT) AS start, max(e) AS "end" FROM g GROUP BY key, n""")
+def wide_bands(t: Tables) -> DataFrame:
+    """Bands of two keys only, each of which goes over many tasks."""
+    start = (F.col("l_orderkey") * 9 + F.col("l_linenumber")).cast("long")
+    bands = t.lineitem.select((F.col("l_linenumber") % 2).alias("key"), start.alias("start"), (start + F.col("l_quantity") % 7).cast("long").alias("end"))
+    return signals.merged_bands(bands, "key", spread=True)
+
+
 def tone_frames(t: Tables) -> DataFrame:
     """For each customer three spectrum frames a symbol and two silent ones, the code being the customer's key."""
     code = F.concat(F.lit("S"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.when(F.col("c_custkey") % 10 == 0, "").otherwise("E"))

@@ -69,3 +69,21 @@ def test_throttle_opens_with_the_first_event(wide):
                 start = t
             want[key, start] = want.get((key, start), 0) + 1
     assert {(r.k, r.start_us): r.n for r in rooms.throttled_from_first(df, "k", "at").collect()} == want
+
+
+def test_bands_of_a_hot_key(wide):
+    from lyrebird.operators import signals
+
+    rng = np.random.default_rng(11)
+    rows = [("hot" if k % 4 else f"k{k % 3}", int(a), int(a + rng.integers(0, 30)) if k % 100 else int(a + 900)) for k, a in enumerate(rng.integers(0, 9000, 700))]
+    df = wide.createDataFrame(rows + rows[::3], "key string, start long, end long").repartition(4)  # some of them twice
+    plain = {tuple(r) for r in signals.merged_bands(df, "key").collect()}
+    assert {tuple(r) for r in signals.merged_bands(df, "key", spread=True).collect()} == plain and len(plain) > 20
+    assert signals.merged_bands(df.limit(0), "key", spread=True).collect() == []
+
+
+def test_furthest(wide):
+    rng = np.random.default_rng(12)
+    rows = [("hot" if k < 500 else f"k{k % 5}", k, int(v) if rng.random() < 0.3 else None) for k, v in enumerate(rng.integers(-(2**62), 2**62, 650))]
+    got = {(r.k, r.i): r.most for r in sweeps.furthest(wide.createDataFrame(rows, "k string, i long, v long").repartition(3), ["k"], ["i"], F.col("v"), "most").collect()}
+    assert got == {(k, i): max((v for q, j, v in rows if q == k and j < i and v is not None), default=None) for k, i, _ in rows}
