@@ -186,7 +186,11 @@ def bpe(path: str) -> Bpe:
 
 
 def encode_texts(docs: DataFrame, path: str = WORD_BPE, text_col: str = "text", name: str = "ids") -> DataFrame:
-    """docs with the ids of each whole text; a null text is an empty one. No shuffle."""
+    """docs with the ids of each whole text, whatever its length; a null text is an empty one.
+
+    Null and repeated ids and repeated rows stay as they are; an empty table stays empty; other columns pass
+    unchanged. No shuffle.
+    """
     ship(docs.sparkSession)
 
     @F.arrow_udf("array<int>")
@@ -197,7 +201,10 @@ def encode_texts(docs: DataFrame, path: str = WORD_BPE, text_col: str = "text",
 
 
 def decode_ids(docs: DataFrame, path: str = WORD_BPE, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-    """docs with the text that each list of ids decodes to; null ids give an empty text."""
+    """docs with the text that each list of ids decodes to, whatever its length; null ids give an empty text.
+
+    Repeated rows stay as they are; an empty table stays empty; other columns pass unchanged.
+    """
     ship(docs.sparkSession)
 
     @F.arrow_udf("string")
@@ -211,7 +218,8 @@ def round_trip(docs: DataFrame, path: str = WORD_BPE, id_col: str = "doc_id", te
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: encoded by backtracking, decoded by table.
 
     A null text is an empty one; null and repeated ids and repeated rows stay as they are; an empty table
-    gives no rows; other columns are not read. Rows don't leave their partitions.
+    gives no rows; a text of any length is encoded whole, in time proportional to it; other columns are not read.
+    Rows don't leave their partitions.
     """
     ship(docs.sparkSession)
     kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -306,7 +306,8 @@ def huffman_ids(docs: DataFrame, path: str = BYTE_BPE, end_id: int = 0, id_col:
 
     Null and empty texts are the end id alone; ids may be of any type that has an order; null ids come first,
     repeated ids stand beside one another in no particular order, and one that very many rows share is dealt
-    over several files; an empty table gives no rows. Other columns are not read.
+    over several files; an empty table gives no rows. A text of any length is encoded whole, and its ids go over
+    as many blocks as they need. Other columns are not read.
     """
     spark = docs.sparkSession
     coded = stage_table(tokenised(docs, path, end_id, id_col, text_col), "tokenised")

@@ -246,7 +246,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     also has those of similar blocks, of rivals for a place only the best; score is the largest containment
     among these that reached the threshold, else 0. A null text is an empty one, with no words, empty labels
     and null places; null and repeated ids and repeated rows stay as they are; an empty table gives no rows;
-    other columns are not read. Whole texts are read twice (counts, then the join) and are never shuffled.
+    other columns are not read. Whole texts, of any length, are read twice (counts, then the join) and are never
+    shuffled. A block that has a template's words in another order counts like the template.
     """
     kinds = known_templates()
     if templates is not None:

@@ -47,7 +47,8 @@ def pieces(docs: DataFrame, path: str = WORD_BPE, capacity: int = CAPACITY, end_
     """One row for each piece of each row of docs (its ids and the end id).
 
     A null or empty text is the end id alone; null and repeated ids and repeated rows give pieces like any
-    others; an empty table gives none; other columns are not read. No shuffle.
+    others; an empty table gives none; a text of any length is encoded whole and cut into as many pieces as it
+    needs; other columns are not read. No shuffle.
     """
     ship(docs.sparkSession)
     end = end_id.to_bytes(4, "little")

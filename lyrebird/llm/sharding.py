@@ -133,7 +133,7 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, dims: tuple[str, ...] =
     Rows of one cell follow the id, then the text's checksum and size; rows that agree in all of these are
     alike, and either may come first. A null text has no bytes and the checksum 0; null ids come first;
     rows of an empty table get no shards. A cell, source or text that holds a third of all rows is cut like
-    any other run. Only the id, the text and the dimensions are read (a dimension that the table lacks is
+    any other run, and a text of any length counts whole. Only the id, the text and the dimensions are read (a dimension that the table lacks is
     left out), so other columns' names don't matter.
 
     Returns id, size (UTF-8 bytes + 8), text_crc32, law, shard, slot, grown_shard (null under this law)
@@ -177,7 +177,11 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, dims: tuple[str, ...] =
 
 
 def write_runs(docs: DataFrame, path: str, n_files: int = 24, dims: tuple[str, ...] = ("lang", "source", "n_chars"), id_col: str = "doc_id", bits: int = BITS) -> None:
-    """Write the whole rows as files along the curve; each file's Parquet statistics bound a small box."""
+    """Write the whole rows as files along the curve; each file's Parquet statistics bound a small box.
+
+    Repeated rows are written as often as they come, texts of any length whole, nulls as the smallest values of
+    their dimensions; an empty table gives files without rows.
+    """
     curve = unused("curve", docs)
     curved = with_curve(docs, [d for d in dims if d in docs.columns] or [id_col], bits, curve)
     curved.repartitionByRange(n_files, curve, id_col).sortWithinPartitions(curve, id_col).drop(curve).write.parquet(path)

@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts have the fingerprint zero and link like any other; a null id never names a
     component that has another id; repeated rows each show; an empty table gives none. Other columns are
-    not read. Texts never leave their tasks; a fingerprint that very many rows share is first reduced to
+    not read. Texts, of any length, are read whole and never leave their tasks; a fingerprint that very many rows share is first reduced to
     one row in each task.
     """
     rows, named = _classes(docs, id_col, text_col, budget)
@@ -238,7 +238,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row of docs, whole, for each component: that of the smallest id (a null id after all others).
 
     Null, empty and blank texts are alike and link with one another. Of rows that agree in id and text one
-    stays. An empty table gives an empty one; columns of any name pass unchanged. Which rows go is decided on
+    stays. An empty table gives an empty one; texts of any length and columns of any name pass unchanged. Which rows go is decided on
     ids and hashes; the rows that go are left out by a broadcast of their hashes where there are at most
     NAMED, and by one shuffle of the texts beyond that.
     """

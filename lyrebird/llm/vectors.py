@@ -214,7 +214,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Vectors that are null, zero or hold null or non-finite components link with nothing, nor do vectors of
     different lengths. Equal vectors link with one another, and rows that repeat an id count as rows of their
     own. A null id has a component only by its links, and is not kept. An empty table gives no rows; other
-    columns are not read. Links are never listed as pairs: tasks return counts and forests. Rows meet their
+    columns are not read; a vector may have any length. Links are never listed as pairs: tasks return counts and forests. Rows meet their
     class by a 128-bit hash of the vector, and a class that very many rows have is dealt over several tasks.
     """
     ship(vectors.sparkSession)

@@ -37,3 +37,25 @@ def test_stages_keep_columns(spark, odd_docs):
     assert corpus_pipeline.packing(spark, clash, SF).count() == packing.pieces(clash).count()
     texts = {r.doc_id: r for r in corpus_pipeline.private(spark, clash, SF).collect()}
     assert texts[14].text == "Mail: <EMAIL> or <PHONE>." and texts[14].n_chars == len(texts[14].text) and texts[0].text is None
+
+
+def test_texts_of_megabytes_through_all_stages(spark, tmp_path):
+    """Very long texts pass every stage whole, and so do the operators that shard, compress and pack them."""
+    from lyrebird.llm.huffman import huffman_ids
+    from lyrebird.llm.packing import pack, pieces
+    from lyrebird.llm.sharding import hilbert_shards
+
+    texts = ["Some plain words, and a.b@c.example.org too. " * 40_000, "x" * 1_500_000, "a." * 400_000, "short and plain"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    spark.createDataFrame([(i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = df
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name == "pii":
+            assert {r.doc_id: r.text.count("<EMAIL>") for r in docs.collect()} == {0: 40_000, 1: 0, 2: 0, 3: 0}
+    packed = docs.groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert len(packed) == 4 and docs.where("length > 2048").count() == 0
+    assert {r.doc_id: r["size"] for r in hilbert_shards(df).collect()} == {i: len(t) + 8 for i, t in enumerate(texts)}
+    ids = {r.doc_id: r.n_tokens for r in huffman_ids(df).collect()}
+    assert ids[0] > 300_000 and len(ids) == 4
+    assert pack(pieces(df)).groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count() == 0
