@@ -15,7 +15,7 @@ from lyrebird.runtime import stage_table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the attention classifier, fitted on the labels, doesn't reject.
 
-    A null or empty text is scored like any other; without usable labels all score 0.5 and stay; repeated rows
+    A null, empty or very long text is scored whole like any other; without usable labels all score 0.5 and stay; repeated rows
     score alike; an empty table stays empty; other columns pass unchanged.
     """
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of the smallest id.
 
-    Null, empty and blank texts are one group; a null id comes after all others; of rows that agree in id and
+    Null, empty and blank texts are one group, texts of any length are compared whole; a null id comes after all others; of rows that agree in id and
     text one stays; an empty table stays empty; other columns pass unchanged.
     """
     return first_of_each(docs)
@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data, plain or disguised, replaced by its kind; n_chars follows the text.
 
-    A null text stays null, with a null n_chars; repeated rows stay; an empty table stays empty.
+    A null text stays null, with a null n_chars; a text of any length is searched whole; repeated rows stay; an empty table stays empty.
     """
     clean = redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
@@ -43,7 +43,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences: one row for each piece of a document.
 
-    A null or empty text is the end id alone; null and repeated ids are packed like any others; an empty table
+    A null or empty text is the end id alone, a very long one as many pieces as it needs; null and repeated ids are packed like any others; an empty table
     gives no rows. The columns are those of the pieces.
     """
     return pack(pieces(docs))
