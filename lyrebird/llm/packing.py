@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.llm.tokens import WORD_BPE, encoder
+from lyrebird.llm.tokens import REMEMBERED, WORD_BPE, encoder
 from lyrebird.runtime import ship, stage_table
 
 CAPACITY = 2048
@@ -43,8 +43,8 @@ def cut(ids: bytes, capacity: int) -> list[dict]:
     return [{"piece": k, "start": k * capacity, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} for k, part in enumerate(ids[at : at + width] for at in range(0, len(ids), width))]
 
 
-def pieces(docs: DataFrame, path: str = WORD_BPE, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece of each row of docs (its ids and the end id).
+def pieces(docs: DataFrame, path: str = WORD_BPE, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """One row for each piece of each row of docs (its ids and the end id). remembered: as for ``tokens.Encoder``.
 
     A null or empty text is the end id alone; null and repeated ids and repeated rows give pieces like any
     others; an empty table gives none; a text of any length is encoded whole and cut into as many pieces as it
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, path: str = WORD_BPE, capacity: int = CAPACITY, end_
 
     @F.arrow_udf(PIECES)
     def cut_texts(texts: pa.Array) -> pa.Array:
-        encode = encoder(path).encode
+        encode = encoder(path, remembered).encode
         kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
         return pa.array([cut(encode(t.as_py()) + end, capacity) for t in texts], kind)
 

@@ -85,10 +85,11 @@ def load(path: str) -> Tokenizer:
 class Encoder:
     """Texts to ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    ``model``: a byte-level piece to ids; by default the library's own BPE model.
+    ``model``: a byte-level piece to ids; by default the library's own BPE model. ``remembered``: chunks that are
+    remembered, in each of two generations; the ids don't depend on it.
     """
 
-    def __init__(self, path: str, model: Callable[[str], list[int]] | None = None):
+    def __init__(self, path: str, model: Callable[[str], list[int]] | None = None, remembered: int = REMEMBERED):
         self.tokenizer = load(path)
         self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self._special = re.compile("|".join(sorted(map(re.escape, self.specials), key=len, reverse=True)) or "(?!)")
@@ -96,7 +97,7 @@ class Encoder:
         self.model = model or (lambda piece: [t.id for t in own.tokenize(piece)])
         self.spaced = self.tokenizer.normalizer is None  # a space belongs to the word after it
         self._ends = ChunkMemory(lambda piece: _little_endian(self.model(piece)), 10_000)
-        self._memory = ChunkMemory(self._chunk)
+        self._memory = ChunkMemory(self._chunk, remembered)
 
     def _pieces(self, text: str) -> list[str]:
         normalizer = self.tokenizer.normalizer
@@ -177,6 +178,6 @@ def rank_encoder(path: str) -> RankEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """The encoder of this worker process for a vocabulary file."""
-    return Encoder(path)
+    return Encoder(path, remembered=remembered)
