@@ -46,9 +46,12 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is the end id alone, a very long one as many pieces as it needs; null and repeated ids are packed like any others; an empty table
     gives no rows. The columns are those of the pieces.
     """
-    return pack(pieces(docs))
+    return pack(pieces(docs, remembered=REMEMBERED))
 
 
+#: Chunks that a worker remembers while it encodes; fewer than op8 has alone, as its memory outlives the stage.
+REMEMBERED = 150_000
+
 STAGES = [("quality_classifier", quality), ("simhash_near_dedup", near_dedup), ("pii", private), ("best_fit_packing", packing)]
 
 #: SQL can't express the stages; tests hold them against plain versions.
