@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.functions.text import WHITE, html_text, trimmed
+from lyrebird.functions.text import html_text, trimmed
 from lyrebird.runtime import checkpoint
 
 
