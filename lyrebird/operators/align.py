@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -83,7 +85,13 @@ def _gap_path(rendered: np.ndarray, source: np.ndarray, cost: float) -> np.ndarr
 @F.pandas_udf(ArrayType(IntegerType()))
 def gap_align(rendered: pd.Series, source: pd.Series) -> pd.Series:
     """For each pair of column profiles, the source columns of the rendered ones; empty if the source is shorter."""
-    return pd.Series([_gap_path(np.asarray(r, float), np.asarray(s, float), 1.0).tolist() for r, s in zip(rendered, source, strict=True)])
+    return pd.Series([_kept_path(np.asarray(r, float).tobytes(), np.asarray(s, float).tobytes()) for r, s in zip(rendered, source, strict=True)])
+
+
+@lru_cache(256)
+def _kept_path(rendered: bytes, source: bytes) -> list[int]:
+    """_gap_path, remembered, as lines come again."""
+    return _gap_path(np.frombuffer(rendered, float), np.frombuffer(source, float), 1.0).tolist()
 
 
 def assemble(lines: DataFrame, placements: DataFrame, rows: DataFrame, script: str = "฀-๿") -> DataFrame:
@@ -97,13 +105,13 @@ def assemble(lines: DataFrame, placements: DataFrame, rows: DataFrame, script: s
     by_line = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     numbered = lines.withColumn("is_sung", sung).withColumn("count", F.sum(sung.cast("int")).over(by_line))
     marks = placements.where("symbol != ''").groupBy("id", "sung").agg(F.array_sort(F.collect_list(F.struct(F.col("char").alias("at"), "symbol"))).alias("marks"))
-    met = numbered.join(marks, (numbered["id"] == marks["id"]) & numbered["is_sung"] & (numbered["count"] - 1 == marks["sung"]), "left").select(numbered["id"], "line_no", "line", "count", "marks")
+    met = numbered.join(marks.hint("merge"), (numbered["id"] == marks["id"]) & numbered["is_sung"] & (numbered["count"] - 1 == marks["sung"]), "left").select(numbered["id"], "line_no", "line", "count", "marks")
     inside = F.transform("marks", lambda m: F.struct(F.greatest(F.lit(0), F.least(F.length("line"), m["at"])).alias("at"), m["symbol"].alias("symbol")))
     written = met.select("id", F.col("count").alias("k"), F.lit(0).alias("after"), F.col("line_no").alias("n"), F.when(F.col("marks").isNotNull(), insert_markers(F.col("line"), inside)).otherwise(F.col("line")).alias("out"), sung.alias("s"))
     total = numbered.groupBy("id").agg(F.sum(F.col("is_sung").cast("int")).alias("total"))
     label = F.when(F.col("after") == 0, "Intro ").when(F.col("after") >= F.col("total"), "Outro ").otherwise("Instru ")
     first = F.row_number().over(Window.partitionBy("id", "after").orderBy("n")) == 1
-    between = rows.join(total, "id").select("id", F.col("after").alias("k"), F.col("n"), F.concat(F.when(first, label).otherwise(""), "seq").alias("out"))
+    between = rows.join(total.hint("merge"), "id").select("id", F.col("after").alias("k"), F.col("n"), F.concat(F.when(first, label).otherwise(""), "seq").alias("out"))
     # rows follow right after the sung line that they come after, before the lines that aren't sung
     part = F.when(F.col("s"), 0).otherwise(2)
     both = written.select("id", F.struct(F.col("k"), part.alias("p"), F.col("n").cast("long").alias("n"), "out").alias("r")).union(between.select("id", F.struct("k", F.lit(1).alias("p"), F.col("n").cast("long").alias("n"), "out").alias("r")))
@@ -120,12 +128,12 @@ def align_report(lines: DataFrame, placements: DataFrame, sheets: DataFrame, pal
     want = sung.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "").alias("want"), F.count("*").alias("sung"))
     plain = F.filter(F.split("sheet", "\n"), lambda l: ~F.rlike(l, F.lit(r"^\s*\{.*\}\s*$")) & ~F.rlike(l, F.lit(LABEL)))
     got = sheets.select("id", F.regexp_replace(F.array_join(plain, "\n"), r"\[[^\]]*\]", "").alias("got"))
-    symbols = placements.join(palettes, "id", "left").where("symbol != ''")
+    symbols = placements.join(palettes.hint("merge"), "id", "left").where("symbol != ''")
     scored = symbols.groupBy("id").agg(
         F.round(F.avg("score"), 3).alias("avg_score"), F.round(F.avg(F.when(F.col("score") >= LOW_SCORE, 1.0).otherwise(0.0)), 3).alias("id_confidence"), F.count("*").alias("placed"),
         F.array_sort(F.collect_set(F.when(~palette_ok(F.col("symbol"), F.coalesce("palette", F.array().cast("array<string>"))), F.col("symbol")))).alias("bad_symbols"),
     )
-    met = want.join(got, "id").join(bands, "id", "left").join(scored, "id", "left")
+    met = want.join(got.hint("merge"), "id").join(bands.hint("merge"), "id", "left").join(scored.hint("merge"), "id", "left")
     exact = only_script(F.col("want"), script) == only_script(F.col("got"), script)
     match = F.coalesce(F.col("lyric_bands") == F.col("sung"), F.lit(False))
     sure = F.coalesce("id_confidence", F.lit(0.0))

@@ -1,13 +1,14 @@
 """From a picture to its rows: bands of ink, boxes around tokens, symbols by their shape, and symbols over letters.
 
 A picture is a table of its pixel rows: id, y, width (in columns) and words, an array of bigints of 32 columns each,
-the lowest bit being the leftmost; set bits are ink. All steps join, group and window such rows; shapes are worked on a batch of
-bands at a time. A group is one picture or one band, whose size a picture's height and width bound.
+the lowest bit being the leftmost; set bits are ink. Pixel rows are grouped by picture and looked at once,
+a batch of pictures at a time; what is found there is joined, grouped and windowed as rows. A group is one picture or one band, whose size a picture's height and width bound.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from lyrebird.operators.align import clean_sequence, gap_align
 from lyrebird.operators.align import snap_left as snapped
-from lyrebird.operators.signals import mask_overlap, merged_bands
-from lyrebird.runtime import ship
+from lyrebird.operators.signals import mask_overlap
+from lyrebird.runtime import ship, stage_table
 
 #: Columns in a word.
 BITS = 32
@@ -33,57 +34,24 @@ SHAPE_HEIGHT, SHAPE_WIDTH, SHAPE_INK, ASPECT_COST = 24, 80, 110, 0.15
 # A stroke's score and aspect beside sung text; its overlap and aspect in a row; the score of a symbol there.
 STROKE, STROKE_ASPECT, ROW_STROKE, ROW_STROKE_ASPECT, ROW_SYMBOL = 0.45, 0.55, 0.35, 0.6, 0.42
 
-def _ink(words: Column) -> Column:
-    return F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w))
-
-
-def find_bands(rows: DataFrame) -> DataFrame:
-    """(id, start, end): runs of pixel rows with ink, those less than four rows apart as one."""
-    inked = rows.where(_ink(F.col("words")) > F.greatest(F.lit(LEAST_INK), F.floor(F.col("width") * INK_SHARE)))
-    run = F.col("y") - F.row_number().over(Window.partitionBy("id").orderBy("y"))
-    runs = inked.select("id", "y", run.alias("_run")).groupBy("id", "_run").agg(F.min("y").alias("start"), (F.max("y") + 1).alias("end"))
-    return merged_bands(runs, "id", gap=BAND_GAP)
+#: Pixel rows of a batch are looked at in pieces of so many words; a shape of at most so many packed bytes is remembered.
+PIECE, KEPT_BYTES = 1 << 18, 4096
 
 
 def _inside(rows: DataFrame, bands: DataFrame) -> DataFrame:
     """(id, y, width, words, b): the pixel rows of each band b (band, start, end)."""
     spans = bands.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("band", "start", "end"))).alias("_bands"))
     within = F.filter("_bands", lambda b: (b["start"] <= F.col("y")) & (F.col("y") < b["end"]))
-    return rows.join(spans, "id").select("id", "y", "width", "words", F.explode(within).alias("b"))
-
+    return rows.join(spans.hint("merge"), "id").select("id", "y", "width", "words", F.explode(within).alias("b"))
 
-def band_profiles(rows: DataFrame) -> DataFrame:
-    """(id, band, start, end, x0, x1, width, columns, top, cover, fill, sung) of each band from the top, the first being 1.
 
-    x0, x1: its outermost columns with ink; columns: words with a bit for each column with ink; top: the share of
-    ink in its upper third; cover: the share of columns with ink from x0 to x1; fill: of all columns; sung:
-    whether it looks like a line of text whose letters stand low, as sung lines do beside names of symbols.
-    """
-    bands = find_bands(rows).withColumn("band", F.row_number().over(Window.partitionBy("id").orderBy("start")))
-    inside = _inside(rows, bands).select("id", "y", "width", "words", "b.*")
-    height = F.col("end") - F.col("start")
-    upper = F.col("y") < F.col("start") + F.greatest(F.lit(1), F.floor(height / 3))
-    key = ["id", "band", "start", "end"]
-    by_word = inside.select(*key, "width", upper.alias("upper"), F.posexplode("words").alias("k", "w")).groupBy(*key, "k")
-    pixels = F.bit_count("w")
-    words = by_word.agg(F.bit_or("w").alias("w"), F.max("width").alias("width"), F.sum(pixels).alias("ink"), F.sum(F.when(F.col("upper"), pixels).otherwise(0)).alias("top"))
-    low, high = F.bit_count(F.col("w").bitwiseAND(-F.col("w")) - 1), F.length(F.bin("w")) - 1
-    some = F.col("w") != 0
-    found = words.groupBy(*key).agg(
-        F.min(F.when(some, F.col("k") * BITS + low)).alias("x0"), F.max(F.when(some, F.col("k") * BITS + high)).alias("x1"), F.max("width").alias("width"),
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("columns"), (F.sum("top") / F.sum("ink")).alias("top"), F.sum(pixels).alias("covered"),
-    )
-    found = found.withColumn("cover", F.col("covered") / (F.col("x1") - F.col("x0") + 1)).withColumn("fill", F.col("covered") / F.col("width")).drop("covered")
-    return found.withColumn("sung", (height >= SUNG_HEIGHT) & (F.col("top") < SUNG_TOP) & (F.col("cover") > SUNG_COVER))
-
-
-def _unpacked(words: pa.ListArray | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Pixels (rows, columns) of pixel rows of any widths, and each row's width."""
+def _words(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Words (rows, words) of pixel rows of any widths, and how many each row has."""
     counts = np.diff(words.offsets.to_numpy())
     flat = words.flatten().to_numpy(zero_copy_only=False).astype("<u4")
     wide = np.zeros((len(counts), max(1, int(counts.max(initial=0)))), "<u4")
     wide[np.arange(wide.shape[1]) < counts[:, None]] = flat
-    return np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").astype(bool), counts * BITS
+    return wide, counts
 
 
 def runs_of(pixels: np.ndarray, widths: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,6 +105,134 @@ def component_boxes(band: np.ndarray, y: np.ndarray, pixels: np.ndarray, widths:
     return at[keep], x0[keep], x1[keep]
 
 
+def bands_of(picture: np.ndarray, y: np.ndarray, width: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) pixel row of each band: rows with ink, those less than four rows apart as one. Rows come by picture and y."""
+    ink = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+    inked = np.flatnonzero(ink > np.maximum(LEAST_INK, np.floor(width * INK_SHARE)))
+    p, at = picture[inked], y[inked]
+    new = np.ones(len(inked), bool)
+    new[1:] = (p[1:] != p[:-1]) | (at[1:] - at[:-1] > BAND_GAP)
+    first = np.flatnonzero(new)
+    return inked[first], inked[np.append(first[1:], len(inked))[: len(first)] - 1]
+
+
+def profiles_of(y: np.ndarray, width: np.ndarray, words: np.ndarray, counts: np.ndarray, begins: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.StructArray:
+    """What band_profiles says of each band, whose pixel rows follow one another from ``begins`` on."""
+    ink = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+    n = np.diff(np.append(begins, len(y)))
+    upper = y < np.repeat(start + np.maximum(1, (end - start) // 3), n)
+    columns, wide, held = np.bitwise_or.reduceat(words, begins), np.maximum.reduceat(width, begins), np.maximum.reduceat(counts, begins)
+    pixels = np.unpackbits(np.ascontiguousarray(columns).view(np.uint8), axis=1, bitorder="little")
+    x0, x1, covered = pixels.argmax(axis=1), pixels.shape[1] - 1 - pixels[:, ::-1].argmax(axis=1), pixels.sum(axis=1, dtype=np.int64)
+    top, cover = np.add.reduceat(np.where(upper, ink, 0), begins) / np.add.reduceat(ink, begins), covered / (x1 - x0 + 1)
+    listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32()), pa.array(columns[np.arange(columns.shape[1]) < held[:, None]].astype(np.int64)))
+    sung = (end - start >= SUNG_HEIGHT) & (top < SUNG_TOP) & (cover > SUNG_COVER)
+    own = [pa.array(c, pa.int32()) for c in (start, end, x0, x1, wide)]
+    return pa.StructArray.from_arrays([*own, listed, pa.array(top), pa.array(cover), pa.array(covered / wide), pa.array(sung)], fields=list(_BAND))
+
+
+@lru_cache(1 << 14)
+def _kept_shape(packed: bytes, height: int, width: int) -> tuple[bytes, float] | None:
+    return shape_of(np.unpackbits(np.frombuffer(packed, np.uint8), count=height * width).reshape(height, width).astype(bool))
+
+
+def _shape(pixels: np.ndarray) -> tuple[bytes | None, float | None]:
+    """shape_of, remembered for small ones, as letters come again and again."""
+    packed = np.packbits(pixels).tobytes()
+    return (_kept_shape(packed, *pixels.shape) if len(packed) <= KEPT_BYTES else shape_of(pixels)) or (None, None)
+
+
+def tokens_of(y: np.ndarray, pixels: np.ndarray, widths: np.ndarray, begins: np.ndarray, reach: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """The band of each token, by band and column, and its x0, x1, bits and aspect; a band's pixel rows follow one another from ``begins`` on."""
+    ends = np.append(begins[1:], len(y))
+    at, x0, x1 = component_boxes(np.repeat(np.arange(len(begins)), ends - begins), y, pixels, widths, reach)
+    shapes = [_shape(pixels[f:e, a : b + 1]) for f, e, a, b in zip(begins[at].tolist(), ends[at].tolist(), x0.tolist(), x1.tolist(), strict=True)]
+    return at, [pa.array(x0, pa.int32()), pa.array(x1, pa.int32()), pa.array([b for b, _ in shapes], pa.binary()), pa.array([a for _, a in shapes], pa.float64())]
+
+
+def _starts(names: np.ndarray, n: int) -> pa.Array:
+    """Offsets of n lists, given the list of each item, in order."""
+    return pa.array(np.append(0, np.cumsum(np.bincount(names, minlength=n))), pa.int32())
+
+
+def _pieces(words: pa.ListArray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of pictures (rows from ends[i] to ends[j]) that have about PIECE words, or are one picture."""
+    held = words.offsets.to_numpy()[ends]
+    i = 0
+    while i < len(ends) - 1:
+        j = max(i + 1, int(np.searchsorted(held, held[i] + PIECE, side="right")) - 1)
+        yield i, j
+        i = j
+
+
+_BAND = pa.struct([*[(c, pa.int32()) for c in ("start", "end", "x0", "x1", "width")], ("columns", pa.list_(pa.int64())), ("top", pa.float64()), ("cover", pa.float64()), ("fill", pa.float64()), ("sung", pa.bool_())])
+_TOKEN = pa.struct([("band", pa.int32()), ("reach", pa.int32()), ("token", pa.int32()), ("x0", pa.int32()), ("x1", pa.int32()), ("bits", pa.binary()), ("aspect", pa.float64())])
+_SEEN = "struct<bands:array<struct<start:int,end:int,x0:int,x1:int,width:int,columns:array<bigint>,top:double,cover:double,fill:double,sung:boolean>>,tokens:array<struct<band:int,reach:int,token:int,x0:int,x1:int,bits:binary,aspect:double>>>"
+
+
+def seen(rows: DataFrame, reaches: tuple[int, ...] = ()) -> DataFrame:
+    """(id, bands, tokens): each picture's bands and, for each reach, their tokens, all in one pass over its pixel rows.
+
+    A picture's pixel rows come together in a row; rows that are dealt by id already aren't shuffled for that.
+    """
+    ship(rows.sparkSession)
+
+    @F.arrow_udf(_SEEN)
+    def look(pictures: pa.Array) -> pa.Array:
+        flat, ends = pictures.flatten(), np.concatenate([[0], np.cumsum(np.diff(pictures.offsets.to_numpy()))])
+        out = [_look(flat.slice(ends[i], ends[j] - ends[i]), ends[i : j + 1] - ends[i], reaches) for i, j in _pieces(flat.field("words"), ends)]
+        return pa.concat_arrays(out) if out else pa.array([], pa.struct([("bands", pa.list_(_BAND)), ("tokens", pa.list_(_TOKEN))]))
+
+    held = rows.where("id is not null and words is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("y", "width", "words"))).alias("pixels"))
+    return held.select("id", look("pixels").alias("s")).select("id", "s.bands", "s.tokens")
+
+
+def _look(rows: pa.StructArray, ends: np.ndarray, reaches: tuple[int, ...]) -> pa.StructArray:
+    y, width, listed = (c.to_numpy() if c.type != pa.list_(pa.int64()) else c for c in rows.flatten())
+    words, counts = _words(listed)
+    picture, n = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), len(ends) - 1
+    first, last = bands_of(picture, y, width, words)
+    size = last - first + 1
+    begins = np.cumsum(size) - size
+    own = np.repeat(first - begins, size) + np.arange(size.sum())
+    y, width, words, counts, of = y[own], width[own], words[own], counts[own], picture[first]
+    none = pa.array([], _BAND)
+    bands = profiles_of(y, width, words, counts, begins, y[begins], y[begins + size - 1] + 1) if len(of) else none
+    number = np.arange(len(of)) - np.searchsorted(of, of) + 1
+    pixels = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little").astype(bool)
+    met = [pa.array([], _TOKEN)]
+    names = [np.zeros(0, np.int64)]
+    for reach in reaches if len(of) else ():
+        at, found = tokens_of(y, pixels, counts * BITS, begins, reach)
+        place = np.arange(len(at)) - np.searchsorted(at, at) + 1
+        met.append(pa.StructArray.from_arrays([pa.array(number[at], pa.int32()), pa.array(np.full(len(at), reach), pa.int32()), pa.array(place, pa.int32()), *found], fields=list(_TOKEN)))
+        names.append(of[at])
+    name = np.concatenate(names)
+    order = np.argsort(name, kind="stable")
+    tokens = pa.concat_arrays(met).take(pa.array(order))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(_starts(of, n), bands), pa.ListArray.from_arrays(_starts(name, n), tokens)], names=["bands", "tokens"])
+
+
+def seen_bands(looks: DataFrame) -> DataFrame:
+    """band_profiles, of what ``seen`` gives."""
+    return looks.select("id", F.posexplode("bands").alias("at", "b")).select("id", (F.col("at") + 1).alias("band"), "b.*")
+
+
+def seen_tokens(looks: DataFrame, reach: int = TOKEN_GAP) -> DataFrame:
+    """tokens, of what ``seen`` gives."""
+    return looks.select("id", F.explode("tokens").alias("t")).where(F.col("t.reach") == reach).select("id", "t.*").drop("reach")
+
+
+def band_profiles(rows: DataFrame) -> DataFrame:
+    """(id, band, start, end, x0, x1, width, columns, top, cover, fill, sung) of each band from the top, the first being 1.
+
+    x0, x1: its outermost columns with ink; columns: words with a bit for each column with ink; top: the share of
+    ink in its upper third; cover: the share of columns with ink from x0 to x1; fill: of all columns; sung:
+    whether it looks like a line of text whose letters stand low, as sung lines do beside names of symbols.
+    """
+    return seen_bands(seen(rows))
+
+
 def tokens(bands: DataFrame, rows: DataFrame, reach: int = TOKEN_GAP) -> DataFrame:
     """(id, band, token, x0, x1, bits, aspect): each band's tokens from the left, the first being 1, with their shapes.
 
@@ -145,18 +241,19 @@ def tokens(bands: DataFrame, rows: DataFrame, reach: int = TOKEN_GAP) -> DataFra
     the band between its columns; it is null where there is none.
     """
     ship(bands.sparkSession)
-    kind = pa.struct([("x0", pa.int32()), ("x1", pa.int32()), ("bits", pa.binary()), ("aspect", pa.float64())])
+    kind = [("x0", pa.int32()), ("x1", pa.int32()), ("bits", pa.binary()), ("aspect", pa.float64())]
 
     @F.arrow_udf("array<struct<x0:int,x1:int,bits:binary,aspect:double>>")
     def found(bands: pa.Array) -> pa.Array:
         rows, ends = bands.flatten(), np.concatenate([[0], np.cumsum(np.diff(bands.offsets.to_numpy()))])
-        pixels, widths = _unpacked(rows.field("words"))
-        at, x0, x1 = component_boxes(np.repeat(np.arange(len(bands)), np.diff(ends)), rows.field("y").to_numpy(), pixels, widths, reach)
-        out: list[list[dict]] = [[] for _ in range(len(bands))]
-        for k, a, b in zip(at.tolist(), x0.tolist(), x1.tolist(), strict=True):
-            bits, aspect = shape_of(pixels[ends[k] : ends[k + 1], a : b + 1]) or (None, None)
-            out[k].append({"x0": a, "x1": b, "bits": bits, "aspect": aspect})
-        return pa.array(out, pa.list_(kind))
+        out = [pa.array([], pa.list_(pa.struct(kind)))]
+        for i, j in _pieces(rows.field("words"), ends):
+            some = rows.slice(ends[i], ends[j] - ends[i])
+            words, counts = _words(some.field("words"))
+            pixels = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(bool)
+            at, held = tokens_of(some.field("y").to_numpy(), pixels, counts * BITS, ends[i:j] - ends[i], reach)
+            out.append(pa.ListArray.from_arrays(_starts(at, j - i), pa.StructArray.from_arrays(held, names=[k for k, _ in kind])))
+        return pa.concat_arrays(out)
 
     held = _inside(rows, bands).groupBy("id", F.col("b.band").alias("band")).agg(F.array_sort(F.collect_list(F.struct("y", "words"))).alias("pixels"))
     return held.select("id", "band", F.posexplode(found("pixels")).alias("token", "t")).select("id", "band", (F.col("token") + 1).alias("token"), "t.*")
@@ -220,17 +317,24 @@ def matched(found: DataFrame, palettes: DataFrame) -> DataFrame:
 
     @F.arrow_udf("struct<name:string,score:double,compared:int>")
     def match(bits: pa.Array, aspects: pa.Array, palettes: pa.Array) -> pa.Array:
+        flat, ends = palettes.flatten(), np.concatenate([[0], np.cumsum(np.diff(palettes.offsets.to_numpy()))]).tolist()
+        names, shapes, wide = (flat.field(c).to_pylist() for c in ("name", "bits", "aspect"))
         out = []
-        for own, aspect, known in zip(bits.to_pylist(), aspects.to_pylist(), palettes.to_pylist(), strict=True):
-            best = None
-            if own and known:
-                packed = np.frombuffer(b"".join(k["bits"] for k in known), np.uint8).reshape(len(known), -1)
-                best = best_match(np.frombuffer(own, np.uint8), aspect, packed, np.bitwise_count(packed).sum(axis=1, dtype=np.int64), np.array([k["aspect"] for k in known]))
-            out.append({"name": known[best[0]]["name"], "score": best[1], "compared": best[2]} if best else {"name": None, "score": 0.0, "compared": 0})
-        return pa.array(out, pa.struct([("name", pa.string()), ("score", pa.float64()), ("compared", pa.int32())]))
+        for k, (own, aspect) in enumerate(zip(bits.to_pylist(), aspects.to_pylist(), strict=True)):
+            a, b = ends[k], ends[k + 1]
+            at, score, compared = _kept_match(own, aspect, tuple(shapes[a:b]), tuple(wide[a:b])) if own and b > a else (None, 0.0, 0)
+            out.append((None if at is None else names[a + at], score, compared))
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.int32())], names=["name", "score", "compared"])
 
     listed = palettes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "name", "bits", "aspect"))).alias("_palette"))
-    return found.join(listed, "id", "left").withColumn("_m", match("bits", "aspect", "_palette")).select(*found.columns, "_m.*")
+    return found.join(listed.hint("merge"), "id", "left").withColumn("_m", match("bits", "aspect", F.coalesce("_palette", F.array().cast(listed.schema["_palette"].dataType)))).select(*found.columns, "_m.*")
+
+
+@lru_cache(1 << 12)
+def _kept_match(own: bytes, aspect: float, shapes: tuple[bytes, ...], aspects: tuple[float, ...]) -> tuple[int, float, int]:
+    """best_match, remembered, as the same symbols and palettes come again."""
+    packed = np.frombuffer(b"".join(shapes), np.uint8).reshape(len(shapes), -1)
+    return best_match(np.frombuffer(own, np.uint8), aspect, packed, np.bitwise_count(packed).sum(axis=1, dtype=np.int64), np.array(aspects))
 
 
 def stroke_overlap(found: DataFrame, stroke: tuple[bytes, float]) -> DataFrame:
@@ -263,7 +367,7 @@ def line_profiles(lines: DataFrame, font: DataFrame) -> DataFrame:
     met = letters.select("id", "sung", "k", "l.*").join(F.broadcast(font), "letter")
     held = met.groupBy("id", "sung").agg(F.array_sort(F.collect_list(F.struct("k", "place", "columns"))).alias("_l"))
     start = F.aggregate("_l", F.array(F.lit(0)), lambda s, l: F.concat(s, F.array(F.element_at(s, -1) + F.size(l["columns"]))))
-    return lines.join(held, ["id", "sung"]).select("id", "sung", "line", F.flatten(F.transform("_l", lambda l: l["columns"])).alias("rendered"), start.alias("starts"), F.transform("_l", lambda l: l["place"]).alias("places"))
+    return lines.join(held.hint("merge"), ["id", "sung"]).select("id", "sung", "line", F.flatten(F.transform("_l", lambda l: l["columns"])).alias("rendered"), start.alias("starts"), F.transform("_l", lambda l: l["place"]).alias("places"))
 
 
 def _stretched(rendered: Column, n: Column) -> Column:
@@ -289,17 +393,17 @@ def placements(bands: DataFrame, found: DataFrame, strokes: DataFrame, lines: Da
     """
     order = Window.partitionBy("id").orderBy("band")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    marked = bands.join(strokes.withColumn("_stroke", F.lit(True)), ["id", "band"], "left")
+    marked = bands.join(strokes.withColumn("_stroke", F.lit(True)).hint("merge"), ["id", "band"], "left")
     plain = ~F.col("sung") & F.col("_stroke").isNull()
     near = marked.withColumn("above", F.last(F.when(plain, F.col("band")), ignorenulls=True).over(before)).withColumn("above_end", F.last(F.when(plain, F.col("end")), ignorenulls=True).over(before))
     near = near.withColumn("_last", F.coalesce(F.max(F.when(F.col("sung"), F.col("band"))).over(before), F.lit(0)))
     near = near.where("sung").withColumn("_k", F.row_number().over(order) - 1).where((F.col("above") > F.col("_last")) & (F.col("start") - F.col("above_end") < ABOVE))
     drawn = line_profiles(lines, font).withColumnRenamed("sung", "_k")
-    met = near.select("id", "_k", "above", "x0", "x1", "columns").join(drawn, ["id", "_k"])
+    met = near.select("id", "_k", "above", "x0", "x1", "columns").join(drawn.hint("merge"), ["id", "_k"])
     wide = F.col("x1") - F.col("x0") + 1
     ink = F.transform(F.sequence("x0", "x1"), lambda x: F.call_function("shiftright", F.get("columns", F.floor(x / BITS).cast("int")), (x % BITS).cast("int")).bitwiseAND(F.lit(1)).cast("double"))
     met = met.withColumn("_ratio", wide / F.size("rendered")).withColumn("_way", gap_align(_stretched(F.col("rendered"), wide), ink))
-    own = met.join(found.select("id", F.col("band").alias("above"), "token", F.col("x0").alias("left"), "name", "score"), ["id", "above"])
+    own = met.join(found.select("id", F.col("band").alias("above"), "token", F.col("x0").alias("left"), "name", "score").hint("merge"), ["id", "above"])
     place = F.least(F.greatest(F.col("left"), F.col("x0")), F.col("x1")) - F.col("x0")
     column = F.array_min(F.transform("_way", lambda v, i: F.struct(F.abs(v - place).alias("d"), i.alias("i"))))["i"]
     letter = F.size(F.filter("starts", lambda s: s * F.col("_ratio") <= F.col("_column"))) - 1
@@ -315,15 +419,17 @@ def read_pictures(rows: DataFrame, lines: DataFrame, palettes: DataFrame, font:
     sung bands. A band that isn't sung is a row of its own, after so many sung bands, unless a sung band follows
     in less than 28 rows and it has no strokes.
     """
-    bands = band_profiles(rows)
+    looks = stage_table(seen(rows, (TOKEN_GAP, ROW_GAP)), "looks")
+    bands = seen_bands(looks)
     sung = lines.where(F.rlike("line", F.lit(f"[{script}]"))).withColumn("sung", F.row_number().over(Window.partitionBy("id").orderBy("line_no")) - 1)
-    close = stroke_overlap(tokens(bands, rows), stroke)
+    close = stroke_overlap(seen_tokens(looks), stroke)
     strokes = bands_with_strokes(close)
     placed = placements(bands, matched(close, palettes), strokes, sung.select("id", "sung", "line"), font)
     order = Window.partitionBy("id").orderBy("band")
-    marked = bands.join(strokes.withColumn("_stroke", F.lit(True)), ["id", "band"], "left")
+    marked = bands.join(strokes.withColumn("_stroke", F.lit(True)).hint("merge"), ["id", "band"], "left")
     marked = marked.withColumn("after", F.sum(F.col("sung").cast("int")).over(order)).withColumn("_next", F.lead("sung").over(order) & (F.lead("start").over(order) - F.col("end") < NEXT))
     own = marked.where(~F.col("sung") & ~(F.coalesce("_next", F.lit(False)) & F.col("_stroke").isNull()))
-    read = symbol_sequences(matched(stroke_overlap(tokens(own, rows, ROW_GAP), stroke), palettes))
-    listed = own.join(read, ["id", "band"]).withColumn("seq", clean_sequence(F.col("seq"))).where("seq != ''")
+    alone = seen_tokens(looks, ROW_GAP).join(own.select("id", "band").hint("merge"), ["id", "band"], "left_semi")
+    read = symbol_sequences(matched(stroke_overlap(alone, stroke), palettes))
+    listed = own.join(read.hint("merge"), ["id", "band"]).withColumn("seq", clean_sequence(F.col("seq"))).where("seq != ''")
     return bands, placed, listed.select("id", "after", F.col("band").alias("n"), "seq")

@@ -56,6 +56,16 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by the hash of its keys over as many tasks as shuffles have.
+
+    Narrow rows that much work follows upon fill few file splits, often one; dealt first, the work goes over all
+    tasks, and groups, windows and joins by the same keys need no further shuffle. It keeps its number of tasks
+    whatever the size of the rows.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 #: Rows of one key that a join brings to a task at most, about.
 SPREAD = 1 << 20
 

@@ -1,6 +1,7 @@
 """Pictures against the plain way: flood fill, all pairs, and lines aligned by hand."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lyrebird.operators import pictures
 from lyrebird.plans.pictures import bitmap
+from lyrebird.plans.registry import QUERIES
 
 ROWS = "id long, y int, width int, words array<bigint>"
 
@@ -137,3 +139,30 @@ def test_rows_above_and_rows_between(spark):
     assert sorted((r.id, r.sung, r.char, r.symbol) for r in placed.collect()) == [(1, 0, 0, "C"), (1, 1, 0, "D")]
     assert {(r.id, r.after) for r in between.collect()} >= {(2, 0)}
     assert bands.select(F.max("band")).first()[0] == 5
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_only_small_tables_are_broadcast(spark):
+    """Tables with rows for each picture are joined by sorting: only the known shapes and the font go to the driver."""
+    for name in ("picture_symbols", "picture_placements"):
+        keys = re.findall(r"BroadcastHashJoin \[(\w+)#", _plan(QUERIES[name](spark, "/root/testdata/sf0.001")))
+        assert set(keys) <= {"name", "letter"}
+
+
+def test_pixel_rows_are_gathered_once(spark):
+    """Parts are dealt before they are drawn, and each picture's pixel rows come together in one shuffle."""
+    assert len(re.findall(r"\bExchange\b", _plan(QUERIES["picture_tokens"](spark, "/root/testdata/sf0.001")))) <= 2
+
+
+def test_one_pass_gives_what_bands_and_tokens_give(spark):
+    rng = np.random.default_rng(3)
+    inks = [rng.random((int(rng.integers(1, 60)), int(rng.integers(1, 200)))) < p for p in (0.0, 0.01, 0.05, 0.3) for _ in range(4)]
+    rows = spark.createDataFrame([r for i, ink in enumerate(inks) for r in as_rows(i, ink)], ROWS).repartition(3)
+    bands, looks = pictures.band_profiles(rows), pictures.seen(rows, (4, 6))
+    for reach in (4, 6):
+        want = sorted(map(tuple, pictures.tokens(bands, rows, reach).collect()))
+        assert want and sorted(map(tuple, pictures.seen_tokens(looks, reach).collect())) == want
