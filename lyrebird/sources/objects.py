@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import time
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyrebird.runtime import ship, stage_table
+from lyrebird.runtime import dealt, ship, stage_table
 
 
 class Store(Protocol):
@@ -27,19 +27,32 @@ class Store(Protocol):
 
 
 class FolderStore:
-    """A folder that all machines share, as a store; keys are names in it."""
+    """A folder that all machines share, as a store; keys are names in it.
+
+    A folder can't be read from a key on: a range's names are read with its first page and kept until its last.
+    """
 
     def __init__(self, root: str):
         self.root = root.removeprefix("file://").removeprefix("file:")
         if "://" in self.root:
             raise ValueError("the folder must be mounted")
+        self._range: tuple[str, str | None] | None = None
+        self._names: list[str] = []
 
     def page(self, low: str, high: str | None, token: str | None, limit: int) -> tuple[list[tuple[str, int]], str | None]:
-        names = sorted(e.name for e in os.scandir(self.root) if e.is_file() and not e.name.startswith(".")) if os.path.isdir(self.root) else []
-        begin = bisect_left(names, low) if token is None else bisect_right(names, token)
-        end = len(names) if high is None else bisect_left(names, high)
-        some = names[begin : min(begin + limit, end)]
-        return [(n, os.path.getsize(f"{self.root}/{n}")) for n in some], some[-1] if some and begin + limit < end else None
+        if token is None or self._range != (low, high):
+            self._range, self._names = (low, high), self._between(low, high)
+        begin = 0 if token is None else bisect_right(self._names, token)
+        some, more = self._names[begin : begin + limit], begin + limit < len(self._names)
+        if not more:
+            self._range, self._names = None, []
+        return [(n, os.path.getsize(f"{self.root}/{n}")) for n in some], some[-1] if some and more else None
+
+    def _between(self, low: str, high: str | None) -> list[str]:
+        if not os.path.isdir(self.root):
+            return []
+        with os.scandir(self.root) as found:
+            return sorted(e.name for e in found if low <= e.name and (high is None or e.name < high) and not e.name.startswith(".") and e.is_file())
 
     def put(self, key: str, body: bytes) -> None:
         os.makedirs(self.root, exist_ok=True)
@@ -76,7 +89,7 @@ def paged_listing(spark: SparkSession, store: Store, cuts: list[str], name: str
 def put_objects(rows: DataFrame, store: Store, key: str = "key", body: str = "body", retries: int = 3, pause: float = 0.2) -> DataFrame:
     """(name, error) of each row's put, for ``sinks.write_rejected``; a null error is a success.
 
-    A put that fails is tried again up to ``retries`` times, after pauses that double. A task that runs twice puts
+    Rows are dealt by key, so that puts go over all tasks. A put that fails is tried again up to ``retries`` times, after pauses that double. A task that runs twice puts
     the same objects under the same keys. Null keys and bodies aren't put. The outcomes are written once, so
     that reading them puts nothing.
     """
@@ -100,4 +113,4 @@ def put_objects(rows: DataFrame, store: Store, key: str = "key", body: str = "bo
             yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(errors, pa.string())], ["name", "error"])
 
     narrow = rows.select(F.col(key).cast("string").alias("name"), F.col(body).cast("binary").alias("body"))
-    return stage_table(narrow.mapInArrow(put, "name string, error string"), "outcomes")
+    return stage_table(dealt(narrow, "name").mapInArrow(put, "name string, error string"), "outcomes")

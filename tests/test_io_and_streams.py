@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -264,3 +265,36 @@ def test_texts_and_arrays_of_several_lines(spark, tmp_path):
     assert {r.id: r.text for r in files.texts(spark, str(tmp_path)).collect()} == {7: "a\n\nb\n", 8: None}
     (tmp_path / "block.json").write_text("[\n  1,\n  5\n]\n")
     assert sorted(r.id for r in files.blocklist(spark, f"{tmp_path}/block.json").collect()) == [1, 5]
+
+
+def test_a_folder_is_read_once_for_each_range(tmp_path, monkeypatch):
+    """Not once a page: pages of a large folder would take the square of its size."""
+    store, real, reads = objects.FolderStore(str(tmp_path)), os.scandir, []
+    for k in range(10):
+        store.put(f"k{k}", b"x" * k)
+    monkeypatch.setattr(objects.os, "scandir", lambda p: reads.append(p) or real(p))
+    got = []
+    for low, high in (("", "k4"), ("k4", None)):
+        token, more = None, True
+        while more:
+            found, token = store.page(low, high, token, 2)
+            got, more = got + found, token is not None
+    assert got == [(f"k{k}", k) for k in range(10)] and len(reads) == 2
+    assert store.page("", None, "k7", 5) == ([("k8", 8), ("k9", 9)], None)
+
+
+def test_puts_go_over_all_tasks(spark, tmp_path):
+    """A narrow table is one file split; its puts aren't one task's."""
+    df = spark.range(40).coalesce(1).selectExpr("concat('k', id) as key", "cast(id as string) as body")
+    plan = []
+
+    def kept(rows, tag):
+        plan.append(rows.rdd.getNumPartitions())
+        return rows
+
+    had, objects.stage_table = objects.stage_table, kept
+    try:
+        objects.put_objects(df, objects.FolderStore(str(tmp_path)))
+    finally:
+        objects.stage_table = had
+    assert plan == [4]
