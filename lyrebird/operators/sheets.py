@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lyrebird.functions.music import parse_key, relative_major
 from lyrebird.functions.text import WHITE, trimmed
+from lyrebird.runtime import dealt
 
 # Section words that may label a row of symbols, directives with their aliases, and the patterns of
 # bracketed symbols, directive lines, headings and separators.
@@ -64,12 +65,14 @@ def lead_label(line: Column) -> Column:
 def parse_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, line, kind) with kind one of directive, blank, symbols, lyric.
 
-    White space at a line's end goes, and headings lose their marks.
+    White space at a line's end goes, and headings lose their marks. Sheets are dealt by id first: the lines of
+    few file splits go over all tasks, and what groups them by id needs no further shuffle.
     """
-    lines = df.select(id_col, F.posexplode(F.split(F.regexp_replace(F.col(text_col), r"\r\n?", "\n"), "\n")).alias("line_no", "line"))
+    lines = dealt(df.select(id_col, text_col), id_col).select(id_col, F.posexplode(F.split(F.regexp_replace(F.col(text_col), r"\r\n?", "\n"), "\n")).alias("line_no", "line"))
     lines = lines.withColumn("line", F.regexp_replace(F.regexp_replace("line", f"{WHITE}+$", ""), _HEADING, ""))
     kind = F.when(F.rlike("line", F.lit(_DIRECTIVE)), "directive").when(trimmed(F.col("line")) == "", "blank").when(symbol_only(F.col("line")), "symbols").otherwise("lyric")
-    return lines.withColumn("kind", kind)
+    # a generator's output: filters on the kind stay above it, so that no line is told twice
+    return lines.select(id_col, "line_no", F.explode(F.array(F.struct("line", kind.alias("kind")))).alias("_l")).select(id_col, "line_no", "_l.*")
 
 
 def sheet_meta(lines: DataFrame, id_col: str) -> DataFrame:
