@@ -34,10 +34,11 @@ def merged_bands(bands: DataFrame, key: str, start: str = "start", end: str = "e
 
 
 def nearest_tone(freq: Column) -> Column:
-    """The symbol whose frequency is nearest, within the tolerance; of equally near ones the later. Null: none."""
-    table = F.array(*[F.struct(F.abs(freq - hz).alias("d"), F.lit(-k).alias("k"), F.lit(s).alias("s")) for k, (s, hz) in enumerate(TONES.items())])
-    best = F.array_min(table)
-    return F.when(best["d"] <= TOLERANCE, best["s"])
+    """The symbol whose frequency is nearest, within the tolerance. Null: none.
+
+    Symbols are over twice the tolerance apart, so at most one is within it.
+    """
+    return F.coalesce(*[F.when(F.abs(freq - hz) <= TOLERANCE, F.lit(s)) for s, hz in TONES.items()])
 
 
 def bursts(frames: DataFrame, key: str, frame: str = "frame", freq: str = "freq") -> DataFrame:

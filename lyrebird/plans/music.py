@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lyrebird.functions import music
 from lyrebird.operators import harmony, pages, sheets, signals
 from lyrebird.plans.registry import Tables, query
+from lyrebird.runtime import dealt
 
 _ROOTS = ("C", "C#", "Db", "D", "Eb", "E", "F", "F#", "Gb", "A", "Bb", "H")
 _ENDS = ("", "m", "7", "dim", "maj7", "m7b5", "/B", "/x", "M7", "sus4")
@@ -322,7 +323,7 @@ def wide_bands(t: Tables) -> DataFrame:
 def tone_frames(t: Tables) -> DataFrame:
     """For each customer three spectrum frames a symbol and two silent ones, the code being the customer's key."""
     code = F.concat(F.lit("S"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.when(F.col("c_custkey") % 10 == 0, "").otherwise("E"))
-    symbols = t.customer.select(F.col("c_custkey").alias("id"), F.posexplode(F.filter(F.split(code, ""), lambda s: s != "")).alias("at", "s"))
+    symbols = dealt(t.customer.select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("id"), F.posexplode(F.filter(F.split(code, ""), lambda s: s != "")).alias("at", "s"))
     hz = F.when(F.col("s") == "S", 18000).when(F.col("s") == "E", 18975).otherwise(F.lit(18150) + F.col("s").cast("int") * 75)
     steps = F.explode(F.sequence(F.lit(0), F.lit(4)))
     return symbols.select("id", "at", hz.alias("hz"), steps.alias("k")).select("id", (F.col("at") * 5 + F.col("k")).alias("frame"), F.when(F.col("k") < 3, F.col("hz") + F.col("id") % 30).alias("freq"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lyrebird.operators import sheets
+from lyrebird.operators import sheets, signals
 from lyrebird.plans import catalogue, music
 from lyrebird.plans.registry import Tables
 
@@ -20,3 +20,17 @@ def test_kinds_are_told_once(spark):
     df = spark.range(4).select("id", F.lit("[C]\n{key: D}").alias("text"))
     plan = sheets.parse_lines(df, "id", "text").where("kind != 'directive'")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN") == 1
+
+
+def test_tones_are_dealt_before_their_frames(spark):
+    assert music.tone_frames(Tables(spark, SF)).rdd.getNumPartitions() == 4
+
+
+def test_nearest_tone_sorts_no_table(spark):
+    """The nearest of all tones by plain comparisons, no array for each frame."""
+    hz = [None, float("nan"), *[float(f) for f in range(17900, 19100)]]
+    df = spark.createDataFrame([(h,) for h in hz], "freq double").select("freq", signals.nearest_tone(F.col("freq")).alias("s"))
+    want = {f: min(signals.TONES, key=lambda s: abs(signals.TONES[s] - f)) for f in hz[2:]}
+    assert {r.freq: r.s for r in df.collect() if r.freq == r.freq and r.freq} == {f: s if abs(signals.TONES[s] - f) <= 37 else None for f, s in want.items()}
+    assert [r.s for r in df.where("freq is null or isnan(freq)").collect()] == [None, None]
+    assert "array" not in df._jdf.queryExecution().optimizedPlan().toString()
