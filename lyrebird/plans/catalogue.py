@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lyrebird.functions import text as tx
 from lyrebird.operators import ingest, names, pages, reconcile, search
 from lyrebird.plans.registry import Tables, query
+from lyrebird.runtime import dealt
 from lyrebird.sources import files
 
 PREFIX = "P "
@@ -20,7 +21,7 @@ def raw_titles(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     tail = F.when(k % 4 == 0, "/x:").when(k % 4 == 1, "  . ").when(k % 4 == 2, "\t?").otherwise(" ")
     raw = F.concat(F.lit(PREFIX), "p_name", tail, F.when(k % 3 == 0, F.upper("p_type")).otherwise(""), F.when(k % 5 == 0, " ...").otherwise(""))
-    return t.part.select(k.alias("id"), raw.alias("raw"))
+    return dealt(t.part.select("p_partkey", "p_name", "p_type"), "p_partkey").select(k.alias("id"), raw.alias("raw"))
 
 
 @query(f"SELECT id, clean AS name FROM {_CLEAN_SQL}")

@@ -34,3 +34,7 @@ def test_nearest_tone_sorts_no_table(spark):
     assert {r.freq: r.s for r in df.collect() if r.freq == r.freq and r.freq} == {f: s if abs(signals.TONES[s] - f) <= 37 else None for f, s in want.items()}
     assert [r.s for r in df.where("freq is null or isnan(freq)").collect()] == [None, None]
     assert "array" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_titles_are_dealt_before_they_are_cleaned(spark):
+    assert catalogue.raw_titles(Tables(spark, SF)).rdd.getNumPartitions() == 4
