@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lyrebird.operators import sheets, signals
+from lyrebird.operators import harmony, sheets, signals
 from lyrebird.plans import catalogue, music
 from lyrebird.plans.registry import Tables
 
@@ -38,3 +38,11 @@ def test_nearest_tone_sorts_no_table(spark):
 
 def test_titles_are_dealt_before_they_are_cleaned(spark):
     assert catalogue.raw_titles(Tables(spark, SF)).rdd.getNumPartitions() == 4
+
+
+def test_keys_are_scored_many_rows_at_once(spark):
+    """No function of each row's array; roots that are null count in the total alone."""
+    rows = [(1, 0, 2, "maj"), (1, 1, 11, "min"), (1, 2, 6, "min"), (1, 3, 7, "maj"), (1, 4, 9, "maj"), (2, 0, 0, "min"), (3, 0, 0, "maj"), (3, 1, None, "maj")]
+    found = harmony.detect_keys(spark.createDataFrame(rows, "id long, pos int, root int, quality string"), "id", "pos")
+    assert sorted(map(tuple, found.collect())) == [(1, 2, "major", 1.0), (2, 0, "minor", 1.0), (3, 0, "major", 0.5)]
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
