@@ -1,22 +1,25 @@
 """From a picture to its rows: bands of ink, boxes around tokens, symbols by their shape, and symbols over letters.
 
 A picture is a table of its pixel rows: id, y, width (in columns) and words, an array of bigints of 32 columns each,
-the lowest bit being the leftmost; set bits are ink. Pixel rows are grouped by picture and looked at once,
-a batch of pictures at a time; what is found there is joined, grouped and windowed as rows. A group is one picture or one band, whose size a picture's height and width bound.
+the lowest bit being the leftmost; set bits are ink. Pixel rows are grouped by picture (or come so: id and pixels, an
+array of y, width and words by y) and looked at once, a batch of pictures at a time; what is found there stays a row for
+each picture until it is read. A group is one picture or one band, whose size a picture's height and width bound.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.operators.align import clean_sequence, gap_align
+from lyrebird.operators.align import clean_sequence
 from lyrebird.operators.align import snap_left as snapped
 from lyrebird.operators.signals import mask_overlap
 from lyrebird.runtime import ship, stage_table
@@ -170,24 +173,28 @@ _TOKEN = pa.struct([("band", pa.int32()), ("reach", pa.int32()), ("token", pa.in
 _SEEN = "struct<bands:array<struct<start:int,end:int,x0:int,x1:int,width:int,columns:array<bigint>,top:double,cover:double,fill:double,sung:boolean>>,tokens:array<struct<band:int,reach:int,token:int,x0:int,x1:int,bits:binary,aspect:double>>>"
 
 
-def seen(rows: DataFrame, reaches: tuple[int, ...] = ()) -> DataFrame:
+def seen(rows: DataFrame, reaches: tuple[int, ...] = (), sung: bool = True) -> DataFrame:
     """(id, bands, tokens): each picture's bands and, for each reach, their tokens, all in one pass over its pixel rows.
 
     A picture's pixel rows come together in a row; rows that are dealt by id already aren't shuffled for that.
+    Without ``sung`` the tokens of sung bands are left out.
     """
     ship(rows.sparkSession)
 
     @F.arrow_udf(_SEEN)
     def look(pictures: pa.Array) -> pa.Array:
         flat, ends = pictures.flatten(), np.concatenate([[0], np.cumsum(np.diff(pictures.offsets.to_numpy()))])
-        out = [_look(flat.slice(ends[i], ends[j] - ends[i]), ends[i : j + 1] - ends[i], reaches) for i, j in _pieces(flat.field("words"), ends)]
+        out = [_look(flat.slice(ends[i], ends[j] - ends[i]), ends[i : j + 1] - ends[i], reaches, sung) for i, j in _pieces(flat.field("words"), ends)]
         return pa.concat_arrays(out) if out else pa.array([], pa.struct([("bands", pa.list_(_BAND)), ("tokens", pa.list_(_TOKEN))]))
 
-    held = rows.where("id is not null and words is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("y", "width", "words"))).alias("pixels"))
+    if "pixels" in rows.columns:
+        held = rows.where("id is not null")
+    else:
+        held = rows.where("id is not null and words is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("y", "width", "words"))).alias("pixels"))
     return held.select("id", look("pixels").alias("s")).select("id", "s.bands", "s.tokens")
 
 
-def _look(rows: pa.StructArray, ends: np.ndarray, reaches: tuple[int, ...]) -> pa.StructArray:
+def _look(rows: pa.StructArray, ends: np.ndarray, reaches: tuple[int, ...], sung: bool) -> pa.StructArray:
     y, width, listed = (c.to_numpy() if c.type != pa.list_(pa.int64()) else c for c in rows.flatten())
     words, counts = _words(listed)
     picture, n = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), len(ends) - 1
@@ -199,6 +206,11 @@ def _look(rows: pa.StructArray, ends: np.ndarray, reaches: tuple[int, ...]) -> p
     none = pa.array([], _BAND)
     bands = profiles_of(y, width, words, counts, begins, y[begins], y[begins + size - 1] + 1) if len(of) else none
     number = np.arange(len(of)) - np.searchsorted(of, of) + 1
+    if not sung:
+        plain = ~bands.field("sung").to_numpy(zero_copy_only=False)
+        kept = np.repeat(plain, size)
+        y, words, counts, size, of, number = y[kept], words[kept], counts[kept], size[plain], of[plain], number[plain]
+        begins = np.cumsum(size) - size
     pixels = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little").astype(bool)
     met = [pa.array([], _TOKEN)]
     names = [np.zeros(0, np.int64)]
@@ -210,7 +222,7 @@ def _look(rows: pa.StructArray, ends: np.ndarray, reaches: tuple[int, ...]) -> p
     name = np.concatenate(names)
     order = np.argsort(name, kind="stable")
     tokens = pa.concat_arrays(met).take(pa.array(order))
-    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(_starts(of, n), bands), pa.ListArray.from_arrays(_starts(name, n), tokens)], names=["bands", "tokens"])
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(_starts(picture[first], n), bands), pa.ListArray.from_arrays(_starts(name, n), tokens)], names=["bands", "tokens"])
 
 
 def seen_bands(looks: DataFrame) -> DataFrame:
@@ -344,92 +356,129 @@ def stroke_overlap(found: DataFrame, stroke: tuple[bytes, float]) -> DataFrame:
     return found.withColumn("overlap", mask_overlap(F.col("bits"), F.lit(bits))).withColumn("likeness", F.col("overlap") - ASPECT_COST * alike)
 
 
-def bands_with_strokes(found: DataFrame) -> DataFrame:
-    """(id, band): the bands of which a token is a stroke; such rows stand alone, not above sung text. found: tokens with their likeness."""
-    return found.where((F.col("likeness") > STROKE) & (F.col("aspect") < STROKE_ASPECT)).select("id", "band").distinct()
-
-
-def symbol_sequences(found: DataFrame) -> DataFrame:
-    """(id, band, seq): a row of symbols in brackets and strokes, from the left; what is like neither is left out. found: matched tokens with their overlap."""
-    is_stroke = (F.col("overlap") > ROW_STROKE) & (F.col("aspect") < ROW_STROKE_ASPECT)
-    shown = F.when(is_stroke, "/").when(F.col("score") > ROW_SYMBOL, F.concat(F.lit("["), "name", F.lit("]")))
-    parts = F.array_sort(F.collect_list(F.when(shown.isNotNull(), F.struct("token", shown.alias("s")))))
-    return found.groupBy("id", "band").agg(F.array_join(F.transform(parts, lambda p: p["s"]), " ").alias("seq"))
-
-
-def line_profiles(lines: DataFrame, font: DataFrame) -> DataFrame:
-    """lines (id, sung, line) with rendered, a 0 or 1 for each column of the line's letters set one after another, starts, the column where each begins, and places, each one's place in the line.
-
-    font: letter, columns (array of 0 and 1, as wide as the letter with its space); it has a row for each
-    character at most. Blanks aren't set; a letter that the font lacks is left out.
+@lru_cache(1 << 12)
+def _kept_overlap(bits: bytes | None, stroke: bytes) -> float:
+    """mask_overlap of one shape, remembered."""
+    a, b = (int.from_bytes(m, "little") for m in (bits or b"", stroke))
+    return (a & b).bit_count() / (a | b).bit_count() if a | b else 1.0
+
+
+def _is_stroke(bits: bytes | None, aspect: float | None, stroke: tuple[bytes, float]) -> bool:
+    """Whether a token is a stroke; a band that has one stands alone, not above sung text."""
+    if aspect is None or aspect >= STROKE_ASPECT:
+        return False
+    return _kept_overlap(bits, stroke[0]) - ASPECT_COST * abs(math.log((aspect + 0.01) / (stroke[1] + 0.01))) > STROKE
+
+
+def _named(bits: bytes | None, aspect: float | None, palette: list[tuple[str, bytes, float]]) -> tuple[str | None, float]:
+    """What ``matched`` says of one token."""
+    if not bits or not palette:
+        return None, 0.0
+    at, score, _ = _kept_match(bits, aspect, tuple(p[1] for p in palette), tuple(p[2] for p in palette))
+    return palette[at][0], score
+
+
+def sequence_of(found: list[tuple], palette: list[tuple[str, bytes, float]], stroke: tuple[bytes, float]) -> str:
+    """A row of symbols in brackets and strokes, from the left; what is like neither is left out. found: its tokens (x0, bits, aspect)."""
+    out = []
+    for _, bits, aspect in found:
+        if aspect is not None and aspect < ROW_STROKE_ASPECT and _kept_overlap(bits, stroke[0]) > ROW_STROKE:
+            out.append("/")
+            continue
+        name, score = _named(bits, aspect, palette)
+        if score > ROW_SYMBOL and name is not None:
+            out.append(f"[{name}]")
+    return " ".join(out)
+
+
+def letters_under(line: str, widths: dict[str, int], x0: int, x1: int, lefts: list[int]) -> list[int] | None:
+    """The place in the line of the letter under each column of ``lefts``; None if no letter can be set.
+
+    The line's letters are set one after another (blanks aren't, nor letters that the font lacks) and drawn to
+    the band's width. Both profiles then have as many columns, and as an alignment gives each column of the one
+    a column of its own of the other, in order, each meets the one at its place: ``align.gap_align`` has no other path.
     """
-    letters = lines.select("id", "sung", F.posexplode(F.filter(F.transform(F.split("line", ""), lambda c, i: F.struct(i.alias("place"), c.alias("letter"))), lambda x: ~x["letter"].isin("", " "))).alias("k", "l"))
-    met = letters.select("id", "sung", "k", "l.*").join(F.broadcast(font), "letter")
-    held = met.groupBy("id", "sung").agg(F.array_sort(F.collect_list(F.struct("k", "place", "columns"))).alias("_l"))
-    start = F.aggregate("_l", F.array(F.lit(0)), lambda s, l: F.concat(s, F.array(F.element_at(s, -1) + F.size(l["columns"]))))
-    return lines.join(held.hint("merge"), ["id", "sung"]).select("id", "sung", "line", F.flatten(F.transform("_l", lambda l: l["columns"])).alias("rendered"), start.alias("starts"), F.transform("_l", lambda l: l["place"]).alias("places"))
-
-
-def _stretched(rendered: Column, n: Column) -> Column:
-    """A profile drawn to n / its length of its width: between two columns by their distance, set where over a half."""
-    size = F.size(rendered)
-    at = lambda i: F.get(rendered, F.least(i, size - 1)).cast("double")
-
-    def value(i: Column) -> Column:
-        x = i * size / n
-        low = F.floor(x).cast("int")
-        return F.when(at(low) + (at(low + 1) - at(low)) * (x - low) > 0.5, 1.0).otherwise(0.0)
-
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), value)).otherwise(F.array().cast("array<double>"))
+    places = [k for k, c in enumerate(line) if c != " " and c in widths]
+    starts = [0, *accumulate(widths[line[k]] for k in places)]
+    if not starts[-1]:
+        return None
+    ratio = (x1 - x0 + 1) / starts[-1]
+    return [places[max(0, min(bisect_right(starts, min(max(x, x0), x1) - x0, key=lambda s: s * ratio) - 1, len(places) - 1))] for x in lefts]
 
 
-def placements(bands: DataFrame, found: DataFrame, strokes: DataFrame, lines: DataFrame, font: DataFrame) -> DataFrame:
-    """(id, sung, token, char, symbol, score): over which letter of its sung line each token of the row above stands.
+def read_picture(bands: list[tuple], found: list[tuple], lines: list[str], palette: list[tuple[str, bytes, float]], widths: dict[str, int], stroke: tuple[bytes, float]) -> tuple[list[tuple], list[tuple]]:
+    """One picture's symbols over sung lines (sung, token, char, symbol, score) and its rows of symbols (after, n, seq).
 
     The k-th sung band shows the k-th sung line. The row above it is the nearest band without strokes that isn't
-    sung, if no sung band is between and it is less than 40 rows away. The line's letters are set, drawn to the
-    band's width and aligned with the columns that have ink; a token's left end then falls on a letter. bands:
-    band_profiles; found: matched tokens; strokes: bands_with_strokes; lines: id, sung (from 0), line.
+    sung, if no sung band is between and it is less than 40 rows away. A band that isn't sung is a row of its
+    own, after so many sung bands, unless a sung band follows in less than 28 rows and it has no strokes.
+    bands: (start, end, x0, x1, sung) from the top; found: tokens (band, reach, x0, bits, aspect) of bands that
+    aren't sung, from the left; palette: (name, bits, aspect); widths: each letter's columns.
     """
-    order = Window.partitionBy("id").orderBy("band")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    marked = bands.join(strokes.withColumn("_stroke", F.lit(True)).hint("merge"), ["id", "band"], "left")
-    plain = ~F.col("sung") & F.col("_stroke").isNull()
-    near = marked.withColumn("above", F.last(F.when(plain, F.col("band")), ignorenulls=True).over(before)).withColumn("above_end", F.last(F.when(plain, F.col("end")), ignorenulls=True).over(before))
-    near = near.withColumn("_last", F.coalesce(F.max(F.when(F.col("sung"), F.col("band"))).over(before), F.lit(0)))
-    near = near.where("sung").withColumn("_k", F.row_number().over(order) - 1).where((F.col("above") > F.col("_last")) & (F.col("start") - F.col("above_end") < ABOVE))
-    drawn = line_profiles(lines, font).withColumnRenamed("sung", "_k")
-    met = near.select("id", "_k", "above", "x0", "x1", "columns").join(drawn.hint("merge"), ["id", "_k"])
-    wide = F.col("x1") - F.col("x0") + 1
-    ink = F.transform(F.sequence("x0", "x1"), lambda x: F.call_function("shiftright", F.get("columns", F.floor(x / BITS).cast("int")), (x % BITS).cast("int")).bitwiseAND(F.lit(1)).cast("double"))
-    met = met.withColumn("_ratio", wide / F.size("rendered")).withColumn("_way", gap_align(_stretched(F.col("rendered"), wide), ink))
-    own = met.join(found.select("id", F.col("band").alias("above"), "token", F.col("x0").alias("left"), "name", "score").hint("merge"), ["id", "above"])
-    place = F.least(F.greatest(F.col("left"), F.col("x0")), F.col("x1")) - F.col("x0")
-    column = F.array_min(F.transform("_way", lambda v, i: F.struct(F.abs(v - place).alias("d"), i.alias("i"))))["i"]
-    letter = F.size(F.filter("starts", lambda s: s * F.col("_ratio") <= F.col("_column"))) - 1
-    own = own.withColumn("_column", column).withColumn("_letter", F.greatest(F.lit(0), F.least(letter, F.size("places") - 1)))
-    at = snapped(F.col("line"), F.get("places", F.col("_letter")))
-    return own.where("_column is not null").select("id", F.col("_k").alias("sung"), "token", at.alias("char"), F.col("name").alias("symbol"), F.round("score", 2).alias("score"))
+    by: dict[tuple[int, int], list[tuple]] = {}
+    for band, reach, *token in found:
+        by.setdefault((band, reach), []).append(token)
+    placed, rows, sung, above = [], [], 0, None
+    for n, (start, end, x0, x1, is_sung) in enumerate(bands, 1):
+        if is_sung:
+            if above and start - above[1] < ABOVE and sung < len(lines):
+                over = by.get((above[0], TOKEN_GAP), [])
+                chars = letters_under(lines[sung], widths, x0, x1, [x for x, _, _ in over])
+                if chars is not None:
+                    placed += [(sung, k, char, *_named(bits, aspect, palette)) for k, (char, (_, bits, aspect)) in enumerate(zip(chars, over, strict=True), 1)]
+            sung, above = sung + 1, None
+            continue
+        has_stroke = any(_is_stroke(bits, aspect, stroke) for _, bits, aspect in by.get((n, TOKEN_GAP), []))
+        follows = n < len(bands) and bands[n][4] and bands[n][0] - end < NEXT
+        if has_stroke or not follows:
+            rows.append((sung, n, sequence_of(by.get((n, ROW_GAP), []), palette, stroke)))
+        if not has_stroke:
+            above = n, end
+    return placed, rows
+
+
+_READ = "struct<placed:array<struct<sung:int,token:int,char:int,symbol:string,score:double>>,rows:array<struct<after:bigint,n:int,seq:string>>>"
+_PLACED = pa.struct([("sung", pa.int32()), ("token", pa.int32()), ("char", pa.int32()), ("symbol", pa.string()), ("score", pa.float64())])
+_ROW = pa.struct([("after", pa.int64()), ("n", pa.int32()), ("seq", pa.string())])
+
+
+def _listed(lists: pa.ListArray, *fields: str) -> Iterator[list[tuple]]:
+    """Each list's structs as tuples of the fields."""
+    flat, ends = lists.flatten(), np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy()))).tolist()
+    all_ = list(zip(*(flat.field(f).to_pylist() for f in fields), strict=True))
+    return (all_[a:b] for a, b in zip(ends, ends[1:]))  # noqa: B905
+
+
+def _as_lists(lists: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
+    columns = list(zip(*(x for own in lists for x in own), strict=True)) or [()] * kind.num_fields
+    flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(own) for own in lists])), pa.int32()), flat)
 
 
 def read_pictures(rows: DataFrame, lines: DataFrame, palettes: DataFrame, font: DataFrame, stroke: tuple[bytes, float], script: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What pictures show of their songs: bands, placements, and rows of symbols (id, after, n, seq), for ``assemble`` and ``align_report``.
+    """What pictures show of their songs: bands, placements (id, sung, token, char, symbol, score), and rows of symbols (id, after, n, seq), for ``assemble`` and ``align_report``.
 
     lines: id, line_no, line, of which those with a letter of the script are sung, in the order of the picture's
-    sung bands. A band that isn't sung is a row of its own, after so many sung bands, unless a sung band follows
-    in less than 28 rows and it has no strokes.
+    sung bands. palettes: as ``matched`` takes them. font: letter, columns (array of 0 and 1, as wide as the
+    letter with its space), a row for each character at most; their widths go to all tasks. A picture is read in
+    one row with its sung lines and palette, as read_picture says.
     """
-    looks = stage_table(seen(rows, (TOKEN_GAP, ROW_GAP)), "looks")
-    bands = seen_bands(looks)
-    sung = lines.where(F.rlike("line", F.lit(f"[{script}]"))).withColumn("sung", F.row_number().over(Window.partitionBy("id").orderBy("line_no")) - 1)
-    close = stroke_overlap(seen_tokens(looks), stroke)
-    strokes = bands_with_strokes(close)
-    placed = placements(bands, matched(close, palettes), strokes, sung.select("id", "sung", "line"), font)
-    order = Window.partitionBy("id").orderBy("band")
-    marked = bands.join(strokes.withColumn("_stroke", F.lit(True)).hint("merge"), ["id", "band"], "left")
-    marked = marked.withColumn("after", F.sum(F.col("sung").cast("int")).over(order)).withColumn("_next", F.lead("sung").over(order) & (F.lead("start").over(order) - F.col("end") < NEXT))
-    own = marked.where(~F.col("sung") & ~(F.coalesce("_next", F.lit(False)) & F.col("_stroke").isNull()))
-    alone = seen_tokens(looks, ROW_GAP).join(own.select("id", "band").hint("merge"), ["id", "band"], "left_semi")
-    read = symbol_sequences(matched(stroke_overlap(alone, stroke), palettes))
-    listed = own.join(read.hint("merge"), ["id", "band"]).withColumn("seq", clean_sequence(F.col("seq"))).where("seq != ''")
-    return bands, placed, listed.select("id", "after", F.col("band").alias("n"), "seq")
+    ship(rows.sparkSession)
+    widths = {r["letter"]: r["n"] for r in font.select("letter", F.size("columns").alias("n")).collect()}
+
+    @F.arrow_udf(_READ)
+    def read(bands: pa.Array, found: pa.Array, lines: pa.Array, palettes: pa.Array) -> pa.Array:
+        each = zip(_listed(bands, "start", "end", "x0", "x1", "sung"), _listed(found, "band", "reach", "x0", "bits", "aspect"), lines.to_pylist(), _listed(palettes, "name", "bits", "aspect"), strict=True)
+        out = [read_picture(*one, widths, stroke) for one in each]
+        return pa.StructArray.from_arrays([_as_lists([p for p, _ in out], _PLACED), _as_lists([r for _, r in out], _ROW)], names=["placed", "rows"])
+
+    sung = lines.where(F.rlike("line", F.lit(f"[{script}]"))).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
+    listed = palettes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "name", "bits", "aspect"))).alias("_palette"))
+    looks = seen(rows, (TOKEN_GAP, ROW_GAP), sung=False)
+    met = looks.join(sung.select("id", F.transform("_l", lambda l: l["line"]).alias("lines")).hint("merge"), "id", "left").join(listed.hint("merge"), "id", "left")
+    own = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("lines", "array<string>"), ("_palette", listed.schema["_palette"].dataType))]
+    held = met.select("id", "bands", "tokens", *own).withColumn("_r", read("bands", "tokens", "lines", "_palette")).select("id", "bands", "lines", "_r.*")
+    held = stage_table(held, "read")
+    placed = held.select("id", "lines", F.explode("placed").alias("p")).select("id", "p.*", F.get("lines", F.col("p.sung")).alias("line"))
+    between = held.select("id", F.explode("rows").alias("r")).select("id", "r.*").withColumn("seq", clean_sequence(F.col("seq"))).where("seq != ''")
+    return seen_bands(held), placed.select("id", "sung", "token", snapped(F.col("line"), F.col("char")).alias("char"), "symbol", F.round("score", 2).alias("score")), between

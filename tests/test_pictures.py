@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lyrebird.operators import pictures
-from lyrebird.plans.pictures import bitmap
-from lyrebird.plans.registry import QUERIES
+from lyrebird.operators import align, pictures
+from lyrebird.plans.pictures import bitmap, drawn, songs
+from lyrebird.plans.registry import QUERIES, Tables
 
 ROWS = "id long, y int, width int, words array<bigint>"
 
@@ -166,3 +166,59 @@ def test_one_pass_gives_what_bands_and_tokens_give(spark):
     for reach in (4, 6):
         want = sorted(map(tuple, pictures.tokens(bands, rows, reach).collect()))
         assert want and sorted(map(tuple, pictures.seen_tokens(looks, reach).collect())) == want
+
+
+def test_letters_under_columns_are_those_of_the_alignment():
+    """Profiles as wide as one another have one alignment, column by column; so the letter is the one whose columns a place falls on."""
+    rng = np.random.default_rng(11)
+    widths = {"a": 3, "b": 8, "c": 5, "d": 0, "e": 1}
+    for _ in range(60):
+        line, x0, wide = "".join(rng.choice(list("abcde xy"), int(rng.integers(1, 12)))), int(rng.integers(0, 9)), int(rng.integers(1, 70))
+        own = [(k, widths[c]) for k, c in enumerate(line) if c in widths]
+        size = sum(w for _, w in own)
+        lefts = rng.integers(0, x0 + wide + 9, 5).tolist()
+        got = pictures.letters_under(line, widths, x0, x0 + wide - 1, lefts)
+        if not size:
+            assert got is None
+            continue
+        path = align._gap_path(rng.integers(0, 2, wide).astype(float), rng.integers(0, 2, wide).astype(float), 1.0)
+        assert path.tolist() == list(range(wide))
+        starts = np.cumsum([0, *(w for _, w in own)])
+        at = [int(np.abs(path - (min(max(x, x0), x0 + wide - 1) - x0)).argmin()) for x in lefts]
+        assert got == [own[max(0, min(int((starts * (wide / size) <= c).sum()) - 1, len(own) - 1))][0] for c in at]
+
+
+def test_tokens_of_sung_bands_can_be_left_out(spark):
+    rows = drawn(songs(Tables(spark, "/root/testdata/sf0.001")))
+    looks, some = pictures.seen(rows, (4, 6)), pictures.seen(rows, (4, 6), sung=False)
+    plain = pictures.seen_bands(looks).where("not sung").select("id", "band")
+    for reach in (4, 6):
+        want = sorted(map(tuple, pictures.seen_tokens(looks, reach).join(plain, ["id", "band"]).collect()))
+        assert want and sorted(map(tuple, pictures.seen_tokens(some, reach).collect())) == want
+    assert sorted(map(str, looks.select("id", "bands").collect())) == sorted(map(str, some.select("id", "bands").collect()))
+
+
+def test_a_picture_is_read_in_its_row(spark):
+    """What a picture shows is found in one pass: nothing is shuffled, aligned or grouped anew afterwards, and no token's shape is kept."""
+    plan = _plan(QUERIES["picture_placements"](spark, "/root/testdata/sf0.001"))
+    assert not re.findall(r"Exchange|Join|Aggregate|Window|EvalPython|bits", plan)
+
+
+def test_pictures_are_drawn_and_looked_at_together(spark):
+    """Pixel rows that are made in one array aren't taken apart and gathered again."""
+    plan = _plan(pictures.seen(drawn(songs(Tables(spark, "/root/testdata/sf0.001"))), (6,)))
+    assert len(re.findall(r"\bArrowEvalPython\b", plan)) == 1 and len(re.findall(r"\bExchange\b", plan)) == 1
+
+
+def test_pictures_without_lines_or_palettes(spark):
+    ink = np.zeros((60, 100), bool)
+    ink[0:12, 0:16] |= bitmap("Am")
+    ink[20:32, 0:64] |= bitmap("somewhat")
+    rows = spark.createDataFrame(as_rows(1, ink) + as_rows(2, ink) + as_rows(3, ink[:0]) + as_rows(4, ink), ROWS)
+    lines = spark.createDataFrame([(1, 0, "somewhat"), (2, 0, "--"), (4, 0, "somewhat")], "id long, line_no int, line string")
+    bits, aspect = pictures.shape_of(bitmap("Am"))
+    palettes = spark.createDataFrame([(i, 0, "Am", bytearray(bits), aspect) for i in (1, 2)], "id long, n int, name string, bits binary, aspect double")
+    letters = spark.createDataFrame([(c, [1, 1, 1, 1, 1, 0, 0, 0]) for c in "abcdefghijklmnopqrstuvwxyz"], "letter string, columns array<int>")
+    bands, placed, between = pictures.read_pictures(rows, lines, palettes, letters, pictures.shape_of(np.ones((12, 1), bool)), "a-z")
+    assert sorted(map(tuple, placed.collect())) == [(1, 0, 1, 0, "Am", 1.0), (4, 0, 1, 0, None, 0.0)]
+    assert bands.count() == 6 and between.collect() == []
