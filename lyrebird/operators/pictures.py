@@ -60,8 +60,8 @@ def _words(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 def runs_of(pixels: np.ndarray, widths: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, last) of runs of ink, each lengthened by half of ``reach`` at the left and the rest less one at the right, joined where they then meet."""
     edge = np.diff(np.pad(pixels, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    row, first = np.nonzero(edge == 1)
-    last = np.nonzero(edge == -1)[1] - 1
+    row, first = np.divmod(np.flatnonzero(edge == 1), edge.shape[1])
+    last = np.flatnonzero(edge == -1) % edge.shape[1] - 1
     first, last = np.maximum(first - reach // 2, 0), np.minimum(last + (reach - 1) // 2, widths[row] - 1)
     if not len(row):
         return row, first, last
@@ -158,11 +158,10 @@ def _starts(names: np.ndarray, n: int) -> pa.Array:
     return pa.array(np.append(0, np.cumsum(np.bincount(names, minlength=n))), pa.int32())
 
 
-def _pieces(words: pa.ListArray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of pictures (rows from ends[i] to ends[j]) that have about PIECE words, or are one picture."""
-    held = words.offsets.to_numpy()[ends]
+def pieces(held: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of pictures, from the i-th up to the j-th, that have about PIECE words, or are one picture; held[i]: the words before the i-th."""
     i = 0
-    while i < len(ends) - 1:
+    while i < len(held) - 1:
         j = max(i + 1, int(np.searchsorted(held, held[i] + PIECE, side="right")) - 1)
         yield i, j
         i = j
@@ -184,7 +183,7 @@ def seen(rows: DataFrame, reaches: tuple[int, ...] = (), sung: bool = True) -> D
     @F.arrow_udf(_SEEN)
     def look(pictures: pa.Array) -> pa.Array:
         flat, ends = pictures.flatten(), np.concatenate([[0], np.cumsum(np.diff(pictures.offsets.to_numpy()))])
-        out = [_look(flat.slice(ends[i], ends[j] - ends[i]), ends[i : j + 1] - ends[i], reaches, sung) for i, j in _pieces(flat.field("words"), ends)]
+        out = [_look(flat.slice(ends[i], ends[j] - ends[i]), ends[i : j + 1] - ends[i], reaches, sung) for i, j in pieces(flat.field("words").offsets.to_numpy()[ends])]
         return pa.concat_arrays(out) if out else pa.array([], pa.struct([("bands", pa.list_(_BAND)), ("tokens", pa.list_(_TOKEN))]))
 
     if "pixels" in rows.columns:
@@ -259,7 +258,7 @@ def tokens(bands: DataFrame, rows: DataFrame, reach: int = TOKEN_GAP) -> DataFra
     def found(bands: pa.Array) -> pa.Array:
         rows, ends = bands.flatten(), np.concatenate([[0], np.cumsum(np.diff(bands.offsets.to_numpy()))])
         out = [pa.array([], pa.list_(pa.struct(kind)))]
-        for i, j in _pieces(rows.field("words"), ends):
+        for i, j in pieces(rows.field("words").offsets.to_numpy()[ends]):
             some = rows.slice(ends[i], ends[j] - ends[i])
             words, counts = _words(some.field("words"))
             pixels = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(bool)
